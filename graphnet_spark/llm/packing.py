@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_texts, stored, table
+from .common import extended, map_texts, stored, table
 
 #: Tokens of a sequence, and the id that ends each document.
 CAPACITY, END_ID = 2048, 0
@@ -156,7 +156,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, max_docs: int | None = Non
         if rest:
             yield from place(pa.Table.from_batches(rest))
 
-    schema = pieces.schema.add("sequence_id", "long").add("offset", "long")
+    schema = extended(pieces.schema, "sequence_id long, offset long")
     spread = pieces.repartition(blocks, F.xxhash64("doc_id", "piece", "ids_crc32")).sortWithinPartitions("doc_id", "piece", "ids_crc32")
     return spread.mapInArrow(run, schema)
 

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media, mixing, packing, warc
+from . import media, mixing, packing, quality, warc
 
-MODULES = (media, mixing, packing, warc)
+MODULES = (quality, media, mixing, warc, packing)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
