@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media, mixing, packing, quality, warc, window_dedup
+from . import media, mixing, packing, quality, suffix_dedup, warc, window_dedup
 
-MODULES = (quality, media, mixing, warc, window_dedup, packing)
+MODULES = (quality, media, mixing, suffix_dedup, warc, window_dedup, packing)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
