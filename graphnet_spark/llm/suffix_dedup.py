@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .anchors import Sketch, covered, mix64, runs, sketch_items, with_spans
+from .anchors import Sketch, covered, mix64, runs, sketch_items, unpacked, with_spans
 from .common import map_texts, slices, stored, table
 
 #: Bytes of a repeated string and of an anchor.
@@ -236,7 +236,7 @@ def deduplicated(docs: DataFrame, first_only: bool = True) -> DataFrame:
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
         out: list[tuple] = []
         for doc, spans, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-            raw = text.as_py().encode()
+            raw = unpacked(text.as_py())
             left, n = raw, 0
             if spans:
                 gone = covered(spans, len(raw), LENGTH)

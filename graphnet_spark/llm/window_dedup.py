@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .anchors import Sketch, covered, mix64, poly, runs, sketch_items, with_spans
+from .anchors import Sketch, covered, mix64, poly, runs, sketch_items, unpacked, with_spans
 from .common import map_texts, slices, stored, table
 
 #: Words of a window and of an anchor.
@@ -116,7 +116,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
         out: list[tuple] = []
         for doc, spans, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-            words = text.as_py().encode().split()
+            words = unpacked(text.as_py()).split()
             if spans:
                 gone = covered(spans, len(words), WINDOW)
                 left = [w for w, x in zip(words, gone.tolist(), strict=True) if not x]
