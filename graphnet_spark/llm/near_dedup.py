@@ -1,7 +1,7 @@
 """Near-duplicate texts: improved consistent weighted sampling over TF-IDF shingles.
 
 A text is a weighted set of shingles of five words; the weight is the shingle's count times an inverse document
-frequency between 1 and 2. Document frequencies come from a count-min sketch over all documents, merged slice by slice, so
+frequency between 1 and 1.5, so that a copy's edits, which are rare, do not outweigh what it shares. Document frequencies come from a count-min sketch over all documents, merged slice by slice, so
 their size is fixed; it can only overstate a frequency. Each of BANDS * ROWS samples picks one shingle with a chance in
 proportion to its weight, and two texts pick the same with a chance equal to their weighted Jaccard similarity. Texts
 that agree in a whole band are candidates.
@@ -27,6 +27,8 @@ from .graph import components
 
 #: Words of a shingle, least similarity, bands and samples of a band: a pair at the threshold is missed once in 2,700.
 SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 15, 4
+#: How far the weight of the rarest shingle exceeds that of one in every document.
+IDF = 0.5
 #: Rows, cells of a row and cells of a slice of the frequency sketch, as powers of two: 32 MB in all.
 DEPTH, CELLS, SLICE = 2, 22, 18
 SKETCH_ROWS = (0x9FB21C651E98DF25, 0xD6E8FEB86659FD93)
@@ -97,10 +99,10 @@ class Frequencies:
         self.counts, self.documents = counts, documents
 
     def idf(self, item: np.ndarray) -> np.ndarray:
-        """1 + ln(N / df) / ln(N), between 1 (in every document) and 2 (in one)."""
+        """1 + IDF * ln(N / df) / ln(N), between 1 (in every document) and 1 + IDF (in one)."""
         n = max(2, self.documents)
         df = np.minimum.reduce([c[cells(item, row)] for row, c in enumerate(self.counts)])
-        return 1 + np.log(n / np.clip(df, 1, n)) / np.log(n)
+        return 1 + IDF * np.log(n / np.clip(df, 1, n)) / np.log(n)
 
 
 def frequencies(docs: DataFrame) -> Frequencies:
