@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-#: Characters between words: all ASCII but digits and letters.
-GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Characters between words: all ASCII but digits and letters. Texts are split before A to Z are lower-cased.
+GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Phrases of the base rules and their labels.
 PHRASES = {
     "gnu general public license": "gpl",
