@@ -7,8 +7,9 @@ proportion to its weight, and two texts pick the same with a chance equal to the
 that agree in a whole band are candidates.
 
 Candidates are verified by their weighted Jaccard similarity: first each text with the smallest text of each of its
-buckets; then, in buckets that still hold several components, all texts of different components, in blocks of bounded
-size, so that no link between candidates is lost and no bucket meets in one task. Exact copies are one text throughout.
+buckets; then, in buckets that hold several components, with another text drawn for each bucket; then, in buckets that
+still do, all texts of different components, in blocks of bounded size, so that no link between candidates is lost and
+no bucket meets in one task. Exact copies are one text throughout.
 """
 
 from __future__ import annotations
@@ -33,8 +34,8 @@ IDF = 0.5
 DEPTH, CELLS, SLICE = 2, 22, 18
 SKETCH_ROWS = (0x9FB21C651E98DF25, 0xD6E8FEB86659FD93)
 GROUPS, MERGERS = 16, 16
-#: Texts of a bucket that are compared as one block.
-BLOCK = 64
+#: Rounds in which a text is drawn for each bucket, and texts of a bucket that are compared as one block.
+DRAWS, BLOCK = 1, 128
 #: Random variates of the sampling: a table of 65,536 triples (r, ln c, beta), indexed by a hash of shingle and sample.
 TABLE_BITS = 16
 SEED = 20240501
@@ -233,10 +234,8 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return both / (a[1].sum() + b[1].sum() - both)
 
 
-def leader_links(buckets: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """a, b: texts of a bucket that are similar to the bucket's smallest text."""
-    leaders = buckets.groupBy("band").agg(F.min("node").alias("b"))
-    pairs = buckets.join(leaders, "band").filter("node <> b").select(F.col("node").alias("a"), "b").distinct()
+def compared(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """a, b: the pairs that are similar."""
     with_a = pairs.join(sets.select(F.col("node").alias("a"), F.col("items").alias("x")), "a")
     both = with_a.join(sets.select(F.col("node").alias("b"), F.col("items").alias("y")), "b").select("a", "b", "x", "y")
 
@@ -248,17 +247,38 @@ def leader_links(buckets: DataFrame, sets: DataFrame, threshold: float) -> DataF
     return both.mapInArrow(run, "a binary, b binary")
 
 
+def leader_pairs(buckets: DataFrame) -> DataFrame:
+    """Each text with the smallest text of each of its buckets, which is the same one in most buckets of a group of copies."""
+    leaders = buckets.groupBy("band").agg(F.min("node").alias("b"))
+    return buckets.join(leaders, "band").filter("node <> b").select(F.col("node").alias("a"), "b").distinct()
+
+
+def other_pairs(buckets: DataFrame, labels: DataFrame, draw: int) -> DataFrame:
+    """In buckets of several components, each text with a text drawn for the bucket, another one for each bucket."""
+    own = buckets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    drawn = own.groupBy("band").agg(F.min(F.struct(F.xxhash64("node", "band", F.lit(draw)).alias("h"), "node", "label")).alias("d"))
+    pairs = own.join(drawn, "band").filter("label <> d.label").select(F.col("node").alias("a"), F.col("d.node").alias("b"))
+    return pairs.distinct()
+
+
 def block_links(buckets: DataFrame, labels: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """a, b: similar texts of one bucket that are in different components so far.
 
-    A bucket's texts are dealt into blocks of about BLOCK; each pair of blocks meets in one task, which keeps only links.
+    A bucket's largest component, which needs no comparison with itself, and its other texts are dealt into blocks of about
+    BLOCK; each pair of blocks but two of the largest component's meets in one task, which keeps only links.
     """
     own = buckets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = own.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n")).filter("low <> high")
-    rows = own.join(mixed.select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "band")
-    mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    rows = rows.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("band", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "node", "label", F.col("mine"))
+    parts = own.groupBy("band", "label").agg(F.count(F.lit(1)).alias("n"))
+    mixed = parts.groupBy("band").agg(F.max(F.struct("n", "label")).alias("main"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("labels")).filter("labels > 1")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    sizes = mixed.select("band", F.col("main.label").alias("most"), blocks(F.col("main.n")).alias("inner"), blocks(F.col("n") - F.col("main.n")).alias("outer"))
+    rows = own.join(sizes, "band").withColumn("is_main", F.col("label") == F.col("most"))
+    mine = F.pmod(F.xxhash64("node"), F.when(F.col("is_main"), F.col("inner")).otherwise(F.col("outer"))).cast("int")
+    rows = rows.withColumn("mine", F.when(F.col("is_main"), mine - F.col("inner")).otherwise(mine))
+    # blocks of the main component are below 0, all others from 0 on; two blocks of the main component never meet
+    others = F.when(F.col("is_main"), F.sequence(F.lit(0), F.col("outer") - 1)).otherwise(F.sequence(-F.col("inner"), F.col("outer") - 1))
+    rows = rows.withColumn("other", F.explode(others))
+    rows = rows.select("band", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "node", "label", "mine")
     full = rows.join(sets, "node").select("band", "i", "j", "node", "label", "mine", "items")
 
     def links(group: list[dict]) -> Iterator[tuple[bytes, bytes]]:
@@ -320,9 +340,11 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     involved = buckets.select("node").distinct()
     texts = docs.select("node", "text").join(involved, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
     sets = stored(weighted_sets(texts, known), "sets")
-    links = stored(leader_links(buckets, sets, threshold), "links")
-    more = stored(block_links(buckets, components(links), sets, threshold), "links")
-    labels = components(links.unionByName(more))
+    links = stored(compared(leader_pairs(buckets), sets, threshold), "links")
+    for draw in range(DRAWS):
+        links = links.unionByName(stored(compared(other_pairs(buckets, components(links), draw), sets, threshold), "links"))
+    links = links.unionByName(stored(block_links(buckets, components(links), sets, threshold), "links"))
+    labels = components(links)
     classed = rows.select("doc_id", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     place = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "node")
     firsts = classed.groupBy("label").agg(F.min(place).alias("first"))
