@@ -23,7 +23,7 @@ from .common import map_texts, slices, stored, table
 #: Bytes of a repeated string and of an anchor.
 LENGTH, ANCHOR = 400, 32
 #: Kinds of runs in one chunk, and bytes of one suffix array.
-CHUNK, ARRAY_BYTES = 4000, 1 << 21
+CHUNK, ARRAY_BYTES = 4000, 1 << 18
 RUNS = "doc_id long, tag long, g long, r1 long, r2 long, start int, n int, segment binary"
 PARTS = "doc_id long, tag long, start int, n int, g long, w binary, settled boolean"
 BYTE_HASH = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
