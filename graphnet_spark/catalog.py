@@ -1,11 +1,583 @@
-"""Queries over the driver's tables, one per operator, and their SQL."""
+"""Queries over the driver's tables, one per operator, and the SQL that they are held against."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import activations as A
+from .operators import accumulate, backprop, distribution, export, forward, losses, network, predictive, topology
+from .plans.storage import shared_path
+from .sources import records
+from .streaming import accumulators
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None, name: str | None = None):
+    def add(f: Query) -> Query:
+        QUERIES[name or f.__name__] = f
+        if sql:
+            ORACLES[name or f.__name__] = sql
+        return f
+
+    return add
+
+
+def r6(c: Column | str) -> Column:
+    return F.round(F.col(c) if isinstance(c, str) else c, 6) + F.lit(0.0)
+
+
+def n6(e: str) -> str:
+    return f"CAST(round(CAST({e} AS DOUBLE), 6) + 0e0 AS DOUBLE)"
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# ---- scalar functions: events.value centred to about ±5; hints, errors and weights follow from the id
+
+X = "((value - 245e0) / 50e0)"
+EVENTS = f"(SELECT event_id, {X} AS x, (event_id % 17 - 8) / 4e0 AS h, (event_id % 13 - 6) / 6e0 AS e, CASE event_id % 3 WHEN 0 THEN 1e-4 WHEN 1 THEN 5e-1 ELSE -2e3 END AS w, event_id % 38 AS code FROM events)"
+
+
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = F.when(F.col("event_id") % 3 == 0, 1e-4).when(F.col("event_id") % 3 == 1, 0.5).otherwise(-2e3)
+    x = (F.col("value") - 245) / 50
+    id_ = F.col("event_id")
+    return table(spark, sf_dir, "events").select("event_id", x.alias("x"), ((id_ % 17 - 8) / 4.0).alias("h"), ((id_ % 13 - 6) / 6.0).alias("e"), w.alias("w"), (id_ % 38).alias("code"))
+
+
+GROUPS = {
+    "act_smooth": ("LOGISTIC", "TANH", "Softplus", "Swish", "Mish", "GELU", "SELU", "ELU"),
+    "act_piecewise": ("IDENTITY", "RELU", "ReLU6", "LeakyReLU", "HARD_TANH", "BIPOLAR", "STEP", "COMPLEMENT", "ABSOLUTE"),
+    "act_periodic": ("SINE", "Cosine", "TAN", "ArcTan", "GAUSSIAN", "BENT_IDENTITY", "BIPOLAR_SIGMOID"),
+    "act_clamped": ("SOFTSIGN", "SQUARE", "Cube", "SQRT", "StdInverse", "Exponential", "LogSigmoid", "ISRU"),
+    "act_aggregate": ("MINIMUM", "MAXIMUM", "IF", "HYPOT", "HYPOTv2", "MEAN"),
+}
+#: The same functions written for the other engine, independent of the library's expressions.
+PLAIN = {
+    "LOGISTIC": "1/(1+exp(-x))", "TANH": "tanh(x)", "Softplus": "ln(1+exp(x))", "Swish": "x/(1+exp(-x))", "Mish": "x*tanh(ln(1+exp(x)))",
+    "GELU": "0.5*x*(1+tanh(sqrt(2/pi())*(x+0.044715*pow(x,3))))", "SELU": "1.050701*(CASE WHEN x>0 THEN x ELSE 1.6732632*(exp(x)-1) END)", "ELU": "CASE WHEN x>0 THEN x ELSE exp(x)-1 END",
+    "IDENTITY": "x", "RELU": "greatest(x,0)", "ReLU6": "least(greatest(x,0),6)", "LeakyReLU": "CASE WHEN x>=0 THEN x ELSE 0.01*x END", "HARD_TANH": "least(greatest(x,-1),1)", "BIPOLAR": "CASE WHEN x>0 THEN 1 ELSE -1 END",
+    "STEP": "CASE WHEN x>0 THEN 1 ELSE 0 END", "COMPLEMENT": "1-x", "ABSOLUTE": "abs(x)", "SINE": "sin(x)", "Cosine": "cos(x)", "TAN": "least(greatest(tan(x),-1000),1000)", "ArcTan": "atan(x)", "GAUSSIAN": "exp(-x*x)",
+    "BENT_IDENTITY": "(sqrt(x*x+1)-1)/2+x", "BIPOLAR_SIGMOID": "2/(1+exp(-x))-1", "SOFTSIGN": "least(greatest(x/(1+abs(x)),-0.98999995),0.98999995)", "SQUARE": "least(x*x,1000000)", "Cube": "least(greatest(pow(x,3),-1000000),1000000)",
+    "SQRT": "CASE WHEN x>=0 THEN sqrt(abs(x)) ELSE 0 END", "StdInverse": "CASE WHEN abs(x)<1e-10 THEN (CASE WHEN x<0 THEN -1e10 ELSE 1e10 END) ELSE 1/x END", "Exponential": "exp(x)", "LogSigmoid": "-ln(1+exp(-x))", "ISRU": "x/sqrt(1+x*x)",
+    "MINIMUM": "x", "MAXIMUM": "x", "IF": "x", "HYPOT": "abs(x)", "HYPOTv2": "abs(x)", "MEAN": "x",
+}
+PLAIN_SLOPE = {
+    "IDENTITY": "1", "RELU": "CASE WHEN x>0 THEN 1 ELSE 0 END", "ReLU6": "CASE WHEN x>0 AND x<6 THEN 1 ELSE 0 END", "LeakyReLU": "CASE WHEN x>=0 THEN 1 ELSE 0.01 END", "SELU": "1.050701*(CASE WHEN x>=0 THEN 1 ELSE 1.6732632*exp(x) END)",
+    "ELU": "CASE WHEN x>0 THEN 1 ELSE exp(x) END", "LOGISTIC": "exp(-x)/pow(1+exp(-x),2)", "TANH": "1-pow(tanh(x),2)", "HARD_TANH": "CASE WHEN x>-1 AND x<1 THEN 1 ELSE 0 END", "SOFTSIGN": "pow(1+abs(x),-2)", "Softplus": "1/(1+exp(-x))",
+    "Swish": "1/(1+exp(-x))+x*exp(-x)/pow(1+exp(-x),2)",
+    "Mish": "greatest(0, exp(x)*(4*(x+1)+4*exp(2*x)+exp(3*x)+exp(x)*(4*x+6))/pow(2*exp(x)+exp(2*x)+2,2))",
+    "GELU": "0.5*(1+tanh(sqrt(2/pi())*(x+0.044715*pow(x,3))))+0.5*x*(1-pow(tanh(sqrt(2/pi())*(x+0.044715*pow(x,3))),2))*sqrt(2/pi())*(1+3*0.044715*x*x)",
+    "SINE": "cos(x)", "Cosine": "-sin(x)", "TAN": "least(1+pow(tan(x),2),1000)", "ArcTan": "1/(1+x*x)", "GAUSSIAN": "-2*x*exp(-x*x)", "BENT_IDENTITY": "x/(2*sqrt(x*x+1))+1", "BIPOLAR_SIGMOID": "(1-pow(2/(1+exp(-x))-1,2))/2", "BIPOLAR": "0",
+    "STEP": "CASE WHEN abs(x)<0.01 THEN 0.01 ELSE 0 END", "COMPLEMENT": "-1", "ABSOLUTE": "sign(x)", "SQUARE": "2*x", "Cube": "3*x*x", "SQRT": "CASE WHEN x>0 THEN 1/(2*sqrt(abs(x))) ELSE 0 END", "StdInverse": "-sign(x)/pow(1+abs(x),2)",
+    "Exponential": "least(exp(x),50)", "LogSigmoid": "least(greatest(exp(-x)/(1+exp(-x)),0.000001),1)", "ISRU": "pow(1+x*x,-1.5)", "MINIMUM": "0", "MAXIMUM": "0", "IF": "0", "HYPOT": "0", "HYPOTv2": "0", "MEAN": "0",
+}
+EV = f"(SELECT event_id, x, h, e, w, code FROM {EVENTS})"
+
+
+def column(name: str) -> str:
+    return name.lower()
+
+
+for _group, _names in GROUPS.items():
+    query(f"SELECT event_id, {', '.join(f'{n6(PLAIN[n])} AS {column(n)}' for n in _names)} FROM {EV}", _group)(
+        lambda spark, sf, names=_names: events(spark, sf).select("event_id", *(r6(A.squash(n)).alias(column(n)) for n in names))
+    )
+
+
+@query(f"SELECT event_id, CAST(code AS BIGINT) AS code, {n6('CASE code ' + ' '.join(f'WHEN {k} THEN {PLAIN[a.name]}' for k, a in enumerate(A.ACTIVATIONS)) + ' END')} AS y FROM {EV}")
+def act_by_code(spark, sf):
+    return events(spark, sf).select("event_id", "code", r6(F.expr(A.by_code("code", lambda n: A.forward_sql(n, "x")))).alias("y"))
+
+
+@query(f"SELECT event_id, {', '.join(f'{n6(PLAIN_SLOPE[a.name])} AS {column(a.name)}' for a in A.ACTIVATIONS)} FROM {EV}")
+def deriv_all(spark, sf):
+    return events(spark, sf).select("event_id", *(r6(A.derivative(a.name)).alias(column(a.name)) for a in A.ACTIVATIONS))
+
+
+@query(f"SELECT event_id, CAST(code AS BIGINT) AS code, {n6('CASE code ' + ' '.join(f'WHEN {k} THEN {PLAIN_SLOPE[a.name]}' for k, a in enumerate(A.ACTIVATIONS)) + ' END')} AS y FROM {EV}")
+def deriv_by_code(spark, sf):
+    return events(spark, sf).select("event_id", "code", r6(F.expr(A.by_code("code", lambda n: A.slope_sql(n, "x")))).alias("y"))
+
+
+CLOSED = [a.name for a in A.ACTIVATIONS if a.inverse]
+UNIT = "((x % 1e0) * 9e-1)"  # activations within most ranges
+
+
+@query(f"SELECT event_id, {', '.join(f'{n6(A.inverse_sql(n, UNIT, chr(104)))} AS {column(n)}' for n in CLOSED)} FROM {EV}")
+def inverse_closed(spark, sf):
+    d = events(spark, sf).withColumn("y", F.col("x") % 1 * 0.9)
+    return d.select("event_id", *(r6(F.expr(A.inverse_sql(n, "y", "h"))).alias(column(n)) for n in CLOSED))
+
+
+@query(f"SELECT event_id, true AS sine, true AS cosine, true AS near FROM {EV}")
+def inverse_periodic(spark, sf):
+    """sin and cos of the solutions give the activation, and the solution is within half a period of the hint."""
+    d = events(spark, sf).withColumn("y", F.col("x") % 1 * 0.9)
+    d = d.select("event_id", "y", "h", A.nearest_periodic("SINE", "y", "h").alias("s"), A.nearest_periodic("Cosine", "y", "h").alias("c"))
+    same = lambda f, v: F.abs(f - F.col("y")) < 1e-9
+    near = (F.abs(F.col("s") - F.col("h")) < 3.15) & (F.abs(F.col("c") - F.col("h")) < 3.15)
+    return d.select("event_id", same(F.sin("s"), "s").alias("sine"), same(F.cos("c"), "c").alias("cosine"), near.alias("near"))
+
+
+@query(f"SELECT event_id, true AS swish, true AS mish, true AS gelu, true AS bent_identity FROM {EV}")
+def inverse_newton(spark, sf):
+    """f of the found inverse is the activation again; activations are those of positive values, where all four rise."""
+    d = events(spark, sf).withColumn("p", F.abs("x") + 0.5)
+    d = d.withColumns({f"y_{column(n)}": A.squash(n, "p") for n in A.ITERATED})
+    d = d.withColumns({f"i_{column(n)}": A.newton_inverse(n, f"y_{column(n)}") for n in A.ITERATED})
+    return d.select("event_id", *((F.abs(A.squash(n, f"i_{column(n)}") - F.col(f"y_{column(n)}")) < 1e-6).alias(column(n)) for n in A.ITERATED))
+
+
+@query(f"SELECT event_id, {', '.join(f'{n6(A.safe_sql(a.name, chr(120), chr(101), chr(119)))} AS {column(a.name)}' for a in A.ACTIVATIONS)} FROM (SELECT event_id, x * 4e0 AS x, e, w FROM {EVENTS})")
+def safe_zone(spark, sf):
+    d = events(spark, sf).withColumn("x", F.col("x") * 4)
+    return d.select("event_id", *(r6(A.safe_zone(a.name, "x", "e", "w")).alias(column(a.name)) for a in A.ACTIVATIONS))
+
+
+def errors_of(name: str) -> str:
+    return A.error_sql(name, "a", "t", "x")
+
+
+ERRORS = [a.name for a in A.ACTIVATIONS if a.inverse or a.error in ("always", "none")]
+
+
+@query(f"SELECT event_id, {', '.join(f'{n6(errors_of(n))} AS {column(n)}' for n in ERRORS)} FROM (SELECT event_id, x, tanh(x) AS a, e AS t FROM {EVENTS})")
+def value_error(spark, sf):
+    d = events(spark, sf).select("event_id", "x", F.tanh("x").alias("a"), F.col("e").alias("t"))
+    return d.select("event_id", *(r6(F.expr(errors_of(n))).alias(column(n)) for n in ERRORS))
+
+
+BOUNDS = ", ".join(f"({k}, '{a.name}', CAST({a.low} AS DOUBLE), CAST({a.high} AS DOUBLE))" for k, a in enumerate(A.ACTIVATIONS))
+
+
+@query(f"SELECT CAST(code AS BIGINT) AS code, name, low > -1e30 AS has_low, high < 1e30 AS has_high, count(*) AS n FROM {EV} JOIN (VALUES {BOUNDS}) AS r(c, name, low, high) ON c = code GROUP BY ALL")
+def range_lookup(spark, sf):
+    dim = F.broadcast(A.dimension(spark))  # one row per activation
+    d = events(spark, sf).join(dim.withColumnRenamed("code", "c"), F.col("c") == F.col("code"))
+    return d.groupBy("code", "name", (F.col("low") > -1e30).alias("has_low"), (F.col("high") < 1e30).alias("has_high")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"SELECT event_id, {', '.join(f'x >= {A.ACTIVATIONS[A.CODES[n]].low} AND x <= {A.ACTIVATIONS[A.CODES[n]].high} AS {column(n)}' for n in ('LOGISTIC', 'TANH', 'ReLU6', 'ArcTan', 'SOFTSIGN', 'GELU'))} FROM {EV}")
+def range_validate(spark, sf):
+    return events(spark, sf).select("event_id", *(A.validate(n).alias(column(n)) for n in ("LOGISTIC", "TANH", "ReLU6", "ArcTan", "SOFTSIGN", "GELU")))
+
+
+@query(f"SELECT event_id, CAST(code AS BIGINT) AS code, {n6('least(greatest(x, low), high)')} AS y FROM {EV} JOIN (VALUES {BOUNDS}) AS r(c, name, low, high) ON c = code")
+def range_limit(spark, sf):
+    return events(spark, sf).select("event_id", "code", r6(F.expr(A.by_code("code", lambda n: A.limit_sql(n, "x")))).alias("y"))
+
+
+# ---- networks over the embeddings: 64 inputs, 3 hidden TANH neurons, 1 IDENTITY output
+
+NET = network.Network(
+    64, 1, [network.Neuron(0.1 * k, "TANH") for k in range(3)] + [network.Neuron(-0.2)],
+    [(i, 64 + k, ((i * 7 + k * 5) % 11 - 5) / 10, 0) for k in range(3) for i in range(64)] + [(64 + k, 67, 0.5 - 0.25 * k, 0) for k in range(3)],
+)
+HIDDEN = "SELECT vec_id, label, k, tanh(0.1::DOUBLE * k + list_sum([embedding[i + 1]::DOUBLE * ((i * 7 + k * 5) % 11 - 5) / 10 FOR i IN range(0, 64)])) AS v FROM embeddings, (SELECT unnest(range(0, 3)) AS k)"
+SCORED = f"SELECT vec_id, label, -0.2::DOUBLE + sum(v * (0.5 - 0.25 * k)) AS y FROM ({HIDDEN}) GROUP BY 1, 2"
+FORWARD = f"SELECT vec_id, {n6('y')} AS y FROM ({SCORED})"
+
+
+@query(FORWARD)
+def net_forward_relational(spark, sf):
+    return forward.relational(NET, table(spark, sf, "embeddings"), "vec_id", "embedding").select("vec_id", r6("value").alias("y"))
+
+
+@query(FORWARD)
+def net_forward_arrays(spark, sf):
+    return table(spark, sf, "embeddings").select("vec_id", r6(forward.arrays(NET, F.col("embedding"))[0]).alias("y"))
+
+
+def scored(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("embedding"))
+    return forward.vectorised(NET, d, "embedding").drop("embedding")
+
+
+@query(FORWARD)
+def net_forward_vectorised(spark, sf):
+    return scored(spark, sf).select("vec_id", r6(F.col("outputs")[0]).alias("y"))
+
+
+#: Two targets and two outputs per record, for losses over more than one output.
+PAIR = f"SELECT label, [label / 10e0, 1e0 - label / 10e0] AS t, [y, 1e0 / (1e0 + exp(-y))] AS o FROM ({SCORED})"
+PER = {
+    "mse": "(pow(t[1]-o[1],2)+pow(t[2]-o[2],2))/2", "mae": "(abs(t[1]-o[1])+abs(t[2]-o[2]))/2",
+    "xent": "-(" + "+".join(f"t[{i}]*ln(least(greatest(o[{i}],1e-15),1-1e-15))+(1-t[{i}])*ln(1-least(greatest(o[{i}],1e-15),1-1e-15))" for i in (1, 2)) + ")/2",
+    "mape": "(" + "+".join(f"abs((o[{i}]-greatest(t[{i}],1e-15))/greatest(t[{i}],1e-15))" for i in (1, 2)) + ")/2",
+    "logdiff": "+".join(f"(ln(greatest(t[{i}],1e-15))-ln(greatest(o[{i}],1e-15)))" for i in (1, 2)),
+    "hinge": "+".join(f"greatest(0,1-t[{i}]*o[{i}])" for i in (1, 2)),
+    "categorical": "CASE WHEN (t[2]>t[1])<>(o[2]>o[1]) THEN 1 ELSE 0 END",
+}
+
+
+def pairs(spark: SparkSession, sf: str) -> DataFrame:
+    y, t = F.col("outputs")[0], F.col("label") / 10.0
+    return scored(spark, sf).select("label", F.array(t, 1 - t).alias("t"), F.array(y, 1 / (1 + F.exp(-y))).alias("o"))
+
+
+for _name, _loss in losses.LOSSES.items():
+    _e = PER[_name]
+    _value = n6(f"sum({_e})") if _name != "mape" else n6(f"ln(sum({_e}))")
+    query(f"SELECT label, {_value} AS loss, count(*) AS n FROM ({PAIR}) GROUP BY label", f"loss_{_name}")(
+        lambda spark, sf, f=_loss, log=_name == "mape": pairs(spark, sf).groupBy("label").agg(r6(F.ln(F.sum(f(F.col("t"), F.col("o")))) if log else F.sum(f(F.col("t"), F.col("o")))).alias("loss"), F.count(F.lit(1)).alias("n"))
+    )
+
+
+@query(f"SELECT {n6('avg(' + PER['mse'] + ')')} AS loss FROM ({PAIR})")
+def loss_mse_mean(spark, sf):
+    return pairs(spark, sf).agg(r6(F.avg(losses.mse(F.col("t"), F.col("o")))).alias("loss"))
+
+
+# ---- aggregate neurons: orders are neurons, their lineitems are links
+
+LINKS = "(SELECT l_orderkey AS neuron, l_linenumber AS ord, l_discount AS a, (l_quantity - 25e0) / 10e0 AS w, l_linenumber % 4 AS role, (l_orderkey % 7) / 10e0 AS bias, (l_discount - 5e-2) * (l_quantity - 25e0) / 10e0 AS v FROM lineitem)"
+
+
+def links(spark: SparkSession, sf: str) -> DataFrame:
+    l = table(spark, sf, "lineitem")
+    w, a = (F.col("l_quantity") - 25.0) / 10.0, F.col("l_discount")
+    return l.select(F.col("l_orderkey").alias("neuron"), F.col("l_linenumber").alias("ord"), a.alias("a"), w.alias("w"), (F.col("l_linenumber") % 4).alias("role"), ((F.col("l_orderkey") % 7) / 10.0).alias("bias"), ((a - 0.05) * (F.col("l_quantity") - 25.0) / 10.0).alias("v"))
+
+
+NODE = {
+    "min": ("MINIMUM", "min(v) + any_value(bias)"), "max": ("MAXIMUM", "max(v) + any_value(bias)"), "hypot": ("HYPOT", "sqrt(sum(v * v)) + any_value(bias)"),
+    "hypot2": ("HYPOTv2", "sqrt(sum(pow(bias + v, 2)))"), "mean": ("MEAN", "avg(v) + any_value(bias)"),
+    "if": ("IF", "(CASE WHEN coalesce(sum(v) FILTER (role = 1), 0) > 0 THEN coalesce(sum(v) FILTER (role IN (0, 3)), 0) ELSE coalesce(sum(v) FILTER (role = 2), 0) END) + any_value(bias)"),
+    "standard": ("TANH", "tanh(sum(v) + any_value(bias))"),
+}
+for _name, (_squash, _sql) in NODE.items():
+    query(f"SELECT neuron, {n6(_sql)} AS value FROM {LINKS} GROUP BY neuron", f"neuron_{_name}")(
+        lambda spark, sf, k=A.CODES[_squash]: forward.aggregate_nodes(links(spark, sf).withColumn("code", F.lit(k)), ["neuron"]).select("neuron", r6("value").alias("value"))
+    )
+
+
+@query(f"SELECT neuron, arg_min(ord, (v, ord)) AS low, arg_min(ord, (-v, ord)) AS high FROM {LINKS} GROUP BY neuron")
+def trace_winner(spark, sf):
+    return forward.trace_winners(links(spark, sf), ["neuron"])
+
+
+# ---- accumulators
+
+ITEMS = "(SELECT l_partkey % 50 AS synapse, l_discount - 5e-2 AS act, l_tax * 10e0 - 4e-1 AS target, 5e-1 AS weight FROM lineitem)"
+
+
+def items(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "lineitem").select((F.col("l_partkey") % 50).alias("synapse"), (F.col("l_discount") - 0.05).alias("act"), (F.col("l_tax") * 10.0 - 0.4).alias("target"), F.lit(0.5).alias("weight"))
+
+
+ACC = f"""SELECT synapse, count(*)::DOUBLE AS count, sum(CASE WHEN act > 1e-7 THEN act ELSE 0 END) AS pos_act, sum(CASE WHEN act < -1e-7 THEN -act ELSE 0 END) AS neg_act,
+ sum(CASE WHEN act > 1e-7 THEN 1 ELSE 0 END)::DOUBLE AS count_pos, sum(CASE WHEN act < -1e-7 THEN 1 ELSE 0 END)::DOUBLE AS count_neg,
+ sum(CASE WHEN act > 1e-7 THEN v ELSE 0 END) AS pos_adj, sum(CASE WHEN act < -1e-7 THEN v ELSE 0 END) AS neg_adj
+ FROM (SELECT *, CASE WHEN abs(target) > 1e-7 THEN target ELSE 1e-7 * sign(target) END AS v FROM {ITEMS}) GROUP BY synapse"""
+
+
+def weight_sums(spark: SparkSession, sf: str) -> DataFrame:
+    d = items(spark, sf)
+    return accumulate.summed(d.select("synapse", *accumulate.weight_deltas("weight", "target", "act", 1e-7)), ["synapse"], accumulate.WEIGHT_SUMS)
+
+
+def bias_sums(spark: SparkSession, sf: str) -> DataFrame:
+    d = items(spark, sf)
+    return accumulate.summed(d.select("synapse", *accumulate.bias_deltas("target", "act", "weight")), ["synapse"], accumulate.BIAS_SUMS)
+
+
+@query(f"SELECT synapse, {', '.join(f'{n6(c)} AS {c}' for c in accumulate.WEIGHT_SUMS)} FROM ({ACC})")
+def synapse_accumulate(spark, sf):
+    return weight_sums(spark, sf).select("synapse", *(r6(c).alias(c) for c in accumulate.WEIGHT_SUMS))
+
+
+BIAS_ACC = f"SELECT synapse, count(*)::DOUBLE AS count, sum(weight + (target - act)) AS total FROM {ITEMS} GROUP BY synapse"
+
+
+@query(f"SELECT synapse, {n6('count')} AS count, {n6('total')} AS total_bias, {n6('total')} AS total_adjusted FROM ({BIAS_ACC})")
+def bias_accumulate(spark, sf):
+    return bias_sums(spark, sf).select("synapse", *(r6(c).alias(c) for c in accumulate.BIAS_SUMS))
+
+
+LIMITS = accumulate.Limits(step=0.05, scale=0.6, l1=0.01, l2=0.02)
+DECAY = "CASE WHEN abs(m * (1 - 0.1 * 0.02)) <= 0.1 * 0.01 THEN 0 ELSE m * (1 - 0.1 * 0.02) - 0.1 * 0.01 * sign(m) END"
+
+
+@query(f"""
+WITH a AS ({ACC}), b AS (SELECT *, count_pos + count_neg AS n, least(10 + count - (count_pos + count_neg), 2 * (count_pos + count_neg)) AS g FROM a),
+c AS (SELECT synapse, ((CASE WHEN pos_act > 1e-7 THEN pos_adj / pos_act ELSE 0 END) * count_pos + (CASE WHEN neg_act > 1e-7 THEN -neg_adj / neg_act ELSE 0 END) * count_neg + 0.5 * g) / (n + g) AS t FROM b),
+d AS (SELECT synapse, CASE WHEN abs(t) < 1e-7 THEN 0 WHEN abs(t - 0.5) < 1e-7 THEN 0.5 ELSE least(greatest(0.5 + least(greatest(0.1 * (t - 0.5), -0.05), 0.05), -0.6), 0.6) END AS m FROM c)
+SELECT synapse, {n6(DECAY)} AS weight FROM d""")
+def weight_finalise(spark, sf):
+    return weight_sums(spark, sf).select("synapse", r6(accumulate.final_weight(F.lit(0.5), LIMITS)).alias("weight"))
+
+
+@query(f"""
+WITH a AS ({BIAS_ACC}), c AS (SELECT synapse, (total + 0.5 * least(10, 2 * count)) / (count + least(10, 2 * count)) AS t FROM a),
+d AS (SELECT synapse, CASE WHEN abs(t) < 1e-7 THEN 0 WHEN abs(t - 0.5) < 1e-9 THEN 0.5 ELSE least(greatest(0.5 + least(greatest(0.1 * (t - 0.5), -0.05), 0.05), -0.6), 0.6) END AS m FROM c)
+SELECT synapse, {n6(DECAY)} AS bias FROM d""")
+def bias_finalise(spark, sf):
+    return bias_sums(spark, sf).select("synapse", r6(accumulate.final_bias(F.lit(0.5), LIMITS)).alias("bias"))
+
+
+STATS = "SELECT k, abs(v) AS v FROM (SELECT l_suppkey AS k, l_discount - 5e-2 AS v FROM lineitem UNION ALL SELECT l_suppkey, l_tax - 3e-2 FROM lineitem{extra}){where}"
+STAT_SQL = f"SELECT k, {n6('sum(v)')} AS total, count(*) AS count, {n6('max(v)')} AS largest, {n6('coalesce(list_reverse_sort(list(v))[2], 0)')} AS second FROM (SELECT k, v FROM ({{rows}})) GROUP BY k"
+
+
+def magnitudes(spark: SparkSession, sf: str) -> DataFrame:
+    l = table(spark, sf, "lineitem")
+    return l.select(F.col("l_suppkey").alias("k"), "l_linenumber", F.explode(F.array(F.col("l_discount") - 0.05, F.col("l_tax") - 0.03)).alias("v"))
+
+
+def stat_columns(d: DataFrame) -> DataFrame:
+    return d.select("k", r6("total").alias("total"), "count", r6("largest").alias("largest"), r6("second").alias("second"))
+
+
+@query(STAT_SQL.format(rows=STATS.format(extra="", where="")))
+def weight_stats(spark, sf):
+    return stat_columns(accumulate.magnitude_stats(magnitudes(spark, sf), ["k"], "v"))
+
+
+@query(STAT_SQL.format(rows="SELECT k, abs(v) AS v FROM (SELECT l_suppkey AS k, l_discount - 5e-2 AS v FROM lineitem WHERE l_linenumber <> 1 UNION ALL SELECT l_suppkey, l_tax - 3e-2 FROM lineitem WHERE l_linenumber <> 1 UNION ALL SELECT DISTINCT l_suppkey, -4.5e-2 FROM lineitem)"))
+def weight_stats_replace(spark, sf):
+    """The same without the values of the first lines and with one new value per key."""
+    kept = magnitudes(spark, sf).filter("l_linenumber <> 1").select("k", "v")
+    new = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("k")).distinct().withColumn("v", F.lit(-0.045))
+    return stat_columns(accumulate.magnitude_stats(kept.unionByName(new), ["k"], "v"))
+
+
+# ---- error distribution
+
+SPLIT = """SELECT neuron, ord, {share} AS share FROM (SELECT *, sum(s) OVER w AS ds, sum(hv) OVER w AS dh, count(*) OVER w AS n FROM (SELECT neuron, ord, err, {score} AS s, w * w AS hv FROM {links}) WINDOW w AS (PARTITION BY neuron))"""
+SHARE = n6("err * (CASE WHEN ds > 1e-12 THEN s / ds WHEN dh > 1e-12 THEN hv / dh ELSE 1e0 / n END)")
+
+
+def split_links(spark: SparkSession, sf: str) -> DataFrame:
+    return links(spark, sf).select("neuron", "ord", F.col("a").alias("activation"), F.col("w").alias("weight"), F.when(F.col("ord") % 3 == 0, 0.25).otherwise(1.0).alias("safe"), ((F.col("neuron") % 11 - 5) / 2.0).alias("error"))
+
+
+@query(SPLIT.format(share=SHARE, score="a * a * (CASE WHEN ord % 3 = 0 THEN 0.25 ELSE 1 END)", links=f"(SELECT *, (neuron % 11 - 5) / 2e0 AS err FROM {LINKS})"))
+def elastic_split(spark, sf):
+    return distribution.elastic_split(split_links(spark, sf), "neuron").select("neuron", "ord", r6("share").alias("share"))
+
+
+@query(SPLIT.format(share=f"CASE WHEN err = 0 THEN 0e0 ELSE {SHARE} END", score="a * a * " + A.safe_sql("TANH", "x", "(err / m)", "w"), links=f"(SELECT *, (neuron % 11 - 5) / 2e0 AS err, (neuron % 9 - 4) * 1e0 AS x, count(*) OVER (PARTITION BY neuron) AS m FROM {LINKS})"))
+def fused_split(spark, sf):
+    d = split_links(spark, sf).drop("safe", "error").withColumn("x", (F.col("neuron") % 9 - 4) * 1.0)
+    out = distribution.fused_split(d, "neuron", (F.col("neuron") % 11 - 5) / 2.0, A.safe_zone("TANH", "x", "per_link", "weight"))
+    return out.select("neuron", "ord", r6("share").alias("share"))
+
+
+# ---- topologies: 1 % of suppliers' keys number the graphs, lines are edges among 12 nodes, 3 of them inputs
+
+EDGES = "(SELECT l_orderkey % 500 AS topology_id, row_number() OVER (PARTITION BY l_orderkey % 500 ORDER BY l_orderkey, l_linenumber) - 1 AS pos, l_partkey % 12 AS from_idx, l_suppkey % 12 AS to_idx, l_linenumber % 4 AS role FROM lineitem WHERE l_orderkey < {limit})"
+FEW, MANY = EDGES.format(limit=3000), EDGES.format(limit=2000000000)
+
+
+def edges(spark: SparkSession, sf: str, limit: int = 2_000_000_000) -> DataFrame:
+    from pyspark.sql import Window as W
+
+    l = table(spark, sf, "lineitem").filter(F.col("l_orderkey") < limit)
+    t = F.col("l_orderkey") % 500
+    pos = F.row_number().over(W.partitionBy(t).orderBy("l_orderkey", "l_linenumber")) - 1
+    return l.select(t.alias("topology_id"), pos.alias("pos"), (F.col("l_partkey") % 12).alias("from_idx"), (F.col("l_suppkey") % 12).alias("to_idx"), (F.col("l_linenumber") % 4).alias("role"))
+
+
+def shapes(e: DataFrame, n: int = 12, ni: int = 3, no: int = 2) -> DataFrame:
+    return e.select("topology_id").distinct().select("topology_id", F.lit(n).alias("n"), F.lit(ni).alias("ni"), F.lit(no).alias("no"))
+
+
+def nodes(s: DataFrame) -> DataFrame:
+    d = s.select("topology_id", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("idx"))
+    squash = F.when(F.col("idx") % 5 == 4, "IF").otherwise("TANH")
+    return d.select("topology_id", "idx", (F.col("idx") == 5).alias("constant"), squash.alias("squash"), (F.col("idx") / 10.0).alias("bias"))
+
+
+VALIDATE = """
+SELECT topology_id, CAST(coalesce(arg_min(code, pos) FILTER (code > 0), 0) AS BIGINT) AS code, CAST(coalesce(min(pos) FILTER (code > 0), 0) AS BIGINT) AS pos FROM (
+SELECT topology_id, pos, CASE WHEN from_idx = to_idx THEN 1 WHEN from_idx > to_idx THEN 2 WHEN from_idx < pf THEN 3 WHEN from_idx = pf AND to_idx < pt THEN 4 WHEN from_idx = pf AND to_idx = pt THEN 5 ELSE 0 END AS code
+FROM (SELECT *, lag(from_idx) OVER w AS pf, lag(to_idx) OVER w AS pt FROM {e} WINDOW w AS (PARTITION BY topology_id ORDER BY pos))) GROUP BY topology_id"""
+
+
+def coded(d: DataFrame, at: str) -> DataFrame:
+    return d.select("topology_id", F.col("code").cast("long").alias("code"), F.col(at).cast("long").alias(at))
+
+
+@query(VALIDATE.format(e=FEW))
+def topo_validate(spark, sf):
+    return coded(topology.validate_order(edges(spark, sf, 3000)), "pos")
+
+
+SORTED = "(SELECT topology_id, row_number() OVER (PARTITION BY topology_id ORDER BY from_idx, to_idx, pos) - 1 AS pos, from_idx, to_idx FROM {e} WHERE from_idx < to_idx)"
+
+
+@query(VALIDATE.format(e=SORTED.format(e=MANY)))
+def topo_validate_batch(spark, sf):
+    """Edges in order, so that only repeated ones are at fault."""
+    from pyspark.sql import Window as W
+
+    e = edges(spark, sf).filter("from_idx < to_idx")
+    e = e.withColumn("pos", F.row_number().over(W.partitionBy("topology_id").orderBy("from_idx", "to_idx", "pos")) - 1)
+    return coded(topology.validate_order(e), "pos")
+
+
+@query(f"""
+WITH e AS (SELECT * FROM {FEW}), t AS (SELECT DISTINCT topology_id FROM e), i AS (SELECT unnest(range(0, 12)) AS k)
+SELECT topology_id, a.k AS from_idx, b.k AS to_idx FROM t, i a, i b WHERE a.k < b.k AND b.k >= 3 AND b.k <> 5
+AND NOT EXISTS (SELECT 1 FROM e WHERE e.topology_id = t.topology_id AND e.from_idx = a.k AND e.to_idx = b.k)""")
+def topo_free_slots(spark, sf):
+    e = edges(spark, sf, 3000)
+    s = shapes(e)
+    out = topology.free_slots(nodes(s), s, e)
+    return out.select("topology_id", F.col("from_idx").cast("long").alias("from_idx"), F.col("to_idx").cast("long").alias("to_idx"))
+
+
+UP = "(SELECT * FROM {e} WHERE to_idx >= 3 AND to_idx <> 5)"
+
+
+@query(f"""
+WITH e AS (SELECT * FROM {UP.format(e=MANY)} WHERE topology_id % 3 > 0 UNION ALL SELECT * FROM {MANY} WHERE topology_id % 3 = 0), t AS (SELECT DISTINCT topology_id FROM e),
+n AS (SELECT topology_id, k AS idx FROM t, (SELECT unnest(range(3, 12)) AS k)),
+f AS (SELECT topology_id, to_idx AS idx, count(*) AS fed, bool_or(role = 1) AS c, bool_or(role IN (0, 3)) AS p, bool_or(role = 2) AS g FROM e GROUP BY 1, 2),
+u AS (SELECT topology_id, from_idx AS idx, count(*) AS used FROM e GROUP BY 1, 2),
+x AS (SELECT topology_id, idx, CASE WHEN idx = 5 THEN (CASE WHEN coalesce(fed, 0) > 0 THEN 2 END) WHEN idx < 10 AND coalesce(fed, 0) = 0 THEN 3 WHEN idx < 10 AND coalesce(used, 0) = 0 THEN 4
+ WHEN idx % 5 = 4 AND coalesce(fed, 0) < 3 THEN 6 WHEN idx % 5 = 4 AND NOT c THEN 7 WHEN idx % 5 = 4 AND NOT p THEN 8 WHEN idx % 5 = 4 AND NOT g THEN 9 END AS code FROM n LEFT JOIN f USING (topology_id, idx) LEFT JOIN u USING (topology_id, idx)),
+b AS (SELECT topology_id, arg_min(code, idx) AS code, min(idx) AS idx FROM x WHERE code IS NOT NULL GROUP BY 1),
+i AS (SELECT topology_id, arg_min(to_idx, pos) AS idx FROM e WHERE to_idx < 3 GROUP BY 1)
+SELECT topology_id, CAST(CASE WHEN i.idx IS NOT NULL THEN 1 ELSE coalesce(b.code, 0) END AS BIGINT) AS code, CAST(coalesce(i.idx, b.idx, 0) AS BIGINT) AS idx FROM t LEFT JOIN i USING (topology_id) LEFT JOIN b USING (topology_id)""")
+def topo_structure(spark, sf):
+    every = edges(spark, sf)
+    e = every.filter("topology_id % 3 = 0 OR (to_idx >= 3 AND to_idx <> 5)")
+    s = shapes(e)
+    return coded(topology.validate_structure(nodes(s), e, s), "idx")
+
+
+@query(f"""
+WITH RECURSIVE e AS (SELECT DISTINCT topology_id, from_idx, to_idx FROM {FEW} WHERE from_idx >= 3 AND to_idx >= 3),
+r(topology_id, a, b) AS (SELECT topology_id, from_idx, to_idx FROM e UNION SELECT r.topology_id, r.a, e.to_idx FROM r JOIN e ON e.topology_id = r.topology_id AND e.from_idx = r.b)
+SELECT topology_id, CAST(max(CASE WHEN a = b THEN 1 ELSE 0 END) AS BIGINT) AS cyclic FROM (SELECT DISTINCT topology_id FROM {FEW}) LEFT JOIN r USING (topology_id) GROUP BY topology_id""")
+def topo_cycles(spark, sf):
+    e = edges(spark, sf, 3000)
+    return topology.cycles(e, shapes(e)).select("topology_id", F.col("cyclic").cast("long").alias("cyclic"))
+
+
+@query(f"SELECT topology_id, true AS complete, true AS ordered FROM (SELECT DISTINCT topology_id FROM {FEW} WHERE from_idx < to_idx)")
+def topo_reverse_order(spark, sf):
+    """Whether every neuron is placed, and no acyclic edge's target after its source."""
+    e = edges(spark, sf, 3000).filter("from_idx < to_idx")
+    o = topology.reverse_order(e, shapes(e))
+    p = o.select("topology_id", F.col("idx").alias("from_idx"), F.col("place").alias("pf")).join(e, ["topology_id", "from_idx"]).join(o.select("topology_id", F.col("idx").alias("to_idx"), F.col("place").alias("pt")), ["topology_id", "to_idx"])
+    good = p.groupBy("topology_id").agg(F.min(F.col("pt") < F.col("pf")).alias("ordered"))
+    n = o.groupBy("topology_id").agg((F.countDistinct("idx") == 9).alias("complete"))
+    return n.join(good, "topology_id", "left").select("topology_id", "complete", F.coalesce("ordered", F.lit(True)).alias("ordered"))
+
+
+# ---- documents, records, training
+
+DOCUMENT = '{"input": 2, "output": 1, "neurons": [{"type": "hidden", "uuid": "h", "bias": 0.25, "squash": "TANH"}, {"type": "output", "uuid": "o", "bias": -0.5}], "synapses": [{"fromUUID": "input-0", "toUUID": "h", "weight": 1.5}, {"fromUUID": "input-1", "toUUID": "h", "weight": -0.5, "type": "negative"}, {"fromUUID": "h", "toUUID": "o", "weight": 2.0}, {"fromUUID": "h", "toUUID": "nobody", "weight": 9.0}], "extra": 1}'
+
+
+def documents_of(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "nation").select(F.col("n_nationkey").alias("net_id"), F.from_json(F.lit(DOCUMENT), network.DOCUMENT, {"mode": "FAILFAST"}).alias("doc"))
+
+
+@query("SELECT n_nationkey AS net_id, o AS ord, f AS from_idx, t AS to_idx, w::DOUBLE AS weight, r AS role FROM nation, (VALUES (0, 0, 2, 1.5, 0), (1, 1, 2, -0.5, 2), (2, 2, 3, 2.0, 0)) v(o, f, t, w, r)")
+def graph_compile(spark, sf):
+    return network.bind_tables(documents_of(spark, sf))[1]
+
+
+@query("SELECT n_nationkey AS net_id, true AS same FROM nation")
+def graph_json_roundtrip(spark, sf):
+    d = documents_of(spark, sf)
+    text = network.document_json(d)
+    back = text.withColumn("again", F.from_json("json", network.DOCUMENT)).select("net_id", F.to_json("again").alias("again"), "json")
+    return back.select("net_id", (F.col("again") == F.col("json")).alias("same"))
+
+
+@query("SELECT * FROM (VALUES (0, 0, 'digraph {'), (0, 1, '  rankdir=LR;'), (1, 0, '  n0 [label=\"0 input\"];'), (1, 1, '  n1 [label=\"1 input\"];'), (1, 2, '  n2 [label=\"2 hidden TANH 0.250000\"];'), (1, 3, '  n3 [label=\"3 output IDENTITY -0.500000\"];'), (2, 0, '  n0 -> n2 [label=\"1.500000\"];'), (2, 1, '  n1 -> n2 [label=\"-0.500000\"];'), (2, 2, '  n2 -> n3 [label=\"2.000000\"];'), (3, 0, '}')) v(part, place, line)")
+def export_dot(spark, sf):
+    net = network.bind(network.parse_document(DOCUMENT))
+    return export.dot_lines(*net.tables(spark), net.inputs)
+
+
+@query("SELECT 2::BIGINT AS nodes, 3::BIGINT AS edges")
+def export_json(spark, sf):
+    net = network.bind(network.parse_document(DOCUMENT))
+    text = export.topology_json(*net.tables(spark), net.inputs, net.outputs)
+    kind = "nodes ARRAY<STRUCT<idx: INT>>, edges ARRAY<STRUCT<ord: INT>>"
+    return text.select(F.from_json("json", kind).alias("d")).select(F.size("d.nodes").cast("long").alias("nodes"), F.size("d.edges").cast("long").alias("edges"))
+
+
+def shard_folder(spark: SparkSession, sf: str) -> str:
+    path = shared_path(spark, "shards")
+    d = table(spark, sf, "embeddings").select((F.col("vec_id") % 4).alias("shard"), F.col("vec_id").alias("row"), F.col("embedding").alias("i"), F.array(F.col("label").cast("float")).alias("o"))
+    records.write(d, path, "i", "o", "shard")
+    return path
+
+
+@query(f"SELECT label::DOUBLE AS label, count(*) AS n, {n6('sum(list_sum([x::DOUBLE FOR x IN embedding]))')} AS total FROM embeddings GROUP BY label")
+def bin_scan(spark, sf):
+    d = records.read(spark, shard_folder(spark, sf), 64, 1)
+    total = F.aggregate("inputs", F.lit(0.0), lambda a, x: a + x.cast("double"))
+    return d.groupBy(F.col("outputs")[0].cast("double").alias("label")).agg(F.count(F.lit(1)).alias("n"), r6(F.sum(total)).alias("total"))
+
+
+@query("SELECT count(*) AS records FROM embeddings")
+def bin_count(spark, sf):
+    return records.count(spark, shard_folder(spark, sf), 64, 1)
+
+
+@query("SELECT label::DOUBLE AS label, count(*) AS n FROM embeddings GROUP BY label")
+def bin_stream(spark, sf):
+    stream = records.read_stream(spark, shard_folder(spark, sf), 64, 1)
+    counts = stream.groupBy(F.col("outputs")[0].cast("double").alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    return accumulators.drain(counts, f"bin_stream_{abs(hash(sf)) % 10**9}_{id(counts)}")
+
+
+@query(ORACLES["synapse_accumulate"])
+def stream_accumulate(spark, sf):
+    """The accumulators of synapse_accumulate from a stream of the same rows."""
+    source = table(spark, sf, "lineitem")
+    path = shared_path(spark, "stream")
+    items(spark, sf).repartition(4).write.parquet(path)
+    stream = spark.readStream.schema(items(spark, sf).schema).option("maxFilesPerTrigger", 2).parquet(path)
+    sums = accumulators.running_sums(stream.select("synapse", *accumulate.weight_deltas("weight", "target", "act", 1e-7)), ["synapse"], list(accumulate.WEIGHT_SUMS))
+    out = accumulators.drain(sums, f"stream_accumulate_{id(source)}")
+    return out.select("synapse", *(r6(c).alias(c) for c in accumulate.WEIGHT_SUMS))
+
+
+SMALL = network.Network(2, 1, [network.Neuron(0.1, "TANH"), network.Neuron(0.0)], [(0, 2, 0.5, 0), (1, 2, 0.3, 0), (2, 3, 1.0, 0)])
+
+
+def labelled(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "embeddings").select("vec_id", F.slice(F.col("embedding").cast("array<double>"), 1, 2).alias("x"), F.array(F.col("label") / 10.0).alias("t"))
+
+
+@query()
+def backprop_step(spark, sf):
+    out = backprop.backward(SMALL, labelled(spark, sf), "x", "t")
+    return out.select("kind", "id", *(r6(c).alias(c) for c in accumulate.WEIGHT_SUMS))
+
+
+@query()
+def pc_settle(spark, sf):
+    out = predictive.infer(SMALL, labelled(spark, sf), "vec_id", "x", "t")
+    return out.select("vec_id", r6("energy").alias("energy"), "steps", "converged")
+
+
+@query(f"SELECT event_id, {n6('0.01 * (1 - pow(tanh(x), 2)) * e')} AS bias_delta, {n6('0.01 * (1 - pow(tanh(x), 2)) * e * h')} AS weight_delta FROM {EV}")
+def pc_gradients(spark, sf):
+    d = events(spark, sf).select("event_id", F.lit("TANH").alias("squash"), F.col("x").alias("pre"), F.col("e").alias("error"), F.col("h").alias("source"))
+    return predictive.gradients(d, 0.01).select("event_id", r6("bias_delta").alias("bias_delta"), r6("weight_delta").alias("weight_delta"))
+
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)

@@ -1,0 +1,18 @@
+"""Accumulators over streams: the same sums as in batch, kept by the streaming engine's state."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def running_sums(items: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
+    """Sums per key; a key that includes an epoch resets with it."""
+    return items.groupBy(*keys).agg(*(F.sum(n).alias(n) for n in names))
+
+
+def drain(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
+    """Runs what is available now into a memory table of result rows and returns it."""
+    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return stream.sparkSession.table(name)
