@@ -357,24 +357,24 @@ SHARE = n6("err * (CASE WHEN ds > 1e-12 THEN s / ds WHEN dh > 1e-12 THEN hv / dh
 
 
 def split_links(spark: SparkSession, sf: str) -> DataFrame:
-    return links(spark, sf).select("neuron", "ord", F.col("a").alias("activation"), F.col("w").alias("weight"), F.when(F.col("ord") % 3 == 0, 0.25).otherwise(1.0).alias("safe"), ((F.col("neuron") % 11 - 5) / 2.0).alias("error"))
+    return links(spark, sf).select("neuron", "ord", F.col("a").alias("activation"), F.col("w").alias("weight"), F.when(F.col("ord") % 3 == 0, 0.25).otherwise(1.0).alias("safe"), ((F.col("neuron") % 11 - 5) * 0.3719071331).alias("error"))
 
 
-@query(SPLIT.format(share=SHARE, score="a * a * (CASE WHEN ord % 3 = 0 THEN 0.25 ELSE 1 END)", links=f"(SELECT *, (neuron % 11 - 5) / 2e0 AS err FROM {LINKS})"))
+@query(SPLIT.format(share=SHARE, score="a * a * (CASE WHEN ord % 3 = 0 THEN 0.25 ELSE 1 END)", links=f"(SELECT *, (neuron % 11 - 5) * 3.719071331e-1 AS err FROM {LINKS})"))
 def elastic_split(spark, sf):
     return distribution.elastic_split(split_links(spark, sf), "neuron").select("neuron", "ord", r6("share").alias("share"))
 
 
-@query(SPLIT.format(share=f"CASE WHEN err = 0 THEN 0e0 ELSE {SHARE} END", score="a * a * " + A.safe_sql("TANH", "x", "(err / m)", "w"), links=f"(SELECT *, (neuron % 11 - 5) / 2e0 AS err, (neuron % 9 - 4) * 1e0 AS x, count(*) OVER (PARTITION BY neuron) AS m FROM {LINKS})"))
+@query(SPLIT.format(share=f"CASE WHEN err = 0 THEN 0e0 ELSE {SHARE} END", score="a * a * " + A.safe_sql("TANH", "x", "(err / m)", "w"), links=f"(SELECT *, (neuron % 11 - 5) * 3.719071331e-1 AS err, (neuron % 9 - 4) * 1e0 AS x, count(*) OVER (PARTITION BY neuron) AS m FROM {LINKS})"))
 def fused_split(spark, sf):
     d = split_links(spark, sf).drop("safe", "error").withColumn("x", (F.col("neuron") % 9 - 4) * 1.0)
-    out = distribution.fused_split(d, "neuron", (F.col("neuron") % 11 - 5) / 2.0, A.safe_zone("TANH", "x", "per_link", "weight"))
+    out = distribution.fused_split(d, "neuron", (F.col("neuron") % 11 - 5) * 0.3719071331, A.safe_zone("TANH", "x", "per_link", "weight"))
     return out.select("neuron", "ord", r6("share").alias("share"))
 
 
 # ---- topologies: 1 % of suppliers' keys number the graphs, lines are edges among 12 nodes, 3 of them inputs
 
-EDGES = "(SELECT l_orderkey % 500 AS topology_id, row_number() OVER (PARTITION BY l_orderkey % 500 ORDER BY l_orderkey, l_linenumber) - 1 AS pos, l_partkey % 12 AS from_idx, l_suppkey % 12 AS to_idx, l_linenumber % 4 AS role FROM lineitem WHERE l_orderkey < {limit})"
+EDGES = "(SELECT l_orderkey % 500 AS topology_id, row_number() OVER (PARTITION BY l_orderkey % 500 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) - 1 AS pos, l_partkey % 12 AS from_idx, l_suppkey % 12 AS to_idx, l_linenumber % 4 AS role FROM lineitem WHERE l_orderkey < {limit})"
 FEW, MANY = EDGES.format(limit=3000), EDGES.format(limit=2000000000)
 
 
@@ -383,7 +383,7 @@ def edges(spark: SparkSession, sf: str, limit: int = 2_000_000_000) -> DataFrame
 
     l = table(spark, sf, "lineitem").filter(F.col("l_orderkey") < limit)
     t = F.col("l_orderkey") % 500
-    pos = F.row_number().over(W.partitionBy(t).orderBy("l_orderkey", "l_linenumber")) - 1
+    pos = F.row_number().over(W.partitionBy(t).orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")) - 1
     return l.select(t.alias("topology_id"), pos.alias("pos"), (F.col("l_partkey") % 12).alias("from_idx"), (F.col("l_suppkey") % 12).alias("to_idx"), (F.col("l_linenumber") % 4).alias("role"))
 
 

@@ -138,7 +138,8 @@ def evaluate(net: Network, x: np.ndarray) -> np.ndarray:
 def vectorised(net: Network, records: DataFrame, inputs: str, output: str = "outputs") -> DataFrame:
     """records with an array column of outputs. Whole batches go through numpy; the graph travels with the task."""
     schema = records.withColumn(output, F.array().cast("array<double>")).schema
-    at = records.columns.index(inputs)
+    at, names = records.columns.index(inputs), [*records.columns, output]
+    width = net.outputs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -152,8 +153,8 @@ def vectorised(net: Network, records: DataFrame, inputs: str, output: str = "out
                 for r, row in enumerate(lists.to_pylist()):
                     x[r, : len(row or ())] = row or ()
             y = evaluate(net, x)[:, net.size - net.outputs :]
-            ends = pa.array(np.arange(0, y.size + 1, max(1, net.outputs), dtype=np.int32)[: len(x) + 1])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(ends, pa.array(y.ravel()))], names=[*records.columns, output])
+            ends = pa.array(np.arange(len(x) + 1, dtype=np.int32) * width)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(ends, pa.array(y.ravel()))], names=names)
 
     return records.mapInArrow(run, schema)
 
