@@ -82,8 +82,8 @@ class Network:
         return out
 
     def tables(self, spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-        neurons = [(self.inputs + k, self.kind(self.inputs + k), n.bias, n.squash, n.constant) for k, n in enumerate(self.neurons)]
-        edges = [(k, a, b, w, role) for k, (a, b, w, role) in enumerate(self.edges)]
+        neurons = [(self.inputs + k, self.kind(self.inputs + k), float(n.bias), n.squash, n.constant) for k, n in enumerate(self.neurons)]
+        edges = [(k, a, b, float(w), role) for k, (a, b, w, role) in enumerate(self.edges)]
         return spark.createDataFrame(neurons, NEURONS), spark.createDataFrame(edges, SYNAPSES)
 
 
