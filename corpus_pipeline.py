@@ -7,19 +7,27 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphnet_spark.llm import mixing, near_dedup, packing, pii, quality
 from graphnet_spark.llm.common import scratch
 
 
+def carried(docs: DataFrame, *own: str) -> DataFrame:
+    """docs with its columns under neutral names, and the named ones, which a stage works on, under their own."""
+    return docs.select(*(F.col(c).alias(f"_c{k}") for k, c in enumerate(docs.columns)), *own)
+
+
+def returned(out: DataFrame, docs: DataFrame, **new: Column) -> DataFrame:
+    """The columns of docs again, with new values for some of them."""
+    return out.select(*(new.get(c, F.col(f"_c{k}")).alias(c) for k, c in enumerate(docs.columns)))
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
     names = [f"_c{k}" for k in range(len(docs.columns))]
-    carried = docs.select(*(F.col(c).alias(n) for c, n in zip(docs.columns, names, strict=True)), "lang", "text")
-    out = quality.quality(carried, names).filter("kept")
-    return out.select(*(F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)))
+    return returned(quality.quality(carried(docs, "lang", "text"), names).filter("kept"), docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,17 +42,17 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with personal data replaced by its kind; n_chars follows the new text."""
-    found = pii.with_spans(docs)
+    out = pii.with_spans(carried(docs, "doc_id", "text"))
     text = F.when(F.size("spans") > 0, pii.redacted(F.col("text"), F.col("spans"))).otherwise(F.col("text"))
-    out = found.withColumn("text", text)
+    new = {"text": text}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(docs.columns)
+        new["n_chars"] = F.length(text).cast(docs.schema["n_chars"].dataType)
+    return returned(out, docs, **new)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: documents as often as their source's rate and their draw say."""
-    return mixing.emit(mixing.mix(docs)).select(docs.columns)
+    return returned(mixing.emit(mixing.mix(carried(docs, "doc_id", "source", "text"))), docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
