@@ -19,6 +19,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Temporary folders of applications that name no shared folder.
+OWN_FOLDERS: dict[str, str] = {}
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder name below the shared folder that the cluster names in spark.checkpoint.dir.
 
@@ -26,8 +30,8 @@ def scratch(spark: SparkSession, name: str) -> str:
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
-        base = tempfile.mkdtemp(prefix="graphnet-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        app = spark.sparkContext.applicationId
+        base = OWN_FOLDERS[app] = OWN_FOLDERS.get(app) or tempfile.mkdtemp(prefix="graphnet-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
