@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import activations as A
+from .functions import sqlapi
 from .operators import accumulate, backprop, distribution, export, forward, losses, network, predictive, topology
 from .plans.storage import shared_path
 from .sources import records
@@ -156,6 +157,13 @@ def value_error(spark, sf):
     return d.select("event_id", *(r6(F.expr(errors_of(n))).alias(column(n)) for n in ERRORS))
 
 
+@query(f"SELECT event_id, {n6('CASE code ' + ' '.join(f'WHEN {k} THEN {PLAIN[a.name]}' for k, a in enumerate(A.ACTIVATIONS)) + ' END')} AS y, {n6('CASE code ' + ' '.join(f'WHEN {k} THEN {PLAIN_SLOPE[a.name]}' for k, a in enumerate(A.ACTIVATIONS)) + ' END')} AS slope FROM {EV}")
+def sql_functions(spark, sf):
+    """Activation and derivative through the session's SQL functions."""
+    sqlapi.register(spark)
+    return events(spark, sf).select("event_id", r6(F.expr("net_squash(code, x)")).alias("y"), r6(F.expr("net_derivative(code, x)")).alias("slope"))
+
+
 BOUNDS = ", ".join(f"({k}, '{a.name}', CAST({a.low} AS DOUBLE), CAST({a.high} AS DOUBLE))" for k, a in enumerate(A.ACTIVATIONS))
 
 

@@ -7,10 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphnet_spark.functions import activations as A
-from graphnet_spark.functions import vectorized
+from graphnet_spark.functions import sqlapi, vectorized
 from graphnet_spark.operators import accumulate, backprop, distribution, forward, network, predictive, topology
 from graphnet_spark.operators.network import Network, NetworkError, Neuron
-from graphnet_spark.sources import records
+from graphnet_spark.sources import codecs, records
 
 
 def outputs(net, rows):
@@ -170,3 +170,21 @@ def test_shards(spark, tmp_path):
 
 def test_buffer_rule():
     assert records.buffer_bytes(8) == 2 << 20 and records.buffer_bytes(1 << 27) == 1 << 27
+
+
+def test_packed_networks():
+    net = Network(2, 1, [Neuron(0.25, "TANH"), Neuron(0.5, constant=True), Neuron(-1.5)], [(0, 2, 1.5, 0), (1, 2, -0.5, 2), (2, 4, 2.0, 0), (3, 4, 1.0, 0)])
+    raw = codecs.network_to_bytes(net)
+    assert codecs.network_from_bytes(raw, 1) == net
+    for cut in (4, 20, len(raw) - 1):
+        with pytest.raises(NetworkError):
+            codecs.network_from_bytes(raw[:cut], 1)
+    engine = codecs.struct.pack("<IIIIff", 1, 1, 2, 7, 0.5, 0.25) + np.array([(0.5, 0, 0, 1)], codecs.ENGINE_NEURON).tobytes() + np.array([(0, 2.0)], codecs.ENGINE_EDGE).tobytes()
+    got, settings = codecs.engine_from_bytes(engine)
+    assert got == Network(1, 1, [Neuron(0.5)], [(0, 1, 2.0, 0)]) and settings == {"steps": 7, "rate": 0.5, "threshold": 0.25}
+
+
+def test_sql_functions(spark):
+    assert "net_squash" in sqlapi.register(spark)
+    r = spark.sql("SELECT net_squash(6, 0D) a, net_limit_range(6, 2D) b, net_validate_range(6, -0.5D) c, net_unsquash(23, 0.25D, 0D) d, net_range_high(2) e, net_squash(99, 3D) f").first()
+    assert tuple(r) == (0.5, 1.0, False, 0.75, 6.0, 3.0)
