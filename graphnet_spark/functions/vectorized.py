@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 
 from .activations import ACTIVATIONS, ALIASES
@@ -51,6 +53,7 @@ FORWARD = {
 }
 
 
+@lru_cache
 def bounds(name: str) -> tuple[float, float]:
     a = ACTIVATIONS[ALIASES[name]]
     value = lambda text: float(np.prod([float(p) for p in text.split(" / ")[0].split(" * ")])) / (float(text.split(" / ")[1]) if " / " in text else 1.0)

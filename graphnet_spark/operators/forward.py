@@ -18,6 +18,8 @@ from ..functions import vectorized
 from ..functions.activations import by_code, CODES, forward_sql, limit_sql
 from .network import CONDITION, NEGATIVE, Network
 
+#: Records that are evaluated at once.
+RECORDS = 1024
 #: Kinds of neurons whose value is an aggregate other than a sum.
 AGGREGATES = ("MINIMUM", "MAXIMUM", "IF", "HYPOT", "HYPOTv2", "MEAN")
 
@@ -68,24 +70,23 @@ def relational(net: Network, records: DataFrame, key: str, inputs: str) -> DataF
 
 def arrays(net: Network, inputs: Column) -> Column:
     """Outputs as an array, one higher-order expression per level; for plain neurons whose edges come from the level before."""
-    levels, inbound, values, base = net.levels(), net.inbound(), inputs.cast("array<double>"), 0
-    for level in levels:
-        width = base, (net.inputs if base == 0 else len(previous))
-        out = []
+    inbound, values = net.inbound(), inputs.cast("array<double>")
+    before = list(range(net.inputs))
+    for level in net.levels():
+        place = {idx: k for k, idx in enumerate(before)}
+        names = {net.neurons[i - net.inputs].squash for i in level}
+        if len(names) > 1 or names & set(AGGREGATES):
+            raise ValueError("the arrays plan takes layers of one plain activation")
+        sums = []
         for i in level:
-            n, w = net.neurons[i - net.inputs], [0.0] * width[1]
-            for a, weight, _ in inbound.get(i, ()):
-                if n.squash in AGGREGATES or not width[0] <= a < width[0] + width[1]:
-                    raise ValueError("the arrays plan takes plain layers only")
-                w[a - width[0]] += weight
-            total = F.aggregate(F.zip_with(values, F.array(*map(F.lit, w)), lambda a, b: a * b), F.lit(float(n.bias)), lambda a, b: a + b)
-            out.append((n.squash, total))
-        sums = F.array(*(t for _, t in out))
-        if len({s for s, _ in out}) > 1:
-            raise ValueError("the arrays plan takes layers of one activation")
-        name = out[0][0]
-        values = transformed(name, sums)
-        base, previous = (net.inputs if base == 0 else base + len(previous)), level
+            weights = [0.0] * len(before)
+            for source, weight, _ in inbound.get(i, ()):
+                if source not in place:
+                    raise ValueError("the arrays plan takes edges from the layer before only")
+                weights[place[source]] += weight
+            products = F.zip_with(values, F.array(*map(F.lit, weights)), lambda a, b: a * b)
+            sums.append(F.aggregate(products, F.lit(float(net.neurons[i - net.inputs].bias)), lambda a, b: a + b))
+        values, before = transformed(names.pop(), F.array(*sums)), level
     return values
 
 
@@ -101,38 +102,44 @@ def _limited(name: str, v: Column) -> Column:
     return F.least(F.greatest(simple[name](v), F.lit(low)), F.lit(high))
 
 
-def evaluate(net: Network, x: np.ndarray) -> np.ndarray:
-    """Values of all nodes (records, nodes) for inputs (records, inputs); missing inputs are 0."""
-    values = np.zeros((len(x), net.size))
-    width = min(net.inputs, x.shape[1])
-    values[:, :width] = x[:, :width]
+def prepared(net: Network) -> list[tuple]:
+    """(neuron, sources, weights, roles) in evaluation order; edges from nodes that come later read 0 and are left out of sums."""
     inbound = net.inbound()
+    out = []
     for k, n in enumerate(net.neurons):
-        i = net.inputs + k
-        edges = inbound.get(i, [])
-        src, w = np.array([e[0] for e in edges], int), np.array([e[1] for e in edges])
-        v = values[:, src] * w if len(src) else np.zeros((len(x), 0))
-        v = np.where(src < i, v, 0.0) if len(src) else v
+        edges = inbound.get(net.inputs + k, [])
+        src = np.array([e[0] for e in edges], int)
+        w = np.array([e[1] if e[0] < net.inputs + k else 0.0 for e in edges])
+        out.append((n, src, w, np.array([e[2] for e in edges], int)))
+    return out
+
+
+def evaluate(net: Network, x: np.ndarray, plan: list[tuple] | None = None) -> np.ndarray:
+    """Values of all nodes (records, nodes) for inputs (records, inputs); missing inputs are 0.
+
+    Nodes are rows while they are worked out, so that a neuron reads and writes whole vectors.
+    """
+    values = np.zeros((net.size, len(x)))
+    width = min(net.inputs, x.shape[1])
+    values[:width] = x[:, :width].T
+    for i, (n, src, w, role) in enumerate(plan or prepared(net), net.inputs):
         if n.constant:
-            raw = np.full(len(x), n.bias)
-        elif n.squash == "MINIMUM":
-            raw = (v.min(1) if len(src) else 0.0) + n.bias
-        elif n.squash == "MAXIMUM":
-            raw = (v.max(1) if len(src) else 0.0) + n.bias
-        elif n.squash == "IF":
-            role = np.array([e[2] for e in edges])
-            yes, no = v[:, (role != CONDITION) & (role != NEGATIVE)].sum(1), v[:, role == NEGATIVE].sum(1)
-            raw = np.where(v[:, role == CONDITION].sum(1) > 0, yes, no) + n.bias
-        elif n.squash == "HYPOT":
-            raw = np.sqrt((v * v).sum(1)) + n.bias
-        elif n.squash == "HYPOTv2":
-            raw = np.sqrt(((v + n.bias) ** 2).sum(1))
-        elif n.squash == "MEAN":
-            raw = (v.mean(1) if len(src) else 0.0) + n.bias
+            raw = np.full(len(x), float(n.bias))
+        elif n.squash not in AGGREGATES:
+            raw = vectorized.apply(n.squash, w @ values[src] + n.bias) if len(src) else vectorized.apply(n.squash, np.full(len(x), float(n.bias)))
         else:
-            raw = vectorized.apply(n.squash, v.sum(1) + n.bias)
-        values[:, i] = vectorized.limit("IDENTITY" if n.constant else n.squash, np.broadcast_to(raw, len(x)))
-    return values
+            v = values[src] * w[:, None]
+            if n.squash == "HYPOTv2":
+                raw = np.sqrt(((v + n.bias) ** 2).sum(0))
+            elif not len(src):
+                raw = np.full(len(x), float(n.bias))
+            elif n.squash == "IF":
+                yes, no = v[(role != CONDITION) & (role != NEGATIVE)].sum(0), v[role == NEGATIVE].sum(0)
+                raw = np.where(v[role == CONDITION].sum(0) > 0, yes, no) + n.bias
+            else:
+                raw = {"MINIMUM": lambda: v.min(0), "MAXIMUM": lambda: v.max(0), "MEAN": lambda: v.mean(0), "HYPOT": lambda: np.sqrt((v * v).sum(0))}[n.squash]() + n.bias
+        values[i] = vectorized.limit("IDENTITY" if n.constant else n.squash, raw)
+    return values.T
 
 
 def vectorised(net: Network, records: DataFrame, inputs: str, output: str = "outputs") -> DataFrame:
@@ -142,6 +149,7 @@ def vectorised(net: Network, records: DataFrame, inputs: str, output: str = "out
     width = net.outputs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plan = prepared(net)
         for batch in batches:
             lists = batch.column(at)
             sizes = np.diff(lists.offsets.to_numpy())
@@ -152,7 +160,7 @@ def vectorised(net: Network, records: DataFrame, inputs: str, output: str = "out
                 x = np.zeros((len(sizes), int(sizes.max(initial=0))))
                 for r, row in enumerate(lists.to_pylist()):
                     x[r, : len(row or ())] = row or ()
-            y = evaluate(net, x)[:, net.size - net.outputs :]
+            y = np.concatenate([evaluate(net, x[at_ : at_ + RECORDS], plan)[:, net.size - width :] for at_ in range(0, len(x), RECORDS)]) if len(x) else np.zeros((0, width))
             ends = pa.array(np.arange(len(x) + 1, dtype=np.int32) * width)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(ends, pa.array(y.ravel()))], names=names)
 
