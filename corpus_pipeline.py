@@ -11,10 +11,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphnet_spark.llm import mixing, near_dedup, packing, pii, quality
-from graphnet_spark.llm.common import scratch
+from graphnet_spark.llm.common import packed_texts, scratch, unpacked_texts
 
 
-def carried(docs: DataFrame, *own: str) -> DataFrame:
+def carried(docs: DataFrame, *own: str | Column) -> DataFrame:
     """docs with its columns under neutral names, and the named ones, which a stage works on, under their own."""
     return docs.select(*(F.col(c).alias(f"_c{k}") for k, c in enumerate(docs.columns)), *own)
 
@@ -27,17 +27,20 @@ def returned(out: DataFrame, docs: DataFrame, **new: Column) -> DataFrame:
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
     names = [f"_c{k}" for k in range(len(docs.columns))]
-    return returned(quality.quality(carried(docs, "lang", "text"), names).filter("kept"), docs)
+    return returned(quality.quality(carried(docs, "lang", "text"), names, store=False).filter("kept"), docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near copies: the one with the smallest doc_id. Of rows that repeat it, one stays."""
     firsts = near_dedup.near_duplicates(docs.select("doc_id", "text")).filter("representative")
     keys = firsts.groupBy(F.col("doc_id").alias("_id"), F.col("node").alias("_other")).agg(F.count(F.lit(1)).alias("_n"))
-    node = F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    kept = docs.withColumn("_node", node).join(keys, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_node") == F.col("_other")))
-    once, again = kept.filter("_n = 1"), kept.filter("_n > 1").dropDuplicates(["_id", "_node"])
-    return once.select(docs.columns).unionByName(again.select(docs.columns))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    known = carried(docs, "doc_id", F.col("text").isNull().alias("_null"), text.alias("text")).withColumn("_node", F.unhex(F.md5("text")))
+    at = f"_c{docs.columns.index('text')}"
+    kept = packed_texts(known.drop(at)).join(keys, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_node") == F.col("_other")))
+    whole = kept.filter("_n = 1").unionByName(kept.filter("_n > 1").dropDuplicates(["_id", "_node"]))
+    out = unpacked_texts(whole.select(*(c for c in whole.columns if c.startswith("_c")), "_null", "packed"))
+    return returned(out.withColumn(at, F.when(F.col("_null"), F.lit(None)).otherwise(F.col("text"))), docs)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

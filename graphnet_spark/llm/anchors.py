@@ -16,11 +16,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import packed_texts
+
 #: Rows of the sketch, cells of a row and cells of a slice, as powers of two. The merged sketch is one bit a cell: 16 MB.
 DEPTH, CELLS, SLICE = 2, 26, 20
 #: Groups of tasks whose sketches are added first, and partitions that add.
@@ -178,27 +179,13 @@ def spans_by_document(spans: DataFrame) -> DataFrame:
 
 
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """doc_id, spans (or null) and the compressed text of docs (doc_id, tag, text); a null doc_id is a value like any other.
-
-    Texts are compressed one by one before they are shuffled, to half of what the shuffle's own blocks come to.
-    """
-
-    def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        z = zstandard.ZstdCompressor(level=1)
-        for batch in batches:
-            small = pa.array([z.compress(x.as_py().encode()) for x in batch.column(2)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), small], names=["doc_id", "tag", "packed"])
-
+    """doc_id, spans (or null) and the compressed text of docs (doc_id, tag, text); a null doc_id is a value like any other."""
     s = spans_by_document(spans).withColumnRenamed("doc_id", "_id").withColumnRenamed("tag", "_tag")
-    small = docs.select("doc_id", "tag", "text").mapInArrow(shrink, "doc_id long, tag long, packed binary")
+    small = packed_texts(docs.select("doc_id", "tag", "text"))
     joined = small.join(s, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tag") == F.col("_tag")), "left")
     return joined.select("doc_id", "spans", "packed")
 
 
-def unpacked(packed: bytes) -> bytes:
-    return zstandard.ZstdDecompressor().decompress(packed)
-
-
 def covered(spans: list[dict] | None, size: int, window: int) -> np.ndarray:
     """Which of `size` units are covered by windows that start in the spans."""
     step = np.zeros(size + 1, np.int64)

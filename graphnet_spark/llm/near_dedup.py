@@ -19,11 +19,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .anchors import mix64, poly
-from .common import slices, stored, table
+from .common import packed_texts, slices, stored, table, unpacked
 from .graph import components
 
 #: Words of a shingle, least similarity, bands and samples of a band: a pair at the threshold is missed once in 2,700.
@@ -77,15 +78,19 @@ def cells(item: np.ndarray, row: int) -> np.ndarray:
 
 
 def packed(counts: np.ndarray) -> bytes:
-    """A slice as single bytes if they can hold it, as cells and counts if few are set, and else as 32-bit counts."""
+    """A slice as single bytes if they can hold it, as cells and counts if few are set, and else as 32-bit counts; compressed."""
     seen = np.flatnonzero(counts)
     if len(seen) * 8 < len(counts):
-        return b"s" + np.concatenate([seen.astype("<u4"), counts[seen].astype("<u4")]).tobytes()
-    return b"b" + counts.astype(np.uint8).tobytes() if counts.max() < 256 else b"w" + counts.astype("<u4").tobytes()
+        kind, body = b"s", np.concatenate([seen.astype("<u4"), counts[seen].astype("<u4")]).tobytes()
+    elif counts.max() < 256:
+        kind, body = b"b", counts.astype(np.uint8).tobytes()
+    else:
+        kind, body = b"w", counts.astype("<u4").tobytes()
+    return kind + zstandard.ZstdCompressor(level=1).compress(body)
 
 
 def add(total: np.ndarray, blob: bytes) -> None:
-    kind, body = blob[:1], blob[1:]
+    kind, body = blob[:1], zstandard.ZstdDecompressor().decompress(blob[1:])
     if kind == b"s":
         at, n = np.frombuffer(body, "<u4").reshape(2, -1)
         total[at] += n
@@ -204,20 +209,20 @@ def signatures(docs: DataFrame, known: Frequencies) -> DataFrame:
 
 
 def weighted_sets(docs: DataFrame, known: Frequencies) -> DataFrame:
-    """node and items: the shingles of each text (upper 32 bits of the hash, ascending) and their weights."""
+    """node and items: the shingles of each compressed text (upper 32 bits of the hash, ascending) and their weights."""
     shared = docs.sparkSession.sparkContext.broadcast(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, 1 << 22):
-                hashes, counts, each = text_shingles(part.column(1).to_pylist())
+            for part in slices(batch, 1 << 20):
+                hashes, counts, each = text_shingles([unpacked(x).decode() for x in part.column(1).to_pylist()])
                 weights = (counts * shared.value.idf(hashes)).astype("<f4")
                 short = (hashes >> np.uint64(32)).astype("<u4")
                 ends = np.cumsum(each)
                 blobs = [short[b - n : b].tobytes() + weights[b - n : b].tobytes() for b, n in zip(ends.tolist(), each.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(blobs, pa.binary())], names=["node", "items"])
 
-    return docs.select("node", "text").mapInArrow(run, "node binary, items binary")
+    return docs.select("node", "packed").mapInArrow(run, "node binary, items binary")
 
 
 def opened(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -338,7 +343,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     shared = every.groupBy("band").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("band")
     buckets = stored(every.join(shared, "band"), "buckets")
     involved = buckets.select("node").distinct()
-    texts = docs.select("node", "text").join(involved, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+    texts = packed_texts(docs.select("node", "text")).join(involved, "node", "left_semi").groupBy("node").agg(F.first("packed").alias("packed"))
     sets = stored(weighted_sets(texts, known), "sets")
     links = stored(compared(leader_pairs(buckets), sets, threshold), "links")
     for draw in range(DRAWS):

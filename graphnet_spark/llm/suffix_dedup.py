@@ -17,8 +17,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .anchors import Sketch, covered, mix64, runs, sketch_items, unpacked, with_spans
-from .common import map_texts, slices, stored, table
+from .anchors import Sketch, covered, mix64, runs, sketch_items, with_spans
+from .common import map_texts, slices, stored, table, unpacked
 
 #: Bytes of a repeated string and of an anchor.
 LENGTH, ANCHOR = 400, 32

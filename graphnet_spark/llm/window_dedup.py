@@ -14,8 +14,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .anchors import Sketch, covered, mix64, poly, runs, sketch_items, unpacked, with_spans
-from .common import map_texts, slices, stored, table
+from .anchors import Sketch, covered, mix64, poly, runs, sketch_items, with_spans
+from .common import map_texts, slices, stored, table, unpacked
 
 #: Words of a window and of an anchor.
 WINDOW, ANCHOR = 20, 5
