@@ -94,7 +94,7 @@ def unpacked_texts(df: DataFrame, text: str = "text") -> DataFrame:
 
     def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, 1 << 22):
+            for part in slices(batch, 1 << 20):
                 texts = pa.array([unpacked(x).decode() for x in part.column(len(rest)).to_pylist()], pa.string())
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], texts], names=[*rest, text])
 
@@ -112,3 +112,4 @@ def slices(batch: pa.RecordBatch, limit: int = 1 << 24) -> Iterator[pa.RecordBat
     step = max(1, min(n, n * limit // max(1, batch.nbytes)))
     for at in range(0, n, step):
         yield batch.slice(at, step)
+    pa.default_memory_pool().release_unused()  # idle workers would keep it

@@ -119,7 +119,7 @@ def frequencies(docs: DataFrame) -> Frequencies:
         total = [np.zeros(1 << CELLS, np.uint32) for _ in range(DEPTH)]
         seen = False
         for batch in batches:
-            for part in slices(batch, 1 << 23):
+            for part in slices(batch, 1 << 21):
                 hashes, _, _ = text_shingles(part.column(0).to_pylist())
                 for row in range(DEPTH):
                     at, n = np.unique(cells(hashes, row), return_counts=True)
@@ -195,7 +195,7 @@ def signatures(docs: DataFrame, known: Frequencies) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler = Sampler()
         for batch in batches:
-            for part in slices(batch, 1 << 21):
+            for part in slices(batch, 1 << 20):
                 hashes, counts, each = text_shingles(part.column(2).to_pylist())
                 weights = counts * shared.value.idf(hashes)
                 keys = sampler.bands(hashes, weights, each[each > 0])
@@ -214,7 +214,7 @@ def weighted_sets(docs: DataFrame, known: Frequencies) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, 1 << 20):
+            for part in slices(batch, 1 << 19):
                 hashes, counts, each = text_shingles([unpacked(x).decode() for x in part.column(1).to_pylist()])
                 weights = (counts * shared.value.idf(hashes)).astype("<f4")
                 short = (hashes >> np.uint64(32)).astype("<u4")
