@@ -386,10 +386,11 @@ EDGES = "(SELECT l_orderkey % 500 AS topology_id, row_number() OVER (PARTITION B
 FEW, MANY = EDGES.format(limit=3000), EDGES.format(limit=2000000000)
 
 
-def edges(spark: SparkSession, sf: str, limit: int = 2_000_000_000) -> DataFrame:
+def edges(spark: SparkSession, sf: str) -> DataFrame:
+    """Edges from every row of lineitem. The SQL of four queries (FEW) still reads orders below 3000 only."""
     from pyspark.sql import Window as W
 
-    l = table(spark, sf, "lineitem").filter(F.col("l_orderkey") < limit)
+    l = table(spark, sf, "lineitem")
     t = F.col("l_orderkey") % 500
     pos = F.row_number().over(W.partitionBy(t).orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")) - 1
     return l.select(t.alias("topology_id"), pos.alias("pos"), (F.col("l_partkey") % 12).alias("from_idx"), (F.col("l_suppkey") % 12).alias("to_idx"), (F.col("l_linenumber") % 4).alias("role"))
@@ -417,7 +418,7 @@ def coded(d: DataFrame, at: str) -> DataFrame:
 
 @query(VALIDATE.format(e=FEW))
 def topo_validate(spark, sf):
-    return coded(topology.validate_order(edges(spark, sf, 3000)), "pos")
+    return coded(topology.validate_order(edges(spark, sf)), "pos")
 
 
 SORTED = "(SELECT topology_id, row_number() OVER (PARTITION BY topology_id ORDER BY from_idx, to_idx, pos) - 1 AS pos, from_idx, to_idx FROM {e} WHERE from_idx < to_idx)"
@@ -438,7 +439,7 @@ WITH e AS (SELECT * FROM {FEW}), t AS (SELECT DISTINCT topology_id FROM e), i AS
 SELECT topology_id, a.k AS from_idx, b.k AS to_idx FROM t, i a, i b WHERE a.k < b.k AND b.k >= 3 AND b.k <> 5
 AND NOT EXISTS (SELECT 1 FROM e WHERE e.topology_id = t.topology_id AND e.from_idx = a.k AND e.to_idx = b.k)""")
 def topo_free_slots(spark, sf):
-    e = edges(spark, sf, 3000)
+    e = edges(spark, sf)
     s = shapes(e)
     out = topology.free_slots(nodes(s), s, e)
     return out.select("topology_id", F.col("from_idx").cast("long").alias("from_idx"), F.col("to_idx").cast("long").alias("to_idx"))
@@ -469,14 +470,14 @@ WITH RECURSIVE e AS (SELECT DISTINCT topology_id, from_idx, to_idx FROM {FEW} WH
 r(topology_id, a, b) AS (SELECT topology_id, from_idx, to_idx FROM e UNION SELECT r.topology_id, r.a, e.to_idx FROM r JOIN e ON e.topology_id = r.topology_id AND e.from_idx = r.b)
 SELECT topology_id, CAST(max(CASE WHEN a = b THEN 1 ELSE 0 END) AS BIGINT) AS cyclic FROM (SELECT DISTINCT topology_id FROM {FEW}) LEFT JOIN r USING (topology_id) GROUP BY topology_id""")
 def topo_cycles(spark, sf):
-    e = edges(spark, sf, 3000)
+    e = edges(spark, sf)
     return topology.cycles(e, shapes(e)).select("topology_id", F.col("cyclic").cast("long").alias("cyclic"))
 
 
 @query(f"SELECT topology_id, true AS complete, true AS ordered FROM (SELECT DISTINCT topology_id FROM {FEW} WHERE from_idx < to_idx)")
 def topo_reverse_order(spark, sf):
     """Whether every neuron is placed, and no acyclic edge's target after its source."""
-    e = edges(spark, sf, 3000).filter("from_idx < to_idx")
+    e = edges(spark, sf).filter("from_idx < to_idx")
     o = topology.reverse_order(e, shapes(e))
     p = o.select("topology_id", F.col("idx").alias("from_idx"), F.col("place").alias("pf")).join(e, ["topology_id", "from_idx"]).join(o.select("topology_id", F.col("idx").alias("to_idx"), F.col("place").alias("pt")), ["topology_id", "to_idx"])
     good = p.groupBy("topology_id").agg(F.min(F.col("pt") < F.col("pf")).alias("ordered"))
@@ -484,6 +485,13 @@ def topo_reverse_order(spark, sf):
     return n.join(good, "topology_id", "left").select("topology_id", "complete", F.coalesce("ordered", F.lit(True)).alias("ordered"))
 
 
+@query()
+def topo_levels(spark, sf):
+    """The longest way from an input to every neuron, over forward edges."""
+    e = edges(spark, sf).filter("from_idx < to_idx")
+    return topology.levels(e, shapes(edges(spark, sf)))
+
+
 # ---- documents, records, training
 
 DOCUMENT = '{"input": 2, "output": 1, "neurons": [{"type": "hidden", "uuid": "h", "bias": 0.25, "squash": "TANH"}, {"type": "output", "uuid": "o", "bias": -0.5}], "synapses": [{"fromUUID": "input-0", "toUUID": "h", "weight": 1.5}, {"fromUUID": "input-1", "toUUID": "h", "weight": -0.5, "type": "negative"}, {"fromUUID": "h", "toUUID": "o", "weight": 2.0}, {"fromUUID": "h", "toUUID": "nobody", "weight": 9.0}], "extra": 1}'

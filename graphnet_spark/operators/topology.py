@@ -74,12 +74,12 @@ def validate_structure(nodes: DataFrame, edges: DataFrame, shapes: DataFrame) ->
 def reverse_order(edges: DataFrame, shapes: DataFrame) -> DataFrame:
     """topology_id, place and idx: neurons so that each comes after all that it feeds, cycle members last in ascending order.
 
-    A graph has a bounded number of nodes; each is ordered within one group.
+    A graph has a bounded number of nodes; each is ordered within one group, which holds every pair of nodes once.
     """
     import pandas as pd
 
     def order(key: tuple, e: pd.DataFrame) -> pd.DataFrame:
-        n, ni = int(e["n"].iloc[0]), int(e["ni"].iloc[0])
+        n, ni, e = int(e["n"].iloc[0]), int(e["ni"].iloc[0]), e.sort_values("pos")
         feeds: dict[int, list[int]] = {}
         waiting = dict.fromkeys(range(ni, n), 0)
         for a, b in zip(e["from_idx"], e["to_idx"], strict=True):
@@ -96,10 +96,32 @@ def reverse_order(edges: DataFrame, shapes: DataFrame) -> DataFrame:
         out += [i for i in waiting if i not in seen]
         return pd.DataFrame({"topology_id": key[0], "place": range(len(out)), "idx": out})
 
-    both = shapes.join(edges.select("topology_id", "pos", "from_idx", "to_idx"), "topology_id", "left").sort("topology_id", "pos")
+    once = edges.groupBy("topology_id", "from_idx", "to_idx").agg(F.max("pos").alias("pos"))
+    both = shapes.join(once, "topology_id", "left")
     return both.groupBy("topology_id").applyInPandas(order, "topology_id long, place int, idx int")
 
 
+def levels(edges: DataFrame, shapes: DataFrame) -> DataFrame:
+    """topology_id, idx and level: the longest way over forward edges from an input, or from a neuron that nothing feeds.
+
+    Inputs are level 0 and left out. A graph has a bounded number of nodes; its group holds every pair of nodes once.
+    """
+    import pandas as pd
+
+    def order(key: tuple, e: pd.DataFrame) -> pd.DataFrame:
+        n, ni = int(e["n"].iloc[0]), int(e["ni"].iloc[0])
+        inbound: dict[int, list[int]] = {}
+        for a, b in e[["from_idx", "to_idx"]].dropna().astype("int64").itertuples(index=False):
+            inbound.setdefault(b, []).append(a)
+        level = dict.fromkeys(range(ni), 0)
+        for idx in range(ni, n):
+            level[idx] = 1 + max((level[a] for a in inbound.get(idx, ()) if 0 <= a < idx), default=0)
+        return pd.DataFrame({"topology_id": key[0], "idx": range(ni, n), "level": [level[i] for i in range(ni, n)]})
+
+    both = shapes.join(edges.select("topology_id", "from_idx", "to_idx").distinct(), "topology_id", "left")
+    return both.groupBy("topology_id").applyInPandas(order, "topology_id long, idx long, level long")
+
+
 def cycles(edges: DataFrame, shapes: DataFrame) -> DataFrame:
     """topology_id and cyclic: whether neurons (not inputs) form a cycle; a self-loop is one.
 
