@@ -528,9 +528,15 @@ def export_json(spark, sf):
     return text.select(F.from_json("json", kind).alias("d")).select(F.size("d.nodes").cast("long").alias("nodes"), F.size("d.edges").cast("long").alias("edges"))
 
 
+#: Rows of a shard on average, where there are enough for four.
+SHARD_ROWS = 1 << 18
+
+
 def shard_folder(spark: SparkSession, sf: str) -> str:
     path = shared_path(spark, "shards")
-    d = table(spark, sf, "embeddings").select((F.col("vec_id") % 4).alias("shard"), F.col("vec_id").alias("row"), F.col("embedding").alias("i"), F.array(F.col("label").cast("float")).alias("o"))
+    vectors = table(spark, sf, "embeddings")
+    shards = max(4, -(-vectors.count() // SHARD_ROWS))
+    d = vectors.select(F.pmod("vec_id", F.lit(shards)).alias("shard"), F.col("vec_id").alias("row"), F.col("embedding").alias("i"), F.array(F.col("label").cast("float")).alias("o"))
     records.write(d, path, "i", "o", "shard")
     return path
 

@@ -6,15 +6,22 @@ parallelism, and a file is decoded in one step by numpy.
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.fs
+from pyspark import TaskContext
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SHARDS = "path STRING, length BIGINT, content BINARY"
+#: Fixed value: most bytes of a written file. Readers hold a file whole.
+FILE_BYTES = 64 << 20
 RECORDS = "file STRING, row BIGINT, inputs ARRAY<FLOAT>, outputs ARRAY<FLOAT>"
 
 
@@ -97,23 +104,62 @@ def buffer_bytes(record_bytes: int, asked: int = 2 << 20) -> int:
     return max(record_bytes, min(asked, 64 << 20) // record_bytes * record_bytes)
 
 
-def write(df: DataFrame, path: str, inputs: str, outputs: str, shard: str) -> None:
-    """Writes one .bin file per value of the integer column shard, through the pandas-free Hadoop file API of the session.
+def joined(batch: pa.RecordBatch) -> np.ndarray:
+    """The records of a batch whose last two columns are the lists of inputs and outputs."""
+    parts = []
+    for lists in batch.columns[-2:]:
+        width = pc.unique(pc.list_value_length(lists)).to_pylist()
+        if len(width) != 1 or not width[0]:
+            raise RecordError("records need inputs and outputs, as many in every row")
+        parts.append(lists.flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, width[0]))
+    return np.ascontiguousarray(np.concatenate(parts, axis=1), "<f4")
 
-    Each shard's bytes are built in its own task; rows keep the order of their inputs.
+
+def write(df: DataFrame, path: str, inputs: str, outputs: str, shard: str, file_bytes: int = FILE_BYTES) -> None:
+    """Writes the rows of every value of the integer column shard into .bin files of at most file_bytes (or one record).
+
+    Rows are dealt by ranges of shard and row, and tasks write them in this order as they come, so neither a shard nor a
+    partition is ever held whole; only file names reach the driver. Names sort by shard and row. A file gets its .bin
+    name once all tasks are done, so failed attempts leave none. path is a new folder that tasks reach by its URI.
     """
     spark = df.sparkSession
-    packed = df.groupBy(shard).agg(F.sort_array(F.collect_list(F.struct("row", F.col(inputs).cast("array<float>").alias("i"), F.col(outputs).cast("array<float>").alias("o")))).alias("r"))
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    folder = hadoop.Path(path)
+    store = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if store.exists(folder) and any(f.getPath().getName().endswith(".bin") for f in store.listStatus(folder)):
+        raise RecordError(f"{path} has shards already")
+    store.mkdirs(folder)
+    place = re.sub("^file:/+", "file:///", store.makeQualified(folder).toString())
+    rows = df.select(F.col(shard).cast("long").alias("shard"), F.col("row").alias("row"), F.col(inputs).cast("array<float>").alias("i"), F.col(outputs).cast("array<float>").alias("o"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            blobs = [b"".join(np.asarray([*r["i"], *r["o"]], "<f4").tobytes() for r in rows) for rows in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(blobs, pa.binary())], names=["shard", "content"])
-
-    fs = spark.sparkContext._jvm.org.apache.hadoop.fs
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for r in packed.mapInArrow(run, "shard BIGINT, content BINARY").toLocalIterator():
-        target = fs.Path(f"{path}/{r['shard']}.bin")
-        out = target.getFileSystem(conf).create(target, True)
-        out.write(bytearray(r["content"]))
-        out.close()
+        files, base = pyarrow.fs.FileSystem.from_uri(place)
+        part, names, out, left, last, width = TaskContext.get().partitionId(), [], None, 0, None, None
+        try:
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                x, keys = joined(batch), batch.column(0)
+                if keys.null_count or pc.min(keys).as_py() < 0 or width not in (None, x.shape[1]):
+                    raise RecordError("shards are numbers from 0, and all records of one length")
+                keys, width = keys.to_numpy(), x.shape[1]
+                per_file, at = max(1, file_bytes // (4 * width)), 0
+                while at < len(x):
+                    if not left or keys[at] != last:
+                        if out:
+                            out.close()
+                        last, left = int(keys[at]), per_file
+                        names.append((f"{uuid.uuid4().hex}.part", f"{last:019}-{part:07}-{len(names):07}.bin"))
+                        out = files.open_output_stream(f"{base}/{names[-1][0]}")
+                    end = min(at + left, int(np.searchsorted(keys, last, "right")))
+                    out.write(x[at:end])
+                    at, left = end, left - (end - at)
+        finally:
+            if out:
+                out.close()
+        yield pa.RecordBatch.from_arrays([pa.array([n[k] for n in names], pa.string()) for k in range(2)], names=["part", "name"])
+
+    dealt = rows.repartitionByRange("shard", "row").sortWithinPartitions("shard", "row")
+    for r in dealt.mapInArrow(run, "part STRING, name STRING").collect():  # two names a file
+        if not store.rename(hadoop.Path(folder, r["part"]), hadoop.Path(folder, r["name"])):
+            raise RecordError(f"{path}/{r['name']} could not be named")

@@ -5,9 +5,11 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from graphnet_spark import catalog
 from graphnet_spark.operators import topology
+from graphnet_spark.sources import records
 
 
 @pytest.fixture
@@ -79,3 +81,24 @@ def test_repeated_edges_keep_the_order(spark):
     for es in (once, once * 40):
         e = spark.createDataFrame([(0, k, a, b) for k, (a, b) in enumerate(es)], "topology_id long, pos int, from_idx int, to_idx int")
         assert [r["idx"] for r in topology.reverse_order(e, s).orderBy("place").collect()] == [4, 5, 1, 3, 2]
+
+
+def test_large_shards_are_written_in_bounded_files(spark, tmp_path):
+    d = spark.range(5000).select((F.col("id") % 2).alias("shard"), (4999 - F.col("id")).alias("row"), F.array(F.col("id"), -F.col("id")).alias("i"), F.array(F.lit(0.5)).alias("o"))
+    records.write(d, str(tmp_path / "s"), "i", "o", "shard", file_bytes=1200)
+    files = records.in_order(records.shards(spark, str(tmp_path / "s"))).collect()
+    assert all(0 < r["length"] <= 1200 and r["length"] % 12 == 0 for r in files) and len(files) >= 50
+    got = np.concatenate([np.frombuffer(r["content"], "<f4").reshape(-1, 3) for r in files])
+    want = [k for s in (0, 1) for k in range(4999, -1, -1) if k % 2 == s]
+    assert got.tolist() == [[k, -k, 0.5] for k in want]
+    assert not [p for p in (tmp_path / "s").iterdir() if p.suffix == ".part"]
+    with pytest.raises(records.RecordError):
+        records.write(d, str(tmp_path / "s"), "i", "o", "shard")
+
+
+def test_rows_that_are_no_records(spark, tmp_path):
+    for k, i in enumerate(("array(1.0)", "if(id = 3, array(1.0), array(1.0, 2.0))", "if(id = 3, NULL, array(1.0))")):
+        d = spark.range(5).selectExpr(f"CAST({'-1' if not k else '0'} AS INT) AS shard", "id AS row", f"{i} AS i", "array(2.0) AS o")
+        with pytest.raises(Exception, match="records"):
+            records.write(d, str(tmp_path / str(k)), "i", "o", "shard")
+        assert records.count(spark, str(tmp_path / str(k)), 1, 1).first()[0] == 0
