@@ -1,11 +1,12 @@
 """Personal data: strict base rules, and boosted trees over high-recall candidates.
 
 Everything is DataFrame functions and Spark ML. Matches of a pattern are placed in a text by the gaps that splitting by
-the same pattern leaves. Candidate generators propose spans, overlapping ones too; whether a candidate passes the strict
-rules of its kind is its label, and format and context (never the strict rules themselves) are its features. All
+the same pattern leaves. Candidate generators propose spans, overlapping ones too. A candidate's label is whether its
+normal form (separators written out, a card's issuer and check digit, a phone's grouping or the word before it) is of its
+kind; format and context are its features. Base spans rewritten in loose forms are further positives to train on. All
 candidates of all documents are counted by their features, which are few, so that the table to train on is bounded.
 Half of the documents train the trees; the other half gives, for each kind, the lowest score at which PRECISION of the
-candidates pass the strict rules. Candidates at or above it are redacted along with the base spans.
+candidates found beside the base spans are of their kind. Those at or above it are redacted along with the base spans.
 """
 
 from __future__ import annotations
@@ -43,13 +44,18 @@ PATTERNS = (
     # a chain of digits with single separators is matched as a whole; only those of 16 to 19 digits can pass
     Pattern(2, r"[0-9](?:[\x20-]?[0-9]){15}", r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){15,18}(?![\x20-]?[0-9])", True),
     Pattern(3, r"\+[0-9]", r"\+[0-9][\x20().0-9-]+[0-9]", True),
-    Pattern(0, r"(?i)[\[({]\s?at\s?[\])}]|\sat\s\S{1,64}\sdot\s", r"(?i)[a-z0-9._%+-]{1,64}\s?(?:[\[({]\s?at\s?[\])}]|\sat\s)\s?[a-z0-9-]{1,64}(?:\s?(?:\.|[\[({]\s?dot\s?[\])}]|\sdot\s)\s?[a-z0-9-]{1,64}){1,4}", False),
+    Pattern(0, r"(?i)[\[({]\s?at\s?[\])}]|\sat\s\S{1,64}\sdot\s", r"(?i)[a-z0-9._%+-]{1,64}\s?(?:[\[({]\s?at\s?[\])}]|\sat\s)\s?[a-z0-9-]{1,64}(?:(?:\.|\s\.\s|\s?[\[({]\s?dot\s?[\])}]\s?|\sdot\s)[a-z0-9-]{1,64}){1,4}", False),
     Pattern(2, r"[0-9](?:[\x20.-]?[0-9]){12}", r"(?<![0-9A-Za-z])[0-9](?:[\x20.-]?[0-9]){12,18}(?![0-9A-Za-z])", False),
     Pattern(3, r"[0-9][\x20.)-]{1,2}[0-9]{3}", r"(?<![0-9A-Za-z+.-])\(?[0-9]{2,4}\)?[\x20.-]{1,2}[0-9]{3,4}(?:[\x20.-][0-9]{2,4}){1,3}(?![0-9A-Za-z-])", False),
 )
 #: Words before a span that tell of its kind.
 CUES = r"(?i)mail|contact|write|tel|phone|call|fax|mobile|card|visa|pay|account|\bip\b|host|server|address"
-FEATURES = ("kind", "n_digits", "spaced", "dashed", "dotted", "bracketed", "groups", "before", "after", "cue", "plus")
+#: Last labels of domains spelled without brackets, which must be told from prose; words right before a phone.
+TOP = "com|org|net|edu|gov|info|biz|io|co|dev|app|eu|uk|de|fr|es|nl|ch|ca|au|jp|pl|se|dk|br|ru|cn"
+CALL = r"(?i)(?:tel|phone|call|fax|mobile|cell)[^0-9]*$"
+#: issuers' first digits and lengths of cards.
+ISSUED = r"^(?:4(?:[0-9]{12}|[0-9]{15}|[0-9]{18})|3[47][0-9]{13}|3(?:0[0-5]|[689][0-9])[0-9]{11}|(?:5[1-5]|2[2-7])[0-9]{14}|6[0-9]{15,18})$"
+FEATURES = ("kind", "n_digits", "spaced", "dashed", "dotted", "bracketed", "spelled", "groups", "before", "after", "cue", "plus")
 
 
 def digits(s: Column) -> Column:
@@ -75,6 +81,39 @@ def passes(kind: int, s: Column) -> Column:
     return F.length(digits(s)).between(8, 15) if kind == 3 else F.lit(True)
 
 
+def normal_email(s: Column) -> Column:
+    """An e-mail address with its separators written out."""
+    at = F.regexp_replace(s, r"(?i)\s?[\[({]\s?at\s?[\])}]\s?|\sat\s", "@")
+    return F.regexp_replace(at, r"(?i)\s?[\[({]\s?dot\s?[\])}]\s?|\sdot\s|\s\.\s", ".")
+
+
+def loose_passes(kind: int, s: Column, lead: Column) -> Column:
+    """Whether a loose candidate after the text lead is of its kind, by its normal form."""
+    if kind == 0:
+        mail = normal_email(s)
+        form = mail.rlike(rf"^[{LOCAL}]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{{2,24}}$")
+        return form & (s.rlike(r"[\[({]") | (s.rlike(r"(?i)\sdot\s") & mail.rlike(rf"(?i)\.(?:{TOP})$")))
+    if kind == 2:
+        return digits(s).rlike(ISSUED) & luhn(digits(s))
+    grouped = s.rlike(r"^\(?[0-9]{3}\)?[\x20.-]{1,2}[0-9]{3}[\x20.-][0-9]{4}$")
+    return F.length(digits(s)).between(8, 15) & (grouped | lead.rlike(CALL))
+
+
+def loosened(c: Column) -> Column:
+    """A base span (kind, s) in the form of a loose one, or null."""
+    style = F.pmod(F.xxhash64(c["s"]), F.lit(3))
+    sep = lambda word: F.when(style == 0, f" [{word}] ").when(style == 1, f"({word})").otherwise(f" {word} ")
+    mail = F.replace(F.concat(F.substring_index(c["s"], "@", 1), sep("at"), F.replace(F.substring_index(c["s"], "@", -1), F.lit("."), sep("dot"))), F.lit("@"), F.lit(""))
+    card = F.regexp_replace(digits(c["s"]), "([0-9]{4})(?=[0-9])", "$1.")
+    phone = F.regexp_replace(c["s"], r"^\+[0-9]{1,3}(?![0-9])[\x20.-]*", "")
+    made = {p.kind: p.find for p in PATTERNS if not p.strict}
+    new = {0: mail, 2: card, 3: phone}
+    out = F.lit(None).cast("string")
+    for kind, find in made.items():
+        out = F.when((c["kind"] == kind) & new[kind].rlike(f"^(?:{find})$"), new[kind]).otherwise(out)
+    return out
+
+
 def placed(docs: DataFrame) -> DataFrame:
     """Adds base and loose: arrays of (kind, start, end, s, valid), by kind and start. docs has text without nulls."""
     none = F.array().cast("array<string>")
@@ -91,8 +130,10 @@ def placed(docs: DataFrame) -> DataFrame:
     def spans(k: int, p: Pattern) -> Column:
         def one(x: Column, i: Column) -> Column:
             start = total(F.slice(f"g{k}", F.lit(1), i + 1)) + total(F.slice(f"m{k}", F.lit(1), i))
-            valid = passes(p.kind, x) if p.strict else F.lit(False)
-            return F.struct(F.lit(p.kind).alias("kind"), start.alias("start"), (start + F.length(x)).alias("end"), x.alias("s"), valid.alias("valid"))
+            lead = F.substring(F.col("text"), F.greatest(F.lit(1), start - 23), F.least(F.lit(24), start))
+            valid = passes(p.kind, x) if p.strict else loose_passes(p.kind, x, lead)
+            sure = valid if p.strict else F.lit(False)
+            return F.struct(F.lit(p.kind).alias("kind"), start.alias("start"), (start + F.length(x)).alias("end"), x.alias("s"), valid.alias("valid"), sure.alias("sure"))
 
         return F.transform(f"m{k}", one)
 
@@ -102,17 +143,24 @@ def placed(docs: DataFrame) -> DataFrame:
 
 
 def candidates(found: DataFrame) -> DataFrame:
-    """One row per candidate with its features: all strict matches, valid or not, and loose ones that no base span overlaps."""
+    """One row per candidate with its features: all strict matches, valid or not, and loose ones that no base span overlaps.
+
+    sure tells base spans; made tells their rewritten forms, which are there to train on and are no spans of the text.
+    """
     free = F.filter("loose", lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (b["end"] > x["start"])))
     c = found.filter((F.size("every") > 0) | (F.size("loose") > 0)).select("doc_id", "tag", "text", F.explode(F.concat("every", free)).alias("c")).select("doc_id", "tag", "text", "c.*")
+    c = c.withColumn("made", F.lit(False))
+    made = c.filter("sure").withColumns({"s": loosened(F.struct("kind", "s")), "made": F.lit(True), "sure": F.lit(False)}).filter("s IS NOT NULL")
+    c = c.unionByName(made)
     lead = F.substring(F.col("text"), F.greatest(F.lit(1), F.col("start") - 31), F.least(F.lit(32), F.col("start")))
     next_ = F.substring(F.col("text"), F.col("end") + 1, F.lit(1))
     side = lambda ch: F.when(ch == "", 0).when(ch.rlike(r"\s"), 1).when(ch.rlike("[A-Za-z0-9]"), 2).otherwise(3)
     n = F.length(digits(F.col("s")))
     flag = lambda text: F.col("s").contains(text).cast("int")
     return c.select(
-        "doc_id", "tag", "kind", "start", "end", "valid",
-        F.least(n, F.lit(20)).alias("n_digits"), flag(" ").alias("spaced"), flag("-").alias("dashed"), flag(".").alias("dotted"), flag("(").alias("bracketed"),
+        "doc_id", "tag", "kind", "start", "end", "valid", "sure", "made",
+        F.least(n, F.lit(20)).alias("n_digits"), flag(" ").alias("spaced"), flag("-").alias("dashed"), flag(".").alias("dotted"), F.col("s").rlike(r"[\[({]").cast("int").alias("bracketed"),
+        F.col("s").rlike(r"(?i)\sdot\s").cast("int").alias("spelled"),
         F.least(F.size(F.split("s", "[^0-9A-Za-z]+")), F.lit(8)).alias("groups"), side(F.right(lead, F.lit(1))).alias("before"), side(next_).alias("after"),
         lead.rlike(CUES).cast("int").alias("cue"), F.col("s").startswith("+").cast("int").alias("plus"),
     ).distinct()
@@ -122,14 +170,14 @@ def extra_spans(rows: DataFrame) -> DataFrame:
     """doc_id, tag, kind, start and end of the candidates that the trees select; rows as from candidates()."""
     fold = F.pmod(F.xxhash64("doc_id", "tag"), F.lit(2))
     none = rows.filter("false").select("doc_id", "tag", "kind", "start", "end")
-    counts = stored(rows.groupBy(fold.alias("fold"), *FEATURES, F.col("valid").cast("double").alias("label")).agg(F.count(F.lit(1)).cast("double").alias("weight")), "pii-counts")
+    counts = stored(rows.filter("NOT sure").groupBy(fold.alias("fold"), "made", *FEATURES, F.col("valid").cast("double").alias("label")).agg(F.count(F.lit(1)).cast("double").alias("weight")), "pii-counts")
     vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
     train = vectors.transform(counts.filter("fold = 0"))
     if {r["label"] for r in train.select("label").distinct().collect()} != {0.0, 1.0}:
         return none
     model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, weightCol="weight", seed=1).fit(train.coalesce(1))
     score = F.round(vector_to_array("probability")[1], 6).alias("score")
-    held = model.transform(vectors.transform(counts.filter("fold = 1"))).groupBy("kind", score).agg(F.sum("weight").alias("n"), F.sum(F.col("weight") * F.col("label")).alias("good"))
+    held = model.transform(vectors.transform(counts.filter("fold = 1 AND NOT made"))).groupBy("kind", score).agg(F.sum("weight").alias("n"), F.sum(F.col("weight") * F.col("label")).alias("good"))
     limits = {}
     for kind in range(len(KINDS)):
         n = good = 0.0
@@ -137,7 +185,7 @@ def extra_spans(rows: DataFrame) -> DataFrame:
             n, good = n + r["n"], good + r["good"]
             if good >= PRECISION * n:
                 limits[kind] = r["score"]
-    scored = model.transform(vectors.transform(rows.filter("NOT valid"))).select("doc_id", "tag", "kind", "start", "end", score)
+    scored = model.transform(vectors.transform(rows.filter("NOT sure AND NOT made"))).select("doc_id", "tag", "kind", "start", "end", score)
     chosen = F.lit(False)
     for kind, limit in limits.items():
         chosen = chosen | ((F.col("kind") == kind) & (F.col("score") >= limit))
