@@ -13,6 +13,7 @@ import zlib
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -217,7 +218,7 @@ def text_media(docs: DataFrame) -> DataFrame:
             found = carve(blob, magics[0])
             at, length, kind = found[-1]
             back = decode(blob[at : at + length], kind)
-            feature = f"declared={declared};found={kind};corrected={int(kind != declared)};offset={at};length={length};media={len(found)};mean={sum(back[:: max(1, len(back) // 64)]) // len(back[:: max(1, len(back) // 64)])}"
+            feature = f"declared={declared};found={kind};corrected={int(kind != declared)};offset={at};length={length};media={len(found)};mean={np.frombuffer(back, np.uint8).sum(dtype=np.int64) / len(back)}"
             for col, value in zip(cols, (len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(blob), hashlib.sha256(blob).hexdigest(), feature), strict=True):
                 col.append(value)
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]

@@ -1,10 +1,6 @@
 """Parts of operators that earlier versions left out."""
 
-import hashlib
-
-from pyspark.sql import functions as F
-
-from graphnet_spark.llm import pii
+from graphnet_spark.llm import media, pii
 
 from .conftest import prose
 
@@ -26,3 +22,13 @@ def test_obfuscated_spans_are_added_and_prose_is_not(spark):
     for k, spans in want.items():
         assert got[k] == spans, (k, rows[k], got[k])
     assert not any(got[1000 + k] for k in range(240))
+
+
+def test_the_mean_is_of_all_bytes(spark):
+    texts = ["a" * 131_072, "a" * 1001 + "b" + "a" * 130_070, "é z" * 500, "", None]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: float(r["feature"].rpartition("mean=")[2]) for r in media.text_media(d).collect()}
+    for k, text in enumerate(texts):
+        raw = media.store((text or "").encode())[0]
+        assert got[k] == sum(raw) / len(raw)
+    assert got[0] != got[1]
