@@ -144,7 +144,8 @@ def op9_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The packing of all documents.
 
     A null text is empty and holds the end id alone; repeated rows are packed as often as they occur; an empty table
-    gives no rows; other columns are ignored.
+    gives no rows; other columns are ignored. The document and attention capacities are the largest that can be needed:
+    they only weigh in the choice of a sequence and never turn a piece away that has room in tokens.
     """
     return pack(stored(token_pieces(table(spark, sf_dir, "documents")), "pieces"))
 
