@@ -1,10 +1,11 @@
 """Suffix-array dedup of byte strings.
 
-Byte windows are brought together by their anchors (anchors.py), so that every set of equal windows lies in one group.
-Equal runs are settled by counting. Where an anchor has different runs, a suffix array over one run of each kind
-orders their windows; previous and next smaller positions in that order give the longest previous factor of each
-window, i.e. its longest match with an earlier place. Groups of very many kinds are cut into chunks with a suffix array
-each, and what a chunk leaves open is compared across chunks by digest.
+Every place of MATCH bytes is brought together with its equals by its anchor (anchors.py), so that all equal strings lie in
+one group; each place carries LENGTH bytes as far as its document has them. Equal runs are one kind, for which one run
+stands. Where an anchor has several kinds, or a run several anchors, a suffix array over them orders their places; previous and next smaller
+positions in that order give each place's longest previous factor, i.e. its longest match with an earlier place. A place
+whose factor reaches the length is a later copy; the places that such factors come from are the first ones. Groups of very
+many bytes are cut into chunks with a suffix array each, and what a chunk leaves open is compared across chunks by digest.
 """
 
 from __future__ import annotations
@@ -17,15 +18,18 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .anchors import Sketch, covered, mix64, runs, sketch_items, with_spans
+from .anchors import Sketch, anchors_of, covered, mix64, runs, sketch_items, with_spans
 from .common import map_texts, slices, stored, table, unpacked
 
-#: Bytes of a repeated string and of an anchor.
-LENGTH, ANCHOR = 400, 32
-#: Kinds of runs in one chunk, and bytes of one suffix array.
-CHUNK, ARRAY_BYTES = 4000, 1 << 18
-RUNS = "doc_id long, tag long, g long, r1 long, r2 long, start int, n int, segment binary"
-PARTS = "doc_id long, tag long, start int, n int, g long, w binary, settled boolean"
+#: Bytes of a repeated string that is removed, of the shortest match that is looked for, and of an anchor.
+LENGTH, MATCH, ANCHOR = 400, 256, 32
+#: Bytes of text for each anchor, about: a run has (MATCH - ANCHOR + 2) / 2 windows on average.
+BYTES_PER_ANCHOR = 110
+#: Bytes of runs in one chunk, and of one suffix array.
+CHUNK_BYTES, ARRAY_BYTES = 1 << 20, 1 << 18
+RUNS = "doc_id long, tag long, g long, r1 long, r2 long, start int, n int, size int, periodic boolean, segment binary"
+#: Spans of places. full: copies of LENGTH bytes that go; else later copies of MATCH bytes. With w, a place is still open.
+PARTS = "doc_id long, tag long, start int, n int, full boolean, g long, w binary, settled boolean"
 BYTE_HASH = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
@@ -37,33 +41,39 @@ def byte_units(batch: pa.RecordBatch) -> tuple[bytes, np.ndarray, np.ndarray]:
 
 
 def byte_runs(joined: bytes, doc: np.ndarray) -> tuple[np.ndarray, ...]:
-    return runs(BYTE_HASH[np.frombuffer(joined, np.uint8)], doc, LENGTH, ANCHOR)
+    return runs(BYTE_HASH[np.frombuffer(joined, np.uint8)], doc, MATCH, ANCHOR)
 
 
 def anchor_items(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
     for part in slices(batch, 1 << 22):
         joined, _, doc = byte_units(part)
-        yield byte_runs(joined, doc)[3]
+        yield anchors_of(byte_runs(joined, doc))
 
 
 def repeated_runs(docs: DataFrame, sketch: Sketch) -> DataFrame:
-    """Runs of windows whose anchor is estimated to occur again, with the bytes that they cover."""
+    """Runs of places whose anchor is estimated to occur again; of equal runs of a slice, the first has their bytes."""
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         joined, base, doc = byte_units(batch)
-        start, n, anchor, g = byte_runs(joined, doc)
+        start, n, g, places = byte_runs(joined, doc)
         keep = shared.value.repeated(g)
-        start, n, anchor, g = start[keep], n[keep], anchor[keep], g[keep]
+        start, n, g, places = start[keep], n[keep], g[keep], places[keep]
         if not len(start):
             return None
-        segments = [joined[a : a + k + LENGTH - 1] for a, k in zip(start.tolist(), n.tolist(), strict=True)]
-        digest = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, segments)), "<i8").reshape(-1, 2)
-        shape = (anchor - start) << 32 | n
         of = doc[start]
-        cols = [batch.column(0).take(pa.array(of)), batch.column(1).take(pa.array(of)), pa.array(g.view(np.int64)), pa.array(digest[:, 0] ^ shape), pa.array(digest[:, 1].copy())]
-        cols += [pa.array((start - base[of]).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(segments, pa.binary())]
-        return pa.RecordBatch.from_arrays(cols, names=["doc_id", "tag", "g", "r1", "r2", "start", "n", "segment"])
+        ends = np.minimum(start + n + LENGTH - 1, np.append(base[1:], len(joined))[of])
+        digests, segments, seen = [], [], set()
+        for a, b, k in zip(start.tolist(), ends.tolist(), n.tolist(), strict=True):
+            segment = joined[a:b]
+            digest = xxhash.xxh3_128_digest(segment, seed=k)
+            digests.append(digest)
+            segments.append(None if digest in seen else segment)
+            seen.add(digest)
+        r = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
+        cols = [batch.column(0).take(pa.array(of)), batch.column(1).take(pa.array(of)), pa.array(g.view(np.int64)), pa.array(r[:, 0].copy()), pa.array(r[:, 1].copy())]
+        cols += [pa.array(x.astype(np.int32)) for x in (start - base[of], n, ends - start)]
+        return pa.RecordBatch.from_arrays([*cols, pa.array(places > 1), pa.array(segments, pa.binary())], names=["doc_id", "tag", "g", "r1", "r2", "start", "n", "size", "periodic", "segment"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -100,73 +110,73 @@ def common_prefix(levels: list[tuple[int, np.ndarray]], buffer: np.ndarray, a: n
     return same
 
 
-def smaller_neighbours(order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each entry of a suffix order, the nearest entries before and after it with a smaller position (or -1)."""
-    before, after = np.full(len(order), -1), np.full(len(order), -1)
-    stack: list[int] = []
-    for i, at in enumerate(order.tolist()):
-        while stack and order[stack[-1]] > at:
-            after[stack.pop()] = i
-        if stack:
-            before[i] = stack[-1]
-        stack.append(i)
-    return before, after
+def nearest_smaller(place: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """For each entry, the nearest one before it with a smaller place, or -1; not before its own group's first entry.
+
+    All entries between one and its candidate have larger places, so a candidate that is too large hands on its own.
+    """
+    found = np.arange(-1, len(place) - 1)
+    found[found < first] = -1
+    open_ = np.flatnonzero(found >= 0)
+    while len(open_):
+        open_ = open_[place[found[open_]] > place[open_]]
+        found[open_] = found[found[open_]]
+        open_ = open_[found[open_] >= 0]
+    return found
 
 
-def longest_previous(buffer: bytes, places: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """For suffixes at `places` (ascending): their class by the first limit bytes, and their longest previous factor.
+def longest_previous(levels: list[tuple[int, np.ndarray]], raw: np.ndarray, order: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For suffixes in their order: class by the first limit bytes, longest previous factor up to limit, and whether a factor that reaches it comes from here.
 
-    The factor is the longest match with a suffix at a smaller place, up to limit, and is given where it may reach the
-    limit; elsewhere it is 0. Classes are numbers; every suffix has limit bytes of its own.
+    Factors below the limit are given as 0. Every suffix has limit bytes of its own.
     """
-    levels, raw = prefix_ranks(buffer, limit), np.frombuffer(buffer, np.uint8)
-    order = places[np.argsort(levels[-1][1][places], kind="stable")]
     near = common_prefix(levels, raw, order[:-1], order[1:], limit) >= limit
-    group = np.concatenate([[0], np.cumsum(~near)])
-    shared = np.concatenate([[False], near]) | np.concatenate([near, [False]])
-    kept = order[shared]
-    factor_at = np.zeros(len(kept), np.int64)
-    for neighbour in smaller_neighbours(kept):
-        has = np.flatnonzero(neighbour >= 0)
-        factor_at[has] = np.maximum(factor_at[has], common_prefix(levels, raw, kept[has], kept[neighbour[has]], limit))
-    classes, factor = np.empty(len(places), np.int64), np.zeros(len(places), np.int64)
-    classes[np.searchsorted(places, order)] = group
-    factor[np.searchsorted(places, kept)] = factor_at
-    return classes, factor
+    classes = np.concatenate([[0], np.cumsum(~near)]) if len(order) else np.empty(0, np.int64)
+    factor, source = np.zeros(len(order), np.int64), np.zeros(len(order), bool)
+    among = np.flatnonzero(np.concatenate([[False], near]) | np.concatenate([near, [False]])) if len(order) else classes
+    if len(among):
+        place, own = order[among], classes[among]
+        head = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+        size = np.diff(np.append(head, len(own)))
+        before = nearest_smaller(place, np.repeat(head, size))
+        after = len(own) - 1 - nearest_smaller(place[::-1], np.repeat(len(own) - (head + size)[::-1], size[::-1]))[::-1]
+        for other in (before, np.where(after < len(own), after, -1)):
+            has = np.flatnonzero(other >= 0)
+            match = common_prefix(levels, raw, place[has], place[other[has]], limit)
+            factor[among[has]] = np.maximum(factor[among[has]], match)
+            source[among[other[has[match >= limit]]]] = True
+    return classes, factor, source
 
 
 def settle(kinds: list[dict], first_only: bool) -> Iterator[tuple]:
     """Rows of PARTS for kinds of one or several whole chunks, sorted by group and place."""
     buffer = b"".join(k["segment"] for k in kinds)
-    n = np.array([k["n"] for k in kinds])
-    base = np.cumsum([len(k["segment"]) for k in kinds]) - [len(k["segment"]) for k in kinds]
+    raw = np.frombuffer(buffer, np.uint8)
+    size, n = np.array([len(k["segment"]) for k in kinds]), np.array([k["n"] for k in kinds])
+    base = np.cumsum(size) - size
     owner = np.repeat(np.arange(len(kinds)), n)
     step = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
     places = base[owner] + step
-    classes, factor = longest_previous(buffer, places, LENGTH)
-    size = np.bincount(classes)[classes]
-    if first_only:
-        gone = factor >= LENGTH
-    else:
-        gone = (size > 1) & (np.array([k["copies"] for k in kinds]) == 1)[owner]
-    at = np.flatnonzero(gone)
-    if len(at):
-        new = np.concatenate([[True], (np.diff(at) != 1) | (np.diff(owner[at]) != 0)])
-        heads = np.flatnonzero(new)
-        for i, count in zip(at[heads].tolist(), np.diff(np.append(heads, len(at))).tolist(), strict=True):
-            k = kinds[owner[i]]
-            yield k["doc_id"], k["tag"], k["start"] + int(step[i]), count, None, None, None
-    # of very large groups, one window of each class goes on to the comparison between chunks
-    large = np.array([k["large"] for k in kinds])
-    if large.any():
-        rep = np.zeros(len(places), bool)
-        rep[np.unique(classes, return_index=True)[1]] = True
-        if first_only:
-            rep = factor < LENGTH
-        for i in np.flatnonzero(rep & large[owner]).tolist():
-            k = kinds[owner[i]]
-            w = xxhash.xxh3_128_digest(buffer[places[i] : places[i] + LENGTH])
-            yield k["doc_id"], k["tag"], k["start"] + int(step[i]), 1, k["g"], w, bool(size[i] > 1 or k["copies"] > 1)
+    levels = prefix_ranks(buffer, LENGTH)
+    order = np.argsort(levels[-1][1][places], kind="stable")
+    once, large = np.array([k["copies"] for k in kinds]) == 1, np.array([k["large"] for k in kinds])
+    for full, limit in ((True, LENGTH), (False, MATCH)):
+        among = order[(base + size)[owner[order]] - places[order] >= limit]
+        classes, factor, source = longest_previous(levels, raw, places[among], limit)
+        later = factor >= limit
+        gone = later if first_only or not full else (later | source) & once[owner[among]]
+        at = np.sort(among[gone])
+        if len(at):
+            heads = np.flatnonzero(np.concatenate([[True], (np.diff(at) != 1) | (np.diff(owner[at]) != 0)]))
+            for i, count in zip(at[heads].tolist(), np.diff(np.append(heads, len(at))).tolist(), strict=True):
+                k = kinds[owner[i]]
+                yield k["doc_id"], k["tag"], k["start"] + int(step[i]), count, full, None, None, None
+        # of very large groups, the first place of each class goes on to the comparison between chunks
+        for i in np.flatnonzero(~later & large[owner[among]]).tolist():
+            p = among[i]
+            k = kinds[owner[p]]
+            w = xxhash.xxh3_128_digest(buffer[places[p] : places[p] + limit])
+            yield k["doc_id"], k["tag"], k["start"] + int(step[p]), 1, full, k["g"], w, bool(source[i] or k["copies"] > 1)
 
 
 def settle_chunks(mixed: DataFrame, first_only: bool) -> DataFrame:
@@ -179,17 +189,18 @@ def settle_chunks(mixed: DataFrame, first_only: bool) -> DataFrame:
         def flush() -> pa.RecordBatch:
             # chunks of one group may meet here; places must ascend over all of them
             held.sort(key=lambda k: (k["g"], k["doc_id"] is not None, k["doc_id"] or 0, k["tag"], k["start"]))
-            cols = list(zip(*settle(held, first_only), strict=True)) or [()] * 7
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.bool_()]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "tag", "start", "n", "g", "w", "settled"])
+            cols = list(zip(*settle(held, first_only), strict=True)) or [()] * 8
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.binary(), pa.bool_()]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "tag", "start", "n", "full", "g", "w", "settled"])
 
         for batch in batches:
-            for row in batch.to_pylist():
-                if size > ARRAY_BYTES and (row["g"], row["chunk"]) != last:
-                    yield flush()
-                    held, size = [], 0
-                held.append(row)
-                size, last = size + len(row["segment"]), (row["g"], row["chunk"])
+            for part in slices(batch, 1 << 20):
+                for row in part.to_pylist():
+                    if size > ARRAY_BYTES and (row["g"], row["chunk"]) != last:
+                        yield flush()
+                        held, size = [], 0
+                    held.append(row)
+                    size, last = size + len(row["segment"]), (row["g"], row["chunk"])
         if held:
             yield flush()
 
@@ -198,37 +209,41 @@ def settle_chunks(mixed: DataFrame, first_only: bool) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, first_only: bool) -> DataFrame:
-    """doc_id, tag, start, n: strings of LENGTH bytes from these places on that occur again. docs: doc_id, tag, text.
+    """doc_id, tag, start, n, full: places of strings that occur again. docs: doc_id, tag, text.
 
-    first_only leaves the earliest copy (by doc_id, tag, start) of each; else every copy is given.
+    Where full, strings of LENGTH bytes: first_only leaves the earliest copy (by doc_id, tag, start) of each, else every copy
+    is given. Where not, the later copies of strings of MATCH bytes.
     """
-    found = repeated_runs(docs, sketch_items(docs.select("text"), anchor_items))
+    found = repeated_runs(docs, sketch_items(docs.select("text"), anchor_items, BYTES_PER_ANCHOR))
+    place = F.struct("doc_id", "tag", "start")
     kinds = stored(
-        found.groupBy("g", "r1", "r2").agg(F.min(F.struct("doc_id", "tag", "start")).alias("first"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("segment").alias("segment")),
+        found.groupBy("g", "r1", "r2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.max("periodic").alias("periodic"), F.first("segment", True).alias("segment")),
         "byte-runs",
     )
     several = kinds.filter("copies > 1").select("g", "r1", "r2", "first")
-    whole = found.drop("segment").join(several, ["g", "r1", "r2"])
-    if first_only:
-        whole = whole.filter(~F.struct("doc_id", "tag", "start").eqNullSafe(F.col("first")))
-    groups = kinds.groupBy("g").agg(F.count(F.lit(1)).alias("different")).filter("different > 1")
-    parts = F.ceil(F.col("different") / CHUNK)
+    whole = found.drop("segment", "periodic").join(several, ["g", "r1", "r2"]).withColumn("later", ~place.eqNullSafe(F.col("first")))
+    longer = F.least(F.col("n"), F.col("size") - (LENGTH - 1))
+    sorts = [(longer, True, F.col("later") if first_only else F.lit(True)), (F.col("n"), False, F.col("later"))]
+    spans = F.array_compact(F.array(*(F.when(test & (n > 0), F.struct("start", n.alias("n"), F.lit(full).alias("full"))) for n, full, test in sorts)))
+    whole = whole.select("doc_id", "tag", F.explode(spans).alias("s")).select("doc_id", "tag", "s.*")
+    groups = stored(kinds.groupBy("g").agg(F.count(F.lit(1)).alias("different"), F.max("periodic").alias("periodic"), F.sum(F.octet_length("segment")).alias("bytes")).filter("different > 1 OR periodic").drop("periodic"), "byte-groups")
+    parts = F.ceil(F.col("bytes") / CHUNK_BYTES)
     mixed = kinds.join(groups, "g").select("g", F.pmod(F.xxhash64("r1", "r2"), parts).cast("int").alias("chunk"), (parts > 1).alias("large"), "copies", "n", "segment", "first.*")
     out = stored(settle_chunks(mixed, first_only), "byte-windows")
-    place = F.struct("doc_id", "tag", "start")
     open_ = out.filter(F.col("w").isNotNull())
-    classes = open_.groupBy("g", "w").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
-    across = open_.join(classes, ["g", "w"])
-    across = across.filter(~place.eqNullSafe(F.col("first"))) if first_only else across.filter(~F.col("settled"))
-    cols = ["doc_id", "tag", "start", "n"]
+    classes = stored(open_.groupBy("g", "full", "w").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c"), "byte-classes")
+    later = ~place.eqNullSafe(F.col("first"))
+    across = open_.join(classes, ["g", "full", "w"]).filter(later if first_only else F.when(F.col("full"), ~F.col("settled")).otherwise(later))
+    cols = ["doc_id", "tag", "start", "n", "full"]
     return whole.select(cols).unionByName(out.filter(F.col("w").isNull()).select(cols)).unionByName(across.select(cols))
 
 
 def deduplicated(docs: DataFrame, first_only: bool = True) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept (the bytes that stay) of each document.
+    """doc_id, n_bytes, n_removed, n_spans, n_later and kept (the bytes that stay) of each document.
 
-    first_only keeps the earliest copy of every repeated string; otherwise all copies go. Rows that repeat both doc_id and
-    text are told apart only by that: each has the other's strings.
+    first_only keeps the earliest copy of every string of LENGTH bytes; otherwise all copies go. n_later counts the bytes
+    covered by strings of MATCH bytes that also start earlier in the corpus, whether they go or not. Rows that repeat both
+    doc_id and text are told apart only by that: each has the other's strings.
     """
     own = F.coalesce(F.col("text").cast("string"), F.lit(""))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(own).alias("tag"), own.alias("text"))
@@ -237,25 +252,30 @@ def deduplicated(docs: DataFrame, first_only: bool = True) -> DataFrame:
         out: list[tuple] = []
         for doc, spans, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
             raw = unpacked(text.as_py())
-            left, n = raw, 0
+            left, n, later = raw, 0, 0
             if spans:
-                gone = covered(spans, len(raw), LENGTH)
+                gone = covered([s for s in spans if s["full"]], len(raw), LENGTH)
                 n = int(gone[0]) + int(np.count_nonzero(gone[1:] & ~gone[:-1]))
                 left = np.frombuffer(raw, np.uint8)[~gone].tobytes()
-            out.append((doc, len(raw), len(raw) - len(left), n, left))
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+                later = int(covered([s for s in spans if not s["full"]], len(raw), MATCH).sum())
+            out.append((doc, len(raw), len(raw) - len(left), n, later, left))
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "n_later", "kept"])
 
-    return map_texts(with_spans(docs, repeated_spans(docs, first_only)), rows, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return map_texts(with_spans(docs, repeated_spans(docs, first_only)), rows, "doc_id long, n_bytes long, n_removed long, n_spans long, n_later long, kept binary")
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What is left of each document's bytes without any copy of a repeated 400-byte string.
+    """What is left of each document's bytes without any copy of a repeated 400-byte string, and what are later copies.
 
-    A null text is empty; a null doc_id is a value of its own; an empty table gives no rows; other columns are ignored.
+    A null text is empty; a null doc_id is a value of its own and the smallest; rows that repeat doc_id and text get equal
+    results; an empty table gives no rows; other columns are ignored. Very long texts are worked on in whole, and one of a
+    repeated byte or line is a few runs. Of copies, the one with the smallest doc_id, then the first in the text, is the
+    earliest. n_later counts bytes in 256-byte strings that also start earlier; the earliest copy has none. repeats says
+    whether there are any.
     """
     out = deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"), first_only=False)
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_later", (F.col("n_later") > 0).alias("repeats"))
 
 
 ORACLE: dict[str, str] = {}

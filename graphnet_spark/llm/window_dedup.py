@@ -14,12 +14,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .anchors import Sketch, covered, mix64, poly, runs, sketch_items, with_spans
+from .anchors import Sketch, anchors_of, covered, mix64, poly, runs, sketch_items, with_spans
 from .common import map_texts, slices, stored, table, unpacked
 
 #: Words of a window and of an anchor.
 WINDOW, ANCHOR = 20, 5
-RUNS = "doc_id long, tag long, g long, r1 long, r2 long, start int, n int, windows binary"
+#: Bytes of text for each anchor, about: a run has (WINDOW - ANCHOR + 2) / 2 windows on average.
+BYTES_PER_ANCHOR = 50
+RUNS = "doc_id long, tag long, g long, r1 long, r2 long, start int, n int, periodic boolean, windows binary"
 FIRST = "doc_id", "tag", "start"
 
 
@@ -43,7 +45,7 @@ def word_units(batch: pa.RecordBatch, lanes: int) -> tuple[list[np.ndarray], np.
 def anchor_items(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
     for part in slices(batch, 1 << 22):
         (units,), doc, _ = word_units(part, 1)
-        yield runs(units, doc, WINDOW, ANCHOR)[3]
+        yield anchors_of(runs(units, doc, WINDOW, ANCHOR))
 
 
 def repeated_runs(docs: DataFrame, sketch: Sketch) -> DataFrame:
@@ -52,9 +54,9 @@ def repeated_runs(docs: DataFrame, sketch: Sketch) -> DataFrame:
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         (a, b), doc, place = word_units(batch, 2)
-        start, n, anchor, g = runs(a, doc, WINDOW, ANCHOR)
+        start, n, g, places = runs(a, doc, WINDOW, ANCHOR)
         keep = shared.value.repeated(g)
-        start, n, anchor, g = start[keep], n[keep], anchor[keep], g[keep]
+        start, n, g, places = start[keep], n[keep], g[keep], places[keep]
         if not len(start):
             return None
         first = np.cumsum(n) - n
@@ -62,14 +64,13 @@ def repeated_runs(docs: DataFrame, sketch: Sketch) -> DataFrame:
         at = np.repeat(start, n) + step
         hashed = [mix64(poly(x, WINDOW)[at]) for x in (a, b)]
         tag = mix64(step.astype(np.uint64) + np.uint64(1))
-        shape = ((anchor - start) * 64 + n).astype(np.uint64)
-        digest = [mix64(np.add.reduceat(mix64(h + tag), first) + shape) for h in hashed]
+        digest = [mix64(np.add.reduceat(mix64(h + tag), first) + n.astype(np.uint64)) for h in hashed]
         ends = np.concatenate([[0], np.cumsum(n) * 8]).astype(np.int32)
         blob = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends), pa.py_buffer(hashed[0].astype("<u8"))])
         of = pa.array(doc[start])
         signed = [pa.array(x.view(np.int64)) for x in (g, *digest)]
-        cols = [batch.column(0).take(of), batch.column(1).take(of), *signed, pa.array(place[start].astype(np.int32)), pa.array(n.astype(np.int32)), blob]
-        return pa.RecordBatch.from_arrays(cols, names=["doc_id", "tag", "g", "r1", "r2", "start", "n", "windows"])
+        cols = [batch.column(0).take(of), batch.column(1).take(of), *signed, pa.array(place[start].astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(places > 1), blob]
+        return pa.RecordBatch.from_arrays(cols, names=["doc_id", "tag", "g", "r1", "r2", "start", "n", "periodic", "windows"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -89,18 +90,18 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     """doc_id, tag, start, n: the n windows from word `start` on also start earlier. docs: doc_id, tag, text.
 
     Runs are grouped by digest, and all but the first of equal ones are repeats. Where an anchor has different runs,
-    the windows of the first run of each kind are grouped one by one.
+    or a run several anchors, the windows of the first run of each kind are grouped one by one.
     """
-    found = repeated_runs(docs, sketch_items(docs.select("text"), anchor_items))
-    kinds = stored(found.groupBy("g", "r1", "r2").agg(F.min(F.struct(*FIRST)).alias("first"), F.count(F.lit(1)).alias("copies"), F.first("windows").alias("windows")), "runs")
+    found = repeated_runs(docs, sketch_items(docs.select("text"), anchor_items, BYTES_PER_ANCHOR))
+    kinds = stored(found.groupBy("g", "r1", "r2").agg(F.min(F.struct(*FIRST)).alias("first"), F.count(F.lit(1)).alias("copies"), F.max("periodic").alias("periodic"), F.first("windows").alias("windows")), "runs")
     several = kinds.filter("copies > 1").select("g", "r1", "r2", "first")
-    whole = found.drop("windows").join(several, ["g", "r1", "r2"]).filter(other(FIRST)).select("doc_id", "tag", "start", "n")
-    mixed = kinds.groupBy("g").agg(F.count(F.lit(1)).alias("different")).filter("different > 1").select("g")
+    whole = found.drop("windows", "periodic").join(several, ["g", "r1", "r2"]).filter(other(FIRST)).select("doc_id", "tag", "start", "n")
+    mixed = stored(kinds.groupBy("g").agg(F.count(F.lit(1)).alias("different"), F.max("periodic").alias("periodic")).filter("different > 1 OR periodic").select("g"), "groups")
     place = F.explode(F.sequence(F.lit(0), (F.octet_length("windows") / 8).cast("int") - 1))
     single = kinds.join(mixed, "g").select("g", "first", "windows", place.alias("i"))
     single = single.select("g", F.substring("windows", F.col("i") * 8 + 1, F.lit(8)).alias("w"), F.struct("first.doc_id", "first.tag", (F.col("first.start") + F.col("i")).alias("start")).alias("own"))
     single = stored(single, "windows")
-    twice = single.groupBy("g", "w").agg(F.min("own").alias("first"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
+    twice = stored(single.groupBy("g", "w").agg(F.min("own").alias("first"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c"), "classes")
     parts = single.join(twice, ["g", "w"]).filter(~F.col("own").eqNullSafe(F.col("first"))).select("own.*", F.lit(1).alias("n"))
     return whole.unionByName(parts)
 

@@ -165,39 +165,70 @@ def test_blocks_lose_no_link(spark, monkeypatch, block):
     assert {top(n) for n in sets} == {b"00", b"06", b"12"}
 
 
-def brute_bytes(first_only):
-    raw = [(d, (t or "").encode()) for d, t, *_ in rows()]
+def brute_bytes(first_only, given):
+    raw = [(d, (t or "").encode()) for d, t, *_ in given]
     raw.sort(key=lambda x: (x[0] is not None, x[0] or 0))
     count = collections.Counter(b[i : i + 400] for _, b in raw for i in range(len(b) - 399))
-    out, seen = collections.defaultdict(list), set()
+    out, seen, short, done = collections.defaultdict(list), set(), set(), {}
     for d, b in raw:
-        gone = bytearray(len(b))
+        if (d, b) in done and first_only:
+            out[d].append(done[d, b])
+            continue
+        gone, later = bytearray(len(b)), bytearray(len(b))
         for i in range(len(b) - 399):
             if (b[i : i + 400] in seen) if first_only else count[b[i : i + 400]] > 1:
                 gone[i : i + 400] = b"\1" * 400
             seen.add(b[i : i + 400])
+        for i in range(len(b) - 255):
+            if b[i : i + 256] in short:
+                later[i : i + 256] = b"\1" * 256
+            short.add(b[i : i + 256])
         left = bytes(x for x, g in zip(b, gone, strict=True) if not g)
-        out[d].append((len(b), sum(gone), len(re.findall(b"\1+", bytes(gone))), hashlib.sha256(left).hexdigest()))
+        done.setdefault((d, b), (len(b), sum(gone), len(re.findall(b"\1+", bytes(gone))), sum(later), hashlib.sha256(left).hexdigest()))
+        out[d].append(done[d, b])
     return out
 
 
-@pytest.mark.parametrize(("first_only", "chunk"), [(False, 4000), (True, 4000), (False, 2), (True, 2)])
-def test_suffix_dedup(spark, docs, monkeypatch, first_only, chunk):
-    monkeypatch.setattr(suffix_dedup, "CHUNK", chunk)
-    out = suffix_dedup.deduplicated(docs, first_only).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("h"))
-    want = brute_bytes(first_only)
+def same_bytes(docs, given, first_only):
+    out = suffix_dedup.deduplicated(docs, first_only).select("doc_id", "n_bytes", "n_removed", "n_spans", "n_later", F.sha2("kept", 256).alias("h"))
+    want = brute_bytes(first_only, given)
     for doc, found in by_id(out).items():
         assert sorted(tuple(r)[1:] for r in found) == sorted(want[doc]), doc
 
 
+@pytest.mark.parametrize(("first_only", "chunk"), [(False, 1 << 20), (True, 1 << 20), (False, 900), (True, 900)])
+def test_suffix_dedup(spark, docs, monkeypatch, first_only, chunk):
+    monkeypatch.setattr(suffix_dedup, "CHUNK_BYTES", chunk)
+    same_bytes(docs, rows(), first_only)
+
+
+@pytest.mark.parametrize("first_only", [False, True])
+def test_suffix_dedup_of_shared_and_periodic_texts(spark, first_only):
+    part, line = prose(40, 300), "a separator line of forty bytes -------\n"
+    given = [(1, prose(41, 40) + part[:300]), (2, part[20:300] + prose(42, 50)), (3, prose(43, 20) + part[200:900]), (4, part[180:720] + "end"), (5, part[100:699]), (6, "x" * 30_000), (7, "y" + "x" * 700)]
+    given += [(8, line * 300), (9, prose(44, 30) + line[7:] + line * 12), (10, prose(44, 30)), (11, part[500:]), (12, "z" * 256), (13, "z" * 255)]
+    same_bytes(spark.createDataFrame(given, "doc_id long, text string").repartition(4), given, first_only)
+
+
+def test_suffix_dedup_of_very_long_periodic_texts(spark):
+    line = "a separator line of forty bytes -------\n"
+    given = [(1, "=" * 8_000_000), (2, line * 200_000), (3, "x" + "=" * 399), (4, line[1:] + line * 10)]
+    out = {r["doc_id"]: r for r in suffix_dedup.deduplicated(spark.createDataFrame(given, "doc_id long, text string"), False).drop("kept").collect()}
+    assert [out[k]["n_removed"] for k in (1, 2, 3, 4)] == [8_000_000, 8_000_000, 0, 439] and out[1]["n_later"] == 7_999_999 and out[3]["n_later"] == 399
+
+
 def test_longest_previous_factor():
     r = np.random.default_rng(1)
     text = bytes(r.integers(97, 99, 300).astype(np.uint8)) * 2 + bytes(20)
-    places = np.arange(len(text) - 12)
-    classes, factor = suffix_dedup.longest_previous(text, places, 12)
+    places, raw = np.arange(len(text) - 12), np.frombuffer(text, np.uint8)
+    levels = suffix_dedup.prefix_ranks(text, 12)
+    order = places[np.argsort(levels[-1][1][places], kind="stable")]
+    classes, factor, source = (x[np.argsort(order)] for x in suffix_dedup.longest_previous(levels, raw, order, 12))
     for i in places:
         best = max((next((n for n in range(12) if text[i + n] != text[j + n]), 12) for j in range(i)), default=0)
         assert (factor[i] == 12) == (best == 12)
+        again = any(text[i : i + 12] == text[j : j + 12] for j in places if j != i)
+        assert (factor[i] == 12 or source[i]) == again
     assert all((classes[i] == classes[j]) == (text[i : i + 12] == text[j : j + 12]) for i in places[:60] for j in places[300:360])
 
 
@@ -262,7 +293,7 @@ def test_window_dedup(spark, sf, docs):
 
 def test_sketch_never_understates(spark):
     d = spark.createDataFrame([(" ".join(f"w{(k * 7 + i) % 50}" for i in range(60)),) for k in range(20)], "text string").repartition(5)
-    sketch = anchors.sketch_items(d, window_dedup.anchor_items)
+    sketch = anchors.sketch_items(d, window_dedup.anchor_items, window_dedup.BYTES_PER_ANCHOR)
     items = [x for r in d.toArrow().to_batches() for x in window_dedup.anchor_items(r)]
     value, n = np.unique(np.concatenate(items), return_counts=True)
     assert sketch.repeated(value[n > 1]).all() and not sketch.repeated(np.arange(1000, dtype=np.uint64) * np.uint64(977)).any()
