@@ -32,3 +32,18 @@ def test_the_mean_is_of_all_bytes(spark):
         raw = media.store((text or "").encode())[0]
         assert got[k] == sum(raw) / len(raw)
     assert got[0] != got[1]
+
+
+def test_personal_data_in_very_long_texts(spark):
+    labels = "a@" + "b." * 50_000 + "c"
+    many = "x@y.zz, " * 50_000
+    long = ("word " * 900_000) + "me@host.org " + "1.2.3.4 " * 3
+    loose = "a" * 300_000 + " [at] x at y dot z "
+    rows = [(1, labels), (2, many), (3, long), (4, loose), (5, "a@b.c..d@e.f a@b..c x@y.z. a@-.- @b.c")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    out = pii.with_spans(d)
+    got = {r["doc_id"]: (r["base"], r["red"]) for r in out.select("doc_id", "base", pii.redacted(out["text"], out["spans"]).alias("red")).collect()}
+    assert [(x["start"], x["end"]) for x in got[1][0]] == [(0, len(labels))] and got[1][1] == "<EMAIL>"
+    assert [(x["start"], x["end"]) for x in got[2][0]] == [(8 * k, 8 * k + 6) for k in range(50_000)] and got[2][1] == "<EMAIL>, " * 50_000
+    assert len(got[3][0]) == 4 and got[3][1] == "word " * 900_000 + "<EMAIL> " + "<IP> " * 3
+    assert [rows[4][1][x["start"] : x["end"]] for x in got[5][0]] == ["a@b.c", "..d@e.f", "x@y.z", "a@-.-"]
