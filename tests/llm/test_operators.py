@@ -56,22 +56,70 @@ def test_quality_counts(spark, sf, docs):
     assert sum(map(len, out.values())) == len(rows())
 
 
+def brute_kneser_ney(texts):
+    """P(class | three before) by definition, from dictionaries: a function of a 4-tuple."""
+    table = quality.class_table()
+    counts = {4: collections.Counter()}
+    for t in texts:
+        own = [0, 0, 0] + [int(table[ord(c)]) for c in t]
+        counts[4].update(tuple(own[i : i + 4]) for i in range(len(own) - 3))
+    for k in (3, 2, 1):
+        counts[k] = collections.Counter(g[1:] for g in counts[k + 1])
+    discounts, contexts = {}, {}
+    for k, c in counts.items():
+        n = [sum(v == i for v in c.values()) for i in range(5)]
+        y = n[1] / (n[1] + 2 * n[2]) if n[1] + n[2] else 0.5
+        discounts[k] = [0] + [max(0.05, min(0.95 * i, i - (i + 1) * y * n[i + 1] / n[i] if n[i] else 0.5 * i)) for i in (1, 2, 3)]
+        for g, v in c.items():
+            contexts.setdefault((k, g[:-1]), []).append(v)
+
+    def p(g):
+        k = len(g)
+        if not k:
+            return 1 / quality.ALPHABET
+        seen = contexts.get((k, g[:-1]))
+        if not seen:
+            return p(g[1:])
+        d = discounts[k]
+        gamma = sum(d[min(v, 3)] for v in seen) / sum(seen)
+        v = counts[k].get(g, 0)
+        return max(0.0, v - d[min(v, 3)]) / sum(seen) + gamma * p(g[1:])
+
+    return lambda text: [p(tuple(g)) for own in [[0, 0, 0] + [int(table[ord(c)]) for c in text]] for g in (own[i : i + 4] for i in range(len(own) - 3))]
+
+
+def test_perplexity_by_definition(spark):
+    texts = [prose(k, 60) for k in range(6)] + ["Привет, мир! 12 été\n漢字かな"]
+    docs = spark.createDataFrame([(k, "en", t) for k, t in enumerate(texts)], "doc_id long, lang string, text string").repartition(3)
+    p = brute_kneser_ney(texts)
+    got = {r["doc_id"]: r["perplexity"] for r in quality.quality(docs, ["doc_id"]).collect()}
+    for k, t in enumerate(texts):
+        assert got[k] == pytest.approx(np.exp(-np.mean(np.log(p(t)))), rel=1e-4)
+
+
 def test_kneser_ney_sums_to_one(spark):
     docs = spark.createDataFrame([("en", prose(k, 200)) for k in range(5)], "lang string, text string")
-    model = quality.train(docs)
+    model = quality.train(docs, ["en"])
     for context in ("the", "zzz", " an"):
         codes = [quality.grams(context + chr(c), quality.class_table())[1][-1] for c in range(97, 123)]
         base = codes[0] // quality.ALPHABET * quality.ALPHABET
-        p = np.exp(model.score(1, np.arange(base, base + quality.ALPHABET)))
+        p = np.exp(model.score(0, np.arange(base, base + quality.ALPHABET)))
         assert p.sum() == pytest.approx(1, abs=1e-5) and (p > 0).all()
     assert (np.diff(model.keys.astype(object)) > 0).all()
 
 
+def test_every_language_of_enough_documents_has_a_model(spark):
+    rows_ = [(k, f"l{k % 11}", prose(k, 30)) for k in range(1100)] + [(2000 + k, "xx", prose(k, 30)) for k in range(99)]
+    d = spark.createDataFrame(rows_, "doc_id long, lang string, text string")
+    assert quality.languages(d) == sorted(f"l{k}" for k in range(11))[: quality.MODELS]
+
+
 def test_bands_reject_noise_and_keep_prose(spark):
-    rows_ = [(k, "en", prose(k, 150)) for k in range(200)] + [(900, "en", " ".join("QZX#%WV" for _ in range(150)) + " " + "@".join(map(chr, range(40, 120))))]
+    rows_ = [(k, "en", prose(k, 150)) for k in range(200)] + [(901, "en", "the " * 7 + "then that this those " * 4 + "at an on in it is be to " * 2)] + [(900, "en", " ".join("QZX#%WV" for _ in range(150)) + " " + "@".join(map(chr, range(40, 120))))]
     out = quality.quality(spark.createDataFrame(rows_, "doc_id long, lang string, text string"), ["doc_id"]).collect()
-    assert all(r["kept"] for r in out if r["doc_id"] < 900)
+    assert sum(not r["kept"] for r in out if r["doc_id"] < 900) <= 2
     assert not next(r["kept"] for r in out if r["doc_id"] == 900)
+    assert all(r["lower"] < r["upper"] and r["kept"] == (not r["base_failed"] and r["lower"] <= r["perplexity"] <= r["upper"]) for r in out)
 
 
 def test_media_round_trip(spark, sf, docs):
