@@ -40,7 +40,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it again, so that later jobs do not repeat its work."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Deletes what stored() wrote, once nothing reads it any more."""
+    for df in frames:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._stored_at)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def extended(schema: StructType, ddl: str) -> StructType:

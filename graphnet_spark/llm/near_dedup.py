@@ -1,10 +1,11 @@
 """Near-duplicate texts: improved consistent weighted sampling over TF-IDF shingles.
 
 A text is a weighted set of shingles of five words; the weight is the shingle's count times an inverse document
-frequency between 1 and 1.5, so that a copy's edits, which are rare, do not outweigh what it shares. Document frequencies come from a count-min sketch over all documents, merged slice by slice, so
-their size is fixed; it can only overstate a frequency. Each of BANDS * ROWS samples picks one shingle with a chance in
-proportion to its weight, and two texts pick the same with a chance equal to their weighted Jaccard similarity. Texts
-that agree in a whole band are candidates.
+frequency between 1 and 1.5, so that a copy's edits, which are rare, do not outweigh what it shares. Document frequencies
+come from a count sketch over all documents, merged slice by slice, whose size follows the corpus up to MOST_CELLS; what
+other shingles add to a cell on average is taken off again, so that rare shingles weigh the same in corpora of any size.
+Each of BANDS * ROWS samples picks one shingle with a chance in proportion to its weight, and two texts pick the same with a
+chance equal to their weighted Jaccard similarity. Texts that agree in a whole band are candidates.
 
 Candidates are verified by their weighted Jaccard similarity: first each text with the smallest text of each of its
 buckets; then, in buckets that hold several components, with another text drawn for each bucket; then, in buckets that
@@ -20,21 +21,24 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .anchors import mix64, poly
-from .common import packed_texts, slices, stored, table, unpacked
-from .graph import components
+from .common import discard, packed_texts, slices, stored, table, unpacked
+from .graph import components, merged
 
 #: Words of a shingle, least similarity, bands and samples of a band: a pair at the threshold is missed once in 2,700.
 SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 15, 4
 #: How far the weight of the rarest shingle exceeds that of one in every document.
 IDF = 0.5
-#: Rows, cells of a row and cells of a slice of the frequency sketch, as powers of two: 32 MB in all.
-DEPTH, CELLS, SLICE = 2, 22, 18
+#: Rows of the frequency sketch, and as powers of two the least and most cells of a row and the cells of a slice. Tasks are
+#: handed one byte a cell, 32 MB at most.
+DEPTH, LEAST_CELLS, MOST_CELLS, SLICE = 2, 18, 24, 18
+#: Bytes of text for each shingle, about, groups of tasks whose sketches are added first, and steps of a doubling in the byte.
+BYTES_PER_SHINGLE, GROUPS, STEPS = 6, 16, 5
 SKETCH_ROWS = (0x9FB21C651E98DF25, 0xD6E8FEB86659FD93)
-GROUPS, MERGERS = 16, 16
 #: Rounds in which a text is drawn for each bucket, and texts of a bucket that are compared as one block.
 DRAWS, BLOCK = 1, 128
 #: Random variates of the sampling: a table of 65,536 triples (r, ln c, beta), indexed by a hash of shingle and sample.
@@ -73,84 +77,96 @@ def text_shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return join(hashes, np.uint64), join(counts, np.int64), np.array(each, np.int64)
 
 
-def cells(item: np.ndarray, row: int) -> np.ndarray:
-    return (mix64(item * np.uint64(SKETCH_ROWS[row])) >> np.uint64(64 - CELLS)).astype(np.int64)
+def cells(item: np.ndarray, row: int, size: int) -> np.ndarray:
+    return (mix64(item * np.uint64(SKETCH_ROWS[row])) >> np.uint64(64 - size)).astype(np.int64)
 
 
 def packed(counts: np.ndarray) -> bytes:
-    """A slice as single bytes if they can hold it, as cells and counts if few are set, and else as 32-bit counts; compressed."""
+    """A slice as cells and counts if few are set, and else as counts of the least width that holds them; compressed."""
     seen = np.flatnonzero(counts)
-    if len(seen) * 8 < len(counts):
-        kind, body = b"s", np.concatenate([seen.astype("<u4"), counts[seen].astype("<u4")]).tobytes()
-    elif counts.max() < 256:
-        kind, body = b"b", counts.astype(np.uint8).tobytes()
+    if len(seen) * 16 < len(counts):
+        kind, body = b"s", np.concatenate([seen.astype("<u8"), counts[seen].astype("<u8")]).tobytes()
     else:
-        kind, body = b"w", counts.astype("<u4").tobytes()
+        kind, width = next((k, w) for k, w, most in ((b"1", "<u1", 1 << 8), (b"4", "<u4", 1 << 32), (b"8", "<u8", 1 << 64)) if int(counts.max()) < most)
+        body = counts.astype(width).tobytes()
     return kind + zstandard.ZstdCompressor(level=1).compress(body)
 
 
 def add(total: np.ndarray, blob: bytes) -> None:
     kind, body = blob[:1], zstandard.ZstdDecompressor().decompress(blob[1:])
     if kind == b"s":
-        at, n = np.frombuffer(body, "<u4").reshape(2, -1)
-        total[at] += n
+        at, n = np.frombuffer(body, "<u8").reshape(2, -1)
+        total[at.astype(np.int64)] += n
     else:
-        total += np.frombuffer(body, np.uint8 if kind == b"b" else "<u4")
+        total += np.frombuffer(body, f"<u{kind.decode()}")
 
 
 class Frequencies:
-    """Document frequencies of shingles, at least the true ones, and the weights that follow."""
+    """Document frequencies of shingles, in steps of a doubling, and the weights that follow."""
 
-    def __init__(self, counts: list[np.ndarray], documents: int):
-        self.counts, self.documents = counts, documents
+    def __init__(self, codes: list[np.ndarray], documents: int):
+        self.codes, self.documents = codes, documents
+        self.size = int(len(codes[0])).bit_length() - 1
 
     def idf(self, item: np.ndarray) -> np.ndarray:
         """1 + IDF * ln(N / df) / ln(N), between 1 (in every document) and 1 + IDF (in one)."""
         n = max(2, self.documents)
-        df = np.minimum.reduce([c[cells(item, row)] for row, c in enumerate(self.counts)])
-        return 1 + IDF * np.log(n / np.clip(df, 1, n)) / np.log(n)
+        doublings = np.minimum.reduce([c[cells(item, row, self.size)] for row, c in enumerate(self.codes)]) / STEPS
+        return 1 + IDF * np.clip(1 - doublings * np.log(2) / np.log(n), 0, 1)
 
 
 def frequencies(docs: DataFrame) -> Frequencies:
+    """The frequencies of docs (text)."""
+    whole = docs.agg(F.count(F.lit(1)), F.sum(F.octet_length("text").cast("long"))).first()
+    width = min(MOST_CELLS, max(LEAST_CELLS, int((whole[1] or 0) // BYTES_PER_SHINGLE).bit_length()))
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         group = TaskContext.get().partitionId() % GROUPS
-        total = [np.zeros(1 << CELLS, np.uint32) for _ in range(DEPTH)]
-        seen = False
+        total = [np.zeros(1 << width, np.uint32) for _ in range(DEPTH)]
         for batch in batches:
             for part in slices(batch, 1 << 21):
                 hashes, _, _ = text_shingles(part.column(0).to_pylist())
                 for row in range(DEPTH):
-                    at, n = np.unique(cells(hashes, row), return_counts=True)
+                    at, n = np.unique(cells(hashes, row, width), return_counts=True)
                     total[row][at] += n.astype(np.uint32)
-                seen = seen or len(hashes) > 0
-        width = 1 << SLICE
-        for row in range(DEPTH if seen else 0):
-            for k in range(len(total[row]) // width):
-                part = total[row][k * width : (k + 1) * width]
+        for row in range(DEPTH):
+            for k, part in enumerate(total[row].reshape(-1, 1 << SLICE)):
                 if part.any():
-                    yield one(row * (1 << CELLS - SLICE) + k, group, packed(part))
+                    yield one((row << width - SLICE) + k, group, packed(part))
 
-    def one(s: int, g: int, blob: bytes) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([g], pa.int32()), pa.array([blob], pa.binary())], names=["slice", "part", "cells"])
+    def one(s: int, g: int, blob: bytes, documents: int = 0) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([g], pa.int32()), pa.array([blob], pa.binary()), pa.array([documents], pa.int64())], names=["slice", "part", "cells", "items"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
-            for s, g, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                add(total.setdefault((s, g), np.zeros(1 << SLICE, np.uint32)), blob)
+            for s, g, blob, _ in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                add(total.setdefault((s, g), np.zeros(1 << SLICE, np.uint64)), blob)
         for (s, g), counts in total.items():
-            yield one(s, g, packed(counts))
+            yield one(s, g, packed(counts), int(counts.sum()))
 
-    schema = "slice int, part int, cells binary"
-    first = docs.select("text").mapInArrow(count, schema).repartition(MERGERS, "slice", "part").mapInArrow(merge, schema)
-    last = first.withColumn("part", F.lit(0)).repartition(MERGERS, "slice").mapInArrow(merge, schema)
-    counts = [np.zeros(1 << CELLS, np.uint32) for _ in range(DEPTH)]
-    for r in last.toArrow().to_pylist():  # the sketch, of fixed size
-        row, k = divmod(r["slice"], 1 << CELLS - SLICE)
-        add(counts[row][k << SLICE : k + 1 << SLICE], r["cells"])
-    return Frequencies(counts, docs.count())
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for s, _, blob, _ in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                counts = np.zeros(1 << SLICE, np.uint64)
+                add(counts, blob)
+                # what the other shingles add to a cell on average
+                rest = (items - counts) / ((1 << width) - 1)
+                own = np.maximum(1.0, counts - rest)
+                yield one(s, 0, zstandard.ZstdCompressor(level=1).compress(np.minimum(255, np.round(STEPS * np.log2(own))).astype(np.uint8).tobytes()))
+
+    schema = "slice int, part int, cells binary, items long"
+    first = docs.select("text").mapInArrow(count, schema).repartition("slice", "part").mapInArrow(merge, schema)
+    last = stored(first.withColumn("part", F.lit(0)).repartition("slice").mapInArrow(merge, schema), "frequencies")
+    items = (last.agg(F.sum("items")).first()[0] or 0) / DEPTH
+    codes = [np.zeros(1 << width, np.uint8) for _ in range(DEPTH)]
+    for r in last.mapInArrow(coded, schema).toLocalIterator():  # the sketch, of bounded size
+        row, k = divmod(r["slice"], 1 << width - SLICE)
+        codes[row][k << SLICE : k + 1 << SLICE] = np.frombuffer(zstandard.ZstdDecompressor().decompress(r["cells"]), np.uint8)
+    discard(last)
+    return Frequencies(codes, whole[0])
 
 
 def variates() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -188,16 +204,14 @@ class Sampler:
         return keys
 
 
-def signatures(docs: DataFrame, known: Frequencies) -> DataFrame:
+def signatures(docs: DataFrame, known: Broadcast) -> DataFrame:
     """doc_id, node and the band keys (null for a text without words) of every document."""
-    shared = docs.sparkSession.sparkContext.broadcast(known)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler = Sampler()
         for batch in batches:
             for part in slices(batch, 1 << 20):
                 hashes, counts, each = text_shingles(part.column(2).to_pylist())
-                weights = counts * shared.value.idf(hashes)
+                weights = counts * known.value.idf(hashes)
                 keys = sampler.bands(hashes, weights, each[each > 0])
                 rows = np.full(part.num_rows, -1)
                 rows[each > 0] = np.arange(len(keys))
@@ -208,15 +222,13 @@ def signatures(docs: DataFrame, known: Frequencies) -> DataFrame:
     return docs.select("doc_id", "node", "text").mapInArrow(run, "doc_id long, node binary, bands array<bigint>")
 
 
-def weighted_sets(docs: DataFrame, known: Frequencies) -> DataFrame:
+def weighted_sets(docs: DataFrame, known: Broadcast) -> DataFrame:
     """node and items: the shingles of each compressed text (upper 32 bits of the hash, ascending) and their weights."""
-    shared = docs.sparkSession.sparkContext.broadcast(known)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 1 << 19):
                 hashes, counts, each = text_shingles([unpacked(x).decode() for x in part.column(1).to_pylist()])
-                weights = (counts * shared.value.idf(hashes)).astype("<f4")
+                weights = (counts * known.value.idf(hashes)).astype("<f4")
                 short = (hashes >> np.uint64(32)).astype("<u4")
                 ends = np.cumsum(each)
                 blobs = [short[b - n : b].tobytes() + weights[b - n : b].tobytes() for b, n in zip(ends.tolist(), each.tolist(), strict=True)]
@@ -254,29 +266,33 @@ def compared(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 
 def leader_pairs(buckets: DataFrame) -> DataFrame:
     """Each text with the smallest text of each of its buckets, which is the same one in most buckets of a group of copies."""
-    leaders = buckets.groupBy("band").agg(F.min("node").alias("b"))
+    leaders = stored(buckets.groupBy("band").agg(F.min("node").alias("b")), "leaders")
     return buckets.join(leaders, "band").filter("node <> b").select(F.col("node").alias("a"), "b").distinct()
 
 
-def other_pairs(buckets: DataFrame, labels: DataFrame, draw: int) -> DataFrame:
+def labelled(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """buckets with each node's label, its own name where it has none, written so that large buckets can be split."""
+    return stored(buckets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
+
+
+def other_pairs(own: DataFrame, draw: int) -> DataFrame:
     """In buckets of several components, each text with a text drawn for the bucket, another one for each bucket."""
-    own = buckets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    drawn = own.groupBy("band").agg(F.min(F.struct(F.xxhash64("node", "band", F.lit(draw)).alias("h"), "node", "label")).alias("d"))
+    drawn = own.groupBy("band").agg(F.min(F.struct(F.xxhash64("node", "band", F.lit(draw)).alias("h"), "node", "label")).alias("d"), F.min("label").alias("low"), F.max("label").alias("high"))
+    drawn = stored(drawn.filter("low <> high").select("band", "d"), "drawn")
     pairs = own.join(drawn, "band").filter("label <> d.label").select(F.col("node").alias("a"), F.col("d.node").alias("b"))
     return pairs.distinct()
 
 
-def block_links(buckets: DataFrame, labels: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """a, b: similar texts of one bucket that are in different components so far.
+def block_links(own: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """a, b: similar texts of one bucket that are in different components so far. own: band, node, label.
 
     A bucket's largest component, which needs no comparison with itself, and its other texts are dealt into blocks of about
     BLOCK; each pair of blocks but two of the largest component's meets in one task, which keeps only links.
     """
-    own = buckets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     parts = own.groupBy("band", "label").agg(F.count(F.lit(1)).alias("n"))
     mixed = parts.groupBy("band").agg(F.max(F.struct("n", "label")).alias("main"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("labels")).filter("labels > 1")
     blocks = lambda n: F.ceil(n / BLOCK).cast("int")
-    sizes = mixed.select("band", F.col("main.label").alias("most"), blocks(F.col("main.n")).alias("inner"), blocks(F.col("n") - F.col("main.n")).alias("outer"))
+    sizes = stored(mixed.select("band", F.col("main.label").alias("most"), blocks(F.col("main.n")).alias("inner"), blocks(F.col("n") - F.col("main.n")).alias("outer")), "sizes")
     rows = own.join(sizes, "band").withColumn("is_main", F.col("label") == F.col("most"))
     mine = F.pmod(F.xxhash64("node"), F.when(F.col("is_main"), F.col("inner")).otherwise(F.col("outer"))).cast("int")
     rows = rows.withColumn("mine", F.when(F.col("is_main"), mine - F.col("inner")).otherwise(mine))
@@ -336,7 +352,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """
     own = F.coalesce(F.col("text").cast("string"), F.lit(""))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(own)).alias("node"), own.alias("text"))
-    known = frequencies(docs)
+    known = docs.sparkSession.sparkContext.broadcast(frequencies(docs))
     rows = stored(signatures(docs, known), "signatures")
     nodes = rows.filter("bands IS NOT NULL").groupBy("node").agg(F.first("bands").alias("bands"))
     every = nodes.select("node", F.explode("bands").alias("band"))
@@ -345,14 +361,19 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     involved = buckets.select("node").distinct()
     texts = packed_texts(docs.select("node", "text")).join(involved, "node", "left_semi").groupBy("node").agg(F.first("packed").alias("packed"))
     sets = stored(weighted_sets(texts, known), "sets")
-    links = stored(compared(leader_pairs(buckets), sets, threshold), "links")
+    known.destroy()
+    labels = components(stored(compared(leader_pairs(buckets), sets, threshold), "links"))
     for draw in range(DRAWS):
-        links = links.unionByName(stored(compared(other_pairs(buckets, components(links), draw), sets, threshold), "links"))
-    links = links.unionByName(stored(block_links(buckets, components(links), sets, threshold), "links"))
-    labels = components(links)
-    classed = rows.select("doc_id", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        own = labelled(buckets, labels)
+        labels = merged(labels, stored(compared(other_pairs(own, draw), sets, threshold), "links"))
+        discard(own)
+    own = labelled(buckets, labels)
+    labels = merged(labels, stored(block_links(own, sets, threshold), "links"))
+    discard(own, buckets, sets)
+    classed = stored(rows.select("doc_id", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "classed")
     place = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "node")
-    firsts = classed.groupBy("label").agg(F.min(place).alias("first"))
+    firsts = stored(classed.groupBy("label").agg(F.min(place).alias("first")), "firsts")
+    discard(rows, labels)
     out = classed.join(firsts, "label")
     return out.select("doc_id", "node", F.col("first.doc_id").alias("class_id"), place.eqNullSafe(F.col("first")).alias("representative"))
 
@@ -360,7 +381,9 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 def op4_icws_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The class of every document.
 
-    A null text is empty, repeated rows fall into one class, an empty table gives no rows and other columns are ignored.
+    A null text is empty, a null doc_id counts as the largest, repeated rows fall into one class, an empty table gives no
+    rows and other columns are ignored. Very long texts are sets of all their shingles. Of a class, the smallest doc_id, then
+    the smallest hash of the text, is the representative; rows that repeat it are representatives too.
     """
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "class_id", "representative")
 

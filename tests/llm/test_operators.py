@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 from graphnet_spark.llm import anchors, licenses, media, mixing, near_dedup, packing, pii, quality, registry, suffix_dedup, warc, window_dedup
 
+from graphnet_spark.llm.common import stored
+from graphnet_spark.llm.graph import components, merged
+
 from .conftest import DOCS, prose, rows
 
 Q = registry.queries()
@@ -186,6 +189,25 @@ def test_near_duplicates(spark, sf):
     assert got[44] == got[45] and got[46] == got[47] == 46
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_components_and_later_links(spark, seed):
+    r = np.random.default_rng(seed)
+    links = [(int(a), int(b)) for a, b in r.integers(0, 400, (260, 2))] + [(k, k + 1) for k in range(500, 560)] + [(600, k) for k in range(601, 640)]
+    root = list(range(700))
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    frame = lambda rows_: stored(spark.createDataFrame(rows_, "a long, b long"), "links")
+    labels = merged(components(frame(links[:150])), frame(links[150:]))
+    for a, b in links:
+        root[max(top(a), top(b))] = min(top(a), top(b))
+    nodes = {x for a, b in links if a != b for x in (a, b)}
+    assert {r["node"]: r["label"] for r in labels.collect()} == {n: top(n) for n in nodes}
+
+
 def test_one_representative_of_odd_rows(spark, sf, docs):
     out = Q["op4_icws_dedup"](spark, sf(documents=docs)).collect()
     assert len(out) == len(rows())
@@ -202,7 +224,7 @@ def test_blocks_lose_no_link(spark, monkeypatch, block):
     d = frame(items, "node binary, items binary")
     buckets = frame([(n, 1) for n in sets], "node binary, band long")
     labels = frame([(n, n) for n in list(sets)[:2]], "node binary, label binary")
-    links = near_dedup.block_links(buckets, labels, d, 0.8).collect()
+    links = near_dedup.block_links(near_dedup.labelled(buckets, labels), d, 0.8).collect()
     root = {n: n for n in sets}
 
     def top(x):
