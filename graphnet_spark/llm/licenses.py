@@ -1,8 +1,9 @@
-"""License scans: phrase places, and an exact set-similarity join of text lines with license templates.
+"""License scans: phrase places, and an exact set-similarity join of text blocks with license templates.
 
-Everything is DataFrame functions. Tokens are ordered by how often they occur in the corpus, rarest first, with all tokens
-of no template last (they cannot be in an overlap). A line holds a template if at least THRESHOLD of the template's
-distinct tokens are in it. Such a line must hold one of the template's rarest tokens (prefix filter), as many template
+Everything is DataFrame functions. A block is LINES consecutive lines from any line on, so that a notice is found however it
+is wrapped. Tokens are ordered by how often they occur in the corpus, rarest first, with all tokens
+of no template last (they cannot be in an overlap). A block holds a template if at least THRESHOLD of the template's
+distinct tokens are in it. Such a block must hold one of the template's rarest tokens (prefix filter), as many template
 tokens as are needed (length filter), and enough tokens must be left behind the first common one on both sides
 (positional filter); what passes is counted exactly.
 """
@@ -38,8 +39,12 @@ TEMPLATES = (
     ("redistribution and use in source and binary forms with or without modification are permitted", "bsd"),
     ("this source code form is subject to the terms of the mozilla public license v 2 0", "mpl-2.0"),
     ("permission to use copy modify and or distribute this software for any purpose is hereby granted", "isc"),
+    ("you may not use this file except in compliance with the license you may obtain a copy of the license at", "apache-2.0"),
+    ("this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", "gpl"),
+    ("this is free and unencumbered software released into the public domain", "unlicense"),
 )
-THRESHOLD = 0.8
+#: Lines of a block, and the share of a template's tokens that it must hold.
+LINES, THRESHOLD = 4, 0.8
 
 
 def spaced(text: Column) -> Column:
@@ -92,8 +97,8 @@ def token_order(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLA
     return sorted(known, key=lambda t: (counts.get(t, 0), t))
 
 
-def template_lines(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, tag, line, template, label, overlap and containment of every line that holds a template."""
+def template_blocks(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, tag, line, template, label, overlap and containment of every block, from that line on, that holds a template."""
     spark = docs.sparkSession
     order = token_order(docs, templates)
     rank = {t: i for i, t in enumerate(order)}
@@ -103,9 +108,11 @@ def template_lines(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEM
     prefix = [(r, k, i, len(sets[k]), need[k], templates[k][1]) for k, head in enumerate(heads) for i, r in enumerate(head)]
     prefix = F.broadcast(spark.createDataFrame(prefix, "rank int, template int, i int, size int, need int, label string"))  # bounded by the templates
     pattern = alternatives(sorted({order[r] for head in heads for r in head}))
-    # the prefix filter for whole texts, then for lines
+    # the prefix filter for whole texts, then for blocks
     some = docs.filter(spaced(F.col("text")).rlike(pattern))
-    lines = some.select("doc_id", "tag", F.posexplode(F.split("text", "\n")).alias("line", "s")).select("doc_id", "tag", "line", spaced(F.col("s")).alias("s"))
+    every = some.select("doc_id", "tag", F.split("text", "\n").alias("lines"))
+    block = F.transform("lines", lambda _, i: F.array_join(F.slice("lines", i + 1, LINES), "\n"))
+    lines = every.select("doc_id", "tag", F.posexplode(block).alias("line", "s")).select("doc_id", "tag", "line", spaced(F.col("s")).alias("s"))
     lines = lines.filter(F.col("s").rlike(pattern))
     ranks = F.create_map(*(F.lit(x) for t in order for x in (t, rank[t])))
     tokens = F.array_distinct(F.split(F.trim(lowered(F.col("s"))), "  "))
@@ -121,7 +128,7 @@ def scan(docs: DataFrame) -> DataFrame:
     """Base columns, labels and score of every row of docs (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     docs = docs.select("doc_id", F.xxhash64("text").alias("tag"), "text")
-    found = template_lines(docs).groupBy(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag")).agg(F.collect_set("label").alias("own"), F.max("containment").alias("best"))
+    found = template_blocks(docs).groupBy(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag")).agg(F.collect_set("label").alias("own"), F.max("containment").alias("best"))
     both = base_rules(docs).join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tag") == F.col("_tag")), "left")
     joined = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
     every = F.concat("base", F.coalesce("own", F.array().cast("array<string>")))
@@ -135,7 +142,8 @@ def op7_license_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The license scan of every document.
 
     A null text has no words, a null doc_id is a value of its own, repeated rows get equal results, an empty table gives no
-    rows and other columns are ignored.
+    rows and other columns are ignored. Very long texts are scanned in whole. Of blocks that hold templates, the score is the
+    largest containment; labels of all count, so ties need no order.
     """
     return scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -152,7 +160,8 @@ ph(p, label) AS (VALUES {phrases}),
 pl AS (SELECT doc_id, label, i FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM w WHERE t ~ 'license|cc') x, ph WHERE w[i:i + len(p) - 1] = p),
 b AS (SELECT doc_id, count(*) AS n, min(i) - 1 AS f, max(i) - 1 AS l, list_distinct(list(label)) AS labels FROM pl GROUP BY 1),
 tp(k, s, label) AS (VALUES {templates}),
-ln AS (SELECT doc_id, list_distinct(regexp_extract_all(s, '{gap}')) AS s FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS s FROM d)),
+bl AS (SELECT doc_id, x, unnest(range(1, len(x) + 1)) AS i FROM (SELECT doc_id, string_split(t, chr(10)) AS x FROM d)),
+ln AS (SELECT doc_id, list_distinct(regexp_extract_all(array_to_string(x[i:i + {LINES - 1}], chr(10)), '{gap}')) AS s FROM bl),
 m AS (SELECT doc_id, label, len(list_intersect(ln.s, tp.s))::DOUBLE / len(tp.s)::DOUBLE AS c, len(list_intersect(ln.s, tp.s)) AS o, len(tp.s) AS z FROM ln, tp),
 g AS (SELECT doc_id, list_distinct(list(label)) AS labels, max(c) AS best FROM m WHERE o >= ceil({THRESHOLD}::DOUBLE * z::DOUBLE) GROUP BY 1)
 SELECT w.doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, f::BIGINT AS first_word, l::BIGINT AS last_word,

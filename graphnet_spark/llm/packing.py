@@ -4,7 +4,7 @@ Documents become token pieces (only those longer than a sequence are cut), and p
 capacities: tokens, documents and attention cost (the sum of squared lengths). Within a block of pieces, longest
 first, the open bin with the best score among those that keep every constraint is chosen: the weighted dot product of
 the piece with the bin's residual capacities, or the smallest residual norm. Blocks are hash partitions of bounded
-size, packed in parallel; only lengths and keys are shuffled, never tokens.
+size, packed in parallel, many to a partition where there are very many; only lengths and keys are shuffled, never tokens.
 """
 
 from __future__ import annotations
@@ -23,8 +23,8 @@ from .common import extended, map_texts, stored, table
 
 #: Tokens of a sequence, and the id that ends each document.
 CAPACITY, END_ID = 2048, 0
-#: Pieces of one block. A block leaves less than one sequence's worth of room on the whole.
-BLOCK = 8192
+#: Pieces of one block, which leaves less than one sequence's worth of room on the whole, and partitions at most.
+BLOCK, PARTITIONS = 8192, 10_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -112,7 +112,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, max_docs: int | None = Non
     Without max_docs or max_cost those capacities are the largest that a sequence of this many tokens can need.
     """
     docs_limit, cost_limit = max_docs or capacity, max_cost or capacity * capacity
-    blocks = max(1, -(-pieces.filter(F.col("length") < capacity).count() // BLOCK))
+    blocks = min(PARTITIONS, max(1, -(-pieces.filter(F.col("length") < capacity).count() // BLOCK)))
     names = [*pieces.columns, "sequence_id", "offset"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,7 +144,8 @@ def op9_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The packing of all documents.
 
     A null text is empty and holds the end id alone; repeated rows are packed as often as they occur; an empty table
-    gives no rows; other columns are ignored. The document and attention capacities are the largest that can be needed:
+    gives no rows; other columns are ignored. Very long texts are encoded in whole and cut. Of equal lengths, the smaller
+    doc_id and piece is placed first; of equal scores, the sequence that was opened first is taken. The document and attention capacities are the largest that can be needed:
     they only weigh in the choice of a sequence and never turn a piece away that has room in tokens.
     """
     return pack(stored(token_pieces(table(spark, sf_dir, "documents")), "pieces"))

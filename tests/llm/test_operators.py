@@ -338,11 +338,26 @@ def test_license_join_is_exact(spark):
     pool = "released under the mit license this work is of gnu version".split()
     texts = [" ".join(pool[(k * j) % len(pool)] for j in range(1, 2 + k % 9)) + "\n" + prose(k, 5) for k in range(60)]
     d = spark.createDataFrame([(k, 0, t) for k, t in enumerate(texts)], "doc_id long, tag long, text string")
-    got = {(r["doc_id"], r["line"], r["template"]) for r in licenses.template_lines(d).collect()}
-    want = {(k, n, i) for k, t in enumerate(texts) for n, line in enumerate(t.split("\n")) for i, (body, _) in enumerate(licenses.TEMPLATES) if len(set(line.split()) & set(body.split())) >= 0.8 * len(set(body.split())) - 1e-9}
+    got = {(r["doc_id"], r["line"], r["template"]) for r in licenses.template_blocks(d).collect()}
+    block = lambda t, n: " ".join(t.split("\n")[n : n + licenses.LINES]).split()
+    want = {(k, n, i) for k, t in enumerate(texts) for n in range(t.count("\n") + 1) for i, (body, _) in enumerate(licenses.TEMPLATES) if len(set(block(t, n)) & set(body.split())) >= 0.8 * len(set(body.split())) - 1e-9}
     assert got == want and want
 
 
+def test_wrapped_notices_are_found(spark):
+    notices = {
+        "bsd": "# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that",
+        "mpl-2.0": "/* This Source Code Form is subject to the terms of the Mozilla\n * Public License, v. 2.0. If a copy */",
+        "isc": "Permission to use, copy, modify, and/or distribute this software\nfor any purpose with or without fee\nis hereby granted, provided",
+        "gpl,gpl-3.0": "this work is licensed\nunder the GNU General\nPublic License version 3",
+        "gpl": "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 2",
+    }
+    texts = [prose(k, 30) + "\n\n" + t + "\n" + prose(k + 9, 30) for k, t in enumerate(notices.values())] + [prose(77, 400).replace(" is ", "\nis\n")]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["labels"] for r in licenses.scan(d).collect()}
+    assert [got[k] for k in range(len(texts))] == [*notices, ""]
+
+
 def test_window_dedup(spark, sf, docs):
     out = by_id(Q["op8_window_dedup"](spark, sf(documents=docs)))
     seen, done = set(), set()
