@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import packed_texts
+from .common import merged_by_key, packed_texts
 
 #: Rows of the sketch, and as powers of two the least and most cells of a row and the cells of a slice. The merged sketch is
 #: one bit a cell: at most 64 MB a row.
@@ -134,11 +134,11 @@ def sketch_size(docs: DataFrame, bytes_per_item: int) -> int:
     return min(MOST_CELLS, max(LEAST_CELLS, math.ceil(math.log2(1 + ROOM * n / bytes_per_item))))
 
 
-def add(total: dict[int, np.ndarray], part: int, blob: bytes) -> None:
+def add(counts: np.ndarray, blob: bytes) -> np.ndarray:
     """Adds a sparse slice, cells doubled plus one where the count is two or more, to saturating counts."""
     x = np.frombuffer(blob, "<u4")
-    counts = total.setdefault(part, np.zeros(1 << SLICE, np.uint8))
     counts[x >> 1] = np.minimum(counts[x >> 1] + (x & 1) + 1, 2)
+    return counts
 
 
 def sparse(counts: np.ndarray) -> bytes:
@@ -176,26 +176,18 @@ def sketch_items(docs: DataFrame, items: Callable[[pa.RecordBatch], Iterator[np.
         if size:
             yield from flush()
 
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[tuple[int, int], np.ndarray] = {}
-        for batch in batches:
-            for s, p, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                add(total, (s, p), blob)
-        for (s, p), counts in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([p], pa.int32()), pa.array([sparse(counts)], pa.binary())], names=["slice", "part", "cells"])
+    def partial(key: tuple, counts: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([sparse(counts)], pa.binary())], names=["slice", "part", "cells"])
 
-    def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for s, blob in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                add(total, s, blob)
-        for s, counts in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([np.packbits(counts > 1, bitorder="little").tobytes()], pa.binary())], names=["slice", "bits"])
+    def last(key: tuple, counts: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([np.packbits(counts > 1, bitorder="little").tobytes()], pa.binary())], names=["slice", "bits"])
 
-    merged = docs.mapInArrow(count, schema).repartition("slice", "part").mapInArrow(merge, schema)
+    start, own = lambda: np.zeros(1 << SLICE, np.uint8), lambda counts, row: add(counts, row["cells"])
+    merged = merged_by_key(docs.mapInArrow(count, schema), ["slice", "part"], start, own, partial, schema)
+    whole = merged_by_key(merged, ["slice"], start, own, last, "slice int, bits binary")
     bits = [np.zeros(1 << (width - 3), np.uint8) for _ in range(DEPTH)]
     size = 1 << (SLICE - 3)
-    for r in merged.repartition("slice").mapInArrow(last, "slice int, bits binary").toArrow().to_pylist():
+    for r in whole.toLocalIterator():  # the sketch, of bounded size
         row, at = divmod(r["slice"], 1 << (width - SLICE))
         bits[row][at * size : (at + 1) * size] = np.frombuffer(r["bits"], np.uint8)
     return Sketch(bits, width)

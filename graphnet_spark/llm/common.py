@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import ctypes.util
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import pyarrow as pa
 import zstandard
@@ -121,4 +124,31 @@ def slices(batch: pa.RecordBatch, limit: int = 1 << 24) -> Iterator[pa.RecordBat
     step = max(1, min(n, n * limit // max(1, batch.nbytes)))
     for at in range(0, n, step):
         yield batch.slice(at, step)
-    pa.default_memory_pool().release_unused()  # idle workers would keep it
+    give_back()
+
+
+def give_back() -> None:
+    """Returns freed memory to the system, which workers that wait for their next task would keep."""
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.util.find_library("c")
+    if libc and hasattr(c := ctypes.CDLL(libc), "malloc_trim"):
+        c.malloc_trim(0)
+
+
+def merged_by_key(rows: DataFrame, keys: list[str], start: Callable[[], Any], add: Callable[[Any, dict], Any], finish: Callable[[tuple, Any], pa.RecordBatch], schema: str) -> DataFrame:
+    """Folds the rows of each key, one key at a time, whatever number of keys a task holds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, total = None, None
+        for batch in batches:
+            for part in slices(batch, 1 << 22):
+                for row in part.to_pylist():
+                    if (key := tuple(row[k] for k in keys)) != last:
+                        if last is not None:
+                            yield finish(last, total)
+                        last, total = key, start()
+                    total = add(total, row)
+        if last is not None:
+            yield finish(last, total)
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)

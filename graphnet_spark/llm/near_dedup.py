@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .anchors import mix64, poly
-from .common import discard, packed_texts, slices, stored, table, unpacked
+from .common import discard, merged_by_key, packed_texts, slices, stored, table, unpacked
 from .graph import components, merged
 
 #: Words of a shingle, least similarity, bands and samples of a band: a pair at the threshold is missed once in 2,700.
@@ -92,13 +92,14 @@ def packed(counts: np.ndarray) -> bytes:
     return kind + zstandard.ZstdCompressor(level=1).compress(body)
 
 
-def add(total: np.ndarray, blob: bytes) -> None:
+def add(total: np.ndarray, blob: bytes) -> np.ndarray:
     kind, body = blob[:1], zstandard.ZstdDecompressor().decompress(blob[1:])
     if kind == b"s":
         at, n = np.frombuffer(body, "<u8").reshape(2, -1)
         total[at.astype(np.int64)] += n
     else:
         total += np.frombuffer(body, f"<u{kind.decode()}")
+    return total
 
 
 class Frequencies:
@@ -139,14 +140,6 @@ def frequencies(docs: DataFrame) -> Frequencies:
     def one(s: int, g: int, blob: bytes, documents: int = 0) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([g], pa.int32()), pa.array([blob], pa.binary()), pa.array([documents], pa.int64())], names=["slice", "part", "cells", "items"])
 
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[tuple[int, int], np.ndarray] = {}
-        for batch in batches:
-            for s, g, blob, _ in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                add(total.setdefault((s, g), np.zeros(1 << SLICE, np.uint64)), blob)
-        for (s, g), counts in total.items():
-            yield one(s, g, packed(counts), int(counts.sum()))
-
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for s, _, blob, _ in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -158,8 +151,9 @@ def frequencies(docs: DataFrame) -> Frequencies:
                 yield one(s, 0, zstandard.ZstdCompressor(level=1).compress(np.minimum(255, np.round(STEPS * np.log2(own))).astype(np.uint8).tobytes()))
 
     schema = "slice int, part int, cells binary, items long"
-    first = docs.select("text").mapInArrow(count, schema).repartition("slice", "part").mapInArrow(merge, schema)
-    last = stored(first.withColumn("part", F.lit(0)).repartition("slice").mapInArrow(merge, schema), "frequencies")
+    start, own = lambda: np.zeros(1 << SLICE, np.uint64), lambda total, row: add(total, row["cells"])
+    first = merged_by_key(docs.select("text").mapInArrow(count, schema), ["slice", "part"], start, own, lambda key, counts: one(*key, packed(counts)), schema)
+    last = stored(merged_by_key(first, ["slice"], start, own, lambda key, counts: one(key[0], 0, packed(counts), int(counts.sum())), schema), "frequencies")
     items = (last.agg(F.sum("items")).first()[0] or 0) / DEPTH
     codes = [np.zeros(1 << width, np.uint8) for _ in range(DEPTH)]
     for r in last.mapInArrow(coded, schema).toLocalIterator():  # the sketch, of bounded size
