@@ -273,6 +273,26 @@ def trace_winner(spark, sf):
     return forward.trace_winners(links(spark, sf), ["neuron"])
 
 
+#: 64 inputs, three aggregate neurons (roles follow the input's number) and a TANH output.
+MIXED = network.Network(
+    64, 1, [network.Neuron(0.1, "MINIMUM"), network.Neuron(-0.1, "MAXIMUM"), network.Neuron(0.2, "IF"), network.Neuron(0.3, "TANH")],
+    [(i, 64 + i % 2, ((i * 7) % 11 - 5) / 10, 0) for i in range(64)] + [(i, 66, ((i * 5) % 11 - 5) / 10, i % 4) for i in range(64)] + [(64 + k, 67, 0.5 - 0.25 * k, 0) for k in range(3)],
+)
+
+
+@query(f"""
+WITH x AS (SELECT vec_id, i, embedding[i + 1]::DOUBLE * ((i * 7) % 11 - 5) / 10 AS v, embedding[i + 1]::DOUBLE * ((i * 5) % 11 - 5) / 10 AS u FROM embeddings, (SELECT unnest(range(0, 64)) AS i)),
+f AS (SELECT vec_id, min(v) FILTER (i % 2 = 0) + 0.1::DOUBLE AS a, arg_min(i // 2, (v, i)) FILTER (i % 2 = 0) AS aw, max(v) FILTER (i % 2 = 1) - 0.1::DOUBLE AS b, arg_min(i // 2, (-v, i)) FILTER (i % 2 = 1) AS bw,
+ sum(u) FILTER (i % 4 = 1) > 0 AS yes, sum(u) FILTER (i % 4 IN (0, 3)) AS p, sum(u) FILTER (i % 4 = 2) AS n FROM x GROUP BY 1),
+g AS (SELECT *, (CASE WHEN yes THEN p ELSE n END) + 0.2::DOUBLE AS c FROM f), h AS (SELECT *, 0.3::DOUBLE + a * 0.5 + b * 0.25 AS s FROM g)
+SELECT vec_id, idx, {n6('value')} AS value, {n6('hint')} AS hint, info::BIGINT AS info FROM (
+SELECT vec_id, 64 AS idx, a AS value, a AS hint, aw AS info FROM h UNION ALL SELECT vec_id, 65, b, b, bw FROM h UNION ALL SELECT vec_id, 66, c, c, CASE WHEN yes THEN 1 ELSE 0 END FROM h UNION ALL SELECT vec_id, 67, tanh(s), s, 0 FROM h)""")
+def net_trace(spark, sf):
+    """Values, hints, winners and branches of every neuron of every record."""
+    d = forward.traced(MIXED, table(spark, sf, "embeddings"), "vec_id", "embedding").filter("idx >= 64")
+    return d.select("vec_id", "idx", r6("value").alias("value"), r6("hint").alias("hint"), F.col("info").cast("long").alias("info"))
+
+
 # ---- accumulators
 
 ITEMS = "(SELECT l_partkey % 50 AS synapse, l_discount - 5e-2 AS act, l_tax * 10e0 - 4e-1 AS target, 5e-1 AS weight FROM lineitem)"
@@ -382,12 +402,11 @@ def fused_split(spark, sf):
 
 # ---- topologies: 1 % of suppliers' keys number the graphs, lines are edges among 12 nodes, 3 of them inputs
 
-EDGES = "(SELECT l_orderkey % 500 AS topology_id, row_number() OVER (PARTITION BY l_orderkey % 500 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) - 1 AS pos, l_partkey % 12 AS from_idx, l_suppkey % 12 AS to_idx, l_linenumber % 4 AS role FROM lineitem WHERE l_orderkey < {limit})"
-FEW, MANY = EDGES.format(limit=3000), EDGES.format(limit=2000000000)
+EDGES = "(SELECT l_orderkey % 500 AS topology_id, row_number() OVER (PARTITION BY l_orderkey % 500 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) - 1 AS pos, l_partkey % 12 AS from_idx, l_suppkey % 12 AS to_idx, l_linenumber % 4 AS role FROM lineitem)"
 
 
 def edges(spark: SparkSession, sf: str) -> DataFrame:
-    """Edges from every row of lineitem. The SQL of four queries (FEW) still reads orders below 3000 only."""
+    """Edges from every row of lineitem."""
     from pyspark.sql import Window as W
 
     l = table(spark, sf, "lineitem")
@@ -416,7 +435,7 @@ def coded(d: DataFrame, at: str) -> DataFrame:
     return d.select("topology_id", F.col("code").cast("long").alias("code"), F.col(at).cast("long").alias(at))
 
 
-@query(VALIDATE.format(e=FEW))
+@query(VALIDATE.format(e=EDGES))
 def topo_validate(spark, sf):
     return coded(topology.validate_order(edges(spark, sf)), "pos")
 
@@ -424,7 +443,7 @@ def topo_validate(spark, sf):
 SORTED = "(SELECT topology_id, row_number() OVER (PARTITION BY topology_id ORDER BY from_idx, to_idx, pos) - 1 AS pos, from_idx, to_idx FROM {e} WHERE from_idx < to_idx)"
 
 
-@query(VALIDATE.format(e=SORTED.format(e=MANY)))
+@query(VALIDATE.format(e=SORTED.format(e=EDGES)))
 def topo_validate_batch(spark, sf):
     """Edges in order, so that only repeated ones are at fault."""
     from pyspark.sql import Window as W
@@ -435,7 +454,7 @@ def topo_validate_batch(spark, sf):
 
 
 @query(f"""
-WITH e AS (SELECT * FROM {FEW}), t AS (SELECT DISTINCT topology_id FROM e), i AS (SELECT unnest(range(0, 12)) AS k)
+WITH e AS (SELECT * FROM {EDGES}), t AS (SELECT DISTINCT topology_id FROM e), i AS (SELECT unnest(range(0, 12)) AS k)
 SELECT topology_id, a.k AS from_idx, b.k AS to_idx FROM t, i a, i b WHERE a.k < b.k AND b.k >= 3 AND b.k <> 5
 AND NOT EXISTS (SELECT 1 FROM e WHERE e.topology_id = t.topology_id AND e.from_idx = a.k AND e.to_idx = b.k)""")
 def topo_free_slots(spark, sf):
@@ -449,7 +468,7 @@ UP = "(SELECT * FROM {e} WHERE to_idx >= 3 AND to_idx <> 5)"
 
 
 @query(f"""
-WITH e AS (SELECT * FROM {UP.format(e=MANY)} WHERE topology_id % 3 > 0 UNION ALL SELECT * FROM {MANY} WHERE topology_id % 3 = 0), t AS (SELECT DISTINCT topology_id FROM e),
+WITH e AS (SELECT * FROM {UP.format(e=EDGES)} WHERE topology_id % 3 > 0 UNION ALL SELECT * FROM {EDGES} WHERE topology_id % 3 = 0), t AS (SELECT DISTINCT topology_id FROM e),
 n AS (SELECT topology_id, k AS idx FROM t, (SELECT unnest(range(3, 12)) AS k)),
 f AS (SELECT topology_id, to_idx AS idx, count(*) AS fed, bool_or(role = 1) AS c, bool_or(role IN (0, 3)) AS p, bool_or(role = 2) AS g FROM e GROUP BY 1, 2),
 u AS (SELECT topology_id, from_idx AS idx, count(*) AS used FROM e GROUP BY 1, 2),
@@ -466,15 +485,15 @@ def topo_structure(spark, sf):
 
 
 @query(f"""
-WITH RECURSIVE e AS (SELECT DISTINCT topology_id, from_idx, to_idx FROM {FEW} WHERE from_idx >= 3 AND to_idx >= 3),
+WITH RECURSIVE e AS (SELECT DISTINCT topology_id, from_idx, to_idx FROM {EDGES} WHERE from_idx >= 3 AND to_idx >= 3),
 r(topology_id, a, b) AS (SELECT topology_id, from_idx, to_idx FROM e UNION SELECT r.topology_id, r.a, e.to_idx FROM r JOIN e ON e.topology_id = r.topology_id AND e.from_idx = r.b)
-SELECT topology_id, CAST(max(CASE WHEN a = b THEN 1 ELSE 0 END) AS BIGINT) AS cyclic FROM (SELECT DISTINCT topology_id FROM {FEW}) LEFT JOIN r USING (topology_id) GROUP BY topology_id""")
+SELECT topology_id, CAST(max(CASE WHEN a = b THEN 1 ELSE 0 END) AS BIGINT) AS cyclic FROM (SELECT DISTINCT topology_id FROM {EDGES}) LEFT JOIN r USING (topology_id) GROUP BY topology_id""")
 def topo_cycles(spark, sf):
     e = edges(spark, sf)
     return topology.cycles(e, shapes(e)).select("topology_id", F.col("cyclic").cast("long").alias("cyclic"))
 
 
-@query(f"SELECT topology_id, true AS complete, true AS ordered FROM (SELECT DISTINCT topology_id FROM {FEW} WHERE from_idx < to_idx)")
+@query(f"SELECT topology_id, true AS complete, true AS ordered FROM (SELECT DISTINCT topology_id FROM {EDGES} WHERE from_idx < to_idx)")
 def topo_reverse_order(spark, sf):
     """Whether every neuron is placed, and no acyclic edge's target after its source."""
     e = edges(spark, sf).filter("from_idx < to_idx")
@@ -572,22 +591,42 @@ def stream_accumulate(spark, sf):
     return out.select("synapse", *(r6(c).alias(c) for c in accumulate.WEIGHT_SUMS))
 
 
-SMALL = network.Network(2, 1, [network.Neuron(0.1, "TANH"), network.Neuron(0.0)], [(0, 2, 0.5, 0), (1, 2, 0.3, 0), (2, 3, 1.0, 0)])
+#: 64 inputs, a TANH neuron and an IDENTITY output, for training queries.
+TRAINED = network.Network(64, 1, [network.Neuron(0.1, "TANH"), network.Neuron(0.0)], [(i, 64, (i * 7 % 11 - 5) / 10, 0) for i in range(64)] + [(64, 65, 0.5, 0)])
 
 
 def labelled(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "embeddings").select("vec_id", F.slice(F.col("embedding").cast("array<double>"), 1, 2).alias("x"), F.array(F.col("label") / 10.0).alias("t"))
+    return table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x"), F.array(F.col("label") / 10.0).alias("t"))
 
 
-@query()
+#: The seven sums of items (kind, id, act, goal), where a goal within 1e-7 of 0 counts as 1e-7.
+ITEM_SUMS = """SELECT kind, id, count(*)::DOUBLE AS count, sum(CASE WHEN act > 1e-7 THEN act ELSE 0 END) AS pos_act, sum(CASE WHEN act < -1e-7 THEN -act ELSE 0 END) AS neg_act,
+ sum(CASE WHEN act > 1e-7 THEN 1 ELSE 0 END)::DOUBLE AS count_pos, sum(CASE WHEN act < -1e-7 THEN 1 ELSE 0 END)::DOUBLE AS count_neg,
+ sum(CASE WHEN act > 1e-7 THEN v ELSE 0 END) AS pos_adj, sum(CASE WHEN act < -1e-7 THEN v ELSE 0 END) AS neg_adj
+ FROM (SELECT *, CASE WHEN abs(goal) > 1e-7 THEN goal ELSE 1e-7 * sign(goal) END AS v FROM items WHERE abs(act) > 1e-7) GROUP BY 1, 2"""
+
+
+@query(f"""
+WITH x AS (SELECT vec_id, label / 10e0 AS t, i, embedding[i + 1]::DOUBLE AS x, (i * 7 % 11 - 5) / 10e0 AS w FROM embeddings, (SELECT unnest(range(0, 64)) AS i)),
+f AS (SELECT vec_id, t, 1e-1 + sum(x * w) AS s, sum(x * x) AS q, sum(CASE WHEN abs(x) > 1e-7 THEN x * w ELSE 0 END) AS pulled FROM x GROUP BY 1, 2),
+o AS (SELECT *, tanh(s) AS h, CASE WHEN abs(t - tanh(s) / 2) < 1e-6 THEN 0 ELSE least(greatest(t - tanh(s) / 2, -100), 100) END AS e FROM f WHERE abs(t - tanh(s) / 2) >= 1e-7),
+z AS (SELECT *, CASE WHEN e = 0 THEN 1 WHEN abs(s) <= 2 THEN 1 WHEN (s > 2 AND e < 0) OR (s < -2 AND e > 0) THEN 0.2 WHEN abs(s) <= 6 THEN 1 - (abs(s) - 2) / 4 ELSE 0 END AS safe FROM o),
+g AS (SELECT *, least(greatest((h / 2 + e) / 0.5, -1), 1) AS goal FROM z WHERE abs(e) > 1e-7 AND safe > 0),
+k AS (SELECT *, CASE WHEN abs(goal - h) < 1e-6 THEN 0 WHEN 1 - h * h > 1e-8 THEN least(greatest((goal - h) / (1 - h * h), -100), 100)
+ ELSE least(greatest((CASE WHEN abs(goal) >= 0.9999999 THEN s ELSE 0.5 * ln((1 + goal) / (1 - goal)) END) - s, -100), 100) END AS err FROM g WHERE abs(goal - h) >= 1e-7),
+items AS (SELECT 'edge' AS kind, i AS id, x AS act, x * w + err * x * x / q AS goal FROM x JOIN k USING (vec_id) UNION ALL SELECT 'edge', 64, h, h / 2 + e FROM o),
+n AS (SELECT 'neuron' AS kind, 65 AS id, count(*)::DOUBLE AS c, sum(t - (CASE WHEN abs(h) > 1e-7 THEN h / 2 ELSE 0 END)) AS b FROM o
+ UNION ALL SELECT 'neuron', 64, count(*)::DOUBLE, sum(0.1 + ((CASE WHEN abs(goal) >= 0.9999999 THEN s ELSE 0.5 * ln((1 + goal) / (1 - goal)) END) - (0.1 + pulled))) FROM k)
+SELECT kind, id, {', '.join(f'{n6(c)} AS {c}' for c in accumulate.WEIGHT_SUMS)} FROM ({ITEM_SUMS}
+ UNION ALL SELECT kind, id, c, b, b, 0, 0, 0, 0 FROM n)""")
 def backprop_step(spark, sf):
-    out = backprop.backward(SMALL, labelled(spark, sf), "x", "t")
-    return out.select("kind", "id", *(r6(c).alias(c) for c in accumulate.WEIGHT_SUMS))
+    out = backprop.backward(TRAINED, labelled(spark, sf), "vec_id", "x", "t")
+    return out.select("kind", F.col("id").cast("long").alias("id"), *(r6(c).alias(c) for c in accumulate.WEIGHT_SUMS))
 
 
 @query()
 def pc_settle(spark, sf):
-    out = predictive.infer(SMALL, labelled(spark, sf), "vec_id", "x", "t")
+    out = predictive.infer(TRAINED, labelled(spark, sf), "vec_id", "x", "t")
     return out.select("vec_id", r6("energy").alias("energy"), "steps", "converged")
 
 

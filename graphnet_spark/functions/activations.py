@@ -184,10 +184,10 @@ def error_sql(name: str, activation: str, target: str, value: str, inverse: str
     return f"(CASE WHEN abs({raw}) < 1e-6 OR NOT {finite(out)} THEN 0e0 ELSE {clamp(out, '-1e2', '1e2')} END)"
 
 
-def by_code(code: str, of) -> str:
-    """A dispatch over a column of codes; of(name) gives the expression of one function."""
-    cases = " ".join(f"WHEN {k} THEN {of(a.name)}" for k, a in enumerate(ACTIVATIONS))
-    return f"(CASE {code} {cases} ELSE {of('IDENTITY')} END)"
+def by_code(code: str, of, names=None) -> str:
+    """A dispatch over a column of codes; of(name) gives the expression of one function. names: those that can occur, if known."""
+    cases = " ".join(f"WHEN {k} THEN {of(a.name)}" for k, a in enumerate(ACTIVATIONS) if names is None or a.name in names)
+    return f"(CASE {code} {cases} ELSE {of('IDENTITY')} END)" if cases else f"({of('IDENTITY')})"
 
 
 def squash(name: str, x: str = "x") -> Column:
@@ -213,22 +213,41 @@ def safe_zone(name: str, x: str = "x", error: str = "error", weight: str = "weig
     return F.expr(safe_sql(name, x, error, weight))
 
 
-def newton_inverse(name: str, y: str = "y", rounds: int = 60) -> Column:
-    """The inverse of a function without a closed one, by damped Newton steps that stay within ±20 of zero."""
+def newton_sql(name: str, y: str, hint: str = "CAST(NULL AS DOUBLE)", rounds: int = 60) -> str:
+    """The inverse of a function without a closed one, by damped Newton steps from the hint, or from y without one."""
     fx, dx = _of(name).forward, _of(name).slope
-    move = f"({fx.format(x='(a)')} - {y}) / (CASE WHEN abs({dx.format(x='(a)')}) < 1e-6 THEN 1e-6 ELSE {dx.format(x='(a)')} END)"
-    return F.expr(f"aggregate(sequence(1, {rounds}), CAST({y} AS DOUBLE), (a, i) -> a - {clamp(move, '-2e0', '2e0')})")
+    move = f"({fx.format(x='(a)')} - ({y})) / (CASE WHEN abs({dx.format(x='(a)')}) < 1e-6 THEN 1e-6 ELSE {dx.format(x='(a)')} END)"
+    start = f"(CASE WHEN {finite(hint)} THEN {hint} ELSE {y} END)"
+    return f"aggregate(sequence(1, {rounds}), CAST({start} AS DOUBLE), (a, i) -> a - {clamp(move, '-2e0', '2e0')})"
 
 
-def nearest_periodic(name: str, y: str, hint: str) -> Column:
-    """The solution of sin(x) = y or cos(x) = y that is nearest to the hint, the first one among equals."""
-    turn = f"(sign({hint}) * floor(abs({hint}) / (2e0 * {PI}) + 5e-1))"
-    if name == "SINE":
-        first, second = f"asin({y})", f"({PI} - asin({y}))"
-    else:
-        first, second = f"acos({y})", f"(-acos({y}))"
+def newton_inverse(name: str, y: str = "y", hint: str = "CAST(NULL AS DOUBLE)", rounds: int = 60) -> Column:
+    return F.expr(newton_sql(name, y, hint, rounds))
+
+
+def periodic_sql(name: str, y: str, hint: str) -> str:
+    """The solution of sin(x) = y or cos(x) = y that is nearest to the hint (or 0), the first one among equals."""
+    h, v = f"(CASE WHEN {finite(hint)} THEN {hint} ELSE 0e0 END)", clamp(y, "-1e0", "1e0")
+    turn = f"(sign({h}) * floor(abs({h}) / (2e0 * {PI}) + 5e-1))"
+    first, second = (f"asin({v})", f"({PI} - asin({v}))") if name == "SINE" else (f"acos({v})", f"(-acos({v}))")
     all_ = ", ".join(f"{s} + ({turn} + {i}e0) * 2e0 * {PI}" for i in (0, -1, 1) for s in (first, second))
-    return F.expr(f"array_min(transform(array({all_}), (c, i) -> named_struct('d', abs(c - ({hint})), 'i', i, 'c', c))).c")
+    return f"array_min(transform(array({all_}), (c, i) -> named_struct('d', abs(c - ({h})), 'i', i, 'c', c))).c"
+
+
+def nearest_periodic(name: str, y: str, hint: str) -> Column:
+    return F.expr(periodic_sql(name, y, hint))
+
+
+def any_inverse_sql(name: str, y: str, hint: str) -> str:
+    """The inverse of any activation: closed, periodic or by iteration."""
+    if _of(name).inverse:
+        return inverse_sql(name, y, hint)
+    return periodic_sql(_of(name).name, y, hint) if _of(name).name in PERIODIC else newton_sql(name, y, hint)
+
+
+def any_error_sql(name: str, activation: str, target: str, value: str) -> str:
+    """error_sql of any activation; the value is the hint of its inverse."""
+    return error_sql(name, activation, target, value, None if _of(name).inverse else any_inverse_sql(name, target, value))
 
 
 def dimension(spark: SparkSession) -> DataFrame:

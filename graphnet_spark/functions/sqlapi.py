@@ -12,13 +12,13 @@ PREFIX = "net_"
 def bodies() -> dict[str, tuple[str, str, str]]:
     """name: (parameters, result type, body). Codes number the activations; one that is not known means IDENTITY."""
     bounds = lambda side: A.by_code("code", lambda n: f"CAST({getattr(A.ACTIVATIONS[A.CODES[n]], side)} AS DOUBLE)")
-    closed = lambda n: A.inverse_sql(n, "y", "hint") if A.ACTIVATIONS[A.CODES[n]].inverse else "CAST(NULL AS DOUBLE)"
     valid = lambda n: f"({A.finite('x')} AND x >= {A.ACTIVATIONS[A.CODES[n]].low} AND x <= {A.ACTIVATIONS[A.CODES[n]].high})"
     return {
         "squash": ("code BIGINT, x DOUBLE", "DOUBLE", A.by_code("code", lambda n: A.forward_sql(n, "x"))),
         "derivative": ("code BIGINT, x DOUBLE", "DOUBLE", A.by_code("code", lambda n: A.slope_sql(n, "x"))),
-        "unsquash": ("code BIGINT, y DOUBLE, hint DOUBLE", "DOUBLE", A.by_code("code", closed)),
+        "unsquash": ("code BIGINT, y DOUBLE, hint DOUBLE", "DOUBLE", A.by_code("code", lambda n: A.any_inverse_sql(n, "y", "hint"))),
         "safe_zone": ("code BIGINT, x DOUBLE, error DOUBLE, weight DOUBLE", "DOUBLE", A.by_code("code", lambda n: A.safe_sql(n, "x", "error", "weight"))),
+        "calculate_error": ("code BIGINT, activation DOUBLE, target DOUBLE, value DOUBLE", "DOUBLE", A.by_code("code", lambda n: A.any_error_sql(n, "activation", "target", "value"))),
         "limit_range": ("code BIGINT, x DOUBLE", "DOUBLE", A.by_code("code", lambda n: A.limit_sql(n, "x"))),
         "validate_range": ("code BIGINT, x DOUBLE", "BOOLEAN", A.by_code("code", valid)),
         "range_low": ("code BIGINT", "DOUBLE", bounds("low")),
@@ -27,7 +27,7 @@ def bodies() -> dict[str, tuple[str, str, str]]:
 
 
 def register(spark: SparkSession) -> list[str]:
-    """Creates the functions for this session and returns their names. Inverses without a closed form give null."""
+    """Creates the functions for this session and returns their names."""
     for name, (parameters, result, body) in bodies().items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {PREFIX}{name}({parameters}) RETURNS {result} RETURN {body}")
     return [PREFIX + name for name in bodies()]

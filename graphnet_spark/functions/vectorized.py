@@ -52,6 +52,48 @@ FORWARD = {
     "HYPOTv2": np.abs,
 }
 
+_one = lambda x: np.ones_like(x)
+_none = lambda x: np.zeros_like(x)
+_between = lambda x, low, high: np.where((x > low) & (x < high), 1.0, 0.0)
+SLOPE = {
+    "IDENTITY": _one,
+    "RELU": lambda x: np.where(x > 0, 1.0, 0.0),
+    "ReLU6": lambda x: _between(x, 0, 6),
+    "LeakyReLU": lambda x: np.where(x >= 0, 1.0, 0.01),
+    "SELU": lambda x: 1.050701 * np.where(x >= 0, 1.0, 1.6732632 * _exp(np.minimum(x, 0))),
+    "ELU": lambda x: np.where(x > 0, 1.0, _exp(np.minimum(x, 0))),
+    "LOGISTIC": lambda x: _sig(x) * (1 - _sig(x)),
+    "TANH": lambda x: 1 - np.tanh(x) ** 2,
+    "HARD_TANH": lambda x: _between(x, -1, 1),
+    "SOFTSIGN": lambda x: (1 + np.abs(x)) ** -2.0,
+    "Softplus": _sig,
+    "Swish": lambda x: _sig(x) * (1 + x * (1 - _sig(x))),
+    "Mish": lambda x: np.maximum(0, np.tanh(_soft(x)) + x * _sig(x) * (1 - np.tanh(_soft(x)) ** 2)),
+    "GELU": lambda x: 0.5 * (1 + _norm(x)) + 0.5 * x * (1 - _norm(x) ** 2) * 0.7978845608028654 * (1 + 0.134145 * x * x),
+    "SINE": np.cos,
+    "Cosine": lambda x: -np.sin(x),
+    "TAN": lambda x: np.minimum(1 + np.tan(x) ** 2, 1000),
+    "ArcTan": lambda x: 1 / (1 + x * x),
+    "GAUSSIAN": lambda x: -2 * x * np.exp(-(x * x)),
+    "BENT_IDENTITY": lambda x: x / (2 * np.sqrt(x * x + 1)) + 1,
+    "BIPOLAR_SIGMOID": lambda x: (1 - (2 * _sig(x) - 1) ** 2) / 2,
+    "STEP": lambda x: np.where(np.abs(x) < 0.01, 0.01, 0.0),
+    "COMPLEMENT": lambda x: -np.ones_like(x),
+    "ABSOLUTE": np.sign,
+    "SQUARE": lambda x: 2 * x,
+    "Cube": lambda x: 3 * x * x,
+    "SQRT": lambda x: np.where(x > 0, 1 / (2 * np.sqrt(np.maximum(x, 1e-300))), 0.0),
+    "StdInverse": lambda x: -np.sign(x) / (1 + np.abs(x)) ** 2,
+    "Exponential": lambda x: np.minimum(np.where(x > 10, 50.0, _exp(np.minimum(x, 10))), 50),
+    "LogSigmoid": lambda x: np.clip(1 - _sig(x), 1e-6, 1),
+    "ISRU": lambda x: (1 + x * x) ** -1.5,
+}
+
+
+def slope(name: str, x: np.ndarray) -> np.ndarray:
+    """The derivative; 0 for the kinds that have none."""
+    return SLOPE.get(ACTIVATIONS[ALIASES[name]].name, _none)(x)
+
 
 @lru_cache
 def bounds(name: str) -> tuple[float, float]:
@@ -67,4 +109,6 @@ def apply(name: str, x: np.ndarray) -> np.ndarray:
 
 def limit(name: str, x: np.ndarray) -> np.ndarray:
     low, high = bounds(name)
-    return np.clip(np.where(np.isnan(x), 0.0, x), low, high)
+    if not np.isfinite(x.sum()):  # one pass tells that there is no NaN
+        x = np.where(np.isnan(x), 0.0, x)
+    return np.clip(x, low, high)

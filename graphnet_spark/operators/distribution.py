@@ -11,7 +11,7 @@ from ..functions.activations import finite
 PLANK = 1e-12
 
 
-def elastic_split(links: DataFrame, neuron: str, plank: float = PLANK) -> DataFrame:
+def elastic_split(links: DataFrame, neuron: str | list[str], plank: float = PLANK) -> DataFrame:
     """links (neuron, ord, activation, safe, weight, error) with share.
 
     Shares follow activation squared times the safe factor; without any, weight squared; without that, they are equal.
@@ -31,7 +31,7 @@ def elastic_split(links: DataFrame, neuron: str, plank: float = PLANK) -> DataFr
     return d.select(*links.columns, share.alias("share"))
 
 
-def fused_split(links: DataFrame, neuron: str, error: Column, safe: Column, plank: float = PLANK) -> DataFrame:
+def fused_split(links: DataFrame, neuron: str | list[str], error: Column, safe: Column, plank: float = PLANK) -> DataFrame:
     """links (neuron, ord, activation, weight) with error, safe and share: error and saturation first, then the split.
 
     An error of 0 has factors 1 and shares 0.

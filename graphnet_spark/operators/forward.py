@@ -12,14 +12,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import vectorized
 from ..functions.activations import by_code, CODES, forward_sql, limit_sql
+from ..plans.storage import stored
 from .network import CONDITION, NEGATIVE, Network
 
 #: Records that are evaluated at once.
-RECORDS = 1024
+RECORDS = 2048
 #: Kinds of neurons whose value is an aggregate other than a sum.
 AGGREGATES = ("MINIMUM", "MAXIMUM", "IF", "HYPOT", "HYPOTv2", "MEAN")
 
@@ -42,30 +44,57 @@ def node_value() -> Column:
     return F.struct(plain.alias("plain"), special.alias("special"))
 
 
-def aggregate_nodes(edges: DataFrame, keys: list[str]) -> DataFrame:
-    """keys and value, from rows (keys, v, role, bias, code): v is null where a neuron has no edge."""
-    g = edges.groupBy(*keys).agg(node_value().alias("n"))
-    g = g.select(*keys, "n.special", F.col("n.plain.x").alias("x"), F.col("n.plain.code").alias("code"))
-    g = g.withColumn("raw", F.coalesce("special", F.expr(by_code("code", lambda name: forward_sql(name, "x")))))
-    return g.select(*keys, F.expr(by_code("code", lambda name: limit_sql(name, "raw"))).alias("value"))
+def aggregate_nodes(edges: DataFrame, keys: list[str], names: set[str] | None = None, trace: bool = False) -> DataFrame:
+    """keys and value, from rows (keys, v, role, bias, code): v is null where a neuron has no edge. names: activations that occur.
+
+    With trace, rows have ord, the edge's place among the neuron's, and hint and info are added: the sum before the activation
+    (the value of an aggregate neuron), and the winning edge of MINIMUM and MAXIMUM, 1 or 0 for the branch of IF, else 0.
+    """
+    info = []
+    if trace:
+        condition = F.coalesce(F.sum(F.when(F.col("role") == CONDITION, F.col("v"))), F.lit(0.0))
+        info = [F.min(F.struct("v", "ord")).alias("_low"), F.min(F.struct((-F.col("v")).alias("v"), "ord")).alias("_high"), (condition > 0).cast("int").alias("_yes")]
+    g = edges.groupBy(*keys).agg(node_value().alias("n"), *info)
+    g = g.select(*keys, "n.special", F.col("n.plain.x").alias("x"), F.col("n.plain.code").alias("code"), *(["_low", "_high", "_yes"] if trace else []))
+    g = g.withColumn("raw", F.coalesce("special", F.expr(by_code("code", lambda name: forward_sql(name, "x"), names))))
+    value = F.expr(by_code("code", lambda name: limit_sql(name, "raw"), names))
+    if not trace:
+        return g.select(*keys, value.alias("value"))
+    g = g.withColumn("value", value)
+    won = F.when(F.col("code") == CODES["MINIMUM"], F.col("_low.ord")).when(F.col("code") == CODES["MAXIMUM"], F.col("_high.ord")).when(F.col("code") == CODES["IF"], F.col("_yes"))
+    return g.select(*keys, "value", F.when(F.col("special").isNull(), F.col("x")).otherwise(F.col("value")).alias("hint"), F.coalesce(won, F.lit(0)).alias("info"))
 
 
 def relational(net: Network, records: DataFrame, key: str, inputs: str) -> DataFrame:
-    """key, idx and value of every output. One shuffle by record and neuron per level; the graph is broadcast."""
+    """key, idx and value of every output."""
+    return traced(net, records, key, inputs, trace=False).filter(F.col("idx") >= net.size - net.outputs)
+
+
+def traced(net: Network, records: DataFrame, key: str, inputs: str, trace: bool = True) -> DataFrame:
+    """key, idx and value of every node, with hint and info if traced (see aggregate_nodes; an input's hint is its value).
+
+    One shuffle by record and neuron per level; the graph is broadcast. Levels but the last are written, so that none is worked
+    out again by those above it.
+    """
     neurons, synapses = net.tables(records.sparkSession)
     neurons = neurons.withColumn("code", F.element_at(F.create_map(*(F.lit(x) for name, k in CODES.items() for x in (name, k))), F.col("squash")))
-    known = records.select(key, F.posexplode(F.slice(F.col(inputs).cast("array<double>"), 1, net.inputs)).alias("idx", "value"))
-    for level in net.levels():
+    extra = [F.col("value").alias("hint"), F.lit(0).alias("info")] if trace else []
+    known = records.select(key, F.posexplode(F.slice(F.col(inputs).cast("array<double>"), 1, net.inputs)).alias("idx", "value")).select(key, "idx", "value", *extra)
+    levels, place = net.levels(), W.partitionBy("to_idx").orderBy("ord")
+    synapses = synapses.withColumn("ord", (F.row_number().over(place) - 1).cast("int"))
+    for depth, level in enumerate(levels, 1):
+        names = {net.neurons[i - net.inputs].squash for i in level}
         here = neurons.filter(F.col("idx").isin(level))
-        in_ = synapses.filter("from_idx < to_idx").join(here.filter("NOT constant"), F.col("to_idx") == F.col("idx")).select("from_idx", F.col("to_idx").alias("t"), "weight", "role", "bias", "code")
-        rows = known.join(F.broadcast(in_), F.col("idx") == F.col("from_idx")).select(key, F.col("t").alias("idx"), (F.col("value") * F.col("weight")).alias("v"), "role", "bias", "code")
+        in_ = synapses.filter("from_idx < to_idx").join(here.filter("NOT constant"), F.col("to_idx") == F.col("idx")).select("from_idx", F.col("to_idx").alias("t"), "ord", "weight", "role", "bias", "code")
+        rows = known.join(F.broadcast(in_), F.col("idx") == F.col("from_idx")).select(key, F.col("t").alias("idx"), (F.col("value") * F.col("weight")).alias("v"), "ord", "role", "bias", "code")
         fed = {b for a, b, _, _ in net.edges if a < b}
         alone = [i for i in level if i not in fed or net.neurons[i - net.inputs].constant]
         if alone:  # neurons without edges, and constants, have one row per record
             each = F.array(*(F.struct(F.lit(i).alias("idx"), F.lit(float(net.neurons[i - net.inputs].bias)).alias("bias"), F.lit(0 if net.neurons[i - net.inputs].constant else CODES[net.neurons[i - net.inputs].squash]).alias("code")) for i in alone))
-            rows = rows.unionByName(records.select(key, F.explode(each).alias("e")).select(key, "e.idx", F.lit(None).cast("double").alias("v"), F.lit(0).alias("role"), "e.bias", "e.code"))
-        known = known.unionByName(aggregate_nodes(rows, [key, "idx"]))
-    return known.filter(F.col("idx") >= net.size - net.outputs)
+            rows = rows.unionByName(records.select(key, F.explode(each).alias("e")).select(key, "e.idx", F.lit(None).cast("double").alias("v"), F.lit(0).alias("ord"), F.lit(0).alias("role"), "e.bias", "e.code"))
+        found = aggregate_nodes(rows, [key, "idx"], names, trace)
+        known = known.unionByName(found if depth == len(levels) else stored(found))
+    return known
 
 
 def arrays(net: Network, inputs: Column) -> Column:
@@ -103,45 +132,63 @@ def _limited(name: str, v: Column) -> Column:
 
 
 def prepared(net: Network) -> list[tuple]:
-    """(neuron, sources, weights, roles) in evaluation order; edges from nodes that come later read 0 and are left out of sums."""
-    inbound = net.inbound()
-    out = []
-    for k, n in enumerate(net.neurons):
-        edges = inbound.get(net.inputs + k, [])
-        src = np.array([e[0] for e in edges], int)
-        w = np.array([e[1] if e[0] < net.inputs + k else 0.0 for e in edges])
-        out.append((n, src, w, np.array([e[2] for e in edges], int)))
+    """Groups of neurons of one level and kind: (activation, neurons, biases, edges of each), in evaluation order.
+
+    Edges of a neuron are (sources, weights, roles); those from nodes that come later read 0 and are left out of sums.
+    """
+    inbound, out = net.inbound(), []
+    for level in net.levels():
+        groups: dict[str, list[int]] = {}
+        for idx in level:
+            n = net.neurons[idx - net.inputs]
+            groups.setdefault("" if n.constant else n.squash, []).append(idx)
+        for name, own in groups.items():
+            edges = []
+            for idx in own:
+                e = inbound.get(idx, [])
+                edges.append((np.array([x[0] for x in e], int), np.array([x[1] if x[0] < idx else 0.0 for x in e]), np.array([x[2] for x in e], int)))
+            out.append((name, np.array(own), np.array([[float(net.neurons[i - net.inputs].bias)] for i in own]), edges))
     return out
 
 
 def evaluate(net: Network, x: np.ndarray, plan: list[tuple] | None = None) -> np.ndarray:
     """Values of all nodes (records, nodes) for inputs (records, inputs); missing inputs are 0.
 
-    Nodes are rows while they are worked out, so that a neuron reads and writes whole vectors.
+    Nodes are rows while they are worked out, so that a neuron reads and writes whole vectors, and the neurons of a level and
+    kind are activated at once.
     """
     values = np.zeros((net.size, len(x)))
     width = min(net.inputs, x.shape[1])
     values[:width] = x[:, :width].T
-    for i, (n, src, w, role) in enumerate(plan or prepared(net), net.inputs):
-        if n.constant:
-            raw = np.full(len(x), float(n.bias))
-        elif n.squash not in AGGREGATES:
-            raw = vectorized.apply(n.squash, w @ values[src] + n.bias) if len(src) else vectorized.apply(n.squash, np.full(len(x), float(n.bias)))
+    for name, own, bias, edges in plan or prepared(net):
+        raw = np.zeros((len(own), len(x)))
+        if name and name not in AGGREGATES:
+            for k, (src, w, _) in enumerate(edges):
+                if len(src):
+                    np.dot(w, values[src], out=raw[k])
+            raw += bias
+            raw = vectorized.apply(name, raw)
+        elif name:
+            for k, (src, w, role) in enumerate(edges):
+                raw[k] = aggregated(name, values[src] * w[:, None], role, bias[k, 0])
         else:
-            v = values[src] * w[:, None]
-            if n.squash == "HYPOTv2":
-                raw = np.sqrt(((v + n.bias) ** 2).sum(0))
-            elif not len(src):
-                raw = np.full(len(x), float(n.bias))
-            elif n.squash == "IF":
-                yes, no = v[(role != CONDITION) & (role != NEGATIVE)].sum(0), v[role == NEGATIVE].sum(0)
-                raw = np.where(v[role == CONDITION].sum(0) > 0, yes, no) + n.bias
-            else:
-                raw = {"MINIMUM": lambda: v.min(0), "MAXIMUM": lambda: v.max(0), "MEAN": lambda: v.mean(0), "HYPOT": lambda: np.sqrt((v * v).sum(0))}[n.squash]() + n.bias
-        values[i] = vectorized.limit("IDENTITY" if n.constant else n.squash, raw)
+            raw += bias
+        values[own] = vectorized.limit(name or "IDENTITY", raw)
     return values.T
 
 
+def aggregated(name: str, v: np.ndarray, role: np.ndarray, bias: float) -> np.ndarray:
+    """The value of an aggregate neuron from v (edges, records)."""
+    if name == "HYPOTv2":
+        return np.sqrt(((v + bias) ** 2).sum(0))
+    if not len(v):
+        return np.full(v.shape[1], bias)
+    if name == "IF":
+        yes, no = v[(role != CONDITION) & (role != NEGATIVE)].sum(0), v[role == NEGATIVE].sum(0)
+        return np.where(v[role == CONDITION].sum(0) > 0, yes, no) + bias
+    return {"MINIMUM": lambda: v.min(0), "MAXIMUM": lambda: v.max(0), "MEAN": lambda: v.mean(0), "HYPOT": lambda: np.sqrt((v * v).sum(0))}[name]() + bias
+
+
 def vectorised(net: Network, records: DataFrame, inputs: str, output: str = "outputs") -> DataFrame:
     """records with an array column of outputs. Whole batches go through numpy; the graph travels with the task."""
     schema = records.withColumn(output, F.array().cast("array<double>")).schema

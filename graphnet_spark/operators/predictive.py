@@ -10,18 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectorized
-from ..functions.activations import derivative
+from ..functions.activations import ALIASES, slope_sql
 from .network import Network
 
 SETTLED = "latents ARRAY<DOUBLE>, predictions ARRAY<DOUBLE>, errors ARRAY<DOUBLE>, energy DOUBLE, steps INT, converged BOOLEAN"
 
 
-def slope(name: str, x: np.ndarray) -> np.ndarray:
-    """The derivative by a central difference of the activation, for batches."""
-    h = 1e-6
-    return (vectorized.apply(name, x + h) - vectorized.apply(name, x - h)) / (2 * h)
-
-
 def settle(net: Network, x: np.ndarray, targets: np.ndarray | None, steps: int, rate: float, threshold: float) -> dict[str, np.ndarray]:
     """Latents after at most `steps` steps for each record. Errors stand still within a step; latents change one after another."""
     ni, n, inbound = net.inputs, net.size, net.inbound()
@@ -56,7 +50,7 @@ def settle(net: Network, x: np.ndarray, targets: np.ndarray | None, steps: int,
         for i in hidden:
             pull = -errors[:, i - ni]
             for b, w in outward.get(i, ()):
-                pull = pull + errors[:, b - ni] * slope(net.neurons[b - ni].squash, drive(b)) * w
+                pull = pull + errors[:, b - ni] * vectorized.slope(net.neurons[b - ni].squash, drive(b)) * w
             latents[:, i] = np.where(live, latents[:, i] + rate * pull, latents[:, i])
         predictions = np.where(live[:, None], predict(), predictions)
         errors = np.where(live[:, None], latents[:, ni:] - predictions, errors)
@@ -88,7 +82,6 @@ def gradients(connections: DataFrame, rate: float) -> DataFrame:
 
     connections has squash (one name for all rows of a call is not needed), pre (pre-activation), error and source.
     """
-    names = [r["squash"] for r in connections.select("squash").distinct().collect()]  # at most one per activation
-    slope_ = F.coalesce(*(F.when(F.col("squash") == n, derivative(n, "pre")) for n in names), F.lit(0.0))
+    slope_ = F.expr("CASE squash " + " ".join(f"WHEN '{n}' THEN {slope_sql(n, 'pre')}" for n in ALIASES) + " ELSE 0e0 END")
     d = connections.withColumn("bias_delta", rate * slope_ * F.col("error"))
     return d.withColumn("weight_delta", F.col("bias_delta") * F.col("source"))

@@ -145,12 +145,34 @@ def test_settling_lowers_energy(spark):
 
 def test_backward_moves_towards_the_target(spark):
     net = Network(1, 1, [Neuron()], [(0, 1, 0.5, 0)])
-    d = spark.createDataFrame([([1.0], [2.0])] * 3, "x array<double>, t array<double>")
-    got = {(r["kind"], r["id"]): r for r in backprop.backward(net, d, "x", "t").collect()}
+    d = spark.createDataFrame([(k, [1.0], [2.0]) for k in range(3)], "id int, x array<double>, t array<double>")
+    got = {(r["kind"], r["id"]): r for r in backprop.backward(net, d, "id", "x", "t").collect()}
     assert got["edge", 0]["count"] == 3 and got["edge", 0]["pos_act"] == 3 and got["edge", 0]["pos_adj"] == pytest.approx(6)
     assert got["neuron", 1]["pos_act"] == pytest.approx(4.5)
 
 
+@pytest.mark.parametrize("normalise", [True, False])
+def test_backward_scales_by_the_root_of_the_paths_and_asks_over_dead_weights(spark, normalise):
+    net = Network(1, 2, [Neuron(0, "TANH"), Neuron(), Neuron()], [(0, 1, 1.0, 0), (1, 2, 0.5, 0), (1, 3, 0.0, 0)])
+    d = spark.createDataFrame([(0, [0.5], [0.3, 0.01]), (1, [0.5], [float(np.tanh(0.5)) / 2, 0.0])], "id int, x array<double>, t array<double>")
+    sums, outcomes = backprop.propagate(net, d, "id", "x", "t", normalise=normalise)
+    got, h = {(r["id"], r["idx"]): r for r in outcomes.collect()}, np.tanh(0.5)
+    want = h + ((0.3 / 0.5 - h) + (1 - h)) / (np.sqrt(2) if normalise else 1)
+    assert got[0, 1]["target"] == pytest.approx(min(1, want)) and got[0, 1]["status"] == "standard"
+    assert (1, 1) not in got and got[1, 2]["status"] == got[1, 3]["status"] == "no change"
+    edges = {r["id"]: r["count"] for r in sums.filter("kind = 'edge'").groupBy("id").agg(F.sum("count").alias("count")).collect()}
+    assert edges == {0: 1, 1: 1, 2: 1}
+
+
+def test_backward_leaves_special_neurons_and_blocked_links_to_the_caller(spark):
+    net = Network(2, 1, [Neuron(0, "MAXIMUM"), Neuron()], [(0, 2, 1.0, 0), (1, 2, 1.0, 0), (2, 3, 1.0, 0), (3, 3, 9.0, 0)])
+    d = spark.createDataFrame([(0, [0.5, 0.2], [0.9])], "id int, x array<double>, t array<double>")
+    sums, outcomes = backprop.propagate(net, d, "id", "x", "t")
+    got = {r["idx"]: (r["status"], r["target"]) for r in outcomes.collect()}
+    assert got[2] == ("special", pytest.approx(0.9)) and got[3] == ("standard", pytest.approx(0.9))
+    assert {r["id"] for r in sums.filter("kind = 'edge'").collect()} == {2}
+
+
 def test_shards(spark, tmp_path):
     np.array([1, 10], "<f4").tofile(tmp_path / "0.bin")
     np.array([2, 20, 3, 30], "<f4").tofile(tmp_path / "10.bin")
