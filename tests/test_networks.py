@@ -165,12 +165,12 @@ def test_backward_scales_by_the_root_of_the_paths_and_asks_over_dead_weights(spa
 
 
 def test_backward_leaves_special_neurons_and_blocked_links_to_the_caller(spark):
-    net = Network(2, 1, [Neuron(0, "MAXIMUM"), Neuron()], [(0, 2, 1.0, 0), (1, 2, 1.0, 0), (2, 3, 1.0, 0), (3, 3, 9.0, 0)])
     d = spark.createDataFrame([(0, [0.5, 0.2], [0.9])], "id int, x array<double>, t array<double>")
-    sums, outcomes = backprop.propagate(net, d, "id", "x", "t")
-    got = {r["idx"]: (r["status"], r["target"]) for r in outcomes.collect()}
-    assert got[2] == ("special", pytest.approx(0.9)) and got[3] == ("standard", pytest.approx(0.9))
-    assert {r["id"] for r in sums.filter("kind = 'edge'").collect()} == {2}
+    sums, outcomes = backprop.propagate(Network(2, 1, [Neuron(0, "MAXIMUM")], [(0, 2, 1.0, 0), (1, 2, 1.0, 0)]), d, "id", "x", "t")
+    assert [tuple(r) for r in outcomes.collect()] == [(0, 2, 0.9, "special")] and not sums.filter("kind = 'edge'").count()
+    sums, outcomes = backprop.propagate(Network(1, 1, [Neuron()], [(0, 1, 1.0, 0), (1, 1, 9.0, 0)]), d, "id", "x", "t")
+    assert [r["status"] for r in outcomes.collect()] == ["standard"]
+    assert [(r["id"], r["pos_adj"]) for r in sums.filter("kind = 'edge'").collect()] == [(0, pytest.approx(0.9))]
 
 
 def test_shards(spark, tmp_path):
