@@ -170,7 +170,7 @@ def sketch_items(docs: DataFrame, items: Callable[[pa.RecordBatch], Iterator[np.
                 if len(found):
                     held.append(found)
                     size += len(found)
-            if size > 1 << 22:
+            if size > 1 << 21:
                 yield from flush()
                 held, size = [], 0
         if size:

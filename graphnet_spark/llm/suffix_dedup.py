@@ -25,8 +25,8 @@ from .common import map_texts, slices, stored, table, unpacked
 LENGTH, MATCH, ANCHOR = 400, 256, 32
 #: Bytes of text for each anchor, about: a run has (MATCH - ANCHOR + 2) / 2 windows on average.
 BYTES_PER_ANCHOR = 110
-#: Bytes of runs in one chunk, and of one suffix array.
-CHUNK_BYTES, ARRAY_BYTES = 1 << 20, 1 << 18
+#: Bytes of runs in one chunk, and of one suffix array over several. A chunk's arrays take about 60 times its bytes.
+CHUNK_BYTES, ARRAY_BYTES = 1 << 22, 1 << 18
 RUNS = "doc_id long, tag long, g long, r1 long, r2 long, start int, n int, size int, periodic boolean, segment binary"
 #: Spans of places. full: copies of LENGTH bytes that go; else later copies of MATCH bytes. With w, a place is still open.
 PARTS = "doc_id long, tag long, start int, n int, full boolean, g long, w binary, settled boolean"
@@ -45,7 +45,7 @@ def byte_runs(joined: bytes, doc: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def anchor_items(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-    for part in slices(batch, 1 << 22):
+    for part in slices(batch, 1 << 20):
         joined, _, doc = byte_units(part)
         yield anchors_of(byte_runs(joined, doc))
 
@@ -77,7 +77,7 @@ def repeated_runs(docs: DataFrame, sketch: Sketch) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, 1 << 22):
+            for part in slices(batch, 1 << 20):
                 if (out := rows(part)) is not None:
                     yield out
 
@@ -88,12 +88,13 @@ def prefix_ranks(buffer: bytes, limit: int) -> list[tuple[int, np.ndarray]]:
     """(length, ranks) by prefix doubling from 8 bytes up to at least limit: ranks of all suffixes by their first bytes."""
     padded = np.frombuffer(buffer + bytes(8), np.uint8)
     packed = np.lib.stride_tricks.sliding_window_view(padded, 8)[: len(buffer)].copy().view(">u8").ravel()
-    ranks, length = np.unique(packed, return_inverse=True)[1].astype(np.int64), 8
+    ranks, length = np.unique(packed, return_inverse=True)[1].astype(np.int32), 8
+    del packed
     levels = [(length, ranks)]
     while length < limit:
-        ahead = np.zeros(len(ranks), np.int64)
-        ahead[: len(ranks) - length] = ranks[length:] + 1
-        ranks, length = np.unique(ranks << 32 | ahead, return_inverse=True)[1].astype(np.int64), 2 * length
+        pair = ranks.astype(np.int64) << 32
+        pair[: len(ranks) - length] += ranks[length:] + 1
+        ranks, length = np.unique(pair, return_inverse=True)[1].astype(np.int32), 2 * length
         levels.append((length, ranks))
     return levels
 
