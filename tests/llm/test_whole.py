@@ -1,6 +1,6 @@
 """Parts of operators that earlier versions left out."""
 
-from graphnet_spark.llm import media, pii
+from graphnet_spark.llm import media, pii, quality
 
 from .conftest import prose
 
@@ -47,3 +47,10 @@ def test_personal_data_in_very_long_texts(spark):
     assert [(x["start"], x["end"]) for x in got[2][0]] == [(8 * k, 8 * k + 6) for k in range(50_000)] and got[2][1] == "<EMAIL>, " * 50_000
     assert len(got[3][0]) == 4 and got[3][1] == "word " * 900_000 + "<EMAIL> " + "<IP> " * 3
     assert [rows[4][1][x["start"] : x["end"]] for x in got[5][0]] == ["a@b.c", "..d@e.f", "x@y.z", "a@-.-"]
+
+
+def test_runs_of_blanks_are_one_class():
+    classes = quality.class_table()
+    for wide in ("a  b\n\n\nc d", "a \t b\n\nc   d"):
+        assert quality.grams(wide, classes)[1].tolist() == quality.grams("a b\nc d", classes)[1].tolist()
+    assert len(quality.grams("aa--11", classes)[0]) == 6 and len(quality.grams("", classes)[0]) == 0
