@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .anchors import Sketch, anchors_of, covered, mix64, poly, runs, sketch_items, with_spans
-from .common import map_texts, slices, stored, table, unpacked
+from .common import discard, map_texts, slices, stored, table, unpacked
 
 #: Words of a window and of an anchor.
 WINDOW, ANCHOR = 20, 5
@@ -90,7 +90,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     """doc_id, tag, start, n: the n windows from word `start` on also start earlier. docs: doc_id, tag, text.
 
     Runs are grouped by digest, and all but the first of equal ones are repeats. Where an anchor has different runs,
-    or a run several anchors, the windows of the first run of each kind are grouped one by one.
+    or a run several anchors, the windows of the first run of each kind are grouped one by one. The spans are written, and
+    the larger tables that lead to them deleted, before any text is shuffled.
     """
     found = repeated_runs(docs, sketch_items(docs.select("text"), anchor_items, BYTES_PER_ANCHOR))
     kinds = stored(found.groupBy("g", "r1", "r2").agg(F.min(F.struct(*FIRST)).alias("first"), F.count(F.lit(1)).alias("copies"), F.max("periodic").alias("periodic"), F.first("windows").alias("windows")), "runs")
@@ -103,7 +104,9 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     single = stored(single, "windows")
     twice = stored(single.groupBy("g", "w").agg(F.min("own").alias("first"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c"), "classes")
     parts = single.join(twice, ["g", "w"]).filter(~F.col("own").eqNullSafe(F.col("first"))).select("own.*", F.lit(1).alias("n"))
-    return whole.unionByName(parts)
+    spans = stored(whole.unionByName(parts), "spans")
+    discard(kinds, mixed, single, twice)
+    return spans
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
