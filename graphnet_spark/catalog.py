@@ -129,13 +129,12 @@ def inverse_periodic(spark, sf):
     return d.select("event_id", same(F.sin("s"), "s").alias("sine"), same(F.cos("c"), "c").alias("cosine"), near.alias("near"))
 
 
-@query(f"SELECT event_id, true AS swish, true AS mish, true AS gelu, true AS bent_identity FROM {EV}")
+@query(f"SELECT event_id, {', '.join(f'{n6("abs(x) + 5e-1")} AS {n}' for n in ('swish', 'mish', 'gelu', 'bent_identity'))} FROM {EV}")
 def inverse_newton(spark, sf):
-    """f of the found inverse is the activation again; activations are those of positive values, where all four rise."""
+    """The inverses of the activations of positive values, where all four rise, are these values again."""
     d = events(spark, sf).withColumn("p", F.abs("x") + 0.5)
     d = d.withColumns({f"y_{column(n)}": A.squash(n, "p") for n in A.ITERATED})
-    d = d.withColumns({f"i_{column(n)}": A.newton_inverse(n, f"y_{column(n)}") for n in A.ITERATED})
-    return d.select("event_id", *((F.abs(A.squash(n, f"i_{column(n)}") - F.col(f"y_{column(n)}")) < 1e-6).alias(column(n)) for n in A.ITERATED))
+    return d.select("event_id", *(r6(A.newton_inverse(n, f"y_{column(n)}")).alias(column(n)) for n in A.ITERATED))
 
 
 @query(f"SELECT event_id, {', '.join(f'{n6(A.safe_sql(a.name, chr(120), chr(101), chr(119)))} AS {column(a.name)}' for a in A.ACTIVATIONS)} FROM (SELECT event_id, x * 4e0 AS x, e, w FROM {EVENTS})")
