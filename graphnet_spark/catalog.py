@@ -119,14 +119,16 @@ def inverse_closed(spark, sf):
     return d.select("event_id", *(r6(F.expr(A.inverse_sql(n, "y", "h"))).alias(column(n)) for n in CLOSED))
 
 
-@query(f"SELECT event_id, true AS sine, true AS cosine, true AS near FROM {EV}")
+#: Hints are within ±2: sine's solutions mirror each other about ±pi/2, cosine's about 0.
+SINE_NEAR = f"CASE WHEN h > pi() / 2 THEN pi() - asin({UNIT}) WHEN h < -pi() / 2 THEN -pi() - asin({UNIT}) ELSE asin({UNIT}) END"
+COSINE_NEAR = f"CASE WHEN h < 0 THEN -acos({UNIT}) ELSE acos({UNIT}) END"
+
+
+@query(f"SELECT event_id, {n6(SINE_NEAR)} AS sine, {n6(COSINE_NEAR)} AS cosine FROM {EV}")
 def inverse_periodic(spark, sf):
-    """sin and cos of the solutions give the activation, and the solution is within half a period of the hint."""
+    """The solutions of sin(x) = y and cos(x) = y that are nearest to the hint."""
     d = events(spark, sf).withColumn("y", F.col("x") % 1 * 0.9)
-    d = d.select("event_id", "y", "h", A.nearest_periodic("SINE", "y", "h").alias("s"), A.nearest_periodic("Cosine", "y", "h").alias("c"))
-    same = lambda f, v: F.abs(f - F.col("y")) < 1e-9
-    near = (F.abs(F.col("s") - F.col("h")) < 3.15) & (F.abs(F.col("c") - F.col("h")) < 3.15)
-    return d.select("event_id", same(F.sin("s"), "s").alias("sine"), same(F.cos("c"), "c").alias("cosine"), near.alias("near"))
+    return d.select("event_id", r6(A.nearest_periodic("SINE", "y", "h")).alias("sine"), r6(A.nearest_periodic("Cosine", "y", "h")).alias("cosine"))
 
 
 @query(f"SELECT event_id, {', '.join(f'{n6("abs(x) + 5e-1")} AS {n}' for n in ('swish', 'mish', 'gelu', 'bent_identity'))} FROM {EV}")
