@@ -30,10 +30,12 @@ OWN_FOLDERS: dict[str, str] = {}
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder name below the shared folder that the cluster names in spark.checkpoint.dir.
 
-    Only where that is unset, as in tests, a temporary folder takes its place.
+    Only where that is unset and Spark runs on one machine, as in tests, a temporary folder takes its place.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("a cluster must name its shared folder in spark.checkpoint.dir")
         app = spark.sparkContext.applicationId
         base = OWN_FOLDERS[app] = OWN_FOLDERS.get(app) or tempfile.mkdtemp(prefix="graphnet-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
