@@ -28,7 +28,8 @@ def expected(rows, shortest, longest, buckets, percent):
     for text in BENCHMARK:
         for h in features(text, shortest, longest)[1]:
             t[h % buckets] += 1
-    gain = [math.floor(1000 * math.log((b + 1) * (sum(s) + buckets) / ((a + 1) * (sum(t) + buckets)))) for a, b in zip(s, t)]
+    s_all, t_all = sum(s), sum(t)
+    gain = [math.floor(1000 * math.log((b + 1) * (s_all + buckets) / ((a + 1) * (t_all + buckets)))) for a, b in zip(s, t)]
     out = []
     for d, n, hashes in found:
         weight = math.floor(sum(gain[h % buckets] for h in hashes) / len(hashes)) if hashes else 0
