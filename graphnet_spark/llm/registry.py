@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import alignment, importance, licenses, media, mixing, near_dedup, packing, pii, quality, suffix_dedup, warc, window_dedup
+from . import alignment, importance, licenses, media, mixing, near_dedup, nn_descent, packing, pii, quality, suffix_dedup, warc, window_dedup
 
-MODULES = (quality, media, mixing, near_dedup, suffix_dedup, warc, licenses, window_dedup, packing, pii, alignment, importance)
+MODULES = (quality, media, mixing, near_dedup, suffix_dedup, warc, licenses, window_dedup, packing, pii, nn_descent, alignment, importance)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
