@@ -131,12 +131,23 @@ def inverse_periodic(spark, sf):
     return d.select("event_id", r6(A.nearest_periodic("SINE", "y", "h")).alias("sine"), r6(A.nearest_periodic("Cosine", "y", "h")).alias("cosine"))
 
 
-@query(f"SELECT event_id, {', '.join(f'{n6("abs(x) + 5e-1")} AS {n}' for n in ('swish', 'mish', 'gelu', 'bent_identity'))} FROM {EV}")
+#: Hints far on both sides of where the functions turn.
+FAR = "CASE event_id % 8 WHEN 0 THEN -500e0 WHEN 1 THEN -30e0 WHEN 2 THEN -3.3e0 WHEN 3 THEN -0.9e0 WHEN 4 THEN 0.1e0 WHEN 5 THEN 2.2e0 WHEN 6 THEN 40e0 ELSE 500e0 END"
+BACK = "(-6e-1*abs(x)-1e-2)"
+RISING = ("Swish", "Mish", "GELU", "BENT_IDENTITY")
+
+
+@query(f"SELECT event_id, {', '.join(f'{n6("abs(x) + 5e-1")} AS {column(n)}, {n6("x")} AS {column(n)}_near, {n6(PLAIN[n].replace("x", BACK).replace(f"e{BACK}p", "exp"))} AS {column(n)}_back' for n in RISING)} FROM {EV}")
 def inverse_newton(spark, sf):
-    """The inverses of the activations of positive values, where all four rise, are these values again."""
-    d = events(spark, sf).withColumn("p", F.abs("x") + 0.5)
-    d = d.withColumns({f"y_{column(n)}": A.squash(n, "p") for n in A.ITERATED})
-    return d.select("event_id", *(r6(A.newton_inverse(n, f"y_{column(n)}")).alias(column(n)) for n in A.ITERATED))
+    """Inverses of positive values' activations from hints on both sides are these values; with the value as the hint, any value comes back; and activations of inverses are what was inverted."""
+    d = events(spark, sf).withColumns({"p": F.abs("x") + 0.5, "m": -0.6 * F.abs("x") - 0.01, "far": F.expr(FAR)})
+    d = d.withColumns({f"{side}_{column(n)}": A.squash(n, side) for n in RISING for side in ("p", "m", "x")})
+    cols = []
+    for n in RISING:
+        c = column(n)
+        cols += [r6(A.iterated_inverse(n, f"p_{c}", "far")).alias(c), r6(A.iterated_inverse(n, f"x_{c}", "x")).alias(f"{c}_near")]
+        cols += [r6(A.squash(n, A.iterated_sql(n, f"m_{c}", "far"))).alias(f"{c}_back")]
+    return d.select("event_id", *cols)
 
 
 @query(f"SELECT event_id, {', '.join(f'{n6(A.safe_sql(a.name, chr(120), chr(101), chr(119)))} AS {column(a.name)}' for a in A.ACTIVATIONS)} FROM (SELECT event_id, x * 4e0 AS x, e, w FROM {EVENTS})")
@@ -145,17 +156,29 @@ def safe_zone(spark, sf):
     return d.select("event_id", *(r6(A.safe_zone(a.name, "x", "e", "w")).alias(column(a.name)) for a in A.ACTIVATIONS))
 
 
-def errors_of(name: str) -> str:
-    return A.error_sql(name, "a", "t", "x")
+#: Value-space errors that are not the raw error t - a over the slope, for the other engine; s stands for the slope.
+PLAIN_ERROR = {
+    "IDENTITY": "t-a", "COMPLEMENT": "a-t", "RELU": "CASE WHEN x>0 THEN t-a WHEN t>0 THEN t-x ELSE 0 END", "ReLU6": "CASE WHEN x>0 AND x<6 THEN t-a WHEN t>0 AND t<6 THEN t-x WHEN t=0 THEN least(x,0)-x ELSE -x END",
+    "LeakyReLU": "CASE WHEN t>=0 THEN t ELSE 100*t END-x", "LOGISTIC": "CASE WHEN a*(1-a)>1e-8 THEN (t-a)/(a*(1-a)) ELSE ln(least(greatest(t,1.1920929e-7),0.9999998807907104)/(1-least(greatest(t,1.1920929e-7),0.9999998807907104)))-x END",
+    "HARD_TANH": "CASE WHEN x>-1 AND x<1 THEN t-a WHEN least(greatest(x,-1),1)=t THEN 0 ELSE t-x END", "Mish": "CASE WHEN s>0 THEN (t-a)/s ELSE 0 END", "BIPOLAR": "CASE WHEN sign(x)=sign(t) OR (abs(x)<1e-10 AND t<0) THEN 0 WHEN t>=0 THEN 1-x ELSE -1-x END",
+    "GAUSSIAN": "CASE WHEN abs(s)>1e-8 THEN (t-a)/s ELSE (CASE WHEN x<0 THEN -1 ELSE 1 END)*sqrt(greatest(0,-ln(greatest(t,1e-10))))-x END",
+    "STEP": "CASE WHEN (t=1 AND x>0) OR (t=0 AND x<=0) THEN 0 ELSE t-x END", "ABSOLUTE": "CASE WHEN abs(x+t)<abs(x-t) THEN -t ELSE t END-x", "SQUARE": "CASE WHEN abs(s)>1e-8 THEN (t-a)/least(greatest(s,-50),50) ELSE sqrt(greatest(t,0))-x END",
+    "SQRT": "CASE WHEN s>1e-8 THEN (t-a)/least(s,50) WHEN t<=0 THEN 0 WHEN x<0 THEN -t*t-x ELSE t*t-x END", "TAN": "CASE WHEN s<1000 THEN (t-a)/s ELSE atan(t)+pi()*round((x-atan(t))/pi())-x END",
+    **dict.fromkeys(("MINIMUM", "MAXIMUM", "IF", "HYPOT", "HYPOTv2", "MEAN"), "0"),
+}
 
 
-ERRORS = [a.name for a in A.ACTIVATIONS if a.inverse or a.error in ("always", "none")]
+def plain_error(name: str) -> str:
+    slope = f"({PLAIN_SLOPE[name]})"
+    e = "(" + PLAIN_ERROR.get(name, "(t-a)/s").replace("s>", f"{slope}>").replace("s<", f"{slope}<").replace("/s", f"/{slope}").replace("abs(s)", f"abs({slope})").replace("greatest(s,", f"greatest({slope},").replace("least(s,", f"least({slope},") + ")"
+    return f"CASE WHEN abs(t-a)<0.000001 THEN 0 ELSE least(greatest({e},-100),100) END"
 
 
-@query(f"SELECT event_id, {', '.join(f'{n6(errors_of(n))} AS {column(n)}' for n in ERRORS)} FROM (SELECT event_id, x, tanh(x) AS a, e AS t FROM {EVENTS})")
+@query(f"SELECT event_id, {', '.join(f'{n6(plain_error(n.name))} AS {column(n.name)}' for n in A.ACTIVATIONS)} FROM (SELECT event_id, x, tanh(x) AS a, e AS t FROM {EVENTS})")
 def value_error(spark, sf):
+    """Errors of all activations; the slopes of smooth ones are strong for all of these values."""
     d = events(spark, sf).select("event_id", "x", F.tanh("x").alias("a"), F.col("e").alias("t"))
-    return d.select("event_id", *(r6(F.expr(errors_of(n))).alias(column(n)) for n in ERRORS))
+    return d.select("event_id", *(r6(F.expr(A.any_error_sql(a.name, "a", "t", "x"))).alias(column(a.name)) for a in A.ACTIVATIONS))
 
 
 @query(f"SELECT event_id, {n6('CASE code ' + ' '.join(f'WHEN {k} THEN {PLAIN[a.name]}' for k, a in enumerate(A.ACTIVATIONS)) + ' END')} AS y, {n6('CASE code ' + ' '.join(f'WHEN {k} THEN {PLAIN_SLOPE[a.name]}' for k, a in enumerate(A.ACTIVATIONS)) + ' END')} AS slope FROM {EV}")

@@ -71,7 +71,7 @@ def unbounded(name: str, forward: str, slope: str, inverse: str, safe: str, erro
     return Activation(name, low, high, forward, slope, inverse, safe, error, aliases)
 
 
-NEWTON = ""  # inverses found by iteration have no closed form: see newton_inverse()
+NEWTON = ""  # inverses found by iteration have no closed form: see iterated_sql()
 KEEP = HINT % "{y}"
 
 ACTIVATIONS = (
@@ -174,7 +174,7 @@ def error_sql(name: str, activation: str, target: str, value: str, inverse: str
     elif kind == "nearest":
         out = f"(CASE WHEN abs(({value}) + ({target})) < abs(({value}) - ({target})) THEN -({target}) ELSE ({target}) END - ({value}))"
     elif kind == "always":
-        out = f"({raw} / (CASE WHEN {slope} = 0e0 THEN 1e-300 ELSE {slope} END))"
+        out = f"(CASE WHEN {slope} = 0e0 THEN 0e0 ELSE {raw} / {slope} END)"
     else:
         if kind == "own":
             slope = f"(({activation}) * (1e0 - ({activation})))"
@@ -213,16 +213,86 @@ def safe_zone(name: str, x: str = "x", error: str = "error", weight: str = "weig
     return F.expr(safe_sql(name, x, error, weight))
 
 
-def newton_sql(name: str, y: str, hint: str = "CAST(NULL AS DOUBLE)", rounds: int = 60) -> str:
-    """The inverse of a function without a closed one, by damped Newton steps from the hint, or from y without one."""
-    fx, dx = _of(name).forward, _of(name).slope
-    move = f"({fx.format(x='(a)')} - ({y})) / (CASE WHEN abs({dx.format(x='(a)')}) < 1e-6 THEN 1e-6 ELSE {dx.format(x='(a)')} END)"
-    start = f"(CASE WHEN {finite(hint)} THEN {hint} ELSE {y} END)"
-    return f"aggregate(sequence(1, {rounds}), CAST({start} AS DOUBLE), (a, i) -> a - {clamp(move, '-2e0', '2e0')})"
+#: Where functions without a closed inverse turn from falling to rising, and how far from 0 their inverses reach.
+TURN = {"Swish": "-1.2784645427610738e0", "Mish": "-1.1924312145e0", "GELU": "-7.524614221e-1"}
+REACH = {"Swish": "1e300", "Mish": "2e1", "GELU": "1e1"}
+#: Fixed value: a hint whose activation is as near as this to y is the inverse, and steps from a hint end there.
+TOLERANCE = "1e-6"
+#: Slopes whose sign counts: those for training leave negative ones out.
+TRUE_SLOPE = {"Mish": f"(tanh({SOFTPLUS}) + {{x}} * {SIGMOID} * (1e0 - tanh({SOFTPLUS}) * tanh({SOFTPLUS})))"}
 
 
-def newton_inverse(name: str, y: str = "y", hint: str = "CAST(NULL AS DOUBLE)", rounds: int = 60) -> Column:
-    return F.expr(newton_sql(name, y, hint, rounds))
+def _bound(value: str, name: str, body: str) -> str:
+    """body with a value that is computed once under a name."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
+def _miss(name: str, x: str, y: str) -> str:
+    """How far f(x) is from y, and the slope there; 0 as a slope is null, so that quotients are."""
+    a = _of(name)
+    return f"named_struct('e', {a.forward.format(x=x)} - {y}, 'd', nullif({TRUE_SLOPE.get(a.name, a.slope).format(x=x)}, 0e0))"
+
+
+def _stepped(name: str, y: str, start: str, rounds: int) -> str:
+    """Where plain Newton steps from the start end: within the tolerance, at a flat place or at the limit."""
+    if name == "Mish":  # steps stay within the reach, and flat places are stepped from
+        move = "least(greatest(s.x - q.e / CASE WHEN abs(q.d) > 1e-6 THEN q.d WHEN q.d < 0e0 THEN -1e-6 ELSE 1e-6 END, -2e1), 2e1)"
+        end = f"abs(q.e) < {TOLERANCE}"
+    else:
+        move = "s.x - q.e / q.d"
+        end = f"abs(q.e) < {TOLERANCE} OR coalesce(abs(q.d), 0e0) < 1e-10 OR abs({move}) > 1e1"
+    step = _bound(_miss(name, "(s.x)", y), "q", f"CASE WHEN {end} THEN named_struct('x', s.x, 'done', true) ELSE named_struct('x', {move}, 'done', false) END")
+    return f"aggregate(sequence(1, {rounds}), named_struct('x', {start}, 'done', false), (s, i) -> CASE WHEN s.done THEN s ELSE {step} END).x"
+
+
+def _safeguarded(name: str, y: str, left: str, rounds: int) -> str:
+    """The solution on one side of the turn: Newton steps that stay between bounds, which close in, or else halves."""
+    turn, reach = TURN[name], REACH[name]
+    low, high = f"CASE WHEN w THEN -{reach} ELSE {turn} END", f"CASE WHEN w THEN {turn} ELSE least(greatest({y}, 0e0) + 1e0, {reach}) END"
+    more = "((q.e < 0e0) <> w)"  # the solution is above s.x
+    a, b, n = f"CASE WHEN {more} THEN s.x ELSE s.a END", f"CASE WHEN {more} THEN s.b ELSE s.x END", "s.x - q.e / q.d"
+    within = "p.n >= p.a AND p.n <= p.b"
+    still = "abs(p.n - s.x) <= 2e-16 * abs(s.x)"  # Newton's step is too small to count
+    moved = f"named_struct('a', p.a, 'b', p.b, 'x', CASE WHEN {within} THEN p.n ELSE (p.a + p.b) / 2e0 END, 'done', coalesce({within} AND {still}, false))"
+    step = _bound(_miss(name, "(s.x)", y), "q", _bound(f"named_struct('a', {a}, 'b', {b}, 'n', {n})", "p", moved))
+    zero = f"named_struct('a', {low}, 'b', {high}, 'x', CASE WHEN w THEN {turn} - 1e0 ELSE {high} END, 'done', false)"
+    return _bound(left, "w", f"aggregate(sequence(1, {rounds}), {zero}, (s, i) -> CASE WHEN s.done THEN s ELSE {step} END).x")
+
+
+def iterated_sql(name: str, y: str, hint: str = "CAST(NULL AS DOUBLE)", rounds: int = 100) -> str:
+    """The inverse of Swish, Mish, GELU or BENT_IDENTITY near a hint, if there is one.
+
+    A hint whose activation is within the tolerance of y is the answer. Of two solutions, that counts to which Newton steps from the
+    hint lead (Swish: always the rising side); without a hint they start at y or y / 2, for GELU at 1 or -1. A y below the least
+    activation gives the turn. Mish's inverses end at ±20; beyond 10, GELU's hint (or 0) takes the inverse's place, and for a y
+    that is next to 0 its hint or -10. A y that is not finite gives the hint, or 0.
+    """
+    name = _of(name).name
+    h, v = "k.h", "k.y"
+    forward = lambda x: _of(name).forward.format(x=f"({x})")
+    known = finite(h)
+    near = f"{known} AND abs({forward(h)} - {v}) < {TOLERANCE}"
+    if name == "BENT_IDENTITY":
+        c = f"(2e0 * {v} + 1e0)"
+        out = f"CASE WHEN {near} OR ({known} AND abs({h}) >= 1e10) THEN {h} ELSE (2e0 * {c} - sqrt({c} * {c} + 3e0)) / 3e0 END"
+    elif name == "Swish":
+        out = f"CASE WHEN {near} AND {h} >= -2e1 THEN {h} ELSE {_safeguarded(name, v, 'false', rounds)} END"
+    else:
+        first = f"CASE WHEN {v} >= 0e0 THEN {v} ELSE {v} / 2e0 END" if name == "Mish" else f"CASE WHEN {v} < 5e-1 THEN -1e0 ELSE 1e0 END"
+        start = f"CASE WHEN {known} THEN {h} ELSE {first} END"
+        left = f"CASE WHEN {v} >= 0e0 THEN false ELSE {_stepped(name, v, start, rounds)} < {TURN[name]} END"
+        root = _safeguarded(name, v, left, rounds)
+        if name == "Mish":
+            out = f"CASE WHEN {near} THEN {h} WHEN {v} >= {REACH[name]} THEN {REACH[name]} ELSE {root} END"
+        else:
+            out = f"CASE WHEN abs({v}) < 1e-10 THEN CASE WHEN {known} THEN {h} ELSE -1e1 END WHEN {near} THEN {h} WHEN {v} > {REACH[name]} THEN CASE WHEN {known} THEN {h} ELSE 0e0 END ELSE {root} END"
+    limited = f"least(greatest(CAST({hint} AS DOUBLE), -2e1), 2e1)" if name == "Mish" else f"CAST({hint} AS DOUBLE)"
+    values = f"named_struct('y', CAST({y} AS DOUBLE), 'h', CASE WHEN {finite(f'CAST({hint} AS DOUBLE)')} THEN {limited} END)"
+    return f"(CASE WHEN NOT coalesce({finite(y)}, false) THEN coalesce(CASE WHEN {finite(hint)} THEN CAST({hint} AS DOUBLE) END, 0e0) ELSE {_bound(values, 'k', out)} END)"
+
+
+def iterated_inverse(name: str, y: str = "y", hint: str = "CAST(NULL AS DOUBLE)", rounds: int = 100) -> Column:
+    return F.expr(iterated_sql(name, y, hint, rounds))
 
 
 def periodic_sql(name: str, y: str, hint: str) -> str:
@@ -242,7 +312,7 @@ def any_inverse_sql(name: str, y: str, hint: str) -> str:
     """The inverse of any activation: closed, periodic or by iteration."""
     if _of(name).inverse:
         return inverse_sql(name, y, hint)
-    return periodic_sql(_of(name).name, y, hint) if _of(name).name in PERIODIC else newton_sql(name, y, hint)
+    return periodic_sql(_of(name).name, y, hint) if _of(name).name in PERIODIC else iterated_sql(name, y, hint)
 
 
 def any_error_sql(name: str, activation: str, target: str, value: str) -> str:
