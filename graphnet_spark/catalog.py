@@ -11,8 +11,8 @@ from .functions import activations as A
 from .functions import sqlapi
 from .operators import accumulate, backprop, distribution, export, forward, losses, network, predictive, topology
 from .plans.storage import shared_path
-from .sources import records
-from .streaming import accumulators
+from .sources import packed, records
+from .streaming import lifecycle, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -599,22 +599,84 @@ def bin_count(spark, sf):
 @query("SELECT label::DOUBLE AS label, count(*) AS n FROM embeddings GROUP BY label")
 def bin_stream(spark, sf):
     stream = records.read_stream(spark, shard_folder(spark, sf), 64, 1)
-    counts = stream.groupBy(F.col("outputs")[0].cast("double").alias("label")).agg(F.count(F.lit(1)).alias("n"))
-    return accumulators.drain(counts, f"bin_stream_{abs(hash(sf)) % 10**9}_{id(counts)}")
+    return sinks.summed_stream(stream.select(F.col("outputs")[0].cast("double").alias("label"), F.lit(1).cast("long").alias("n")), ["label"], ["n"])
+
+
+@query(ORACLES["bin_scan"])
+def bin_split_scan(spark, sf):
+    """The records of shards that are cut into ranges of 16 KB, each a task of its own."""
+    d = packed.scan(spark, shard_folder(spark, sf), 64, 1, split_bytes=1 << 14)
+    total = F.aggregate("inputs", F.lit(0.0), lambda a, x: a + x.cast("double"))
+    return d.groupBy(F.col("outputs")[0].cast("double").alias("label")).agg(F.count(F.lit(1)).alias("n"), r6(F.sum(total)).alias("total"))
+
+
+@query(ORACLES["bin_stream"])
+def bin_offset_stream(spark, sf):
+    """Counts of a stream of records in about eight batches, summed by batch."""
+    path = shard_folder(spark, sf)
+    most = max(1 << 14, records.count(spark, path, 64, 1).head()[0] * 260 // 8)
+    stream = packed.stream(spark, path, 64, 1, batch_bytes=most)
+    return sinks.summed_stream(stream.select(F.col("outputs")[0].cast("double").alias("label"), F.lit(1).cast("long").alias("n")), ["label"], ["n"], compact_every=3)
+
+
+@query(f"SELECT vec_id, label::DOUBLE AS label, {n6('list_sum([x::DOUBLE FOR x IN embedding])')} AS total, 268::BIGINT AS bytes FROM embeddings WHERE vec_id % 11 = 0")
+def bin_places(spark, sf):
+    """Records by their places: those with every 11th id are found by a scan, and then read one by one, with the bytes that it took."""
+    path = shared_path(spark, "places")
+    id_ = F.col("vec_id")
+    outputs = F.array(F.col("label").cast("float"), (id_ % 65536).cast("float"), F.floor(id_ / 65536).cast("float"))
+    records.write(table(spark, sf, "embeddings").select(F.pmod(id_, F.lit(4)).alias("shard"), id_.alias("row"), F.col("embedding").alias("i"), outputs.alias("o")), path, "i", "o", "shard")
+    known = F.col("outputs")[1].cast("long") + F.col("outputs")[2].cast("long") * 65536
+    wanted = packed.scan(spark, path, 64, 3).filter(known % 11 == 0).select("file", "row")
+    total = F.aggregate("inputs", F.lit(0.0), lambda a, x: a + x.cast("double"))
+    return packed.lookup(wanted, path, 64, 3, count_bytes=True).select(known.alias("vec_id"), F.col("outputs")[0].cast("double").alias("label"), r6(total).alias("total"), "bytes")
 
 
 @query(ORACLES["synapse_accumulate"])
 def stream_accumulate(spark, sf):
     """The accumulators of synapse_accumulate from a stream of the same rows."""
-    source = table(spark, sf, "lineitem")
     path = shared_path(spark, "stream")
     items(spark, sf).repartition(4).write.parquet(path)
     stream = spark.readStream.schema(items(spark, sf).schema).option("maxFilesPerTrigger", 2).parquet(path)
-    sums = accumulators.running_sums(stream.select("synapse", *accumulate.weight_deltas("weight", "target", "act", 1e-7)), ["synapse"], list(accumulate.WEIGHT_SUMS))
-    out = accumulators.drain(sums, f"stream_accumulate_{id(source)}")
+    deltas = stream.select("synapse", *accumulate.weight_deltas("weight", "target", "act", 1e-7))
+    out = sinks.summed_stream(deltas, ["synapse"], list(accumulate.WEIGHT_SUMS))
     return out.select("synapse", *(r6(c).alias(c) for c in accumulate.WEIGHT_SUMS))
 
 
+EPOCHS = f"""SELECT net, epoch, synapse, {', '.join(f'{n6(c)} AS {c}' for c in accumulate.WEIGHT_SUMS)} FROM (
+ SELECT l_orderkey % 4 AS net, l_suppkey % 3 AS epoch, l_partkey % 50 AS synapse, count(*)::DOUBLE AS count, sum(CASE WHEN act > 1e-7 THEN act ELSE 0 END) AS pos_act,
+ sum(CASE WHEN act < -1e-7 THEN -act ELSE 0 END) AS neg_act, sum(CASE WHEN act > 1e-7 THEN 1 ELSE 0 END)::DOUBLE AS count_pos, sum(CASE WHEN act < -1e-7 THEN 1 ELSE 0 END)::DOUBLE AS count_neg,
+ sum(CASE WHEN act > 1e-7 THEN v ELSE 0 END) AS pos_adj, sum(CASE WHEN act < -1e-7 THEN v ELSE 0 END) AS neg_adj
+ FROM (SELECT *, CASE WHEN abs(target) > 1e-7 THEN target ELSE 1e-7 * sign(target) END AS v FROM (SELECT *, l_discount - 5e-2 AS act, l_tax * 10e0 - 4e-1 AS target FROM lineitem)) GROUP BY 1, 2, 3)"""
+
+
+@query(EPOCHS)
+def stream_lifecycle(spark, sf):
+    """Sums of three epochs of four nets' synapses, by commands in a stream: init, add, read all, reset."""
+    lifecycle.use_state_store(spark)
+    path, out = shared_path(spark, "commands"), shared_path(spark, "answers")
+    nothing = lambda kind: F.lit(None).cast(kind)
+    net, deltas = (F.col("l_orderkey") % 4).alias("net"), F.array(*(F.expr(f"sums.{c}") for c in accumulate.WEIGHT_SUMS))
+    lines = table(spark, sf, "lineitem").select(net, (F.col("l_suppkey") % 3).alias("epoch"), (F.col("l_partkey") % 50).alias("id"), (F.col("l_discount") - 0.05).alias("act"), (F.col("l_tax") * 10.0 - 0.4).alias("target"), F.lit(0.5).alias("weight"))
+    adds = lines.select("net", "epoch", "id", F.struct(*accumulate.weight_deltas("weight", "target", "act", 1e-7)).alias("sums"))
+    nets = spark.range(4).withColumnRenamed("id", "net")
+
+    def send(df: DataFrame, op: str, seq: int, **more) -> None:
+        values = {"kind": nothing("string"), "id": nothing("long"), "synapses": nothing("long"), "neurons": nothing("long"), "sums": nothing("array<double>")} | more
+        df.select("net", F.lit(seq).cast("long").alias("seq"), F.lit(op).alias("op"), *(c.alias(k) for k, c in values.items())).write.mode("append").parquet(path)
+
+    send(nets, "init", 0, synapses=F.lit(50).cast("long"), neurons=F.lit(0).cast("long"))
+    for epoch in range(3):
+        send(adds.filter(F.col("epoch") == epoch), "add", 10 * epoch + 1, kind=F.lit("synapse"), id=F.col("id"), sums=deltas)
+        send(nets, "read_all", 10 * epoch + 2, kind=F.lit("synapse"))
+        send(nets, "reset", 10 * epoch + 3)
+    stream = spark.readStream.schema(lifecycle.COMMANDS).option("maxFilesPerTrigger", 20).parquet(path)
+    query = lifecycle.answers(stream, parts=4).writeStream.format("parquet").option("path", out).option("checkpointLocation", shared_path(spark, "lifecycle")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    got = spark.read.parquet(out).filter("sums[0] > 0")
+    return got.select("net", F.floor(F.col("seq") / 10).alias("epoch"), F.col("id").alias("synapse"), *(r6(F.col("sums")[k]).alias(c) for k, c in enumerate(accumulate.WEIGHT_SUMS)))
+
+
 #: 64 inputs, a TANH neuron and an IDENTITY output, for training queries.
 TRAINED = network.Network(64, 1, [network.Neuron(0.1, "TANH"), network.Neuron(0.0)], [(i, 64, (i * 7 % 11 - 5) / 10, 0) for i in range(64)] + [(64, 65, 0.5, 0)])
 
