@@ -2,8 +2,9 @@
 
 A text is split before its runs of white space that begin with a blank, where neither vocabulary holds a token that joins
 a blank to the character before it, so that no merge crosses the split. Blocks of whole texts are coded as numbers of their
-distinct segments; distinct segments of all blocks are tokenised and aligned once, and their alignments come back to
-the blocks by joins, where documents are composed from codes. Texts are read once and never shuffled.
+distinct segments; distinct segments of all blocks are tokenised and aligned once, in chunks, and their alignments are joined
+back to the blocks, where documents are composed from codes. Pairs of ids are counted by chunk before they are shuffled, and
+their corpus-wide counts come back to chunks in the same way. Texts are read once and never shuffled.
 """
 
 from __future__ import annotations
@@ -14,12 +15,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import discard, give_back, slices, stored, table
+from .common import give_back, slices, stored, table
 
 VOCABULARIES = ("byte_bpe_50k", "piece_bpe_32k.model")
 #: UTF-8 bytes of one block's texts; a longer text is a block of its own.
@@ -27,6 +29,10 @@ BLOCK = 32 << 20
 BLANK = "▁"
 #: White space other than the blank, in a sense at least as wide as either tokenizer's.
 OTHER_SPACE = [c for c in map(chr, range(1, 0x3001)) if c.isspace() and c != " "]
+#: Places of segments in one chunk.
+CHUNK = 1 << 19
+CHUNK_NAMES = ["chunk", "a_id", "b_id", "n", "blocks", "at", "codes", "which", "n_a", "n_b", "n_groups", "a", "b", "groups"]
+CHUNK_SCHEMA = "chunk long, a_id int, b_id int, n long, blocks array<long>, " + ", ".join(f"{c} binary" for c in CHUNK_NAMES[5:])
 STATS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 RESULT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
@@ -144,40 +150,111 @@ def coded(docs: DataFrame, vocabularies: tuple[str, str] = VOCABULARIES, block_b
     return texts.mapInArrow(run, "block long, doc_id long, codes binary, code long, segment string, n long")
 
 
-def segment_alignments(distinct: DataFrame, vocabularies: tuple[str, str] = VOCABULARIES) -> DataFrame:
-    """segment, n, n_a, n_b, n_groups, groups and the linked ids a and b of every distinct segment (segment, n)."""
+def small(values: np.ndarray, kind: str) -> bytes:
+    return zstandard.compress(np.ascontiguousarray(values, kind).tobytes(), 1)
+
+
+def full(packed: bytes, kind: str) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(packed), kind)
+
+
+def lines(texts: list[str]) -> bytes:
+    return zstandard.compress("\n".join(texts).encode(), 1)
+
+
+def aligned_chunks(dictionary: DataFrame, vocabularies: tuple[str, str] = VOCABULARIES, chunk_rows: int = CHUNK) -> DataFrame:
+    """Two kinds of rows for every chunk of distinct segments: what its links add to the counts of id pairs, and the packed chunk.
+
+    dictionary (block, code, segment, n) is dealt and sorted by segment, so that each is tokenised and aligned once: in one
+    chunk, or in as many as hold chunk_rows blocks each. A packed chunk has its segments' counts, groups and links, and the
+    block and code of every place where they belong.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = None
+        v, chunk = Vocabularies(*vocabularies), TaskContext.get().partitionId() << 32
+        segments, times, blocks, codes, which = [], [], [], [], []
+
+        def closed() -> Iterator[pa.RecordBatch]:
+            found = [r for at in range(0, len(segments), 20_000) for r in v.aligned(segments[at : at + 20_000])]
+            counts = np.array([r[:3] for r in found], np.int64).T
+            a, b = (np.concatenate([r[k] for r in found]) for k in (4, 5))
+            keys, inverse = np.unique(a << 32 | b, return_inverse=True)
+            n = np.zeros(len(keys), np.int64)
+            np.add.at(n, inverse, np.repeat(np.array(times, np.int64), counts[0] + counts[1] - counts[2]))
+            own, at = np.unique(np.array(blocks, np.int64), return_inverse=True)
+            packs = [small(at, "<u4"), small(codes, "<u4"), small(which, "<u4"), *(small(c, "<u4") for c in counts), small(a, "<u4"), small(b, "<u4"), lines([r[3] for r in found])]
+            columns = [pa.array([chunk]), pa.array([None], pa.int32()), pa.array([None], pa.int32()), pa.array([None], pa.int64()), pa.array([own.tolist()], pa.list_(pa.int64())), *(pa.array([x], pa.binary()) for x in packs)]
+            yield pa.RecordBatch.from_arrays(columns, names=CHUNK_NAMES)
+            for k in range(0, len(keys), 50_000):
+                x = keys[k : k + 50_000]
+                nothing = [pa.nulls(len(x), pa.list_(pa.int64())), *(pa.nulls(len(x), pa.binary()) for _ in packs)]
+                yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(x)), pa.array((x >> 32).astype(np.int32)), pa.array((x & 0xFFFFFFFF).astype(np.int32)), pa.array(n[k : k + 50_000]), *nothing], names=CHUNK_NAMES)
+
         for batch in batches:
-            v = v or Vocabularies(*vocabularies)
-            for outer in slices(batch, 1 << 20):
-                found = v.aligned(outer.column(0).to_pylist())
-                lists = [pa.ListArray.from_arrays(np.cumsum([0, *(len(r[k]) for r in found)], dtype=np.int32), pa.array(np.concatenate([r[k] for r in found]).astype(np.int32))) for k in (4, 5)]
-                plain = [pa.array([r[k] for r in found], kind) for k, kind in ((0, pa.int64()), (1, pa.int64()), (2, pa.int64()), (3, pa.string()))]
-                yield pa.RecordBatch.from_arrays([*outer.columns, *plain, *lists], names=["segment", "n", "n_a", "n_b", "n_groups", "groups", "a", "b"])
+            for block, code, segment, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if not segments or segment != segments[-1] or len(codes) >= 2 * chunk_rows:
+                    if len(codes) >= chunk_rows:
+                        yield from closed()
+                        chunk, segments, times, blocks, codes, which = chunk + 1, [], [], [], [], []
+                    segments.append(segment)
+                    times.append(0)
+                times[-1] += n
+                blocks.append(block)
+                codes.append(code)
+                which.append(len(segments) - 1)
+        if segments:
+            yield from closed()
+        give_back()
 
-    return distinct.select("segment", "n").mapInArrow(run, "segment string, n long, n_a long, n_b long, n_groups long, groups string, a array<int>, b array<int>")
+    dealt = dictionary.select("block", "code", "segment", "n").repartition("segment").sortWithinPartitions("segment")
+    return dealt.mapInArrow(run, CHUNK_SCHEMA)
 
 
-def composed(docs: DataFrame, known: DataFrame) -> DataFrame:
-    """The result's rows: codes of a block's texts (block, doc_id, codes) over its segments (of, its block; code; the counts; groups)."""
+def returned(chunks: DataFrame, pairs: DataFrame) -> DataFrame:
+    """For every block that a chunk has places in, a row with these places' codes, counts and groups, packed.
+
+    pairs: chunk, a, b, count and best of the id pairs that are linked in the chunk.
+    """
+
+    def run(key: tuple, chunk: pa.Table, known: pa.Table) -> pa.Table:
+        (row,) = chunk.to_pylist()
+        at, codes, which, n_a, n_b, n_groups, a, b = (full(row[c], "<u4").astype(np.int64) for c in CHUNK_NAMES[5:13])
+        groups = zstandard.decompress(row["groups"]).decode().split("\n")
+        order = np.argsort(keys := known.column("a").to_numpy().astype(np.int64) << 32 | known.column("b").to_numpy())
+        found = order[np.searchsorted(keys, a << 32 | b, sorter=order)]
+        links = n_a + n_b - n_groups
+        starts = np.cumsum(links) - links
+        best, total = (np.add.reduceat(known.column(c).to_numpy(zero_copy_only=False).astype(np.int64)[found], starts) for c in ("best", "count"))
+        stats = (n_a, n_b, n_groups, links, best, total)
+        out, order = [], np.argsort(at, kind="stable")
+        for block, mine in zip(row["blocks"], np.split(order, np.flatnonzero(np.diff(at[order])) + 1), strict=True):
+            k = which[mine]
+            out.append((block, small(codes[mine], "<u4"), *(small(x[k], "<i8") for x in stats), lines([groups[i] for i in k.tolist()])))
+        kinds = [pa.int64(), *[pa.binary()] * (len(STATS) + 2)]
+        return pa.Table.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out, strict=True), kinds, strict=True)], names=["of", "places", *STATS, "groups"])
+
+    schema = ", ".join(["of long", "places binary", *(f"{c} binary" for c in STATS), "groups binary"])
+    return chunks.groupBy("chunk").cogroup(pairs.groupBy("within")).applyInArrow(run, schema)
+
 
-    def run(texts: pa.Table, segments: pa.Table) -> pa.Table:
-        order = np.argsort(segments.column("code").to_numpy(), kind="stable")
-        stats = np.stack([segments.column(c).to_numpy()[order] for c in STATS], 1) if len(order) else np.zeros((0, len(STATS)), np.int64)
-        groups = segments.column("groups").combine_chunks().take(pa.array(order))
-        groups = [g.encode() for g in groups.to_pylist()]
+def composed(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """The result's rows: codes of a block's texts (block, doc_id, codes) over what chunks return to it (of, its block; places; the counts; groups)."""
+
+    def run(texts: pa.Table, parts: pa.Table) -> pa.Table:
+        places = [full(x, "<u4") for x in parts.column("places").to_pylist()]
+        order = np.argsort(np.concatenate([np.zeros(0, "<u4"), *places]), kind="stable")
+        stats = np.stack([np.concatenate([np.zeros(0, "<i8"), *(full(x, "<i8") for x in parts.column(c).to_pylist())])[order] for c in STATS], 1)
+        held = [g for x in parts.column("groups").to_pylist() for g in zstandard.decompress(x).split(b"\n")]
+        groups = [held[k] for k in order.tolist()]
         sums, hashes = [], []
         for codes in texts.column("codes"):
             codes = np.frombuffer(codes.as_py() or b"", "<u4")
-            total = np.zeros(len(STATS), np.int64)
+            total, digest = np.zeros(len(STATS), np.int64), hashlib.sha256()
             for at in range(0, len(codes), 1 << 16):
-                total += stats[codes[at : at + (1 << 16)]].sum(0)
+                part = codes[at : at + (1 << 16)]
+                total += stats[part].sum(0)
+                digest.update(b";" * (at > 0) + b";".join([groups[c] for c in part.tolist()]))
             sums.append(total)
-            digest = hashlib.sha256()
-            for at in range(0, len(codes), 1 << 16):
-                digest.update(b";" * (at > 0) + b";".join([groups[c] for c in codes[at : at + (1 << 16)].tolist()]))
             hashes.append(digest.hexdigest() if len(codes) else "")
         columns = np.array(sums, np.int64).reshape(-1, len(STATS)).T
         return pa.Table.from_arrays([texts.column("doc_id"), *(pa.array(c) for c in columns), pa.array(hashes, pa.string())], names=["doc_id", *STATS, "groups_sha256"])
@@ -185,20 +262,15 @@ def composed(docs: DataFrame, known: DataFrame) -> DataFrame:
     return docs.groupBy("block").cogroup(known.groupBy("of")).applyInArrow(run, RESULT)
 
 
-def aligned(docs: DataFrame, vocabularies: tuple[str, str] = VOCABULARIES, block_bytes: int = BLOCK) -> DataFrame:
+def aligned(docs: DataFrame, vocabularies: tuple[str, str] = VOCABULARIES, block_bytes: int = BLOCK, chunk_rows: int = CHUNK) -> DataFrame:
     """The alignment's counts and hash for every row of docs (doc_id, text)."""
     blocks = stored(coded(docs, vocabularies, block_bytes), "coded")
-    dictionary = blocks.filter("segment IS NOT NULL").select("block", "code", "segment", "n")
-    distinct = dictionary.groupBy("segment").agg(F.sum("n").alias("n"))
-    once = stored(segment_alignments(distinct, vocabularies).withColumn("id", F.monotonically_increasing_id()), "aligned")
-    linked = lambda *more: once.select(*more, F.explode(F.arrays_zip("a", "b")).alias("l")).select(*more, "l.a", "l.b")
-    counted = linked("n").groupBy("a", "b").agg(F.sum("n").alias("count"))
+    chunks = stored(aligned_chunks(blocks.filter("segment IS NOT NULL"), vocabularies, chunk_rows), "chunks")
+    added = chunks.filter("a_id IS NOT NULL").select("chunk", F.col("a_id").alias("a"), F.col("b_id").alias("b"), "n")
+    counted = added.groupBy("a", "b").agg(F.sum("n").alias("count"))
     pairs = stored(counted.withColumn("best", F.col("count") == F.max("count").over(W.partitionBy("b"))), "pairs")
-    marks = linked("id").join(pairs, ["a", "b"]).groupBy("id").agg(F.sum("count").alias("count_sum"), F.count_if("best").alias("n_best"))
-    joined = once.select("id", "segment", "n_a", "n_b", "n_groups", "groups").join(marks, "id")
-    full = stored(joined.withColumn("n_links", F.col("n_a") + F.col("n_b") - F.col("n_groups")).drop("id"), "segments")
-    discard(once, pairs)
-    known = dictionary.drop("n").join(full, "segment").select(F.col("block").alias("of"), "code", *STATS, "groups")
+    within = added.select(F.col("chunk").alias("within"), "a", "b").join(pairs, ["a", "b"])
+    known = returned(chunks.filter("a_id IS NULL").select("chunk", *CHUNK_NAMES[4:]), within)
     return composed(blocks.filter("segment IS NULL").select("block", "doc_id", "codes"), known)
 
 

@@ -97,14 +97,14 @@ def test_random_texts_in_small_blocks(spark, whole):
     parts = [" ", " ", "  ", "\n", " \n", "\t", " ", "　", "a", "the", "'s", "'", "1", "12", "é", "你", "\U0001f600", "-", ".", "The", "ing", "\x1f", "\r", "_", "=", "▁"[:0] or "z"]
     rows = [(k, "".join(r.choices(parts, k=r.randint(1, 60)))) for k in range(300)]
     df = spark.createDataFrame(rows, SCHEMA).repartition(2)
-    assert got(alignment.aligned(df, block_bytes=500)) == expected(rows, whole)
+    assert got(alignment.aligned(df, block_bytes=500, chunk_rows=40)) == expected(rows, whole)
 
 
 def test_documents_and_a_very_long_text(spark, docs, whole):
     rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
     rows.append((99, " ".join([prose(9, 2000)] * 60) + "\n" + "q" * 50_000))
     extra = spark.createDataFrame(rows[-1:], SCHEMA)
-    assert got(alignment.aligned(docs.select("doc_id", "text").unionByName(extra), block_bytes=100_000)) == expected(rows, whole)
+    assert got(alignment.aligned(docs.select("doc_id", "text").unionByName(extra), block_bytes=100_000, chunk_rows=3000)) == expected(rows, whole)
 
 
 def test_splits_are_where_no_vocabulary_joins():
