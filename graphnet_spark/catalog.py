@@ -424,6 +424,57 @@ def fused_split(spark, sf):
     return out.select("neuron", "ord", r6("share").alias("share"))
 
 
+# ---- verbs over the links of a neuron, by SQL text alone
+
+
+def by_text(spark: SparkSession, sf: str, text: str) -> DataFrame:
+    """A SQL text over lineitem, which it calls {lines}."""
+    sqlapi.register(spark)
+    return spark.sql(text, lines=table(spark, sf, "lineitem"))
+
+
+GATHERED = """SELECT l_orderkey AS neuron, transform(array_sort(collect_list(struct(l_linenumber, l_partkey, l_suppkey, (l_quantity - 25) / 10D AS w, l_discount * 1D AS a))), l -> l.w) AS w,
+ transform(array_sort(collect_list(struct(l_linenumber, l_partkey, l_suppkey, (l_quantity - 25) / 10D AS w, l_discount * 1D AS a))), l -> l.a) AS a FROM {lines} GROUP BY l_orderkey"""
+PLAIN_LINKS = "(SELECT l_orderkey AS neuron, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS place, (l_quantity - 25) / 10::DOUBLE AS w, l_discount::DOUBLE AS a FROM lineitem)"
+
+
+@query(f"""
+WITH v AS (SELECT neuron, abs(w) AS v FROM {PLAIN_LINKS} UNION ALL SELECT DISTINCT neuron, (neuron % 7) / 10::DOUBLE FROM {PLAIN_LINKS}),
+r AS (SELECT *, row_number() OVER (PARTITION BY neuron ORDER BY v DESC) AS k FROM v)
+SELECT neuron, {n6('sum(v)')} AS total, count(*) AS count, {n6('max(v)')} AS largest, {n6('max(CASE WHEN k = 2 THEN v END)')} AS second FROM r GROUP BY neuron""")
+def sql_score_components(spark, sf):
+    c = by_text(spark, sf, f"SELECT neuron, c.* FROM (SELECT neuron, net_score_components(w, array((neuron % 7) / 10D)) AS c FROM ({GATHERED}))")
+    return c.select("neuron", r6("total").alias("total"), "count", r6("largest").alias("largest"), r6("second").alias("second"))
+
+
+@query(f"""
+WITH v AS (SELECT neuron, 'w' AS side, abs(w) AS v FROM {PLAIN_LINKS} WHERE place <> neuron % 3 UNION ALL SELECT DISTINCT neuron, 'w', (neuron % 7) / 10::DOUBLE FROM {PLAIN_LINKS} UNION ALL SELECT neuron, 'b', abs(w) FROM {PLAIN_LINKS}
+ UNION ALL SELECT DISTINCT neuron, unnest(['w', 'b']), 1.25::DOUBLE FROM {PLAIN_LINKS}),
+r AS (SELECT *, row_number() OVER (PARTITION BY neuron, side ORDER BY v DESC) AS k FROM v)
+SELECT neuron, side, {n6('max(v)')} AS largest, {n6('coalesce(max(CASE WHEN k = 2 THEN v END), 0)')} AS second FROM r GROUP BY neuron, side""")
+def sql_scans(spark, sf):
+    """The two largest magnitudes after a weight or the only bias is replaced by -1.25."""
+    calls = "SELECT neuron, 'w' AS side, net_scan_max_weight(w, array((neuron % 7) / 10D), neuron % 3, -1.25D) AS c FROM g UNION ALL SELECT neuron, 'b', net_scan_max_bias(w, array((neuron % 7) / 10D), 0, -1.25D) FROM g"
+    out = by_text(spark, sf, f"WITH g AS ({GATHERED}) SELECT neuron, side, c.* FROM ({calls})")
+    return out.select("neuron", "side", r6("largest").alias("largest"), r6("second").alias("second"))
+
+
+@query(f"""
+WITH l AS (SELECT *, (neuron % 9 - 4) / 5::DOUBLE AS h, (neuron % 11 - 5) / 6::DOUBLE AS t, (neuron % 5 - 2) * 3::DOUBLE + place AS x, count(*) OVER (PARTITION BY neuron) AS m FROM {PLAIN_LINKS}),
+e AS (SELECT *, CASE WHEN abs(t - tanh(h)) < 0.000001 THEN 0 ELSE least(greatest((t - tanh(h)) / (1 - pow(tanh(h), 2)), -100), 100) END AS e FROM l),
+f AS (SELECT *, CASE WHEN e = 0 THEN 1 WHEN abs(x) <= 2 THEN 1 WHEN (x > 2 AND e < 0) OR (x < -2 AND e > 0) THEN 0.2 WHEN abs(x) <= 6 THEN 1 - (abs(x) - 2) / 4 ELSE 0 END AS f FROM e),
+s AS (SELECT *, a * a * f AS s, sum(a * a * f) OVER (PARTITION BY neuron) AS ds, sum(w * w) OVER (PARTITION BY neuron) AS dw FROM f)
+SELECT neuron, place::BIGINT AS place, {n6('e')} AS error, {n6('f')} AS factor, {n6('e * CASE WHEN ds > 1e-12 THEN s / ds WHEN dw > 1e-12 THEN w * w / dw ELSE 1.0 / m END')} AS share FROM s""")
+def sql_fused(spark, sf):
+    """A TANH neuron's error, and its links' safe factors and shares, from one verb."""
+    code = A.CODES["TANH"]
+    call = f"net_fused_error_distribution({code}, tanh(h), t, h, transform(w, x -> {code}L), transform(w, (x, i) -> (neuron % 5 - 2) * 3D + i), a, w)"
+    out = by_text(spark, sf, f"SELECT neuron, size(w) AS n, {call} AS r FROM (SELECT *, (neuron % 9 - 4) / 5D AS h, (neuron % 11 - 5) / 6D AS t FROM ({GATHERED}))")
+    links = out.select("neuron", "n", "r", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
+    at = lambda i: r6(F.col("r")[i])
+    return links.select("neuron", F.col("i").cast("long").alias("place"), at(F.lit(0)).alias("error"), at(1 + F.col("i")).alias("factor"), at(1 + F.col("n") + F.col("i")).alias("share"))
+
+
 # ---- topologies: 1 % of suppliers' keys number the graphs, lines are edges among 12 nodes, 3 of them inputs
 
 EDGES = "(SELECT l_orderkey % 500 AS topology_id, row_number() OVER (PARTITION BY l_orderkey % 500 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) - 1 AS pos, l_partkey % 12 AS from_idx, l_suppkey % 12 AS to_idx, l_linenumber % 4 AS role FROM lineitem)"

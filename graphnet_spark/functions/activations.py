@@ -222,7 +222,7 @@ TOLERANCE = "1e-6"
 TRUE_SLOPE = {"Mish": f"(tanh({SOFTPLUS}) + {{x}} * {SIGMOID} * (1e0 - tanh({SOFTPLUS}) * tanh({SOFTPLUS})))"}
 
 
-def _bound(value: str, name: str, body: str) -> str:
+def bound(value: str, name: str, body: str) -> str:
     """body with a value that is computed once under a name."""
     return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
@@ -241,7 +241,7 @@ def _stepped(name: str, y: str, start: str, rounds: int) -> str:
     else:
         move = "s.x - q.e / q.d"
         end = f"abs(q.e) < {TOLERANCE} OR coalesce(abs(q.d), 0e0) < 1e-10 OR abs({move}) > 1e1"
-    step = _bound(_miss(name, "(s.x)", y), "q", f"CASE WHEN {end} THEN named_struct('x', s.x, 'done', true) ELSE named_struct('x', {move}, 'done', false) END")
+    step = bound(_miss(name, "(s.x)", y), "q", f"CASE WHEN {end} THEN named_struct('x', s.x, 'done', true) ELSE named_struct('x', {move}, 'done', false) END")
     return f"aggregate(sequence(1, {rounds}), named_struct('x', {start}, 'done', false), (s, i) -> CASE WHEN s.done THEN s ELSE {step} END).x"
 
 
@@ -254,9 +254,9 @@ def _safeguarded(name: str, y: str, left: str, rounds: int) -> str:
     within = "p.n >= p.a AND p.n <= p.b"
     still = "abs(p.n - s.x) <= 2e-16 * abs(s.x)"  # Newton's step is too small to count
     moved = f"named_struct('a', p.a, 'b', p.b, 'x', CASE WHEN {within} THEN p.n ELSE (p.a + p.b) / 2e0 END, 'done', coalesce({within} AND {still}, false))"
-    step = _bound(_miss(name, "(s.x)", y), "q", _bound(f"named_struct('a', {a}, 'b', {b}, 'n', {n})", "p", moved))
+    step = bound(_miss(name, "(s.x)", y), "q", bound(f"named_struct('a', {a}, 'b', {b}, 'n', {n})", "p", moved))
     zero = f"named_struct('a', {low}, 'b', {high}, 'x', CASE WHEN w THEN {turn} - 1e0 ELSE {high} END, 'done', false)"
-    return _bound(left, "w", f"aggregate(sequence(1, {rounds}), {zero}, (s, i) -> CASE WHEN s.done THEN s ELSE {step} END).x")
+    return bound(left, "w", f"aggregate(sequence(1, {rounds}), {zero}, (s, i) -> CASE WHEN s.done THEN s ELSE {step} END).x")
 
 
 def iterated_sql(name: str, y: str, hint: str = "CAST(NULL AS DOUBLE)", rounds: int = 100) -> str:
@@ -288,7 +288,7 @@ def iterated_sql(name: str, y: str, hint: str = "CAST(NULL AS DOUBLE)", rounds:
             out = f"CASE WHEN abs({v}) < 1e-10 THEN CASE WHEN {known} THEN {h} ELSE -1e1 END WHEN {near} THEN {h} WHEN {v} > {REACH[name]} THEN CASE WHEN {known} THEN {h} ELSE 0e0 END ELSE {root} END"
     limited = f"least(greatest(CAST({hint} AS DOUBLE), -2e1), 2e1)" if name == "Mish" else f"CAST({hint} AS DOUBLE)"
     values = f"named_struct('y', CAST({y} AS DOUBLE), 'h', CASE WHEN {finite(f'CAST({hint} AS DOUBLE)')} THEN {limited} END)"
-    return f"(CASE WHEN NOT coalesce({finite(y)}, false) THEN coalesce(CASE WHEN {finite(hint)} THEN CAST({hint} AS DOUBLE) END, 0e0) ELSE {_bound(values, 'k', out)} END)"
+    return f"(CASE WHEN NOT coalesce({finite(y)}, false) THEN coalesce(CASE WHEN {finite(hint)} THEN CAST({hint} AS DOUBLE) END, 0e0) ELSE {bound(values, 'k', out)} END)"
 
 
 def iterated_inverse(name: str, y: str = "y", hint: str = "CAST(NULL AS DOUBLE)", rounds: int = 100) -> Column:
