@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..plans.storage import stored
+from ..plans.storage import discard, shared_path, stored
 
 #: Codes of order checks and of structural checks.
 SELF, BACKWARD, FROM_ORDER, TO_ORDER, DUPLICATE = 1, 2, 3, 4, 5
@@ -122,15 +122,41 @@ def levels(edges: DataFrame, shapes: DataFrame) -> DataFrame:
     return both.groupBy("topology_id").applyInPandas(order, "topology_id long, idx long, level long")
 
 
-def cycles(edges: DataFrame, shapes: DataFrame) -> DataFrame:
+def cycles(edges: DataFrame, shapes: DataFrame, rounds: list[int] | None = None) -> DataFrame:
     """topology_id and cyclic: whether neurons (not inputs) form a cycle; a self-loop is one.
 
-    Leaves are peeled for all graphs at once: a round drops every neuron that no remaining edge leads to.
+    All graphs at once, in rounds. A graph whose nodes all have edges in and out has a cycle. Of the others, a round trims nodes
+    from both ends and takes out nodes with so few edges that joining those before to those after makes no more of them (one
+    edge on a side, or two on both), no two neighbours at a time; that keeps cycles and halves chains, so a chain needs
+    rounds as the logarithm of its length. Dense deep graphs need a round for every two of their layers. rounds, if given, gets the edges left.
     """
+    spark, key = shapes.sparkSession, ["topology_id"]
     inner = edges.join(shapes, "topology_id").filter("from_idx >= ni AND to_idx >= ni AND to_idx < n")
-    e, left = stored(inner.select("topology_id", "from_idx", "to_idx").distinct()), None
-    while (n := e.count()) != left:
-        left = n
-        fed = e.select("topology_id", F.col("to_idx").alias("from_idx")).distinct()
-        e = stored(e.join(fed, ["topology_id", "from_idx"], "left_semi"))
-    return shapes.join(e.select("topology_id").distinct().withColumn("c", F.lit(1)), "topology_id", "left").select("topology_id", F.coalesce("c", F.lit(0)).alias("cyclic"))
+    e = stored(inner.select("topology_id", F.col("from_idx").alias("u"), F.col("to_idx").alias("v")).distinct(), "cycle-edges")
+    found, turn = shared_path(spark, "cyclic"), 0
+    spark.createDataFrame([], shapes.select("topology_id").schema).write.parquet(found)
+    while n := e.count():
+        if rounds is not None:
+            rounds.append(n)
+        ends = e.select("topology_id", F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(0).alias("i"), F.lit(1).alias("o")), F.struct(F.col("v").alias("node"), F.lit(1).alias("i"), F.lit(0).alias("o")))).alias("x"))
+        degree = ends.groupBy("topology_id", "x.node").agg(F.sum("x.i").alias("i"), F.sum("x.o").alias("o"))
+        rank = F.struct(F.xxhash64("topology_id", "node", F.lit(turn)), "node")
+        nodes = stored(degree.select("topology_id", "node", ((F.col("i") == 0) | (F.col("o") == 0)).alias("end"), F.when(F.col("i") * F.col("o") <= F.col("i") + F.col("o"), rank).alias("rank")), "cycle-nodes")
+        closed = nodes.groupBy("topology_id").agg(F.max("end").alias("end")).filter("NOT end").select("topology_id")
+        closed.unionByName(e.filter("u = v").select("topology_id")).distinct().write.mode("append").parquet(found)
+        open_ = e.join(spark.read.parquet(found), key, "left_anti")
+        side = lambda at: nodes.select("topology_id", F.col("node").alias(at), F.col("end").alias(f"end_{at}"), F.col("rank").alias(f"rank_{at}"))
+        kept = stored(open_.join(side("u"), [*key, "u"]).join(side("v"), [*key, "v"]).filter("NOT end_u AND NOT end_v"), "cycle-kept")
+        lower = F.when(F.col("rank_u") < F.col("rank_v"), F.col("u")).otherwise(F.col("v"))
+        beaten = kept.filter("rank_u IS NOT NULL AND rank_v IS NOT NULL").select("topology_id", lower.alias("node")).distinct()
+        taken = stored(nodes.filter("rank IS NOT NULL AND NOT end").join(beaten, [*key, "node"], "left_anti").select("topology_id", "node"), "cycle-taken")
+        as_ = lambda at: taken.withColumnRenamed("node", at)
+        rest = kept.select("topology_id", "u", "v").join(as_("u"), [*key, "u"], "left_anti").join(as_("v"), [*key, "v"], "left_anti")
+        before = kept.select("topology_id", "u", F.col("v").alias("node")).join(taken, [*key, "node"])
+        after = kept.select("topology_id", F.col("u").alias("node"), "v")
+        bridged = before.join(after, [*key, "node"]).select("topology_id", "u", "v")
+        shorter = stored(rest.select("topology_id", "u", "v").unionByName(bridged).distinct(), "cycle-edges")
+        discard(e, nodes, kept, taken)
+        e, turn = shorter, turn + 1
+    discard(e)
+    return shapes.join(spark.read.parquet(found).distinct().withColumn("c", F.lit(1)), "topology_id", "left").select("topology_id", F.coalesce("c", F.lit(0)).alias("cyclic"))
