@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import activations as A
 from .functions import sqlapi
-from .operators import accumulate, backprop, distribution, export, forward, losses, network, predictive, topology
+from .operators import accumulate, backprop, distribution, export, forward, losses, network, population, predictive, topology
 from .plans.storage import shared_path
 from .sources import packed, records
 from .streaming import lifecycle, sinks
@@ -239,6 +239,32 @@ def net_forward_vectorised(spark, sf):
     return scored(spark, sf).select("vec_id", r6(F.col("outputs")[0]).alias("y"))
 
 
+#: Every supplier has a net of 4 inputs, hidden TANH, RELU and MAXIMUM neurons and two outputs; each vector goes through three of them.
+ASSIGNED = "SELECT vec_id, j AS turn, (vec_id * 31 + j * 17) % (SELECT count(*) FROM supplier) AS net_id, embedding FROM embeddings, (SELECT unnest(range(0, 3)) AS j)"
+
+
+@query(f"""
+WITH r AS ({ASSIGNED}), l AS (SELECT *, [embedding[i]::DOUBLE FOR i IN range(1, 5)] AS x, net_id % 7 - 3 AS a, (net_id % 5 + 1)::DOUBLE AS b FROM r),
+h AS (SELECT *, tanh(0.1 * a + b * x[1] - 0.5 * x[2]) AS h1, greatest(0, 0.2 + a * x[3] + x[2]) AS h2, greatest(b * x[4], -x[1], a * 0.25 * x[3]) AS h3 FROM l),
+g AS (SELECT *, tanh(-0.3 + h1 * b / 2 + h2) AS h4 FROM h)
+SELECT vec_id, turn, net_id, {n6('0.5 * h4 + h3')} AS first, {n6('1 / (1 + exp(-(h1 - a * h4)))')} AS second FROM g""")
+def net_population(spark, sf):
+    """Records through as many different nets as there are suppliers, in one job."""
+    key, text = F.col("s_suppkey"), lambda c: F.lit(c).cast("string")
+    suppliers = table(spark, sf, "supplier").select(key.alias("net_id"), (key % 7 - 3).cast("double").alias("a"), (key % 5 + 1).cast("double").alias("b"))
+    zero, half = F.lit(0.0), F.lit(0.5)
+    kinds = [("hidden", 0.1 * F.col("a"), "TANH"), ("hidden", F.lit(0.2), "RELU"), ("hidden", zero, "MAXIMUM"), ("hidden", F.lit(-0.3), "TANH"), ("output", zero, "IDENTITY"), ("output", zero, "LOGISTIC")]
+    links = [(0, 4, F.col("b")), (1, 4, -half), (2, 5, F.col("a")), (1, 5, F.lit(1.0)), (3, 6, F.col("b")), (0, 6, F.lit(-1.0)), (2, 6, F.col("a") * 0.25), (4, 7, F.col("b") / 2), (5, 7, F.lit(1.0)), (7, 8, half), (6, 8, F.lit(1.0)), (4, 9, F.lit(1.0)), (7, 9, -F.col("a"))]
+    neurons = suppliers.select("net_id", F.inline(F.array(*(F.struct(F.lit(4 + k).alias("idx"), text(kind).alias("kind"), bias.alias("bias"), text(squash).alias("squash")) for k, (kind, bias, squash) in enumerate(kinds)))))
+    synapses = suppliers.select("net_id", F.inline(F.array(*(F.struct(F.lit(k).alias("ord"), F.lit(x).alias("from_idx"), F.lit(y).alias("to_idx"), w.alias("weight"), F.lit(0).alias("role")) for k, (x, y, w) in enumerate(links)))))
+    graphs = population.graph_rows(neurons, synapses, suppliers.select("net_id", F.lit(4).alias("ni"), F.lit(2).alias("no")))
+    vectors, many = table(spark, sf, "embeddings"), suppliers.count()
+    turns = vectors.select("vec_id", F.explode(F.sequence(F.lit(0), F.lit(2)).cast("array<long>")).alias("turn"), F.slice("embedding", 1, 4).alias("x"))
+    records_ = turns.withColumn("net_id", (F.col("vec_id") * 31 + F.col("turn") * 17) % many)
+    out = population.scored(records_, graphs, "x")
+    return out.select("vec_id", "turn", "net_id", r6(F.col("outputs")[0]).alias("first"), r6(F.col("outputs")[1]).alias("second"))
+
+
 #: Two targets and two outputs per record, for losses over more than one output.
 PAIR = f"SELECT label, [label / 10e0, 1e0 - label / 10e0] AS t, [y, 1e0 / (1e0 + exp(-y))] AS o FROM ({SCORED})"
 PER = {
@@ -600,6 +626,32 @@ def graph_compile(spark, sf):
     return network.bind_tables(documents_of(spark, sf))[1]
 
 
+def supplier_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """A document for each supplier; of each five, one has a wrong number of outputs, one an unknown activation and one an edge from nowhere."""
+    key, text = F.col("s_suppkey"), lambda c: F.lit(c).cast("string")
+    neuron = lambda kind, uuid, bias, squash: F.struct(text(kind).alias("type"), text(uuid).alias("uuid"), bias.alias("bias"), squash.alias("squash"))
+    edge = lambda a, b, w: F.struct(a.alias("fromUUID"), text(b).alias("toUUID"), w.cast("double").alias("weight"), text(None).alias("type"))
+    odd = F.when(key % 5 == 2, F.lit("SQUIGGLE")).otherwise(F.lit("TANH"))
+    neurons = F.array(neuron("hidden", "h", key % 9 / 10.0, odd), neuron("output", "o", F.lit(0.5), text(None)))
+    lost = F.when(key % 5 == 3, F.concat(F.lit("gone-"), key.cast("string"))).otherwise(F.lit("input-1"))
+    synapses = F.array(edge(F.lit("input-0"), "h", key % 7), edge(lost, "h", key % 4), edge(F.lit("h"), "o", key % 3), edge(F.lit("nobody"), "nowhere", F.lit(1)), edge(F.lit("h"), "input-0", F.lit(1)))
+    fields = [F.lit(2).alias("input"), F.when(key % 5 == 1, 2).otherwise(1).alias("output"), neurons.alias("neurons"), synapses.alias("synapses"), text("1").alias("semanticVersion"), F.lit(True).alias("forwardOnly")]
+    return table(spark, sf, "supplier").select(key.alias("net_id"), F.struct(*fields).alias("doc"))
+
+
+@query("""SELECT s_suppkey AS net_id, CASE s_suppkey % 5 WHEN 1 THEN 'output_count' WHEN 2 THEN 'unknown_activation' ELSE 'unknown_source' END AS fault, CASE s_suppkey % 5 WHEN 2 THEN 0 WHEN 3 THEN 1 END AS place,
+ CASE s_suppkey % 5 WHEN 1 THEN '1' WHEN 2 THEN 'SQUIGGLE' ELSE 'gone-' || s_suppkey END AS name FROM supplier WHERE s_suppkey % 5 IN (1, 2, 3)""")
+def graph_quarantine(spark, sf):
+    """Documents that cannot be bound, with the reason."""
+    return network.bind_checked(supplier_documents(spark, sf))[2]
+
+
+@query("SELECT s_suppkey AS net_id, o AS ord, f AS from_idx, t AS to_idx, CASE o WHEN 0 THEN s_suppkey % 7 WHEN 1 THEN s_suppkey % 4 ELSE s_suppkey % 3 END::DOUBLE AS weight, 0 AS role FROM supplier, (VALUES (0, 0, 2), (1, 1, 2), (2, 2, 3)) v(o, f, t) WHERE s_suppkey % 5 IN (0, 4)")
+def graph_bind_checked(spark, sf):
+    """The edges of the documents beside them that can be bound."""
+    return network.bind_checked(supplier_documents(spark, sf))[1]
+
+
 @query("SELECT n_nationkey AS net_id, true AS same FROM nation")
 def graph_json_roundtrip(spark, sf):
     d = documents_of(spark, sf)

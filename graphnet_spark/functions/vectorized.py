@@ -46,7 +46,7 @@ FORWARD = {
     "SQRT": lambda x: np.sqrt(np.maximum(x, 0)),
     "StdInverse": _inv,
     "Exponential": _far,
-    "LogSigmoid": lambda x: -_soft(-x),
+    "LogSigmoid": lambda x: np.where(x <= -709, -(2.0**53), -_soft(-x)),
     "ISRU": lambda x: x / np.sqrt(1 + x * x),
     "HYPOT": np.abs,
     "HYPOTv2": np.abs,

@@ -137,6 +137,60 @@ def bind_tables(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return neurons, bound.select("net_id", "ord", "from_idx", "to_idx", "weight", role.alias("role"))
 
 
+#: What can be wrong with a document, in the order in which it is looked for.
+FAULTS = ("malformed", "output_count", "too_many_nodes", "unknown_activation", "unknown_source")
+
+
+def document_faults(docs: DataFrame) -> DataFrame:
+    """net_id, fault, place and name of everything that keeps documents (net_id, doc) from being bound.
+
+    place is the neuron's or the edge's in its list, name what is not known; for counts, name is the number found. A neuron
+    without an activation is IDENTITY; edges to names that no neuron has are no fault, as they are dropped.
+    """
+    fault = lambda d, kind, place, name: d.select("net_id", F.lit(FAULTS.index(kind)).alias("_at"), F.lit(kind).alias("fault"), place.cast("int").alias("place"), name.cast("string").alias("name"))
+    none = F.lit(None)
+    whole = F.col("doc").isNotNull() & F.col("doc.input").isNotNull() & F.col("doc.output").isNotNull() & F.col("doc.neurons").isNotNull() & F.col("doc.synapses").isNotNull()
+    whole = whole & (F.col("doc.input") >= 0) & F.forall("doc.neurons", lambda n: n["uuid"].isNotNull() & n["type"].isNotNull() & n["bias"].isNotNull()) & F.forall("doc.synapses", lambda e: e["fromUUID"].isNotNull() & e["toUUID"].isNotNull() & e["weight"].isNotNull())
+    checked = docs.select("net_id", "doc", F.coalesce(whole, F.lit(False)).alias("whole"))
+    good = checked.filter("whole")
+    outputs = F.size(F.filter("doc.neurons", lambda n: n["type"] == "output"))
+    nodes = F.col("doc.input") + F.size("doc.neurons")
+    neurons = good.select("net_id", F.posexplode("doc.neurons").alias("pos", "n")).filter(F.col("n.squash").isNotNull() & ~F.col("n.squash").isin(*ALIASES))
+    edges = good.select("net_id", F.col("doc.input").alias("ni"), F.posexplode("doc.synapses").alias("pos", "e")).select("net_id", "ni", "pos", "e.fromUUID", "e.toUUID")
+    known = good.select("net_id", F.explode(F.transform("doc.neurons", lambda n: n["uuid"])).alias("uuid")).distinct()
+    number = F.regexp_extract("fromUUID", r"^input-(0|[1-9][0-9]{0,8})$", 1)
+    from_neuron = ~((number != "") & F.coalesce(number.try_cast("int") < F.col("ni"), F.lit(False)))
+    used = edges.filter(from_neuron).join(known.withColumnRenamed("uuid", "toUUID"), ["net_id", "toUUID"], "left_semi")
+    lost = used.join(known.withColumnRenamed("uuid", "fromUUID"), ["net_id", "fromUUID"], "left_anti")
+    found = [
+        fault(checked.filter("NOT whole"), "malformed", none, none),
+        fault(good.filter(outputs != F.col("doc.output")), "output_count", none, outputs),
+        fault(good.filter(nodes > MAX_NODES), "too_many_nodes", none, nodes),
+        fault(neurons, "unknown_activation", F.col("pos"), F.col("n.squash")),
+        fault(lost, "unknown_source", F.col("pos"), F.col("fromUUID")),
+    ]
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def bind_checked(docs: DataFrame, strict: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Neurons and synapses of the documents that can be bound, and a row for each fault of the others.
+
+    With strict, the first faulty document that is met ends the job with an error instead.
+    """
+    faults = document_faults(docs)
+    if strict:
+        first = faults.groupBy("net_id").agg(F.min(F.struct("_at", "place", "fault", "name")).alias("f"))
+        told = F.concat(F.lit("net "), F.col("_f.net_id").cast("string"), F.lit(": "), F.col("_f.f.fault"), F.lit(" "), F.coalesce("_f.f.name", F.lit("")))
+        joined = docs.join(first.select(F.struct("net_id", "f").alias("_f")), F.col("net_id").eqNullSafe(F.col("_f.net_id")), "left")
+        good = joined.select("net_id", F.when(F.col("_f").isNull(), F.col("doc")).otherwise(F.raise_error(told)).alias("doc"))
+    else:
+        good = docs.join(faults.select(F.col("net_id").alias("_id")).distinct(), F.col("net_id").eqNullSafe(F.col("_id")), "left_anti")
+    return *bind_tables(good), faults.drop("_at")
+
+
 def document_json(docs: DataFrame, pretty: bool = False) -> DataFrame:
     """net_id and the document as JSON text in fixed field order, without absent optional fields."""
     options = {"pretty": "true"} if pretty else {}
