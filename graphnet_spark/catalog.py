@@ -111,11 +111,25 @@ def deriv_by_code(spark, sf):
 
 CLOSED = [a.name for a in A.ACTIVATIONS if a.inverse]
 UNIT = "((x % 1e0) * 9e-1)"  # activations within most ranges
+#: Closed inverses of y with a hint h for the other engine, written on their own.
+PLAIN_INVERSE = {
+    "IDENTITY": "y", "RELU": "CASE WHEN y>0 THEN y ELSE h END", "ReLU6": "CASE WHEN y>0 AND y<6 THEN y WHEN y=6 THEN greatest(h,6) WHEN y=0 THEN least(h,0) ELSE 0 END", "LeakyReLU": "CASE WHEN y<0 THEN 100*y ELSE y END",
+    "SELU": "CASE WHEN y<0 THEN (CASE WHEN y>-1.050701*1.6732632 THEN ln(1+y/(1.050701*1.6732632)) ELSE h END) ELSE y/1.050701 END", "ELU": "CASE WHEN y>0 THEN y WHEN y>-1 THEN ln(1+y) ELSE h END",
+    "LOGISTIC": "-ln(1/least(greatest(y,1.1920929e-7),0.9999998807907104)-1)", "TANH": "CASE WHEN abs(y)>=0.9999999 THEN h ELSE atanh(greatest(least(y,0.99999999),-0.99999999)) END", "HARD_TANH": "CASE WHEN least(greatest(h,-1),1)=y THEN h ELSE y END",
+    "SOFTSIGN": "CASE WHEN 1-abs(y)<=1e-8 THEN h ELSE y/(1-abs(y)) END", "Softplus": "CASE WHEN y<1e-10 THEN 0 ELSE y+ln(1-exp(-greatest(y,1e-10))) END", "TAN": "atan(y)+pi()*round((h-atan(y))/pi())",
+    "ArcTan": "CASE WHEN abs(y)>=pi()/2-0.00001 THEN h ELSE tan(y) END", "GAUSSIAN": "(CASE WHEN h<0 THEN -1 ELSE 1 END)*sqrt(greatest(0,-ln(greatest(y,1e-10))))",
+    "BIPOLAR_SIGMOID": "CASE WHEN abs(y)>=0.999999 THEN h ELSE ln((1+greatest(least(y,0.99999999),-0.99999999))/(1-greatest(least(y,0.99999999),-0.99999999))) END", "BIPOLAR": "CASE WHEN sign(h)=sign(y) OR (abs(h)<1e-10 AND y<0) THEN h WHEN y<0 THEN -1 ELSE 1 END",
+    "STEP": "CASE WHEN (y=1 AND h>0) OR (y=0 AND h<=0) THEN h ELSE y END", "COMPLEMENT": "1-y", "ABSOLUTE": "CASE WHEN h<0 THEN -y ELSE y END", "SQUARE": "(CASE WHEN h<0 THEN -1 ELSE 1 END)*sqrt(greatest(y,0))", "Cube": "sign(y)*pow(abs(y),1/3::DOUBLE)",
+    "SQRT": "CASE WHEN y<=0 THEN h ELSE y*y*(CASE WHEN h<0 THEN -1 ELSE 1 END) END", "StdInverse": "CASE WHEN abs(y)<1e-15 THEN h ELSE 1/y END", "Exponential": "CASE WHEN y<=0 THEN h ELSE ln(greatest(y,1e-300)) END",
+    "LogSigmoid": "CASE WHEN y<-700 OR y>=0 THEN h ELSE -ln(exp(-least(y,-1e-300))-1) END", "ISRU": "least(greatest(y,-0.9999999),0.9999999)/sqrt(1-pow(least(abs(y),0.9999999),2))", **dict.fromkeys(("MINIMUM", "MAXIMUM", "IF", "HYPOT", "HYPOTv2", "MEAN"), "h"),
+}
+#: Activations within ±0.9, and for each third and fifth row up to ±4 and at ±1, 0 and 6.
+ANY_Y = f"CASE WHEN event_id % 5 = 0 THEN (event_id % 4 - 1) * (CASE WHEN event_id % 4 = 3 THEN 3e0 ELSE 1e0 END) WHEN event_id % 3 = 0 THEN x * 8e-1 ELSE {UNIT} END"
 
 
-@query(f"SELECT event_id, {', '.join(f'{n6(A.inverse_sql(n, UNIT, chr(104)))} AS {column(n)}' for n in CLOSED)} FROM {EV}")
+@query(f"SELECT event_id, {', '.join(f'{n6(PLAIN_INVERSE[n])} AS {column(n)}' for n in CLOSED)} FROM (SELECT event_id, h, {ANY_Y} AS y FROM {EVENTS})")
 def inverse_closed(spark, sf):
-    d = events(spark, sf).withColumn("y", F.col("x") % 1 * 0.9)
+    d = events(spark, sf).withColumn("y", F.expr(ANY_Y))
     return d.select("event_id", *(r6(F.expr(A.inverse_sql(n, "y", "h"))).alias(column(n)) for n in CLOSED))
 
 
@@ -150,9 +164,40 @@ def inverse_newton(spark, sf):
     return d.select("event_id", *cols)
 
 
-@query(f"SELECT event_id, {', '.join(f'{n6(A.safe_sql(a.name, chr(120), chr(101), chr(119)))} AS {column(a.name)}' for a in A.ACTIVATIONS)} FROM (SELECT event_id, x * 4e0 AS x, e, w FROM {EVENTS})")
+#: A weight that is too small or too large and that the error mends.
+MENDS = "(abs(w)<0.001 AND w*e>0) OR (abs(w)>1000 AND w*e<0)"
+
+
+def plain_window(low: float, high: float, fade: float) -> str:
+    """1 between two bounds, unless the weight mends; outside it falls with the distance, or is 0 where the error leads further away."""
+    d = f"greatest({low}-x,x-{high},0)"
+    return f"CASE WHEN {d}=0 THEN (CASE WHEN {MENDS} THEN 0 ELSE 1 END) WHEN (x-{(low + high) / 2})*e>0 THEN 0 ELSE greatest(0,1-{d}/{fade}) END"
+
+
+def plain_return(safe: float, end: float, part: float, beyond: str = "") -> str:
+    """1 near 0; further out a part where the error leads back, else a fade that ends at 0."""
+    return f"CASE WHEN abs(x)<={safe} THEN 1 WHEN abs(x){beyond or f'>{safe}'} AND x*e<0 THEN {part} ELSE greatest(0,1-(abs(x)-{safe})/({end}-{safe})) END"
+
+
+#: Saturation factors for the other engine, written on their own: by distances rather than by branches.
+PLAIN_SAFE = {
+    "IDENTITY": "CASE WHEN abs(x)>1e6 AND abs(w)<1e-6 THEN 0 ELSE 1 END", "RELU": "CASE WHEN x>0 OR e>0 THEN 1 ELSE 0 END", "ReLU6": "CASE WHEN (x<6 AND (x>0 OR e>0)) OR (x>=6 AND e<0) THEN 1 ELSE 0 END",
+    "LeakyReLU": plain_window(-50, 50, 20), "SELU": plain_window(-10, 10, 10), "ELU": plain_window(-10, 10, 10), "LOGISTIC": plain_return(6, 10, 0.2), "TANH": plain_return(2, 6, 0.2), "HARD_TANH": plain_return(0.9, 1.2, 0.2, ">=1"),
+    "SOFTSIGN": plain_window(-10, 10, 10), "Softplus": plain_window(-10, 20, 10), "Swish": plain_window(-10, 10, 10), "Mish": plain_window(-10, 10, 10), "GELU": plain_window(-6, 6, 10),
+    "SINE": f"CASE WHEN abs(cos(x))>=0.1 THEN (CASE WHEN {MENDS} THEN 0 ELSE 1 END) WHEN cos(x)*e<0 THEN 0 ELSE 10*abs(cos(x)) END", "Cosine": f"CASE WHEN abs(sin(x))>0.1 THEN (CASE WHEN {MENDS} THEN 0 ELSE 1 END) ELSE greatest(0,20*abs(sin(x))-1) END",
+    "TAN": f"CASE WHEN abs(abs(sign(x)*fmod(abs(x),pi()))-pi()/2)<0.2 AND abs(sign(x)*fmod(abs(x),pi()))>pi()/2 AND sign(x)*fmod(abs(x),pi())*e>0 THEN 0 WHEN abs(abs(sign(x)*fmod(abs(x),pi()))-pi()/2)>=0.2 AND ({MENDS}) THEN 0 ELSE least(1,2*abs(abs(sign(x)*fmod(abs(x),pi()))-pi()/2)) END",
+    "ArcTan": f"CASE WHEN abs(x)>4 THEN 0 ELSE {plain_return(2, 4, 0.3)} END", "GAUSSIAN": plain_window(-3, 3, 3), "BENT_IDENTITY": plain_return(10, 20, 0.3), "BIPOLAR_SIGMOID": plain_window(-4, 4, 4), "BIPOLAR": "0", "STEP": "CASE WHEN (x>0)=(e>0) THEN 0.2 ELSE 1 END", "COMPLEMENT": "1",
+    "ABSOLUTE": "CASE WHEN abs(x)>1000 AND abs(w)<0.001 THEN 0 ELSE 1 END", "SQUARE": plain_return(5, 10, 0.2), "Cube": plain_return(5, 10, 0.2), "SQRT": "CASE WHEN x<0.01 THEN (CASE WHEN e>0 THEN 0.3 ELSE 0 END) ELSE least(1,greatest(0,2-x/10)) END",
+    "StdInverse": plain_window(-10, 10, 10), "Exponential": plain_window(-10, 30, 10), "LogSigmoid": plain_window(-20, 20, 10), "ISRU": plain_window(-10, 10, 10), **dict.fromkeys(("MINIMUM", "MAXIMUM", "IF", "HYPOT", "HYPOTv2", "MEAN"), "0"),
+}
+#: Values up to 2 million, and weights that are far too small and too large.
+WIDE_X = "x * CASE event_id % 4 WHEN 0 THEN 4e0 WHEN 1 THEN 14e0 WHEN 2 THEN 400e0 ELSE 370000e0 END"
+WIDE_W = "CASE event_id % 5 WHEN 0 THEN 1e-4 WHEN 1 THEN 5e-1 WHEN 2 THEN -2e3 WHEN 3 THEN 1e-7 ELSE 2e3 END"
+
+
+@query(f"SELECT event_id, {', '.join(f'{n6(PLAIN_SAFE[a.name])} AS {column(a.name)}' for a in A.ACTIVATIONS)} FROM (SELECT event_id, {WIDE_X} AS x, e, {WIDE_W} AS w FROM {EVENTS})")
 def safe_zone(spark, sf):
-    d = events(spark, sf).withColumn("x", F.col("x") * 4)
+    d = events(spark, sf).withColumns({"x": F.expr(WIDE_X), "w": F.expr(WIDE_W)})
     return d.select("event_id", *(r6(A.safe_zone(a.name, "x", "e", "w")).alias(column(a.name)) for a in A.ACTIVATIONS))
 
 
@@ -188,7 +233,14 @@ def sql_functions(spark, sf):
     return events(spark, sf).select("event_id", r6(F.expr("net_squash(code, x)")).alias("y"), r6(F.expr("net_derivative(code, x)")).alias("slope"))
 
 
-BOUNDS = ", ".join(f"({k}, '{a.name}', CAST({a.low} AS DOUBLE), CAST({a.high} AS DOUBLE))" for k, a in enumerate(A.ACTIVATIONS))
+#: Output ranges, by name, as they are given; the other engine's copy.
+LARGEST = 3.4028234663852886e38
+PLAIN_RANGE = {
+    "RELU": (0, LARGEST), "ReLU6": (0, 6), "SELU": (-1.6732632 * 1.050701, LARGEST), "ELU": (-1, LARGEST), "LOGISTIC": (0, 1), "TANH": (-1, 1), "HARD_TANH": (-1, 1), "SOFTSIGN": (-0.9899999499320984, 0.9899999499320984), "Softplus": (1e-15, 100), "Swish": (-0.278, LARGEST),
+    "Mish": (-0.309, LARGEST), "GELU": (-0.17, LARGEST), "SINE": (-1, 1), "Cosine": (-1, 1), "ArcTan": (-1.5707963267948966, 1.5707963267948966), "GAUSSIAN": (0, 1), "BIPOLAR_SIGMOID": (-1, 1), "BIPOLAR": (-1, 1), "STEP": (0, 1), "ABSOLUTE": (0, LARGEST), "SQUARE": (0, LARGEST),
+    "SQRT": (0, LARGEST), "Exponential": (0, LARGEST), "LogSigmoid": (-LARGEST, 0), "ISRU": (-1, 1), "HYPOTv2": (0, LARGEST),
+}
+BOUNDS = ", ".join(f"({k}, '{a.name}', {PLAIN_RANGE.get(a.name, (-LARGEST, LARGEST))[0]!r}::DOUBLE, {PLAIN_RANGE.get(a.name, (-LARGEST, LARGEST))[1]!r}::DOUBLE)" for k, a in enumerate(A.ACTIVATIONS))
 
 
 @query(f"SELECT CAST(code AS BIGINT) AS code, name, low > -1e30 AS has_low, high < 1e30 AS has_high, count(*) AS n FROM {EV} JOIN (VALUES {BOUNDS}) AS r(c, name, low, high) ON c = code GROUP BY ALL")
@@ -198,7 +250,7 @@ def range_lookup(spark, sf):
     return d.groupBy("code", "name", (F.col("low") > -1e30).alias("has_low"), (F.col("high") < 1e30).alias("has_high")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"SELECT event_id, {', '.join(f'x >= {A.ACTIVATIONS[A.CODES[n]].low} AND x <= {A.ACTIVATIONS[A.CODES[n]].high} AS {column(n)}' for n in ('LOGISTIC', 'TANH', 'ReLU6', 'ArcTan', 'SOFTSIGN', 'GELU'))} FROM {EV}")
+@query(f"SELECT event_id, {', '.join(f'x >= {PLAIN_RANGE[n][0]!r} AND x <= {PLAIN_RANGE[n][1]!r} AS {column(n)}' for n in ('LOGISTIC', 'TANH', 'ReLU6', 'ArcTan', 'SOFTSIGN', 'GELU'))} FROM {EV}")
 def range_validate(spark, sf):
     return events(spark, sf).select("event_id", *(A.validate(n).alias(column(n)) for n in ("LOGISTIC", "TANH", "ReLU6", "ArcTan", "SOFTSIGN", "GELU")))
 
@@ -541,6 +593,22 @@ def topo_validate(spark, sf):
     return coded(topology.validate_order(edges(spark, sf)), "pos")
 
 
+@query("""
+WITH o AS (SELECT l_orderkey AS topology_id, l_linenumber AS k, l_partkey % 40 AS a, l_partkey % 40 + l_suppkey % 9 AS b FROM lineitem),
+p AS (SELECT *, row_number() OVER w - 1 AS pos, lag(a) OVER w AS pa, lag(b) OVER w AS pb FROM o WINDOW w AS (PARTITION BY topology_id ORDER BY a, b, k)),
+c AS (SELECT *, CASE WHEN a = b THEN 1 WHEN a = pa AND b = pb THEN 5 END AS code FROM p)
+SELECT topology_id, CASE WHEN topology_id % 10 = 3 THEN 6 ELSE coalesce(arg_min(code, pos) FILTER (code IS NOT NULL), 0) END::BIGINT AS code,
+ CASE WHEN topology_id % 10 = 3 THEN 0 ELSE coalesce(min(pos) FILTER (code IS NOT NULL), 0) END::BIGINT AS pos FROM c GROUP BY topology_id""")
+def topo_validate_lists(spark, sf):
+    """Orders as pairs of lists; of every tenth, one list is one longer."""
+    l = table(spark, sf, "lineitem")
+    edge = F.struct((F.col("l_partkey") % 40).alias("a"), (F.col("l_partkey") % 40 + F.col("l_suppkey") % 9).alias("b"), F.col("l_linenumber").alias("k"))
+    lists = l.groupBy(F.col("l_orderkey").alias("topology_id")).agg(F.array_sort(F.collect_list(edge)).alias("e"))
+    pick = lambda c: F.transform("e", lambda x: x[c])
+    longer = F.when(F.col("topology_id") % 10 == 3, F.array_append(pick("b"), F.lit(7).cast("long"))).otherwise(pick("b"))
+    return coded(topology.validate_lists(lists.select("topology_id", pick("a").alias("from_list"), longer.alias("to_list"))), "pos")
+
+
 SORTED = "(SELECT topology_id, row_number() OVER (PARTITION BY topology_id ORDER BY from_idx, to_idx, pos) - 1 AS pos, from_idx, to_idx FROM {e} WHERE from_idx < to_idx)"
 
 

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.activations import finite
@@ -101,12 +101,14 @@ def final_bias(current: Column, lim: Limits, no_change: Column | None = None) ->
 def magnitude_stats(values: DataFrame, keys: list[str], value: str) -> DataFrame:
     """total, count, largest and second of |value| per key; equal values count twice, and an empty or single group has second 0.
 
-    The two largest come from one combinable aggregate: the largest, how often it occurs and the largest below it.
+    Tasks shuffle their sums and their two largest of each key only: a combinable aggregate, and a rank that the group limit cuts
+    before the shuffle. A value's places are never gathered, so a key that holds most rows is no different.
     """
-    v = F.abs(F.col(value))
-    counted = values.groupBy(*keys, v.alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    top = counted.groupBy(*keys).agg(F.sum(F.col("v") * F.col("n")).alias("total"), F.sum("n").alias("count"), F.max(F.struct("v", "n")).alias("m"))
-    below = counted.join(top.select(*keys, F.col("m.v").alias("_m")), keys).filter("v < _m").groupBy(*keys).agg(F.max("v").alias("_below"))
-    out = top.join(below, keys, "left")
-    second = F.when(F.col("m.n") > 1, F.col("m.v")).otherwise(F.coalesce("_below", F.lit(0.0)))
-    return out.select(*keys, "total", "count", F.col("m.v").alias("largest"), second.alias("second"))
+    v = values.select(*keys, F.abs(F.col(value)).alias("v"))
+    none = F.lit(None)
+    sums = v.groupBy(*keys).agg(F.sum("v").alias("total"), F.count(F.lit(1)).alias("count")).withColumns({"v": none.cast("double"), "place": none.cast("int")})
+    ranked = v.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("v")))).filter("place <= 2")
+    top = ranked.select(*keys, none.cast("double").alias("total"), none.cast("long").alias("count"), F.col("v").cast("double").alias("v"), "place")
+    at = lambda k: F.max(F.when(F.col("place") == k, F.col("v")))
+    both = sums.unionByName(top).groupBy(*keys)
+    return both.agg(F.max("total").alias("total"), F.max("count").alias("count"), at(1).alias("largest"), F.coalesce(at(2), F.lit(0.0)).alias("second"))

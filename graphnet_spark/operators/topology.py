@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..plans.storage import discard, shared_path, stored
 
 #: Codes of order checks and of structural checks.
-SELF, BACKWARD, FROM_ORDER, TO_ORDER, DUPLICATE = 1, 2, 3, 4, 5
+SELF, BACKWARD, FROM_ORDER, TO_ORDER, DUPLICATE, UNEQUAL = 1, 2, 3, 4, 5, 6
 INTO_INPUT, CONSTANT_FED, HIDDEN_UNFED, HIDDEN_UNUSED, BAD_BIAS, IF_FEW, IF_NO_CONDITION, IF_NO_POSITIVE, IF_NO_NEGATIVE, MALFORMED = range(1, 11)
 
 
@@ -33,6 +33,22 @@ def validate_order(edges: DataFrame) -> DataFrame:
     return firsts.select("topology_id", F.coalesce("m.code", F.lit(0)).alias("code"), F.coalesce(F.col("m.pos"), F.lit(0)).alias("pos"))
 
 
+def validate_lists(lists: DataFrame) -> DataFrame:
+    """The same for rows (topology_id, from_list, to_list), place by place within a row, so that nothing is shuffled.
+
+    Lists of unequal length, and null ones, have code 6 at 0; empty lists and those in order have code 0.
+    """
+    a, b = "from_list", "to_list"
+    rule = (
+        f"CASE WHEN {a}[i] = {b}[i] THEN {SELF} WHEN {a}[i] > {b}[i] THEN {BACKWARD} WHEN i = 0 THEN 0 WHEN {a}[i] < {a}[i - 1] THEN {FROM_ORDER} "
+        f"WHEN {a}[i] > {a}[i - 1] THEN 0 WHEN {b}[i] < {b}[i - 1] THEN {TO_ORDER} WHEN {b}[i] = {b}[i - 1] THEN {DUPLICATE} ELSE 0 END"
+    )
+    codes = f"transform(slice(sequence(0, size({a})), 1, size({a})), i -> {rule})"
+    first = f"element_at(transform(array({codes}), c -> named_struct('code', coalesce(get(filter(c, x -> x > 0), 0), 0), 'pos', greatest(array_position(transform(c, x -> x > 0), true) - 1, 0))), 1)"
+    unequal = f"{a} IS NULL OR {b} IS NULL OR size({a}) <> size({b})"
+    return lists.select("topology_id", F.expr(f"CASE WHEN {unequal} THEN named_struct('code', {UNEQUAL}, 'pos', 0L) ELSE {first} END").alias("m")).select("topology_id", "m.code", "m.pos")
+
+
 def free_slots(nodes: DataFrame, shapes: DataFrame, edges: DataFrame) -> DataFrame:
     """topology_id, from_idx, to_idx of every forward pair into a neuron that is not constant and has no edge yet.
 

@@ -65,3 +65,19 @@ def test_batches_are_their_scalars(sql):
     xs, codes = [-3.0, -0.5, 0.0, 0.7, 4.0], list(range(5, 10))
     got = sql(f"SELECT net_derivative_batch(11, {array(xs)}) AS d, net_safe_zone_batch(array({', '.join(map(str, codes))}), {array(xs)}, 0.5D, {array(xs)}) AS s, net_calculate_error_batch(12, {array(xs)}, {array([0.1] * 5)}, {array(xs)}) AS e, array({', '.join(f'net_derivative(11, {x}D)' for x in xs)}) AS d1, array({', '.join(f'net_safe_zone({c}, {x}D, 0.5D, {x}D)' for c, x in zip(codes, xs))}) AS s1, array({', '.join(f'net_calculate_error(12, {x}D, 0.1D, {x}D)' for x in xs)}) AS e1")
     assert got["d"] == got["d1"] and got["s"] == got["s1"] and got["e"] == got["e1"]
+
+
+def test_magnitudes_of_keys_with_nulls_ties_and_one_value(spark):
+    from graphnet_spark.operators import accumulate
+
+    rows = [(1, -3.0), (1, 3.0), (1, 1.0), (2, -5.0), (None, 2.0), (None, -7.0)] + [(3, 4.0)] * 500
+    got = {r["k"]: tuple(r)[1:] for r in accumulate.magnitude_stats(spark.createDataFrame(rows, "k int, v double").repartition(3), ["k"], "v").collect()}
+    assert got == {1: (7.0, 3, 3.0, 3.0), 2: (5.0, 1, 5.0, 0.0), None: (9.0, 2, 7.0, 2.0), 3: (2000.0, 500, 4.0, 4.0)}
+
+
+def test_order_of_lists(spark):
+    from graphnet_spark.operators import topology
+
+    cases = [([0, 0, 1], [1, 2, 2], (0, 0)), ([], [], (0, 0)), ([1], [1, 2], (6, 0)), (None, [1], (6, 0)), ([2], [2], (1, 0)), ([0, 3], [1, 2], (2, 1)), ([1, 0], [2, 1], (3, 1)), ([0, 0], [3, 2], (4, 1)), ([0, 0, 0], [1, 2, 2], (5, 2)), ([0, 2, 1], [1, 3, 1], (1, 2))]
+    d = spark.createDataFrame([(k, a, b) for k, (a, b, _) in enumerate(cases)], "topology_id long, from_list array<long>, to_list array<long>")
+    assert {r["topology_id"]: (r["code"], r["pos"]) for r in topology.validate_lists(d).collect()} == {k: x for k, (_, _, x) in enumerate(cases)}
