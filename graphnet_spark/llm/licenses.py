@@ -1,11 +1,12 @@
 """License scans: phrase places, and an exact set-similarity join of text blocks with license templates.
 
-Everything is DataFrame functions. A block is LINES consecutive lines from any line on, so that a notice is found however it
-is wrapped. Tokens are ordered by how often they occur in the corpus, rarest first, with all tokens
-of no template last (they cannot be in an overlap). A block holds a template if at least THRESHOLD of the template's
-distinct tokens are in it. Such a block must hold one of the template's rarest tokens (prefix filter), as many template
-tokens as are needed (length filter), and enough tokens must be left behind the first common one on both sides
-(positional filter); what passes is counted exactly.
+Everything is DataFrame functions. A template's block is as many consecutive words as SPAN times the template's, from any word
+on: lines do not count, so a notice is found however it is wrapped, and words that lie scattered are no notice. A block holds a
+template if at least THRESHOLD of the template's distinct tokens are in it. Tokens are ordered by how often they occur in
+the corpus, rarest first; only words of templates have a place in it (no other can be in an overlap), and only blocks
+that begin with one are looked at, as any other block can begin later and hold as much. Such a block must hold one of the
+template's rarest tokens (prefix filter), as many template tokens as are needed (length filter), and enough tokens must
+be left behind the first common one on both sides (positional filter); what passes is counted exactly.
 """
 
 from __future__ import annotations
@@ -43,8 +44,10 @@ TEMPLATES = (
     ("this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", "gpl"),
     ("this is free and unencumbered software released into the public domain", "unlicense"),
 )
-#: Lines of a block, and the share of a template's tokens that it must hold.
-LINES, THRESHOLD = 4, 0.8
+#: Words of a block as a multiple of the template's, and the share of the template's tokens that it must hold.
+SPAN, THRESHOLD = 1.5, 0.8
+#: Places of template words that are looked at together.
+CHUNK = 1000
 
 
 def spaced(text: Column) -> Column:
@@ -97,31 +100,44 @@ def token_order(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLA
     return sorted(known, key=lambda t: (counts.get(t, 0), t))
 
 
+def widths(templates: tuple[tuple[str, str], ...] = TEMPLATES) -> list[int]:
+    """Words of a block for each template."""
+    return [math.ceil(SPAN * len(text.split())) for text, _ in templates]
+
+
 def template_blocks(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, tag, line, template, label, overlap and containment of every block, from that line on, that holds a template."""
+    """doc_id, tag, start, template, label, overlap and containment of every block, from that word on, that begins with a word of templates and holds one."""
     spark = docs.sparkSession
     order = token_order(docs, templates)
-    rank = {t: i for i, t in enumerate(order)}
+    rank, width = {t: i for i, t in enumerate(order)}, widths(templates)
     sets = [sorted({rank[t] for t in text.split()}) for text, _ in templates]
     need = [math.ceil(threshold * len(s)) for s in sets]
     heads = [s[: len(s) - n + 1] for s, n in zip(sets, need, strict=True)]
-    prefix = [(r, k, i, len(sets[k]), need[k], templates[k][1]) for k, head in enumerate(heads) for i, r in enumerate(head)]
-    prefix = F.broadcast(spark.createDataFrame(prefix, "rank int, template int, i int, size int, need int, label string"))  # bounded by the templates
-    pattern = alternatives(sorted({order[r] for head in heads for r in head}))
-    # the prefix filter for whole texts, then for blocks
-    some = docs.filter(spaced(F.col("text")).rlike(pattern))
-    every = some.select("doc_id", "tag", F.split("text", "\n").alias("lines"))
-    block = F.transform("lines", lambda _, i: F.array_join(F.slice("lines", i + 1, LINES), "\n"))
-    lines = every.select("doc_id", "tag", F.posexplode(block).alias("line", "s")).select("doc_id", "tag", "line", spaced(F.col("s")).alias("s"))
-    lines = lines.filter(F.col("s").rlike(pattern))
+    prefix = [(r, k, i, len(sets[k]), need[k], width[k], templates[k][1]) for k, head in enumerate(heads) for i, r in enumerate(head)]
+    prefix = F.broadcast(spark.createDataFrame(prefix, "rank int, template int, i int, size int, need int, width int, label string"))  # bounded by the templates
+    rare, widest, least = sorted({r for head in heads for r in head}), max(width), min(need)
+    # the prefix filter for whole texts
+    some = docs.filter(spaced(F.col("text")).rlike(alternatives([order[r] for r in rare])))
+    words = F.split(F.trim(lowered(spaced(F.col("text")))), "  ")
+    hits = F.filter(F.transform(words, lambda t, i: F.struct(i.alias("pos"), t.alias("t"))), lambda x: x["t"].isin(order))
     ranks = F.create_map(*(F.lit(x) for t in order for x in (t, rank[t])))
-    tokens = F.array_distinct(F.split(F.trim(lowered(F.col("s"))), "  "))
-    lines = lines.withColumn("ranks", F.array_sort(F.filter(F.transform(tokens, lambda t: F.try_element_at(ranks, t)), lambda r: r.isNotNull())))
-    met = lines.select("doc_id", "tag", "line", "ranks", F.posexplode("ranks").alias("j", "rank")).join(prefix, "rank")
+    places = some.select("doc_id", "tag", F.transform(hits, lambda x: F.struct(x["pos"].alias("pos"), F.element_at(ranks, x["t"]).alias("rank"))).alias("hits"))
+    # places in pieces of bounded size, each with what its last blocks reach
+    offsets = F.sequence(F.lit(0), F.greatest(F.size("hits") - 1, F.lit(0)), F.lit(CHUNK))
+    pieces = places.select("doc_id", "tag", F.explode(F.transform(offsets, lambda o: F.slice("hits", o + 1, CHUNK + widest))).alias("c"))
+    inside = lambda j: F.filter(F.slice("c", j, widest), lambda x: x["pos"] < F.element_at("c", j)["pos"] + widest)
+    own = F.sequence(F.lit(1), F.least(F.size("c"), F.lit(CHUNK)))
+    # the prefix and the length filter for the widest block from a place on, then for each template's
+    may = lambda j: (F.size(inside(j)) >= least) & F.exists(inside(j), lambda x: x["rank"].isin(rare))
+    pieces = pieces.filter(F.size("c") >= least)
+    blocks = pieces.select("doc_id", "tag", F.explode(F.transform(F.filter(own, may), lambda j: F.struct(F.element_at("c", j)["pos"].alias("start"), inside(j).alias("near")))).alias("b"))
+    blocks = blocks.select("doc_id", "tag", "b.start", "b.near", F.array_sort(F.array_distinct("b.near.rank")).alias("ranks")).filter(F.size("ranks") >= least)
+    met = blocks.select("doc_id", "tag", "start", "near", "ranks", F.posexplode("ranks").alias("j", "rank")).join(prefix, "rank")
     met = met.filter((F.size("ranks") >= F.col("need")) & (1 + F.least(F.col("size") - F.col("i") - 1, F.size("ranks") - F.col("j") - 1) >= F.col("need")))
     bodies = F.array(*(F.array(*(F.lit(r) for r in s)) for s in sets))
-    met = met.withColumn("overlap", F.size(F.array_intersect("ranks", F.element_at(bodies, F.col("template") + 1)))).filter("overlap >= need")
-    return met.select("doc_id", "tag", "line", "template", "label", "overlap", (F.col("overlap") / F.col("size")).alias("containment")).distinct()
+    block = F.transform(F.filter("near", lambda x: x["pos"] < F.col("start") + F.col("width")), lambda x: x["rank"])
+    met = met.withColumn("overlap", F.size(F.array_intersect(block, F.element_at(bodies, F.col("template") + 1)))).filter("overlap >= need")
+    return met.select("doc_id", "tag", "start", "template", "label", "overlap", (F.col("overlap") / F.col("size")).alias("containment")).distinct()
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -151,24 +167,24 @@ def op7_license_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _oracle() -> str:
     gap = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     phrases = ", ".join(f"({p.split()!r}, '{label}')" for p, label in PHRASES.items())
-    templates = ", ".join(f"({k}, {sorted(set(t.split()))!r}, '{label}')" for k, (t, label) in enumerate(TEMPLATES))
+    templates = ", ".join(f"({k}, {sorted(set(t.split()))!r}, {n}, '{label}')" for k, ((t, label), n) in enumerate(zip(TEMPLATES, widths(), strict=True)))
     lower = f"translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
     return f"""
-WITH d AS (SELECT doc_id, {lower} AS t FROM documents),
-w AS (SELECT doc_id, t, regexp_extract_all(t, '{gap}') AS w FROM d),
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {lower} AS t FROM documents),
+w AS (SELECT r, doc_id, t, regexp_extract_all(t, '{gap}') AS w FROM d),
 ph(p, label) AS (VALUES {phrases}),
-pl AS (SELECT doc_id, label, i FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM w WHERE t ~ 'license|cc') x, ph WHERE w[i:i + len(p) - 1] = p),
-b AS (SELECT doc_id, count(*) AS n, min(i) - 1 AS f, max(i) - 1 AS l, list_distinct(list(label)) AS labels FROM pl GROUP BY 1),
-tp(k, s, label) AS (VALUES {templates}),
-bl AS (SELECT doc_id, x, unnest(range(1, len(x) + 1)) AS i FROM (SELECT doc_id, string_split(t, chr(10)) AS x FROM d)),
-ln AS (SELECT doc_id, list_distinct(regexp_extract_all(array_to_string(x[i:i + {LINES - 1}], chr(10)), '{gap}')) AS s FROM bl),
-m AS (SELECT doc_id, label, len(list_intersect(ln.s, tp.s))::DOUBLE / len(tp.s)::DOUBLE AS c, len(list_intersect(ln.s, tp.s)) AS o, len(tp.s) AS z FROM ln, tp),
-g AS (SELECT doc_id, list_distinct(list(label)) AS labels, max(c) AS best FROM m WHERE o >= ceil({THRESHOLD}::DOUBLE * z::DOUBLE) GROUP BY 1)
+pl AS (SELECT r, label, i FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM w WHERE t ~ 'license|cc') x, ph WHERE w[i:i + len(p) - 1] = p),
+b AS (SELECT r, count(*) AS n, min(i) - 1 AS f, max(i) - 1 AS l, list_distinct(list(label)) AS labels FROM pl GROUP BY 1),
+tp(k, s, n, label) AS (VALUES {templates}),
+tt AS (SELECT k, n, unnest(s) AS token FROM tp),
+o AS (SELECT r, k, n, token, i FROM (SELECT r, unnest(w) AS token, unnest(range(1, len(w) + 1)) AS i FROM w) JOIN tt USING (token)),
+m AS (SELECT a.r, a.k, a.i, count(DISTINCT b.token) AS o FROM o a JOIN o b ON a.r = b.r AND a.k = b.k AND b.i >= a.i AND b.i < a.i + a.n GROUP BY 1, 2, 3),
+g AS (SELECT r, list_distinct(list(label)) AS labels, max(o::DOUBLE / len(s)::DOUBLE) AS best FROM m JOIN tp USING (k) WHERE o >= ceil({THRESHOLD}::DOUBLE * len(s)::DOUBLE) GROUP BY 1)
 SELECT w.doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, f::BIGINT AS first_word, l::BIGINT AS last_word,
        array_to_string(list_sort(coalesce(b.labels, [])), ',') AS base_labels,
        array_to_string(list_sort(list_distinct(list_concat(coalesce(b.labels, []), coalesce(g.labels, [])))), ',') AS labels,
        coalesce(best, 0::DOUBLE) AS score
-FROM w LEFT JOIN b USING (doc_id) LEFT JOIN g USING (doc_id)"""
+FROM w LEFT JOIN b USING (r) LEFT JOIN g USING (r)"""
 
 
 ORACLE = {"op7_license_join": _oracle()}

@@ -338,12 +338,35 @@ def test_license_join_is_exact(spark):
     pool = "released under the mit license this work is of gnu version".split()
     texts = [" ".join(pool[(k * j) % len(pool)] for j in range(1, 2 + k % 9)) + "\n" + prose(k, 5) for k in range(60)]
     d = spark.createDataFrame([(k, 0, t) for k, t in enumerate(texts)], "doc_id long, tag long, text string")
-    got = {(r["doc_id"], r["line"], r["template"]) for r in licenses.template_blocks(d).collect()}
-    block = lambda t, n: " ".join(t.split("\n")[n : n + licenses.LINES]).split()
-    want = {(k, n, i) for k, t in enumerate(texts) for n in range(t.count("\n") + 1) for i, (body, _) in enumerate(licenses.TEMPLATES) if len(set(block(t, n)) & set(body.split())) >= 0.8 * len(set(body.split())) - 1e-9}
+    got = {(r["doc_id"], r["start"], r["template"]) for r in licenses.template_blocks(d).collect()}
+    known = {w for body, _ in licenses.TEMPLATES for w in body.split()}
+    want = set()
+    for k, t in enumerate(texts):
+        words = t.split()
+        for n in range(len(words)):
+            for i, ((body, _), width) in enumerate(zip(licenses.TEMPLATES, licenses.widths())):
+                held = len(set(words[n : n + width]) & set(body.split()))
+                if words[n] in known and held >= 0.8 * len(set(body.split())) - 1e-9:
+                    want.add((k, n, i))
     assert got == want and want
 
 
+def test_notices_count_however_they_are_wrapped_but_not_scattered(spark, monkeypatch):
+    gpl = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"
+    unlicense = "this is free and unencumbered software released into the public domain".split()
+    far = prose(31, 300).split()
+    for k, w in enumerate(unlicense):
+        far[25 * k + 3] = w
+    texts = [prose(1, 50) + "\n" + gpl.replace(" ", "\n") + "\n" + prose(2, 50), gpl.replace(" ", "\n\n# "), " ".join(far), " ".join(unlicense), "license " * 60_000, (" ".join(unlicense) + " and ") * 3000]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = ["gpl", "gpl", "", "unlicense", "", "unlicense"]
+    for chunk in (licenses.CHUNK, 7):
+        monkeypatch.setattr(licenses, "CHUNK", chunk)
+        got = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.scan(d).collect()}
+        assert [got[k][0] for k in range(6)] == want and [got[k][1] for k in (2, 3, 4)] == [0.0, 1.0, 0.0]
+        assert licenses.template_blocks(d.filter("doc_id = 5").withColumn("tag", d["doc_id"])).filter("label = 'unlicense' AND containment = 1").count() >= 3000
+
+
 def test_wrapped_notices_are_found(spark):
     notices = {
         "bsd": "# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that",
