@@ -7,8 +7,9 @@ normal form (separators written out, a card's issuer and check digit, a phone's
 kind; format and context are its features. Base spans rewritten in loose forms are further positives to train on. All
 candidates of all documents are counted by their features, which are few, so that the table to train on is bounded.
 Half of the documents train the trees; the other half gives, for each kind, the lowest score at which PRECISION of the
-candidates found beside the base spans are of their kind. Those at or above it are redacted along with the base spans. The
-trees are applied as one expression of the features, so that no text is joined or shuffled.
+candidates found beside the base spans are of their kind. Where it has none of a kind, rewritten spans of that half take
+their place: the lowest of their scores above that of every candidate that is not of the kind. Candidates at or above the
+threshold are redacted along with the base spans. The trees are applied as one expression of the features, so that no text is joined or shuffled.
 """
 
 from __future__ import annotations
@@ -46,7 +47,7 @@ PATTERNS = (
     # a chain of digits with single separators is matched as a whole; only those of 16 to 19 digits can pass
     Pattern(2, r"[0-9](?:[\x20-]?[0-9]){15}", r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){15,18}(?![\x20-]?[0-9])", True),
     Pattern(3, r"\+[0-9]", r"\+[0-9][\x20().0-9-]+[0-9]", True),
-    Pattern(0, r"(?i)[\[({]\s?at\s?[\])}]|\sat\s\S{1,64}\sdot\s", r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]{1,64}+\s?(?:[\[({]\s?at\s?[\])}]|\sat\s)\s?[a-z0-9-]{1,64}(?:(?:\.|\s\.\s|\s?[\[({]\s?dot\s?[\])}]\s?|\sdot\s)[a-z0-9-]{1,64}){1,4}", False),
+    Pattern(0, r"(?i)[\[({]\s?at\s?[\])}]|\sat\s\S++\sdot\s", r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]++\s?(?:[\[({]\s?at\s?[\])}]|\sat\s)\s?[a-z0-9-]++(?:(?:\.|\s\.\s|\s?[\[({]\s?dot\s?[\])}]\s?|\sdot\s)[a-z0-9-]++)++", False),
     Pattern(2, r"[0-9](?:[\x20.-]?[0-9]){12}", r"(?<![0-9A-Za-z])[0-9](?:[\x20.-]?[0-9]){12,18}(?![0-9A-Za-z])", False),
     Pattern(3, r"[0-9][\x20.)-]{1,2}[0-9]{3}", r"(?<![0-9A-Za-z+.-])\(?[0-9]{2,4}\)?[\x20.-]{1,2}[0-9]{3,4}(?:[\x20.-][0-9]{2,4}){1,3}(?![0-9A-Za-z-])", False),
 )
@@ -224,6 +225,26 @@ def margin(model: GBTClassificationModel):
     return score
 
 
+def thresholds(counts: DataFrame, score: Callable[[Column], Column]) -> dict[int, float]:
+    """The lowest score of each kind that selects; a kind without one selects nothing."""
+    judged = counts.filter("extra OR (made AND fold = 1)").select("kind", "fold", "made", score(F.struct(*FEATURES)).alias("score"), "weight", "label")
+    rows = judged.groupBy("kind", "fold", "made", "score").agg(F.sum("weight").alias("n"), F.sum(F.col("weight") * F.col("label")).alias("good")).collect()  # as many as scores of distinct features
+    limits: dict[int, float] = {}
+    for kind in {r["kind"] for r in rows}:
+        own = [r for r in rows if r["kind"] == kind]
+        n = good = 0.0
+        for r in sorted((r for r in own if r["fold"] == 1 and not r["made"]), key=lambda r: -r["score"]):
+            n, good = n + r["n"], good + r["good"]
+            if good >= PRECISION * n:
+                limits[kind] = r["score"]
+        if not good:
+            wrong = max((r["score"] for r in own if not r["made"] and r["good"] < r["n"]), default=float("-inf"))
+            above = [r["score"] for r in own if r["made"] and r["score"] > wrong]
+            if above:
+                limits[kind] = min(above)
+    return limits
+
+
 def selector(counts: DataFrame):
     """A function from kind and features to whether the trees select the candidate, or None where there is nothing to learn."""
     labels = {r["label"]: r["n"] for r in counts.filter("fold = 0").groupBy("label").agg(F.sum("weight").alias("n")).collect()}  # two rows at most
@@ -231,13 +252,7 @@ def selector(counts: DataFrame):
         return None
     train = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(counts.filter("fold = 0"))
     score = margin(GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, weightCol="weight", seed=1).fit(train.select("features", "label", "weight").coalesce(1)))
-    held = counts.filter("fold = 1 AND extra").groupBy("kind", score(F.struct(*FEATURES)).alias("score")).agg(F.sum("weight").alias("n"), F.sum(F.col("weight") * F.col("label")).alias("good"))
-    limits, sums = {}, {}
-    for r in sorted(held.collect(), key=lambda r: -r["score"]):  # as many rows as scores of distinct features
-        n, good = sums.get(r["kind"], (0.0, 0.0))
-        sums[r["kind"]] = n, good = n + r["n"], good + r["good"]
-        if good >= PRECISION * n:
-            limits[r["kind"]] = r["score"]
+    limits = thresholds(counts, score)
 
     def chosen(x: Column) -> Column:
         def reached(f: Column) -> Column:

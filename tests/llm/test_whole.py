@@ -54,3 +54,27 @@ def test_runs_of_blanks_are_one_class():
     for wide in ("a  b\n\n\nc d", "a \t b\n\nc   d"):
         assert quality.grams(wide, classes)[1].tolist() == quality.grams("a b\nc d", classes)[1].tolist()
     assert len(quality.grams("aa--11", classes)[0]) == 6 and len(quality.grams("", classes)[0]) == 0
+
+
+def test_long_local_parts_and_many_labels_are_candidates(spark):
+    rows = [(k, f"{prose(k, 9)} write to ann{k} [at] site{k} [dot] com. {prose(k + 1, 9)}") for k in range(200)] + [(500 + k, prose(k, 20)) for k in range(50)]
+    rows += [(1000 + k, f"{prose(k, 8)} id 1234.5678.9012.{3400 + k} seen {prose(k, 4)} bob{k}@mail{k}.com") for k in range(120)]
+    odd = {2000: "a" * 200 + " [at] " + "b" * 100 + " [dot] org", 2001: "eve(at)" + "(dot)".join(f"l{k}" for k in range(40)) + "(dot)net", 2002: "x" * 300 + " at " + "y" * 90 + " dot com"}
+    rows += [(k, "write to " + t + " .") for k, t in odd.items()]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: [(x["start"], x["end"]) for x in r["spans"]] for r in pii.with_spans(d).collect()}
+    for k, t in odd.items():
+        assert got[k] == [(9, 9 + len(t))], k
+    assert all(len(got[k]) == 1 for k in range(200)) and not any(got[500 + k] for k in range(50)) and all(len(got[1000 + k]) == 1 for k in range(120))
+
+
+def test_thresholds_without_natural_positives_stand_above_all_that_is_wrong(spark):
+    rows = [(f, made, extra, kind, label, float(n)) for f, made, extra, kind, label, n in ((0, True, False, 2, 1.0, 40), (1, True, False, 2, 1.0, 30), (1, False, True, 2, 0.0, 50), (0, False, True, 2, 0.0, 9), (1, False, True, 0, 0.0, 5), (1, False, True, 3, 1.0, 9), (1, False, True, 3, 0.0, 1))]
+    flat = [(f, made, extra, kind, *[k if name == "n_digits" else 0 for k, name in zip([0] * 11, pii.FEATURES[1:], strict=True)], label, n) for f, made, extra, kind, label, n in rows]
+    kinds = ", ".join(f"{name} int" for name in pii.FEATURES)
+    counts = spark.createDataFrame(flat, f"fold int, made boolean, extra boolean, {kinds}, label double, weight double")
+    from pyspark.sql import functions as F
+
+    high = pii.thresholds(counts, lambda x: F.when(F.col("made"), 2.0).when(F.col("label") == 1, 1.5).otherwise(1.0))
+    assert high == {2: 2.0, 3: 1.0}  # 9 of 10 at the lower score are phones; no rewritten e-mail address is there to go by
+    assert pii.thresholds(counts.filter("kind = 2"), lambda x: F.lit(1.0)) == {}
