@@ -319,7 +319,7 @@ def test_warc(spark, sf, tmp_path):
 
 def test_parse_rejects_wrong_lengths():
     with pytest.raises(ValueError, match="does not end"):
-        list(warc.parse(b"WARC/1.1\r\nContent-Length: 3\r\n\r\nabcdef\r\n\r\n"))
+        list(warc.parse([b"WARC/1.1\r\nContent-Length: 3\r\n\r\nabcdef\r\n\r\n"]))
 
 
 def test_licenses(spark, sf, docs):

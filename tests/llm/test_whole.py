@@ -78,3 +78,34 @@ def test_thresholds_without_natural_positives_stand_above_all_that_is_wrong(spar
     high = pii.thresholds(counts, lambda x: F.when(F.col("made"), 2.0).when(F.col("label") == 1, 1.5).otherwise(1.0))
     assert high == {2: 2.0, 3: 1.0}  # 9 of 10 at the lower score are phones; no rewritten e-mail address is there to go by
     assert pii.thresholds(counts.filter("kind = 2"), lambda x: F.lit(1.0)) == {}
+
+
+def test_archives_of_large_pages_are_bounded_and_read_in_pieces(spark, tmp_path, monkeypatch):
+    import glob
+    import gzip
+    import zlib
+
+    from graphnet_spark.llm import warc
+
+    monkeypatch.setattr(warc, "FILE_BYTES", 1 << 20)
+    monkeypatch.setattr(warc, "RECORDS_PER_FILE", 64)
+    big = "<p>" + prose(5, 200) * 100
+    rows = [(k, f"http://x/{k}", (f"{k} " if k % 3 else "") + big[: 900 * 4 ** (k % 5)]) for k in range(200)] + [(500, "u", "y" * 3_000_000), (501, "u", None), (501, "u", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
+    warc.write_archives(pages, f"{tmp_path}/out")
+    archives = [gzip.open(f).read() for f in glob.glob(f"{tmp_path}/out/part-*")]
+    counts = [a.count(b"WARC-Record-ID") for a in archives]
+    assert sum(counts) == len(rows) and max(counts) <= 64
+    assert all(len(a) <= (1 << 20) + 700 * n or n == 1 for a, n in zip(archives, counts, strict=True))
+    got = {r["page_id"]: r for r in warc.resolved(warc.read_archives(spark, f"{tmp_path}/out")).collect()}
+    largest = {}
+    for k, _, html in rows:
+        largest[html] = max(k, largest.get(html, k))
+    for k, _, html in rows:
+        again = len(html or "") >= 1000 and largest[html] != k
+        assert (got[k]["payload_bytes"], got[k]["record_type"], got[k]["refers_to"]) == (len(html or ""), "revisit" if again else "response", largest[html] if again else None)
+    one = min(archives, key=len)
+    for step in (3, 1000, len(one)):
+        assert len(list(warc.parse(one[a : a + step] for a in range(0, len(one), step)))) == one.count(b"WARC-Record-ID")
+    twice = gzip.compress(b"ab" * 1000) + gzip.compress(b"c") + zlib.compress(b"", wbits=31)
+    assert b"".join(warc.unzipped(twice, 5)) == b"ab" * 1000 + b"c"
