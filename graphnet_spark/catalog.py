@@ -662,18 +662,32 @@ def topo_cycles(spark, sf):
     return topology.cycles(e, shapes(e)).select("topology_id", F.col("cyclic").cast("long").alias("cyclic"))
 
 
-@query(f"SELECT topology_id, true AS complete, true AS ordered FROM (SELECT DISTINCT topology_id FROM {EDGES} WHERE from_idx < to_idx)")
+@query(f"""
+WITH RECURSIVE e AS (SELECT topology_id, from_idx AS a, to_idx AS b, max(pos) AS pos FROM {EDGES} WHERE from_idx >= 3 AND to_idx >= 3 AND from_idx <> to_idx AND (from_idx < to_idx OR topology_id % 2 = 0) GROUP BY 1, 2, 3),
+t AS (SELECT DISTINCT topology_id FROM {EDGES}),
+f AS (SELECT topology_id, b AS i, list(a ORDER BY pos) AS feeds FROM e GROUP BY 1, 2),
+o AS (SELECT topology_id, a AS i, count(*) AS n FROM e GROUP BY 1, 2),
+w AS (SELECT t.topology_id, list(coalesce(n, 0) ORDER BY k) AS w FROM t CROSS JOIN (SELECT unnest(range(0, 12)) AS k) LEFT JOIN o ON o.topology_id = t.topology_id AND o.i = k GROUP BY 1),
+r(topology_id, k, q, w) AS (SELECT topology_id, 1::BIGINT, list_filter(range(3, 12), lambda i: w[i + 1] = 0), w FROM w
+ UNION ALL SELECT topology_id, k + 1, list_concat(q, list_filter(feeds, lambda a: v[a + 1] = 0)), v FROM (
+  SELECT r.topology_id, k, q, coalesce(feeds, []::BIGINT[]) AS feeds, list_transform(range(0, 12), lambda x: r.w[x + 1] - CASE WHEN list_contains(coalesce(feeds, []::BIGINT[]), x) THEN 1 ELSE 0 END) AS v
+  FROM r LEFT JOIN f ON f.topology_id = r.topology_id AND f.i = r.q[k] WHERE k <= len(q))),
+z AS (SELECT topology_id, arg_max(q, k) AS q FROM r GROUP BY 1),
+l AS (SELECT topology_id, list_concat(q, list_filter(range(3, 12), lambda i: NOT list_contains(q, i))) AS q FROM z)
+SELECT topology_id, place::BIGINT AS place, q[place + 1]::BIGINT AS idx FROM l, (SELECT unnest(range(0, 9)) AS place)""")
 def topo_reverse_order(spark, sf):
-    """Whether every neuron is placed, and no acyclic edge's target after its source."""
-    e = edges(spark, sf).filter("from_idx < to_idx")
-    o = topology.reverse_order(e, shapes(e))
-    p = o.select("topology_id", F.col("idx").alias("from_idx"), F.col("place").alias("pf")).join(e, ["topology_id", "from_idx"]).join(o.select("topology_id", F.col("idx").alias("to_idx"), F.col("place").alias("pt")), ["topology_id", "to_idx"])
-    good = p.groupBy("topology_id").agg(F.min(F.col("pt") < F.col("pf")).alias("ordered"))
-    n = o.groupBy("topology_id").agg((F.countDistinct("idx") == 9).alias("complete"))
-    return n.join(good, "topology_id", "left").select("topology_id", "complete", F.coalesce("ordered", F.lit(True)).alias("ordered"))
+    """Every neuron's place; odd graphs have their forward edges only, even ones all, with cycles."""
+    every = edges(spark, sf)
+    e = every.filter("from_idx < to_idx OR topology_id % 2 = 0")
+    out = topology.reverse_order(e, shapes(every))
+    return out.select("topology_id", F.col("place").cast("long").alias("place"), F.col("idx").cast("long").alias("idx"))
 
 
-@query()
+@query(f"""
+WITH RECURSIVE e AS (SELECT DISTINCT topology_id, from_idx AS a, to_idx AS b FROM {EDGES} WHERE from_idx < to_idx AND to_idx >= 3),
+r(topology_id, idx, level) AS (SELECT topology_id, k, CASE WHEN k < 3 THEN 0 ELSE 1 END FROM (SELECT DISTINCT topology_id FROM {EDGES}), (SELECT unnest(range(0, 12)) AS k)
+ UNION SELECT r.topology_id, e.b, r.level + 1 FROM r JOIN e ON e.topology_id = r.topology_id AND e.a = r.idx)
+SELECT topology_id, idx, max(level)::BIGINT AS level FROM r WHERE idx >= 3 GROUP BY 1, 2""")
 def topo_levels(spark, sf):
     """The longest way from an input to every neuron, over forward edges."""
     e = edges(spark, sf).filter("from_idx < to_idx")

@@ -90,52 +90,43 @@ def validate_structure(nodes: DataFrame, edges: DataFrame, shapes: DataFrame) ->
 def reverse_order(edges: DataFrame, shapes: DataFrame) -> DataFrame:
     """topology_id, place and idx: neurons so that each comes after all that it feeds, cycle members last in ascending order.
 
-    A graph has a bounded number of nodes; each is ordered within one group, which holds every pair of nodes once.
+    First come those that feed nothing, ascending; then, as in a queue, each follows the last of those that it feeds, in the order of edges
+    where several follow the same. A round places all neurons, of all graphs, whose targets have places: one for each level.
     """
-    import pandas as pd
-
-    def order(key: tuple, e: pd.DataFrame) -> pd.DataFrame:
-        n, ni, e = int(e["n"].iloc[0]), int(e["ni"].iloc[0]), e.sort_values("pos")
-        feeds: dict[int, list[int]] = {}
-        waiting = dict.fromkeys(range(ni, n), 0)
-        for a, b in zip(e["from_idx"], e["to_idx"], strict=True):
-            if a == a and b == b and a != b and ni <= a < n and ni <= b < n:
-                feeds.setdefault(int(b), []).append(int(a))
-                waiting[int(a)] += 1
-        out = [i for i in waiting if not waiting[i]]
-        for i in out:
-            for a in feeds.get(i, ()):
-                waiting[a] -= 1
-                if not waiting[a]:
-                    out.append(a)
-        seen = set(out)
-        out += [i for i in waiting if i not in seen]
-        return pd.DataFrame({"topology_id": key[0], "place": range(len(out)), "idx": out})
-
-    once = edges.groupBy("topology_id", "from_idx", "to_idx").agg(F.max("pos").alias("pos"))
-    both = shapes.join(once, "topology_id", "left")
-    return both.groupBy("topology_id").applyInPandas(order, "topology_id long, place int, idx int")
+    key = ["topology_id"]
+    every = shapes.select("topology_id", F.explode(F.sequence(F.col("ni"), F.col("n") - 1)).alias("idx"), "n", "ni").filter("idx >= ni AND idx < n").select("topology_id", "idx")
+    own = edges.filter("from_idx <> to_idx").groupBy("topology_id", F.col("from_idx").alias("idx"), F.col("to_idx").alias("to")).agg(F.max("pos").alias("pos"))
+    own = stored(own.join(every, [*key, "idx"]).join(every.withColumnRenamed("idx", "to"), [*key, "to"]), "order-edges")
+    rank = lambda *order: F.row_number().over(W.partitionBy("topology_id").orderBy(*order))
+    placed = stored(every.join(own, [*key, "idx"], "left_anti").withColumn("place", rank("idx") - 1), "order")
+    while True:
+        waiting = own.join(placed.select("topology_id", "idx"), [*key, "idx"], "left_anti")
+        last = waiting.join(placed.select("topology_id", F.col("idx").alias("to"), F.col("place").alias("after")), [*key, "to"], "left")
+        ready = last.groupBy("topology_id", "idx").agg(F.bool_and(F.col("after").isNotNull()).alias("ready"), F.max(F.struct("after", "pos")).alias("after")).filter("ready")
+        used = placed.groupBy("topology_id").agg(F.count(F.lit(1)).cast("int").alias("used"))
+        new = ready.join(used, key, "left").select("topology_id", "idx", (F.coalesce("used", F.lit(0)) + rank("after") - 1).alias("place"))
+        new = stored(new, "order-new")
+        if not new.limit(1).count():
+            discard(new)
+            break
+        both = stored(placed.unionByName(new), "order")
+        discard(placed, new)
+        placed = both
+    used = placed.groupBy("topology_id").agg(F.count(F.lit(1)).cast("int").alias("used"))
+    rest = every.join(placed.select("topology_id", "idx"), [*key, "idx"], "left_anti").join(used, key, "left").select("topology_id", "idx", (F.coalesce("used", F.lit(0)) + rank("idx") - 1).alias("place"))
+    return placed.unionByName(rest).select("topology_id", F.col("place").cast("int").alias("place"), F.col("idx").cast("int").alias("idx"))
 
 
 def levels(edges: DataFrame, shapes: DataFrame) -> DataFrame:
     """topology_id, idx and level: the longest way over forward edges from an input, or from a neuron that nothing feeds.
 
-    Inputs are level 0 and left out. A graph has a bounded number of nodes; its group holds every pair of nodes once.
+    Inputs are level 0 and left out. A round for each level moves neurons of all graphs.
     """
-    import pandas as pd
-
-    def order(key: tuple, e: pd.DataFrame) -> pd.DataFrame:
-        n, ni = int(e["n"].iloc[0]), int(e["ni"].iloc[0])
-        inbound: dict[int, list[int]] = {}
-        for a, b in e[["from_idx", "to_idx"]].dropna().astype("int64").itertuples(index=False):
-            inbound.setdefault(b, []).append(a)
-        level = dict.fromkeys(range(ni), 0)
-        for idx in range(ni, n):
-            level[idx] = 1 + max((level[a] for a in inbound.get(idx, ()) if 0 <= a < idx), default=0)
-        return pd.DataFrame({"topology_id": key[0], "idx": range(ni, n), "level": [level[i] for i in range(ni, n)]})
-
-    both = shapes.join(edges.select("topology_id", "from_idx", "to_idx").distinct(), "topology_id", "left")
-    return both.groupBy("topology_id").applyInPandas(order, "topology_id long, idx long, level long")
+    from .population import neuron_levels
+
+    neurons = shapes.select(F.col("topology_id").alias("net_id"), F.explode(F.sequence(F.col("ni"), F.col("n") - 1)).alias("idx"), "n", "ni").filter("idx >= ni AND idx < n").select("net_id", "idx", F.lit("hidden").alias("kind"))
+    found = neuron_levels(neurons, edges.select(F.col("topology_id").alias("net_id"), "from_idx", "to_idx"))
+    return found.select(F.col("net_id").alias("topology_id"), F.col("idx").cast("long").alias("idx"), F.col("level").cast("long").alias("level"))
 
 
 def cycles(edges: DataFrame, shapes: DataFrame, rounds: list[int] | None = None) -> DataFrame:
