@@ -216,8 +216,10 @@ def safe_zone(name: str, x: str = "x", error: str = "error", weight: str = "weig
 #: Where functions without a closed inverse turn from falling to rising, and how far from 0 their inverses reach.
 TURN = {"Swish": "-1.2784645427610738e0", "Mish": "-1.1924312145e0", "GELU": "-7.524614221e-1"}
 REACH = {"Swish": "1e300", "Mish": "2e1", "GELU": "1e1"}
-#: Fixed value: a hint whose activation is as near as this to y is the inverse, and steps from a hint end there.
+#: Fixed value: a hint whose activation is as near as this to y tells the side of the inverse, and steps from a hint end there.
 TOLERANCE = "1e-6"
+#: A hint whose activation is as near as this to y is the inverse itself.
+EXACT = "1e-12"
 #: Slopes whose sign counts: those for training leave negative ones out.
 TRUE_SLOPE = {"Mish": f"(tanh({SOFTPLUS}) + {{x}} * {SIGMOID} * (1e0 - tanh({SOFTPLUS}) * tanh({SOFTPLUS})))"}
 
@@ -262,8 +264,8 @@ def _safeguarded(name: str, y: str, left: str, rounds: int) -> str:
 def iterated_sql(name: str, y: str, hint: str = "CAST(NULL AS DOUBLE)", rounds: int = 100) -> str:
     """The inverse of Swish, Mish, GELU or BENT_IDENTITY near a hint, if there is one.
 
-    A hint whose activation is within the tolerance of y is the answer. Of two solutions, that counts to which Newton steps from the
-    hint lead (Swish: always the rising side); without a hint they start at y or y / 2, for GELU at 1 or -1. A y below the least
+    A hint whose activation is y is the answer; where it is within the tolerance of y, the solution on the hint's side is. Of two
+    other solutions, that counts to which Newton steps from the hint lead (Swish: always the rising side); without a hint they start at y or y / 2, for GELU at 1 or -1. A y below the least
     activation gives the turn. Mish's inverses end at ±20; beyond 10, GELU's hint (or 0) takes the inverse's place, and for a y
     that is next to 0 its hint or -10. A y that is not finite gives the hint, or 0.
     """
@@ -271,21 +273,22 @@ def iterated_sql(name: str, y: str, hint: str = "CAST(NULL AS DOUBLE)", rounds:
     h, v = "k.h", "k.y"
     forward = lambda x: _of(name).forward.format(x=f"({x})")
     known = finite(h)
-    near = f"{known} AND abs({forward(h)} - {v}) < {TOLERANCE}"
+    near, held = (f"{known} AND abs({forward(h)} - {v}) < {limit}" for limit in (TOLERANCE, EXACT))
     if name == "BENT_IDENTITY":
         c = f"(2e0 * {v} + 1e0)"
-        out = f"CASE WHEN {near} OR ({known} AND abs({h}) >= 1e10) THEN {h} ELSE (2e0 * {c} - sqrt({c} * {c} + 3e0)) / 3e0 END"
+        out = f"CASE WHEN {held} OR ({known} AND abs({h}) >= 1e10) THEN {h} ELSE (2e0 * {c} - sqrt({c} * {c} + 3e0)) / 3e0 END"
     elif name == "Swish":
-        out = f"CASE WHEN {near} AND {h} >= -2e1 THEN {h} ELSE {_safeguarded(name, v, 'false', rounds)} END"
+        left = f"CASE WHEN {near} AND {h} >= -2e1 THEN {h} < {TURN[name]} ELSE false END"
+        out = f"CASE WHEN {held} AND {h} >= -2e1 THEN {h} ELSE {_safeguarded(name, v, left, rounds)} END"
     else:
         first = f"CASE WHEN {v} >= 0e0 THEN {v} ELSE {v} / 2e0 END" if name == "Mish" else f"CASE WHEN {v} < 5e-1 THEN -1e0 ELSE 1e0 END"
         start = f"CASE WHEN {known} THEN {h} ELSE {first} END"
         left = f"CASE WHEN {v} >= 0e0 THEN false ELSE {_stepped(name, v, start, rounds)} < {TURN[name]} END"
         root = _safeguarded(name, v, left, rounds)
         if name == "Mish":
-            out = f"CASE WHEN {near} THEN {h} WHEN {v} >= {REACH[name]} THEN {REACH[name]} ELSE {root} END"
+            out = f"CASE WHEN {held} THEN {h} WHEN {v} >= {REACH[name]} THEN {REACH[name]} ELSE {root} END"
         else:
-            out = f"CASE WHEN abs({v}) < 1e-10 THEN CASE WHEN {known} THEN {h} ELSE -1e1 END WHEN {near} THEN {h} WHEN {v} > {REACH[name]} THEN CASE WHEN {known} THEN {h} ELSE 0e0 END ELSE {root} END"
+            out = f"CASE WHEN abs({v}) < 1e-10 THEN CASE WHEN {known} THEN {h} ELSE -1e1 END WHEN {held} THEN {h} WHEN {v} > {REACH[name]} THEN CASE WHEN {known} THEN {h} ELSE 0e0 END ELSE {root} END"
     limited = f"least(greatest(CAST({hint} AS DOUBLE), -2e1), 2e1)" if name == "Mish" else f"CAST({hint} AS DOUBLE)"
     values = f"named_struct('y', CAST({y} AS DOUBLE), 'h', CASE WHEN {finite(f'CAST({hint} AS DOUBLE)')} THEN {limited} END)"
     return f"(CASE WHEN NOT coalesce({finite(y)}, false) THEN coalesce(CASE WHEN {finite(hint)} THEN CAST({hint} AS DOUBLE) END, 0e0) ELSE {bound(values, 'k', out)} END)"

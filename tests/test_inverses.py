@@ -100,3 +100,11 @@ def test_errors_fall_back_to_the_inverse_where_slopes_vanish(spark):
     d = spark.createDataFrame([(0.0, 0.5, -40.0)], "a double, t double, x double")
     got = d.select(*(F.expr(A.any_error_sql(n, "a", "t", "x")).alias(n) for n in ("Swish", "GELU", "Mish"))).head()
     assert abs(activation("Swish", -40 + got["Swish"]) - 0.5) < 1e-6 and abs(activation("GELU", -40 + got["GELU"]) - 0.5) < 1e-6 and got["Mish"] == 0
+
+
+def test_a_hint_that_is_only_near_is_not_the_answer(spark):
+    """A hint within 1e-6 of the solution's activation tells the side; the activation of the inverse is still what was inverted."""
+    rows = [(name, activation(name, x) + d, x) for name in A.ITERATED for x in (-3.3, -0.9, 0.1) for d in (9e-7, -9e-7)]
+    for name, y, h in rows:
+        x = spark.createDataFrame([(y, h)], "y double, h double").select(A.iterated_inverse(name, "y", "h")).head()[0]
+        assert abs(activation(name, x) - y) < 1e-12 and abs(x - h) < 1e-3, (name, y, h, x)
