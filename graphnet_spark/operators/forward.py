@@ -26,6 +26,20 @@ RECORDS = 2048
 AGGREGATES = ("MINIMUM", "MAXIMUM", "IF", "HYPOT", "HYPOTv2", "MEAN")
 
 
+def condition_holds() -> Column:
+    """Whether v of the conditions adds up to more than 0, in a groupBy over a neuron's edges.
+
+    The sum of what rounding leaves has a sign that depends on the order of rows. Whole numbers of 2^-20, and of 2^-70 for the rest,
+    add up exactly; only numbers that are too large for this are added as they are.
+    """
+    v = F.when((F.col("role") == CONDITION) & (F.col("code") == CODES["IF"]), F.col("v"))
+    fixed = F.when(F.abs(v) < 1e12, v)
+    coarse = F.rint(fixed * 2.0**20)
+    fine = F.rint((fixed - coarse * 2.0**-20) * 2.0**70)
+    whole = lambda c: F.coalesce(F.sum(c.cast("decimal(20,0)")).cast("double"), F.lit(0.0))
+    return F.coalesce(F.sum(F.when(F.abs(v) >= 1e12, v)), F.lit(0.0)) + (whole(coarse) * 2.0**-20 + whole(fine) * 2.0**-70) > 0
+
+
 def node_value() -> Column:
     """The value of a neuron from v = activation * weight, role, bias and code, in a groupBy over its edges."""
     v, bias = F.col("v"), F.first("bias")
@@ -36,7 +50,7 @@ def node_value() -> Column:
     special = (
         F.when(code == CODES["MINIMUM"], F.coalesce(F.min("v"), F.lit(0.0)) + bias)
         .when(code == CODES["MAXIMUM"], F.coalesce(F.max("v"), F.lit(0.0)) + bias)
-        .when(code == CODES["IF"], F.when(part(F.col("role") == CONDITION) > 0, part(~F.col("role").isin(CONDITION, NEGATIVE))).otherwise(part(F.col("role") == NEGATIVE)) + bias)
+        .when(code == CODES["IF"], F.when(condition_holds(), part(~F.col("role").isin(CONDITION, NEGATIVE))).otherwise(part(F.col("role") == NEGATIVE)) + bias)
         .when(code == CODES["HYPOT"], F.sqrt(F.coalesce(F.sum(v * v), F.lit(0.0))) + bias)
         .when(code == CODES["HYPOTv2"], F.sqrt(F.coalesce(F.sum((F.col("bias") + v) * (F.col("bias") + v)), F.lit(0.0))))
         .when(code == CODES["MEAN"], F.coalesce(F.avg("v"), F.lit(0.0)) + bias)
@@ -52,8 +66,7 @@ def aggregate_nodes(edges: DataFrame, keys: list[str], names: set[str] | None =
     """
     info = []
     if trace:
-        condition = F.coalesce(F.sum(F.when(F.col("role") == CONDITION, F.col("v"))), F.lit(0.0))
-        info = [F.min(F.struct("v", "ord")).alias("_low"), F.min(F.struct((-F.col("v")).alias("v"), "ord")).alias("_high"), (condition > 0).cast("int").alias("_yes")]
+        info = [F.min(F.struct("v", "ord")).alias("_low"), F.min(F.struct((-F.col("v")).alias("v"), "ord")).alias("_high"), condition_holds().cast("int").alias("_yes")]
     g = edges.groupBy(*keys).agg(node_value().alias("n"), *info)
     g = g.select(*keys, "n.special", F.col("n.plain.x").alias("x"), F.col("n.plain.code").alias("code"), *(["_low", "_high", "_yes"] if trace else []))
     g = g.withColumn("raw", F.coalesce("special", F.expr(by_code("code", lambda name: forward_sql(name, "x"), names))))

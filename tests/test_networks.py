@@ -1,5 +1,6 @@
 """Hand-computed networks, topologies, scans and splits."""
 
+import itertools
 import math
 
 import numpy as np
@@ -210,3 +211,12 @@ def test_sql_functions(spark):
     assert "net_squash" in sqlapi.register(spark)
     r = spark.sql("SELECT net_squash(6, 0D) a, net_limit_range(6, 2D) b, net_validate_range(6, -0.5D) c, net_unsquash(23, 0.25D, 0D) d, net_range_high(2) e, net_squash(99, 3D) f").first()
     assert tuple(r) == (0.5, 1.0, False, 0.75, 6.0, 3.0)
+
+
+def test_a_condition_of_rounding_errors_does_not_depend_on_the_order(spark):
+    parts = (0.03400000000000001, -0.030000000000000006, -0.004000000000000001)
+    orders = list(itertools.permutations(parts)) + [(1e13, -1e13), (1e13, -1e13, 1e-9), (float("inf"), 1.0)]
+    rows = [(k, v, 1, 0.5) for k, values in enumerate(orders) for v in values] + [(k, 7.0, 0, 0.5) for k in range(len(orders))]
+    d = spark.createDataFrame(rows, "neuron long, v double, role int, bias double").coalesce(1).withColumns({"code": F.lit(A.CODES["IF"]), "ord": F.lit(0)})
+    got = {r["neuron"]: r["info"] for r in forward.aggregate_nodes(d, ["neuron"], trace=True).collect()}
+    assert len({got[k] for k in range(6)}) == 1 and [got[6], got[7], got[8]] == [0, 1, 1]
