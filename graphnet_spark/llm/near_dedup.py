@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .anchors import mix64, poly
-from .common import discard, merged_by_key, packed_texts, slices, stored, table, unpacked
+from .common import discard, give_back, merged_by_key, packed_texts, slices, stored, table, unpacked
 from .graph import components, merged
 
 #: Words of a shingle, least similarity, bands and samples of a band: a pair at the threshold is missed once in 2,700.
@@ -102,6 +102,33 @@ def add(total: np.ndarray, blob: bytes) -> np.ndarray:
     return total
 
 
+class Carried:
+    """What counts of cells exceed 255 by, in units of 256, for the few cells that do."""
+
+    def __init__(self):
+        self.cells, self.units, self.waiting = np.empty(0, np.int64), np.empty(0, np.int64), []
+
+    def add(self, at: np.ndarray, units: np.ndarray) -> None:
+        if len(at):
+            self.waiting.append((at, units))
+        if sum(len(x) for x, _ in self.waiting) > 1 << 16:
+            self.settle()
+
+    def settle(self) -> None:
+        cells_, units = (np.concatenate(x) for x in zip((self.cells, self.units), *self.waiting, strict=True))
+        self.cells, at = np.unique(cells_, return_inverse=True)
+        self.units, self.waiting = np.zeros(len(self.cells), np.int64), []
+        np.add.at(self.units, at, units)
+
+    def onto(self, low: np.ndarray, start: int) -> np.ndarray:
+        """The whole counts of the cells from start on."""
+        self.settle()
+        counts = low.astype(np.uint64)
+        a, b = np.searchsorted(self.cells, (start, start + len(low)))
+        counts[self.cells[a:b] - start] += self.units[a:b].astype(np.uint64) << np.uint64(8)
+        return counts
+
+
 class Frequencies:
     """Document frequencies of shingles, in steps of a doubling, and the weights that follow."""
 
@@ -125,17 +152,23 @@ def frequencies(docs: DataFrame) -> Frequencies:
         from pyspark import TaskContext
 
         group = TaskContext.get().partitionId() % GROUPS
-        total = [np.zeros(1 << width, np.uint32) for _ in range(DEPTH)]
+        # the lowest byte of each count, and what is carried over from it
+        low, carried = [np.zeros(1 << width, np.uint8) for _ in range(DEPTH)], [Carried() for _ in range(DEPTH)]
         for batch in batches:
             for part in slices(batch, 1 << 21):
                 hashes, _, _ = text_shingles(part.column(0).to_pylist())
                 for row in range(DEPTH):
                     at, n = np.unique(cells(hashes, row, width), return_counts=True)
-                    total[row][at] += n.astype(np.uint32)
+                    n = n + low[row][at]
+                    low[row][at] = (n & 255).astype(np.uint8)
+                    carried[row].add(at[n > 255], n[n > 255] >> 8)
         for row in range(DEPTH):
-            for k, part in enumerate(total[row].reshape(-1, 1 << SLICE)):
-                if part.any():
-                    yield one((row << width - SLICE) + k, group, packed(part))
+            for k, part in enumerate(low[row].reshape(-1, 1 << SLICE)):
+                counts = carried[row].onto(part, k << SLICE)
+                if counts.any():
+                    yield one((row << width - SLICE) + k, group, packed(counts))
+        low.clear()
+        give_back()
 
     def one(s: int, g: int, blob: bytes, documents: int = 0) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([g], pa.int32()), pa.array([blob], pa.binary()), pa.array([documents], pa.int64())], names=["slice", "part", "cells", "items"])

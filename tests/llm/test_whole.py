@@ -1,6 +1,10 @@
 """Parts of operators that earlier versions left out."""
 
-from graphnet_spark.llm import media, pii, quality
+import collections
+
+import numpy as np
+
+from graphnet_spark.llm import media, near_dedup, pii, quality
 
 from .conftest import prose
 
@@ -109,3 +113,32 @@ def test_archives_of_large_pages_are_bounded_and_read_in_pieces(spark, tmp_path,
         assert len(list(warc.parse(one[a : a + step] for a in range(0, len(one), step)))) == one.count(b"WARC-Record-ID")
     twice = gzip.compress(b"ab" * 1000) + gzip.compress(b"c") + zlib.compress(b"", wbits=31)
     assert b"".join(warc.unzipped(twice, 5)) == b"ab" * 1000 + b"c"
+
+
+def test_code_points_of_all_planes_have_their_class():
+    classes = quality.class_table()
+    letters = range(quality.LETTER, quality.UPPER)
+    assert all(classes[c] in letters for c in (0x20000, 0x2A6D6, 0x30000, 0xE0100))
+    assert all(classes[c] == quality.REST for c in (0x2FFFE, 0x50000, 0xE0001, 0xF0000, 0x10FFFF))
+
+
+def test_counts_beyond_a_byte_are_carried():
+    r, total, low, carried = np.random.default_rng(3), np.zeros(1 << 10, np.int64), np.zeros(1 << 10, np.uint8), near_dedup.Carried()
+    for k in range(300):
+        at, n = np.unique(r.integers(0, 1 << (3 + k % 8), 2000), return_counts=True)
+        total[at] += n
+        n = n + low[at]
+        low[at] = (n & 255).astype(np.uint8)
+        carried.add(at[n > 255], n[n > 255] >> 8)
+    assert np.concatenate([carried.onto(low[a : a + 256], a) for a in range(0, 1024, 256)]).tolist() == total.tolist() and total.max() > 10_000
+
+
+def test_gram_counts_need_no_room_for_grams_that_do_not_occur(spark):
+    texts = [prose(k, 40) for k in range(60)]
+    classes = quality.class_table()
+    want = collections.Counter(c for x in texts for c in quality.grams(x, classes)[1].tolist())
+    d = spark.createDataFrame([(x, "en") for x in texts], "text string, lang string")
+    assert {r["gram"]: r["n"] for r in quality.gram_counts(d, ["en"]).collect()} == dict(want)
+    pairs = [np.unique(np.array(quality.grams(x, classes)[1]), return_counts=True) for x in texts]
+    codes, n = quality.summed(pairs)
+    assert dict(zip(codes.tolist(), n.tolist())) == dict(want) and len(codes) * 50 < quality.ALPHABET**quality.ORDER
