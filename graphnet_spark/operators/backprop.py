@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.activations import ACTIVATIONS, ALIASES, any_error_sql, any_inverse_sql, by_code, safe_sql
 from ..plans.storage import stored
 from .accumulate import BIAS_SUMS, WEIGHT_SUMS, bias_deltas, summed, weight_deltas
-from .distribution import PLANK, elastic_split
+from .distribution import PLANK, split_in_place
 from .forward import traced
 from .network import Network
 
@@ -104,7 +104,7 @@ def split(rows: DataFrame, key: str, plank: float) -> DataFrame:
     rows = rows.withColumn("safe_zone", F.when(F.col("blocked"), 0.0).when(F.col("error") == 0, 1.0).otherwise(factor))
     some = F.max(F.col("safe_zone") > plank).over(w)
     rows = rows.withColumn("safe", F.when(some, F.col("safe_zone")).otherwise(1.0))
-    out = elastic_split(rows, [key, "idx"], PLANK).withColumn("share", F.when(F.col("error") == 0, 0.0).otherwise(F.col("share")))
+    out = split_in_place(rows, [key, "idx"], PLANK).withColumn("share", F.when(F.col("error") == 0, 0.0).otherwise(F.col("share")))
     return out.withColumns({"safe": F.col("safe_zone"), "goal": F.col("weight") * F.col("activation") + F.col("share")}).drop("safe_zone", "_act", "_hint")
 
 

@@ -9,6 +9,15 @@ from pyspark.sql import functions as F
 from ..functions.activations import finite
 
 PLANK = 1e-12
+#: Links of a task, about: they are sorted there, which takes memory in proportion.
+LINKS = 1_000_000
+
+
+def dealt(links: DataFrame, neuron: str | list[str]) -> DataFrame:
+    """links by neuron over as many partitions as their number asks for; where Spark's own are enough, as they are."""
+    parts = -(-links.count() // LINKS)
+    keys = [neuron] if isinstance(neuron, str) else neuron
+    return links.repartition(parts, *keys) if parts > int(links.sparkSession.conf.get("spark.sql.shuffle.partitions")) else links
 
 
 def elastic_split(links: DataFrame, neuron: str | list[str], plank: float = PLANK) -> DataFrame:
@@ -17,6 +26,11 @@ def elastic_split(links: DataFrame, neuron: str | list[str], plank: float = PLAN
     Shares follow activation squared times the safe factor; without any, weight squared; without that, they are equal.
     What rounding leaves goes to the link of the highest score, the first among equals.
     """
+    return split_in_place(dealt(links, neuron), neuron, plank)
+
+
+def split_in_place(links: DataFrame, neuron: str | list[str], plank: float = PLANK) -> DataFrame:
+    """The same without counting the links first."""
     ok = lambda c: F.expr(finite(c))
     score = F.when(ok("activation") & ok("safe"), F.col("activation") * F.col("activation") * F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("safe")))).otherwise(0.0)
     heavy = F.when(ok("weight"), F.col("weight") * F.col("weight")).otherwise(0.0)
@@ -36,6 +50,6 @@ def fused_split(links: DataFrame, neuron: str | list[str], error: Column, safe:
 
     An error of 0 has factors 1 and shares 0.
     """
-    d = links.withColumn("error", error).withColumn("_n", F.count(F.lit(1)).over(W.partitionBy(neuron)))
+    d = dealt(links, neuron).withColumn("error", error).withColumn("_n", F.count(F.lit(1)).over(W.partitionBy(neuron)))
     d = d.withColumn("per_link", F.col("error") / F.col("_n")).withColumn("safe", F.when(F.col("error") == 0, 1.0).otherwise(safe)).drop("_n")
-    return elastic_split(d, neuron, plank).withColumn("share", F.when(F.col("error") == 0, 0.0).otherwise(F.col("share"))).drop("per_link")
+    return split_in_place(d, neuron, plank).withColumn("share", F.when(F.col("error") == 0, 0.0).otherwise(F.col("share"))).drop("per_link")

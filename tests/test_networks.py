@@ -220,3 +220,13 @@ def test_a_condition_of_rounding_errors_does_not_depend_on_the_order(spark):
     d = spark.createDataFrame(rows, "neuron long, v double, role int, bias double").coalesce(1).withColumns({"code": F.lit(A.CODES["IF"]), "ord": F.lit(0)})
     got = {r["neuron"]: r["info"] for r in forward.aggregate_nodes(d, ["neuron"], trace=True).collect()}
     assert len({got[k] for k in range(6)}) == 1 and [got[6], got[7], got[8]] == [0, 1, 1]
+
+
+def test_large_splits_are_dealt_over_more_tasks(spark, monkeypatch):
+    d = spark.range(3000).select((F.col("id") % 97).alias("neuron"), F.col("id").alias("ord"), (F.col("id") % 7 / 7).alias("activation"), (F.col("id") % 5 - 2.0).alias("weight"), F.lit(1.0).alias("safe"), F.lit(0.5).alias("error"))
+    error, safe = F.col("neuron") % 3 - 1.0, F.lit(0.5)
+    splits = {"elastic": lambda: distribution.elastic_split(d, "neuron"), "fused": lambda: distribution.fused_split(d.drop("safe", "error"), "neuron", error, safe)}
+    few = {k: sorted(map(tuple, f().collect())) for k, f in splits.items()}
+    monkeypatch.setattr(distribution, "LINKS", 100)
+    for k, f in splits.items():
+        assert f().rdd.getNumPartitions() == 30 and sorted(map(tuple, f().collect())) == few[k]
