@@ -6,12 +6,14 @@ synapses and neurons say; `add` adds sums to one of them (ignored beyond the siz
 sizes, `free` drops both. Commands of a net take effect in the order of seq, which must rise from batch to batch.
 
 A net's accumulators are dealt over several keys by id, so that one net's rows go to many tasks. Of a batch's adds between two
-other commands, a key sums each id's first and touches its state once.
+other commands, a key sums each id's first and touches its state once. Adds of one seq and id are summed as they are read,
+so that a key holds no row of them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -26,6 +28,47 @@ ANSWERS = "net LONG, seq LONG, op STRING, kind STRING, id LONG, sums ARRAY<DOUBL
 #: Sums of an accumulator of either kind; the first is the count.
 FIELDS = {"synapse": len(WEIGHT_SUMS), "neuron": len(BIAS_SUMS)}
 PARTS = 16
+#: Adds that wait at least before they are summed with those before.
+HELD = 1 << 14
+
+
+class Adds(NamedTuple):
+    """Adds in the order of seq: their ids and sums (adds, fields)."""
+
+    seq: np.ndarray
+    ids: np.ndarray
+    sums: np.ndarray
+
+
+def folded(seq: np.ndarray, ids: np.ndarray, sums: np.ndarray) -> Adds:
+    """Adds of the same seq and id as one."""
+    if not len(seq):
+        return Adds(seq, ids, sums)
+    order = np.lexsort((ids, seq))
+    seq, ids, sums = seq[order], ids[order], sums[order]
+    first = np.flatnonzero(np.concatenate([[True], (seq[1:] != seq[:-1]) | (ids[1:] != ids[:-1])]))
+    return Adds(seq[first], ids[first], np.add.reduceat(sums, first))
+
+
+def gathered(rows: Iterator[pd.DataFrame], width: int) -> tuple[Adds, pd.DataFrame]:
+    """The adds that count and the other commands of a key's rows, which are read piece by piece; adds of one seq and id are summed at once."""
+    total, waiting, others = Adds(np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, width))), [], []
+    size = 0
+
+    def settle() -> Adds:
+        return folded(*(np.concatenate(x) for x in zip(total, *waiting, strict=True)))
+
+    for piece in rows:
+        is_add = (piece["op"] == "add").to_numpy()
+        others.append(piece[~is_add].drop(columns="sums"))
+        own = piece[is_add]
+        own = own[np.array([s is not None and len(s) == width and s[0] > 0 for s in own["sums"]], bool)]
+        if len(own):
+            waiting.append(folded(own["seq"].to_numpy(np.int64), own["id"].to_numpy(np.int64), np.stack(own["sums"].to_numpy()).astype(float)))
+            size += len(waiting[-1].seq)
+        if size > max(len(total.seq), HELD):
+            total, waiting, size = settle(), [], 0
+    return settle(), pd.concat(others).sort_values("seq", kind="stable")
 
 
 class Accumulators(StatefulProcessor):
@@ -43,17 +86,11 @@ class Accumulators(StatefulProcessor):
         if also_size:
             self.size.clear()
 
-    def add(self, rows: pd.DataFrame, n: int, width: int) -> None:
-        values = [s is not None and len(s) == width and s[0] > 0 for s in rows["sums"]]
-        rows = rows[np.array(values, bool) & (rows["id"] >= 0).to_numpy() & (rows["id"] < n).to_numpy()]
-        if rows.empty:
-            return
-        ids, inverse = np.unique(rows["id"].to_numpy(np.int64), return_inverse=True)
-        total = np.zeros((len(ids), width))
-        np.add.at(total, inverse, np.stack(rows["sums"].to_numpy()))
-        for i, more in zip(ids.tolist(), total, strict=True):
-            old = np.array(self.sums.getValue((i,))[0]) if self.sums.containsKey((i,)) else 0
-            self.sums.updateValue((i,), ((old + more).tolist(),))
+    def add(self, ids: np.ndarray, sums: np.ndarray, n: int) -> None:
+        for i, more in zip(ids.tolist(), sums, strict=True):
+            if 0 <= i < n:
+                old = np.array(self.sums.getValue((i,))[0]) if self.sums.containsKey((i,)) else 0
+                self.sums.updateValue((i,), ((old + more).tolist(),))
 
     def held(self, i: int, n: int, width: int) -> list[float]:
         return list(self.sums.getValue((i,))[0]) if 0 <= i < n and self.sums.containsKey((i,)) else [0.0] * width
@@ -61,17 +98,22 @@ class Accumulators(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         net, kind, part = key
         width, out = FIELDS[kind], []
-        batch = pd.concat(list(rows)).sort_values("seq", kind="stable")
+        adds, others = gathered(rows, width)
         n = self.size.get()[0] if self.size.exists() else 0
-        turn = (batch["op"] != "add").cumsum() * 2 - (batch["op"] != "add")  # adds between two commands share a number
-        for _, group in batch.groupby(turn.to_numpy(), sort=True):
-            first = group.iloc[0]
-            op, seq = first["op"], int(first["seq"])
-            if op == "add":
-                self.add(group, n, width)
-            elif op == "init":
+        at = 0
+        for command in [*others.to_dict("records"), None]:
+            # the adds up to the command, each id's summed
+            end = len(adds.seq) if command is None else int(np.searchsorted(adds.seq, command["seq"], "left"))
+            if end > at:
+                own = folded(np.zeros(end - at, np.int64), adds.ids[at:end], adds.sums[at:end])
+                self.add(own.ids, own.sums, n)
+                at = end
+            if command is None:
+                break
+            op, seq = command["op"], int(command["seq"])
+            if op == "init":
                 self.clear(False)
-                n = max(0, int(first["synapses" if kind == "synapse" else "neurons"]))
+                n = max(0, int(command["synapses" if kind == "synapse" else "neurons"]))
                 self.size.update((n,))
             elif op == "reset":
                 self.clear(False)
@@ -81,7 +123,7 @@ class Accumulators(StatefulProcessor):
             elif op == "sizes":
                 out.append((net, seq, op, kind, n, None))
             elif op == "read":
-                out.append((net, seq, op, kind, int(first["id"]), self.held(int(first["id"]), n, width)))
+                out.append((net, seq, op, kind, int(command["id"]), self.held(int(command["id"]), n, width)))
             else:
                 out += [(net, seq, op, kind, i, self.held(i, n, width)) for i in range(part, n, self.parts)]
         names = ["net", "seq", "op", "kind", "id", "sums"]

@@ -2,7 +2,10 @@
 
 import os
 import random
+import weakref
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -131,3 +134,25 @@ def test_unknown_commands_are_errors(spark, tmp_path):
     for row, message in (((1, 1, "grow", None, None, None, None, None), "no such command"), ((1, 1, "read", None, 1, None, None, None), "without its kind"), ((1, 1, "add", "synapse", None, None, None, None), "without its kind")):
         with pytest.raises(PySparkException, match=message):
             lifecycle.dealt(spark.createDataFrame([row], lifecycle.COMMANDS), 2).collect()
+
+
+def test_adds_are_summed_as_they_are_read():
+    names = ["seq", "op", "id", "synapses", "neurons", "sums"]
+    made = []
+
+    def pieces():
+        for k in range(200):
+            rows = [(5 if i % 2 else 9, "add", float(i % 6), None, None, np.array([1.0, i]) if i % 10 else np.array([0.0, 9.0])) for i in range(1000)]
+            made.append(weakref.ref(frame := pd.DataFrame([*rows, (k, "read", 3.0, None, None, None)], columns=names)))
+            yield frame
+            del frame
+            assert sum(x() is not None for x in made) <= 2  # the piece that is read and none before it
+
+    adds, others = lifecycle.gathered(pieces(), 2)
+    want = {}
+    for i in range(1000):
+        if i % 10:
+            n, total = want.get((5 if i % 2 else 9, i % 6), (0, 0))
+            want[5 if i % 2 else 9, i % 6] = (n + 200, total + 200 * i)
+    assert {(s, i): tuple(x) for s, i, x in zip(adds.seq.tolist(), adds.ids.tolist(), adds.sums.tolist())} == want
+    assert others["seq"].tolist() == list(range(200)) and adds.seq.tolist() == sorted(adds.seq.tolist())
