@@ -216,6 +216,8 @@ def safe_zone(name: str, x: str = "x", error: str = "error", weight: str = "weig
 #: Where functions without a closed inverse turn from falling to rising, and how far from 0 their inverses reach.
 TURN = {"Swish": "-1.2784645427610738e0", "Mish": "-1.1924312145e0", "GELU": "-7.524614221e-1"}
 REACH = {"Swish": "1e300", "Mish": "2e1", "GELU": "1e1"}
+#: How far below 0 activations can be told from 0, for inverses without limits.
+LOWER = {"Swish": "1e300", "Mish": "8e2", "GELU": "4e1"}
 #: Fixed value: a hint whose activation is as near as this to y tells the side of the inverse, and steps from a hint end there.
 TOLERANCE = "1e-6"
 #: A hint whose activation is as near as this to y is the inverse itself.
@@ -247,10 +249,10 @@ def _stepped(name: str, y: str, start: str, rounds: int) -> str:
     return f"aggregate(sequence(1, {rounds}), named_struct('x', {start}, 'done', false), (s, i) -> CASE WHEN s.done THEN s ELSE {step} END).x"
 
 
-def _safeguarded(name: str, y: str, left: str, rounds: int) -> str:
+def _safeguarded(name: str, y: str, left: str, rounds: int, limited: bool = True) -> str:
     """The solution on one side of the turn: Newton steps that stay between bounds, which close in, or else halves."""
-    turn, reach = TURN[name], REACH[name]
-    low, high = f"CASE WHEN w THEN -{reach} ELSE {turn} END", f"CASE WHEN w THEN {turn} ELSE least(greatest({y}, 0e0) + 1e0, {reach}) END"
+    turn, reach = TURN[name], REACH[name] if limited else "1e300"
+    low, high = f"CASE WHEN w THEN -{REACH[name] if limited else LOWER[name]} ELSE {turn} END", f"CASE WHEN w THEN {turn} ELSE least(greatest({y}, 0e0) + 1e0, {reach}) END"
     more = "((q.e < 0e0) <> w)"  # the solution is above s.x
     a, b, n = f"CASE WHEN {more} THEN s.x ELSE s.a END", f"CASE WHEN {more} THEN s.b ELSE s.x END", "s.x - q.e / q.d"
     within = "p.n >= p.a AND p.n <= p.b"
@@ -261,13 +263,14 @@ def _safeguarded(name: str, y: str, left: str, rounds: int) -> str:
     return bound(left, "w", f"aggregate(sequence(1, {rounds}), {zero}, (s, i) -> CASE WHEN s.done THEN s ELSE {step} END).x")
 
 
-def iterated_sql(name: str, y: str, hint: str = "CAST(NULL AS DOUBLE)", rounds: int = 100) -> str:
+def iterated_sql(name: str, y: str, hint: str = "CAST(NULL AS DOUBLE)", rounds: int = 100, limited: bool = True) -> str:
     """The inverse of Swish, Mish, GELU or BENT_IDENTITY near a hint, if there is one.
 
     A hint whose activation is y is the answer; where it is within the tolerance of y, the solution on the hint's side is. Of two
     other solutions, that counts to which Newton steps from the hint lead (Swish: always the rising side); without a hint they start at y or y / 2, for GELU at 1 or -1. A y below the least
     activation gives the turn. Mish's inverses end at ±20; beyond 10, GELU's hint (or 0) takes the inverse's place, and for a y
-    that is next to 0 its hint or -10. A y that is not finite gives the hint, or 0.
+    that is next to 0 its hint or -10. A y that is not finite gives the hint, or 0. Not limited, Mish's and GELU's inverses have no
+    such ends: every y from the least activation on gives a solution.
     """
     name = _of(name).name
     h, v = "k.h", "k.y"
@@ -284,18 +287,20 @@ def iterated_sql(name: str, y: str, hint: str = "CAST(NULL AS DOUBLE)", rounds:
         first = f"CASE WHEN {v} >= 0e0 THEN {v} ELSE {v} / 2e0 END" if name == "Mish" else f"CASE WHEN {v} < 5e-1 THEN -1e0 ELSE 1e0 END"
         start = f"CASE WHEN {known} THEN {h} ELSE {first} END"
         left = f"CASE WHEN {v} >= 0e0 THEN false ELSE {_stepped(name, v, start, rounds)} < {TURN[name]} END"
-        root = _safeguarded(name, v, left, rounds)
-        if name == "Mish":
+        root = _safeguarded(name, v, left, rounds, limited)
+        if not limited:
+            out = f"CASE WHEN {held} THEN {h} ELSE {root} END"
+        elif name == "Mish":
             out = f"CASE WHEN {held} THEN {h} WHEN {v} >= {REACH[name]} THEN {REACH[name]} ELSE {root} END"
         else:
             out = f"CASE WHEN abs({v}) < 1e-10 THEN CASE WHEN {known} THEN {h} ELSE -1e1 END WHEN {held} THEN {h} WHEN {v} > {REACH[name]} THEN CASE WHEN {known} THEN {h} ELSE 0e0 END ELSE {root} END"
-    limited = f"least(greatest(CAST({hint} AS DOUBLE), -2e1), 2e1)" if name == "Mish" else f"CAST({hint} AS DOUBLE)"
+    limited = f"least(greatest(CAST({hint} AS DOUBLE), -2e1), 2e1)" if name == "Mish" and limited else f"CAST({hint} AS DOUBLE)"
     values = f"named_struct('y', CAST({y} AS DOUBLE), 'h', CASE WHEN {finite(f'CAST({hint} AS DOUBLE)')} THEN {limited} END)"
     return f"(CASE WHEN NOT coalesce({finite(y)}, false) THEN coalesce(CASE WHEN {finite(hint)} THEN CAST({hint} AS DOUBLE) END, 0e0) ELSE {bound(values, 'k', out)} END)"
 
 
-def iterated_inverse(name: str, y: str = "y", hint: str = "CAST(NULL AS DOUBLE)", rounds: int = 100) -> Column:
-    return F.expr(iterated_sql(name, y, hint, rounds))
+def iterated_inverse(name: str, y: str = "y", hint: str = "CAST(NULL AS DOUBLE)", rounds: int = 100, limited: bool = True) -> Column:
+    return F.expr(iterated_sql(name, y, hint, rounds, limited))
 
 
 def periodic_sql(name: str, y: str, hint: str) -> str:

@@ -108,3 +108,12 @@ def test_a_hint_that_is_only_near_is_not_the_answer(spark):
     for name, y, h in rows:
         x = spark.createDataFrame([(y, h)], "y double, h double").select(A.iterated_inverse(name, "y", "h")).head()[0]
         assert abs(activation(name, x) - y) < 1e-12 and abs(x - h) < 1e-3, (name, y, h, x)
+
+
+def test_inverses_without_limits_have_no_ends(spark):
+    """Large values and values next to 0 have solutions, which hints far away do not take the place of."""
+    rows = [(name, y, h) for name in A.ITERATED for y in (10.0002, 12.5, 20.0, 75.25, -1e-11, 0.0) for h in (None, -500.0, -30.0, -3.3, -0.9, 0.1, 2.2, 40.0, 500.0)]
+    for name in A.ITERATED:
+        d = spark.createDataFrame([r[1:] for r in rows if r[0] == name], "y double, h double")
+        for r in d.withColumn("x", A.iterated_inverse(name, "y", "h", limited=False)).collect():
+            assert abs(activation(name, r["x"]) - r["y"]) < 1e-9, (name, r)
