@@ -117,6 +117,47 @@ def test_every_language_of_enough_documents_has_a_model(spark):
     assert quality.languages(d) == sorted(f"l{k}" for k in range(11))[: quality.MODELS]
 
 
+def test_each_of_many_languages_is_judged_by_its_own_texts(spark):
+    texts = {k: prose(100 * k, 22).replace("aeihnotr"[k % 8], "XYZ0"[k % 4]) for k in range(10)}
+    rows_ = [(1000 * k + n, f"l{k}", text + f" {n}") for k, text in texts.items() for n in range(100)]
+    got = {r["doc_id"]: r["perplexity"] for r in quality.quality(spark.createDataFrame(rows_, "doc_id long, lang string, text string"), ["doc_id"]).collect()}
+    for k in (0, 8, 9):
+        own = [t for _, lang, t in rows_ if lang == f"l{k}"]
+        p = brute_kneser_ney(own)
+        assert got[1000 * k + 7] == pytest.approx(np.exp(-np.mean(np.log(p(own[7])))), rel=1e-4)
+
+
+def test_languages_of_few_documents_have_bands_of_their_own(spark):
+    """Codes and prose share a model, but what is usual in one language is not in the other."""
+    codes = lambda k: " ".join(f"{k * 7919 + n * 104729:x}".upper() for n in range(60))
+    rows_ = [(k, "pr", prose(k, 60)) for k in range(90)] + [(1000 + k, "co", codes(k)) for k in range(60)] + [(5000, "pr", codes(977)), (6000, "one", prose(400, 60))]
+    d = spark.createDataFrame(rows_, "doc_id long, lang string, text string")
+    got = {r["doc_id"]: r for r in quality.quality(d, ["doc_id"]).collect()}
+    assert len(got) == len(rows_) and got[1000]["upper"] < got[0]["upper"] - 1 and got[1000]["lower"] < got[0]["lower"] - 0.5
+    assert not got[5000]["kept"] and got[6000]["kept"] and sum(r["kept"] for r in got.values()) >= len(rows_) - 4
+
+
+def test_scores_hold_few_models_at_once(monkeypatch):
+    class Model:
+        def __init__(self, k):
+            self._value = None
+
+        @property
+        def value(self):
+            self._value = self
+            return self
+
+        def score(self, model, grams):
+            return grams + 1000.0 * model
+
+    monkeypatch.setattr(quality, "HELD", 2)
+    scores = quality.Scores({k: Model(k) for k in range(5)})
+    for model in (0, 1, 2, 1, 4, 0, 3):
+        assert scores.of(model, np.array([5, 7, 5])).tolist() == [1000 * model + x for x in (5, 7, 5)]
+        assert len(scores.held) <= 2
+    assert list(scores.held) == [0, 3] and sum(hasattr(m, "_value") for m in scores.models.values()) == 2
+
+
 def test_bands_reject_noise_and_keep_prose(spark):
     rows_ = [(k, "en", prose(k, 150)) for k in range(200)] + [(901, "en", "the " * 7 + "then that this those " * 4 + "at an on in it is be to " * 2)] + [(900, "en", " ".join("QZX#%WV" for _ in range(150)) + " " + "@".join(map(chr, range(40, 120))))]
     out = quality.quality(spark.createDataFrame(rows_, "doc_id long, lang string, text string"), ["doc_id"]).collect()
