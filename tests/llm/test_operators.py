@@ -158,6 +158,28 @@ def test_scores_hold_few_models_at_once(monkeypatch):
     assert list(scores.held) == [0, 3] and sum(hasattr(m, "_value") for m in scores.models.values()) == 2
 
 
+def test_every_code_point_counts_within_its_class(spark):
+    """Letters of another script in place of their class's own leave the classes as they are, but not the text's probability."""
+    table = quality.class_table()
+    other = {}
+    for c in range(0x4E00, 0x9FFF):
+        other.setdefault(int(table[c]), c)
+    swapped = prose(3, 100).translate({c: other[int(table[c])] for c in range(97, 123)})
+    rows_ = [(k, "en", prose(k, 100)) for k in range(200)] + [(900, "en", swapped), (901, "xx", "Привет, мир " * 2 + "42 é"), (902, None, " \n"), (903, "en", None)]
+    d = spark.createDataFrame(rows_, "doc_id long, lang string, text string").repartition(5)
+    got = {r["doc_id"]: r for r in quality.quality(d, ["doc_id"]).collect()}
+    assert got[900]["perplexity"] == pytest.approx(got[3]["perplexity"]) and not got[900]["kept"] and got[900]["point_perplexity"] > got[900]["point_upper"]
+    assert all(got[k]["point_perplexity"] <= got[k]["point_upper"] for k in range(200)) and got[902]["point_perplexity"] is None and got[903]["point_perplexity"] is None
+    for ids in (range(200), [901]):
+        texts = {k: [c for c in t if not c.isspace()] for k, _, t in rows_ if t and (k in ids or (k == 900 and len(ids) > 1))}
+        n = collections.Counter(c for t in texts.values() for c in t)
+        kinds = collections.Counter({})
+        for c, k in n.items():
+            kinds[int(table[ord(c)])] += k
+        for k in ids:
+            assert got[k]["point_perplexity"] == pytest.approx(np.exp(-np.mean([np.log(n[c] / kinds[int(table[ord(c)])]) for c in texts[k]])), rel=1e-4)
+
+
 def test_bands_reject_noise_and_keep_prose(spark):
     rows_ = [(k, "en", prose(k, 150)) for k in range(200)] + [(901, "en", "the " * 7 + "then that this those " * 4 + "at an on in it is be to " * 2)] + [(900, "en", " ".join("QZX#%WV" for _ in range(150)) + " " + "@".join(map(chr, range(40, 120))))]
     out = quality.quality(spark.createDataFrame(rows_, "doc_id long, lang string, text string"), ["doc_id"]).collect()
